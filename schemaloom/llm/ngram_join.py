@@ -31,9 +31,9 @@ from .words import mix, shingle_sets
 SHARE_OF_100 = 80
 BITS = 2048
 CENTRES = 4
-#: Frequent tokens that are put last in the order: at most so many (1 MB), each held by at least so many texts.
-FREQUENT, FREQUENT_FROM = 65_536, 12
-#: Rows of a tile; a token that more texts hold is spread over tiles.
+#: Frequent tokens that are put last in the order: at most so many (8 MB), each held by at least so many texts.
+FREQUENT, FREQUENT_FROM = 500_000, 4
+#: Rows compared at a time; a token that more texts hold is spread over tiles.
 TILE = 1_024
 #: Bits of the filter that finds the texts named by some pair; fuller filters pass more, never fewer.
 SIEVE_BITS = 1 << 22
@@ -159,75 +159,88 @@ def _centre_pairs(sets: DataFrame) -> DataFrame:
 
 def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Tokens that most prefixes hold, with their counts, sorted by token; counted over all texts."""
-    rows = sets.select(F.explode("prefix").alias("token")).groupBy("token").count().filter(F.col("count") >= FREQUENT_FROM).orderBy(F.desc("count"), "token").limit(FREQUENT).collect()
-    tokens = np.array([r[0] for r in rows], np.int64).view(np.uint64)
+    rows = sets.select(F.explode("prefix").alias("token")).groupBy("token").count().filter(F.col("count") >= FREQUENT_FROM).orderBy(F.desc("count"), "token").limit(FREQUENT).toArrow()
+    tokens = rows.column("token").to_numpy().view(np.uint64)
     order = np.argsort(tokens)
-    return tokens[order], np.array([r[1] for r in rows], np.int64)[order]
+    return tokens[order], rows.column("count").to_numpy()[order].astype(np.int32)
+
+
+def _spots(token: int, held: int, n: int, doc: int) -> list[int]:
+    """Where a text goes whose token more than TILE texts hold: tile * 2 + side, for every tile that its chunk takes part in.
+
+    A chunk is a size band, cut by a hash of the id. Chunks of the same and of neighbouring bands meet in a tile of
+    their own (sizes whose ratio is 0.8 or more differ by one band at most), so no task gets a whole frequent token.
+    """
+    salts = -(-held // TILE)
+    band = int(np.log(n) / np.log(100 / SHARE_OF_100))
+    salt = int(mix(np.array([doc], np.int64).view(np.uint64))[0]) % salts
+    tile = lambda b, s, t: 1 + (b << 40) + (s << 20) + t
+    out = [tile(3 * band, min(salt, s), max(salt, s)) * 2 + (salt > s) for s in range(salts)]
+    out += [tile(3 * band + 1, salt, s) * 2 for s in range(salts)]
+    return out + [tile(3 * band - 2, s, salt) * 2 + 1 for s in range(salts)]
 
 
 def _prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(doc_id, n, tokens): each text's prefix in the order that puts frequent tokens last, by how many hold them."""
+    """(doc_id, tokens, spots, sizes): each text's prefix in the order that puts frequent tokens last, by how many hold them.
+
+    spots: where each token's row goes (see _spots; 0 for the usual token). sizes: set size and place in the order.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, held = shared.value
         for batch in batches:
-            n, out = [], []
-            for tokens in shingle_sets(batch.column("text")):
-                length = len(tokens) - needed(len(tokens)) + 1 if len(tokens) else 0
-                n.append(len(tokens))
-                if len(hot) and len(tokens):
+            out, spots, sizes = [], [], []
+            for doc, tokens in zip(batch.column("doc_id").to_pylist(), shingle_sets(batch.column("text")), strict=True):
+                n = len(tokens)
+                length = n - needed(n) + 1 if n and doc is not None else 0
+                rank = np.zeros(n, np.int32)
+                if len(hot) and length:
                     at = np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)
                     rank = np.where(hot[at] == tokens, held[at], 0)
                     if rank.any():
-                        tokens = tokens[np.argsort(rank, kind="stable")]
-                out.append(tokens[:length])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), _list(out)], ["doc_id", "n", "tokens"])
-
-    return docs.select("doc_id", "text").mapInArrow(prefixes, "doc_id long, n long, tokens array<long>")
+                        order = np.argsort(rank, kind="stable")
+                        tokens, rank = tokens[order], rank[order]
+                tokens, rank = tokens[:length], rank[:length]
+                size, spot = n << 32 | np.arange(length), np.zeros(length, np.int64)
+                if length and rank[-1] > TILE:
+                    where = [_spots(int(t), int(r), n, doc) if r > TILE else [0] for t, r in zip(tokens, rank, strict=True)]
+                    times = [len(x) for x in where]
+                    tokens, size, spot = np.repeat(tokens, times), np.repeat(size, times), np.array([x for own in where for x in own])
+                out.append(tokens)
+                spots.append(spot)
+                sizes.append(size)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _list(out), _list(spots), _list(sizes)], ["doc_id", "tokens", "spots", "sizes"])
+
+    return docs.select("doc_id", "text").mapInArrow(prefixes, "doc_id long, tokens array<long>, spots array<long>, sizes array<long>")
 
 
-def _band(n: "F.Column") -> "F.Column":
-    """Sizes whose ratio is 0.8 or more differ by one band at most."""
-    return F.floor(F.log(n.cast("double")) / F.lit(float(np.log(100 / SHARE_OF_100)))).cast("int")
-
-
-def _tiles(rows: DataFrame, counts: DataFrame) -> DataFrame:
-    """(token, tile, doc_id, n, component, side) rows: a tile holds the rows of one chunk (side 0), or of two (sides 0 and 1).
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of a tile that may link and are in different components. Rows come sorted by token and tile.
 
-    A chunk is a size band, cut by a hash of the id where more than TILE texts hold the token. Chunks of the same
-    and of neighbouring bands meet in a tile of their own, so no task gets a whole frequent token.
+    Both sizes must fit, and so must the places of the token in both orders: if it is the first common one, the overlap
+    is at most what follows it in either set.
     """
-    rows = rows.join(counts, "token")
-    salts = F.ceil(F.col("held") / TILE).cast("int")
-    rows = rows.withColumn("band", _band(F.col("n"))).withColumn("salts", salts).withColumn("salt", F.when(salts > 1, F.pmod(F.xxhash64("doc_id"), salts)).otherwise(0).cast("int"))
-    meet = F.expr(
-        "flatten(transform(sequence(0, salts - 1), s -> array("
-        " struct(concat_ws(':', band, band, least(salt, s), greatest(salt, s)) as tile, if(salt <= s, 0, 1) as side),"
-        " struct(concat_ws(':', band, band + 1, salt, s) as tile, 0 as side),"
-        " struct(concat_ws(':', band - 1, band, s, salt) as tile, 1 as side))))"
-    )
-    return rows.withColumn("m", F.explode(meet)).select("token", "m.tile", "m.side", "doc_id", "n", "component")
-
-
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a tile that may link and are in different components. Batches come sorted by token and tile."""
 
     def pairs(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        side, doc, n, component = rows
+        side, doc, n, rest, component = rows
         left = np.flatnonzero(side == 0)
-        inner = not (side == 1).any()
-        right = left if inner else np.flatnonzero(side == 1)
+        right = np.flatnonzero(side == 1)
+        inner = not len(right)
+        if inner:
+            right = left
+        if len(left) < 2 and inner or component.min() == component.max():
+            return
         for k in range(0, len(left), TILE):
-            i = left[k : k + TILE]
+            i = left[k : k + TILE, None]
             for m in range(k if inner else 0, len(right), TILE):
                 j = right[m : m + TILE]
-                ok = (100 * n[i][:, None] >= SHARE_OF_100 * n[j]) & (100 * n[j] >= SHARE_OF_100 * n[i][:, None]) & (component[i][:, None] != component[j])
+                ok = links(n[i], n[j], np.minimum(rest[i], rest[j])) & (component[i] != component[j])
                 if inner and m == k:
                     ok = np.triu(ok, 1)
                 x, y = np.nonzero(ok)
                 if len(x):
-                    a, b = doc[i[x]], doc[j[y]]
+                    a, b = doc[i[x, 0]], doc[j[y]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
 
     held: list[list[np.ndarray]] = []
@@ -235,11 +248,15 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        token, tile = batch.column("token").to_numpy(), np.array(batch.column("tile").to_pylist(), object)
+        token, spot, doc, size, component = (batch.column(c).to_numpy() for c in ("token", "spot", "doc_id", "size", "component"))
+        tile, n = spot >> 1, size >> 32
+        columns = [spot & 1, doc, n, n - (size & 0xFFFFFFFF), component]
         cuts = np.flatnonzero((token[1:] != token[:-1]) | (tile[1:] != tile[:-1])) + 1
-        columns = [batch.column(c).to_numpy() for c in ("side", "doc_id", "n", "component")]
-        for lo, hi in zip([0, *cuts], [*cuts, len(token)], strict=True):
-            if name is not None and name != (token[lo], tile[lo]):
+        first, last = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(token)]])
+        # tiles of one row that neither begin nor end the batch meet nothing
+        tell = np.flatnonzero((last - first > 1) | (first == 0) | (last == len(token)))
+        for lo, hi in zip(first[tell], last[tell], strict=True):
+            if held and name != (token[lo], tile[lo]):
                 yield from pairs([np.concatenate(x) for x in zip(*held, strict=True)])
                 held = []
             name = (token[lo], tile[lo])
@@ -252,10 +269,10 @@ def _tile_pairs(docs: DataFrame, sets: DataFrame, joined: DataFrame) -> DataFram
     """Pairs from different components (joined: node, component) that share a prefix token."""
     spark = docs.sparkSession
     keep = sets.select("doc_id").join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
-    rows = _prefixes(docs, _frequent(sets)).join(keep, "doc_id").select("doc_id", "n", "component", F.explode("tokens").alias("token"))
-    counts = rows.groupBy("token").agg(F.count("*").alias("held"), F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("token", "held")
-    tiles = _tiles(rows, counts).repartition(partitions(spark), "token", "tile").sortWithinPartitions("token", "tile")
-    return tiles.mapInArrow(_meet, "a long, b long").distinct()
+    rows = _prefixes(docs, _frequent(sets)).join(keep, "doc_id").select("doc_id", "component", F.explode(F.arrays_zip("tokens", "spots", "sizes")).alias("x"))
+    rows = rows.select(F.col("x.tokens").alias("token"), F.col("x.spots").alias("spot"), "doc_id", F.col("x.sizes").alias("size"), "component")
+    tile = F.shiftright("spot", 1)
+    return rows.repartition(partitions(spark), "token", tile).sortWithinPartitions("token", tile).mapInArrow(_meet, "a long, b long").distinct()
 
 
 def similarity_classes(docs: DataFrame) -> DataFrame:
