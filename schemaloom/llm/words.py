@@ -18,6 +18,8 @@ STEP_BYTES = 1 << 20
 _space = np.zeros(256, bool)
 _space[[0x20, *range(0x09, 0x0E)]] = True
 WORD_BYTE = ~_space
+#: Letters, digits and all bytes of longer characters: words without punctuation.
+PLAIN_BYTE = np.array([i >= 0x80 or chr(i).isalnum() for i in range(256)])
 FOLD = np.arange(256, dtype=np.uint8)
 FOLD[ord("A") : ord("Z") + 1] += 32
 
@@ -71,11 +73,11 @@ def steps(column: pa.Array | pa.ChunkedArray, limit: int = STEP_BYTES) -> Iterat
         row = end
 
 
-def spans(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def spans(data: np.ndarray, at: np.ndarray, in_word: np.ndarray = WORD_BYTE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word starts, word ends, and the index of each row's first word (with one more at the end)."""
     if not len(data):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(at), np.int64)
-    word = WORD_BYTE[data]
+    word = in_word[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[at] = True
     gap = np.empty(len(data) + 1, bool)
