@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 
-from .words import mix
+from .words import _BASE, _INVERSE, _power, mix
 
 U64 = np.uint64
 STEP_CHARS = 1 << 18
@@ -58,3 +58,16 @@ def grams(points: np.ndarray, orders: range, bits: int) -> Iterator[tuple[int, n
             whole = solid & (letter[:n] | letter[order - 1 :]) if order == 2 else solid
             at = np.flatnonzero(whole)
             yield order, at, (mix(state[at] + U64(order)) >> U64(64 - bits)).astype(np.int64)
+
+
+def letter_runs(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, which code points are letters) of the words, runs of letters. The last code point must be none."""
+    letter = letter_table()[np.minimum(points, 0xFFFF)]
+    turn = np.diff(letter.astype(np.int8), prepend=0)
+    return np.flatnonzero(turn == 1), np.flatnonzero(turn == -1), letter
+
+
+def run_hashes(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    total = np.zeros(len(points) + 1, U64)
+    np.cumsum(mix(points.astype(U64) + U64(1)) * _power(_BASE, len(points)), out=total[1:])
+    return mix((total[ends] - total[starts]) * _power(_INVERSE, len(points))[starts])
