@@ -6,11 +6,12 @@ Exact at every size. The steps:
 2. Only texts that share a token of their prefix can link: of n tokens in one global order, the first
    n - ceil(0.8 n) + 1. The order puts tokens that many texts hold last, so that a passage shared by thousands
    of texts brings none of them together.
-3. Texts are first compared with one centre for each of their first tokens. That joins groups of copies by a
-   number of comparisons linear in their size. Then all texts of one prefix token and size band form tiles;
-   only texts not yet in the same component are compared.
-4. Compared pairs pass the bound from hashed bitmaps (a bit of A that B lacks is a token of A that B lacks),
-   and what is left is decided by intersecting the sorted sets.
+3. Hashed bitmaps bound the overlap of a pair from above: a bit of A that B lacks is a token of A that B lacks.
+   First each text is paired with the few texts of likest bitmaps among those with one of its first tokens. That
+   joins groups of copies by a number of comparisons linear in their size.
+4. Then all texts of one prefix token and size band form tiles. Only texts not yet in the same component are compared:
+   by size, by the token's place, and for tokens that many texts hold by bitmaps inside the tile.
+5. What is left is decided by intersecting the sorted sets.
 
 Any token order gives the same links, so the table of frequent tokens may be bounded without losing any.
 """
@@ -35,6 +36,9 @@ CENTRES = 4
 FREQUENT, FREQUENT_FROM = 500_000, 4
 #: Rows compared at a time; a token that more texts hold is spread over tiles.
 TILE = 1_024
+#: Texts that hold a token from which its rows take their bitmaps along.
+WITH_BITS = 24
+NEAREST = 3
 #: Bits of the filter that finds the texts named by some pair; fuller filters pass more, never fewer.
 SIEVE_BITS = 1 << 22
 _SIGN = np.uint64(1 << 63)
@@ -119,7 +123,7 @@ def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         n_a, n_b = batch.column("na").to_numpy(), batch.column("nb").to_numpy()
-        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, BITS // 8) for c in ("bits_a", "bits_b"))
+        a, b = _bit_rows(batch.column("bits_a")), _bit_rows(batch.column("bits_b"))
         kept = links(n_a, n_b, bitmap_bound(n_a, n_b, a, b))
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(kept)), batch.column("b").filter(pa.array(kept))], ["a", "b"])
 
@@ -150,11 +154,61 @@ def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
     return saved(both.mapInArrow(_exact, "a long, b long"))
 
 
+def _bit_rows(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, BITS // 64)
+
+
+def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each row of a chunk (rows of one token and salt, sorted so) its NEAREST partners by the bitmaps' bound, the chunk's most
+    central row and the token's centre, as far as the bounds allow a link."""
+
+    def pairs(doc: np.ndarray, n: np.ndarray, bits: np.ndarray, centre: int) -> pa.RecordBatch:
+        found = []
+        like = np.zeros((len(doc), len(doc)))
+        for k in range(len(doc)):
+            bound = np.maximum(bitmap_bound(n[k], n, bits[k], bits), 0)
+            like[k] = np.where(links(n[k], n, bound), bound / (n[k] + n - bound), 0)
+        np.fill_diagonal(like, 0)
+        middle = int(like.sum(1).argmax())
+        best = np.argsort(-like, 1)[:, :NEAREST]
+        for j in (*best.T, np.full(len(doc), middle)):
+            i = np.flatnonzero(like[np.arange(len(doc)), j] > 0)
+            found.append((doc[i], doc[j[i]]))
+        found.append((doc[[middle]], np.array([centre])))
+        x, y = (np.concatenate(c) for c in zip(*found, strict=True))
+        both = np.unique(np.stack([np.maximum(x, y), np.minimum(x, y)]), axis=1)
+        both = both[:, both[0] != both[1]]
+        return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
+
+    name, held = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        token, salt, doc, n, centre = (batch.column(c).to_numpy() for c in ("token", "salt", "doc_id", "n", "centre"))
+        bits = _bit_rows(batch.column("bits"))
+        cuts = np.flatnonzero((token[1:] != token[:-1]) | (salt[1:] != salt[:-1])) + 1
+        for lo, hi in zip([0, *cuts], [*cuts, len(token)], strict=True):
+            if held and (name != (token[lo], salt[lo]) or sum(len(x[0]) for x in held) >= TILE):
+                yield pairs(*[np.concatenate(x) for x in zip(*[x[:3] for x in held], strict=True)], held[0][3])
+                held = []
+            name = (token[lo], salt[lo])
+            for k in range(lo, hi, TILE):
+                end = min(hi, k + TILE)
+                held.append((doc[k:end], n[k:end], bits[k:end], int(centre[lo])))
+                if end < hi:
+                    yield pairs(*[np.concatenate(x) for x in zip(*[x[:3] for x in held], strict=True)], held[0][3])
+                    held = []
+    if held:
+        yield pairs(*[np.concatenate(x) for x in zip(*[x[:3] for x in held], strict=True)], held[0][3])
+
+
 def _centre_pairs(sets: DataFrame) -> DataFrame:
-    """Each text with the smallest id among the texts of each of its first tokens."""
+    """A few likely pairs of each text among the texts that share one of its first tokens."""
     tokens = sets.select("doc_id", F.explode(F.slice("prefix", 1, CENTRES)).alias("token"))
-    centres = tokens.groupBy("token").agg(F.min("doc_id").alias("b"), F.count("*").alias("held")).filter("held > 1").select("token", "b")
-    return tokens.join(centres, "token").filter("doc_id <> b").select(F.col("doc_id").alias("a"), "b").distinct()
+    centres = tokens.groupBy("token").agg(F.min("doc_id").alias("centre"), F.count("*").alias("held")).filter("held > 1")
+    salt = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("held") / (TILE // 2))).alias("salt")
+    rows = tokens.join(centres, "token").select("token", salt, "doc_id", "centre").join(sets.select("doc_id", "n", "bits"), "doc_id")
+    return rows.repartition(partitions(sets.sparkSession), "token", "salt").sortWithinPartitions("token", "salt", "n").mapInArrow(_near, "a long, b long").distinct()
 
 
 def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -181,16 +235,17 @@ def _spots(token: int, held: int, n: int, doc: int) -> list[int]:
 
 
 def _prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(doc_id, tokens, spots, sizes): each text's prefix in the order that puts frequent tokens last, by how many hold them.
+    """(doc_id, tokens, spots, sizes, bits): each text's prefix in the order that puts frequent tokens last, by how many hold them.
 
-    spots: where each token's row goes (see _spots; 0 for the usual token). sizes: set size and place in the order.
+    spots: where each token's row goes (see _spots; 0 for the usual token). sizes: set size (from bit 31), place in the order, and in
+    bit 62 whether the token's rows need bitmaps; bits: the bitmap, if any does.
     """
     shared = docs.sparkSession.sparkContext.broadcast(frequent)
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, held = shared.value
         for batch in batches:
-            out, spots, sizes = [], [], []
+            out, spots, sizes, bits = [], [], [], []
             for doc, tokens in zip(batch.column("doc_id").to_pylist(), shingle_sets(batch.column("text")), strict=True):
                 n = len(tokens)
                 length = n - needed(n) + 1 if n and doc is not None else 0
@@ -201,8 +256,9 @@ def _prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataF
                     if rank.any():
                         order = np.argsort(rank, kind="stable")
                         tokens, rank = tokens[order], rank[order]
+                bits.append(bitmap(tokens).tobytes() if length and rank[length - 1] >= WITH_BITS else None)
                 tokens, rank = tokens[:length], rank[:length]
-                size, spot = n << 32 | np.arange(length), np.zeros(length, np.int64)
+                size, spot = n << 31 | np.arange(length) | (rank >= WITH_BITS).astype(np.int64) << 62, np.zeros(length, np.int64)
                 if length and rank[-1] > TILE:
                     where = [_spots(int(t), int(r), n, doc) if r > TILE else [0] for t, r in zip(tokens, rank, strict=True)]
                     times = [len(x) for x in where]
@@ -210,9 +266,9 @@ def _prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataF
                 out.append(tokens)
                 spots.append(spot)
                 sizes.append(size)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _list(out), _list(spots), _list(sizes)], ["doc_id", "tokens", "spots", "sizes"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _list(out), _list(spots), _list(sizes), pa.array(bits, pa.binary())], ["doc_id", "tokens", "spots", "sizes", "bits"])
 
-    return docs.select("doc_id", "text").mapInArrow(prefixes, "doc_id long, tokens array<long>, spots array<long>, sizes array<long>")
+    return docs.select("doc_id", "text").mapInArrow(prefixes, "doc_id long, tokens array<long>, spots array<long>, sizes array<long>, bits binary")
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,7 +279,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
 
     def pairs(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        side, doc, n, rest, component = rows
+        side, doc, n, rest, component, *bits = rows
         left = np.flatnonzero(side == 0)
         right = np.flatnonzero(side == 1)
         inner = not len(right)
@@ -239,6 +295,10 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if inner and m == k:
                     ok = np.triu(ok, 1)
                 x, y = np.nonzero(ok)
+                if bits and len(x):
+                    p, q = i[x, 0], j[y]
+                    near = np.concatenate([links(n[p[z]], n[q[z]], bitmap_bound(n[p[z]], n[q[z]], bits[0][p[z]], bits[0][q[z]])) for z in np.split(np.arange(len(p)), range(TILE * 16, len(p), TILE * 16))])
+                    x, y = x[near], y[near]
                 if len(x):
                     a, b = doc[i[x, 0]], doc[j[y]]
                     yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], ["a", "b"])
@@ -249,8 +309,11 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         token, spot, doc, size, component = (batch.column(c).to_numpy() for c in ("token", "spot", "doc_id", "size", "component"))
-        tile, n = spot >> 1, size >> 32
-        columns = [spot & 1, doc, n, n - (size & 0xFFFFFFFF), component]
+        tile, n, heavy = spot >> 1, size >> 31 & 0x7FFFFFFF, (size >> 62).astype(bool)
+        columns = [spot & 1, doc, n, n - (size & 0x7FFFFFFF), component]
+        bits = np.zeros((len(token), BITS // 64), np.uint64)
+        if heavy.any():
+            bits[heavy] = _bit_rows(batch.column("bits").filter(pa.array(heavy)))
         cuts = np.flatnonzero((token[1:] != token[:-1]) | (tile[1:] != tile[:-1])) + 1
         first, last = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(token)]])
         # tiles of one row that neither begin nor end the batch meet nothing
@@ -260,7 +323,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield from pairs([np.concatenate(x) for x in zip(*held, strict=True)])
                 held = []
             name = (token[lo], tile[lo])
-            held.append([c[lo:hi] for c in columns])
+            held.append([c[lo:hi] for c in columns] + [bits[lo:hi]] * bool(heavy[lo]))
     if held:
         yield from pairs([np.concatenate(x) for x in zip(*held, strict=True)])
 
@@ -269,8 +332,9 @@ def _tile_pairs(docs: DataFrame, sets: DataFrame, joined: DataFrame) -> DataFram
     """Pairs from different components (joined: node, component) that share a prefix token."""
     spark = docs.sparkSession
     keep = sets.select("doc_id").join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
-    rows = _prefixes(docs, _frequent(sets)).join(keep, "doc_id").select("doc_id", "component", F.explode(F.arrays_zip("tokens", "spots", "sizes")).alias("x"))
-    rows = rows.select(F.col("x.tokens").alias("token"), F.col("x.spots").alias("spot"), "doc_id", F.col("x.sizes").alias("size"), "component")
+    rows = _prefixes(docs, _frequent(sets)).join(keep, "doc_id").select("doc_id", "component", "bits", F.explode(F.arrays_zip("tokens", "spots", "sizes")).alias("x"))
+    bits = F.when(F.shiftright("x.sizes", 62) == 1, F.col("bits")).alias("bits")
+    rows = rows.select(F.col("x.tokens").alias("token"), F.col("x.spots").alias("spot"), "doc_id", F.col("x.sizes").alias("size"), "component", bits)
     tile = F.shiftright("spot", 1)
     return rows.repartition(partitions(spark), "token", tile).sortWithinPartitions("token", tile).mapInArrow(_meet, "a long, b long").distinct()
 
