@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprint, language, ngram_join, toxicity
+from . import decontaminate, fingerprint, language, ngram_join, pieces, toxicity
 from .scratch import table
 
 
@@ -30,6 +30,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.languages(table(spark, sf_dir, "documents"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.segmentations(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [x for name, x in globals().items() if name.startswith("op") and callable(x)]
     return {x.__name__: x for x in found}
