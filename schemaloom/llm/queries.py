@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, fingerprint, language, ngram_join, pieces, toxicity
+from . import chat, decontaminate, fingerprint, html_extract, language, ngram_join, pieces, toxicity
 from .scratch import table
 
 
@@ -44,6 +44,10 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.segmentations(table(spark, sf_dir, "documents"))
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.main_texts(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [x for name, x in globals().items() if name.startswith("op") and callable(x)]
     return {x.__name__: x for x in found}
