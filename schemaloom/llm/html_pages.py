@@ -65,7 +65,7 @@ class _Writer:
         return self.other(["search", "login", "signup", "contact-form"], ["form"], self.r.choice([fields, f"<p>{self.words(2, 8)}</p>{fields}", f"<div>{fields}</div>{self.prose(1, 2)}"]), 0.7)
 
     def comments(self) -> str:
-        tag = self.r.choice(["div", "li", "p", "article"])
+        tag = self.r.choice(["div", "li", "p"] * 3 + ["article"])
         each = "".join(f'<{tag} class="{self.r.choice(["comment", "reply", "comment-body", "c"])}">{self.r.choice([f"<p>{self.prose()}</p>", self.prose(), f"<div>{self.words(1, 2)}</div><p>{self.prose(1, 3)}</p>"])}</{tag}>' for _ in range(self.r.randint(1, 5)))
         body = f"<ul>{each}</ul>" if tag == "li" else each
         return self.other(["comments", "comment-list", "discussion", "responses", "disqus", "reader-comments"], ["div", "section", "section"], self.r.choice(["", f"<h3>{self.words(1, 2)}</h3>"]) + body, 0.0)
@@ -82,6 +82,8 @@ class _Writer:
             ]))
             if r.random() < 0.12:
                 parts.append(r.choice([self.advert, self.side, self.notice, self.form])())
+        if r.random() < 0.15:  # verse, dialogue, lists of short lines
+            parts += [f"<p>{self.words(1, 4)}</p>" for _ in range(r.randint(8, 40))]
         return "".join(parts)
 
     def page(self) -> str:
