@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import partitions, saved
+from .scratch import partitions, saved, short_batches
 from .words import mix, shingle_sets
 
 SHARE_OF_100 = 80
@@ -347,6 +347,7 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
     repeated results; rows of one doc_id with different texts all count as that document. A null doc_id keeps a null
     component. An empty table gives an empty result.
     """
+    short_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = saved(described(docs))
     classes = saved(sets.filter("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("class")))

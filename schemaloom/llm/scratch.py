@@ -30,7 +30,18 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+ROWS_PER_BATCH = 1_000
+
+
+def short_batches(spark: SparkSession) -> None:
+    """Rows hold whole texts, so what Python workers get at a time is kept to ROWS_PER_BATCH rows, for the session."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ROWS_PER_BATCH:
+        spark.conf.set(name, ROWS_PER_BATCH)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    short_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
