@@ -54,15 +54,13 @@ def digits(text: Column) -> Column:
 
 
 def luhn(number: Column) -> Column:
-    """Whether a string of digits has a valid check digit."""
-    n = F.length(number)
+    """Whether a string of 13 to 19 digits has a valid check digit; false for any other length."""
 
-    def weighed(total: Column, i: Column) -> Column:
-        d = F.substr(number, n - i, F.lit(1)).cast("int")
-        twice = F.when(d > 4, 2 * d - 9).otherwise(2 * d)
-        return total + F.when(i % 2 == 1, twice).otherwise(d)
+    def valid(digit: Column) -> Column:
+        values = F.transform(F.reverse(F.split(digit, "")), lambda c, i: F.when(i % 2 == 0, c.cast("int")).when(c > "4", 2 * c.cast("int") - 9).otherwise(2 * c.cast("int")))
+        return F.aggregate(values, F.lit(0), lambda total, v: total + v) % 10 == 0
 
-    return (n > 0) & (F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), weighed) % 10 == 0)
+    return F.when(F.length(number).between(13, 19), let(F.when(F.length(number).between(13, 19), number), valid)).otherwise(False)
 
 
 def listed(spans: Column) -> Column:
