@@ -5,15 +5,16 @@ Exact at every size. The steps:
 1. Every text becomes its sorted set of shingle hashes. Equal sets form one class, kept by its smallest id.
 2. Only texts that share a token of their prefix can link: of n tokens in one global order, the first
    n - ceil(0.8 n) + 1. The order puts tokens that many texts hold last, so that a passage shared by thousands
-   of texts brings none of them together.
+   of texts brings none of them together. How many hold a token is told by counts within blocks of texts, of all tokens.
 3. Hashed bitmaps bound the overlap of a pair from above: a bit of A that B lacks is a token of A that B lacks.
-   First each text is paired with the few texts of likest bitmaps among those with one of its first tokens. That
-   joins groups of copies by a number of comparisons linear in their size.
-4. Then all texts of one prefix token and size band form tiles. Only texts not yet in the same component are compared:
-   by size, by the token's place, and for tokens that many texts hold by bitmaps inside the tile.
+   First the texts with one of their first tokens in common are chained by a spanning forest of likest bitmaps, in chunks
+   of bounded size. That joins groups of copies by a number of pairs linear in their size.
+4. Prefix tokens are counted. Those that only one text has lead nowhere; a filter of the others keeps them out of the shuffle.
+   All texts of one prefix token and size band form tiles, in which only texts not yet in the same component are compared:
+   by size, by the token's place, and by bitmaps.
 5. What is left is decided by intersecting the sorted sets.
 
-Any token order gives the same links, so the table of frequent tokens may be bounded without losing any.
+Any token order gives the same links, so the table of frequent tokens may be bounded and its counts may be low without losing any.
 """
 
 from __future__ import annotations
@@ -31,17 +32,19 @@ from .words import mix, shingle_sets
 
 SHARE_OF_100 = 80
 BITS = 2048
+#: Bits of the signatures inside tiles: bitmaps folded to this width.
+TILE_BITS = 512
 CENTRES = 4
-#: Frequent tokens that are put last in the order: at most so many (8 MB), each held by at least so many texts.
+#: Frequent tokens that are put last in the order: at most so many (8 MB). A token is counted where at least FREQUENT_FROM of the texts
+#: of a block, of about BLOCK_TOKENS tokens, hold it.
 FREQUENT, FREQUENT_FROM = 500_000, 4
+BLOCK_TOKENS = 4_000_000
 #: Rows compared at a time; a token that more texts hold is spread over tiles.
 TILE = 1_024
-#: Texts that hold a token from which its rows take their bitmaps along.
-WITH_BITS = 24
-NEAREST = 3
 #: Bits of the filter that finds the texts named by some pair; fuller filters pass more, never fewer.
 SIEVE_BITS = 1 << 22
-_SIGN = np.uint64(1 << 63)
+#: The filter of repeated tokens has 8 to 16 bits for each, from 2**20 and up to 2**27 (16 MB) in all; fuller ones pass more, never fewer.
+TOKEN_BITS = (20, 27)
 
 
 def needed(n: np.ndarray | int) -> np.ndarray | int:
@@ -74,48 +77,73 @@ def links(n_a: np.ndarray, n_b: np.ndarray, overlap: np.ndarray) -> np.ndarray:
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import xxhash
 
+    gathered: list[np.ndarray] = []
+
+    def tally() -> tuple[np.ndarray, np.ndarray]:
+        values, counts = np.unique(np.concatenate(gathered), return_counts=True)
+        gathered.clear()
+        return values[counts >= FREQUENT_FROM], counts[counts >= FREQUENT_FROM]
+
+    def with_tally(columns: list[pa.Array], found: tuple[np.ndarray, np.ndarray] | None) -> pa.RecordBatch:
+        """The counts of a block go with the last row."""
+        rows = len(columns[0])
+        extra = [pa.array([None] * (rows - 1) + [None if found is None else found[k].view(np.int64)], pa.list_(pa.int64())) for k in (0, 1)]
+        return pa.RecordBatch.from_arrays([*columns, *extra], ["doc_id", "n", "key", "bits", "centres", "hot", "held"])
+
+    waiting = None
     for batch in batches:
-        n, keys, bits, prefixes = [], [], [], []
+        if not batch.num_rows:
+            continue
+        if waiting is not None:
+            yield with_tally(waiting, tally() if sum(map(len, gathered)) >= BLOCK_TOKENS else None)
+        n, keys, bits, centres = [], [], [], []
         for tokens in shingle_sets(batch.column("text")):
             n.append(len(tokens))
             keys.append(xxhash.xxh3_128_hexdigest(tokens) if len(tokens) else None)
             bits.append(bitmap(tokens).tobytes())
-            prefixes.append(tokens[: len(tokens) - needed(len(tokens)) + 1] if len(tokens) else tokens)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.string()), pa.array(bits, pa.binary()), _list(prefixes)], ["doc_id", "n", "key", "bits", "prefix"])
+            centres.append(tokens[: min(CENTRES, len(tokens) - needed(len(tokens)) + 1)] if len(tokens) else tokens)
+            gathered.append(tokens)
+        waiting = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.string()), pa.array(bits, pa.binary()), _list(centres)]
+    if waiting is not None:
+        yield with_tally(waiting, tally())
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, key, bits, prefix) of every text: set size, name of the set, bitmap, tokens of the plain prefix."""
-    return docs.select("doc_id", "text").mapInArrow(_describe, "doc_id long, n long, key string, bits binary, prefix array<long>")
+    """(doc_id, n, key, bits, centres, hot, held) of every text: set size, name of the set, bitmap, the first tokens of the plain prefix; and
+    on some rows tokens that several texts of a block hold, with how many."""
+    return docs.select("doc_id", "text").mapInArrow(_describe, "doc_id long, n long, key string, bits binary, centres array<long>, hot array<long>, held array<long>")
 
 
-def _sieve(ids: DataFrame, column: str = "id") -> np.ndarray:
-    """A bitmap of SIEVE_BITS bits that has every id's bit; ids: one column."""
-    slot = F.pmod(F.xxhash64(column), F.lit(SIEVE_BITS))
-    parts = ids.select(slot.alias("slot")).groupBy(F.expr("bitmap_bucket_number(slot)").alias("bucket")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(slot))").alias("bits")).collect()
-    whole = np.zeros((SIEVE_BITS // 32768 + 2, 4096), np.uint8)
-    for bucket, bits in parts:
-        whole[bucket] = np.frombuffer(bits, np.uint8)
-    return whole
+def _sieve(values: DataFrame, column: str, bits: int) -> np.ndarray:
+    """A bitmap with the bit of every value's lowest bits; bits is a power of two of 2**15 at least."""
+    slot = F.col(column).bitwiseAND(F.lit(bits - 1))
+    slots = values.select(F.shiftright(slot, 15).alias("bucket"), slot.bitwiseAND(F.lit((1 << 15) - 1)).alias("position")).repartition(partitions(values.sparkSession), "bucket")
+    whole = np.zeros((bits >> 15, 4096), np.uint8)
+    for bucket, own in slots.groupBy("bucket").agg(F.bitmap_construct_agg("position")).toLocalIterator():
+        whole[bucket] = np.frombuffer(own, np.uint8)
+    return whole.reshape(-1)
+
+
+def _passes(sieve: np.ndarray, values: np.ndarray) -> np.ndarray:
+    slot = values.view(np.int64) & (8 * len(sieve) - 1)
+    return (sieve[slot >> 3] >> (slot & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _slot(column: str) -> F.Column:
+    return F.xxhash64(F.col(column).cast("long")).alias("slot")
 
 
 def _arrays_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, tokens) of at least the documents in ids, from the texts; the sieve keeps the others' sets out of the shuffle."""
-    spark = docs.sparkSession
-    sieve = spark.sparkContext.broadcast(_sieve(ids))
+    sieve = docs.sparkSession.sparkContext.broadcast(_sieve(ids.select(_slot("id")), "slot", SIEVE_BITS))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole = sieve.value
         for batch in batches:
-            slots = batch.column("slot").to_numpy()
-            bucket = np.where(slots > 0, (slots - 1) // 32768 + 1, 0)  # as bitmap_bucket_number counts
-            bit = np.where(slots > 0, (slots - 1) % 32768, 0)
-            named = batch.filter(pa.array((whole[bucket, bit // 8] >> (bit % 8).astype(np.uint8) & 1).astype(bool)))
+            named = batch.filter(pa.array(_passes(sieve.value, batch.column("slot").to_numpy())))
             found = [x.tobytes() for x in shingle_sets(named.column("text"))]
             yield pa.RecordBatch.from_arrays([named.column("doc_id"), pa.array(found, pa.binary())], ["id", "tokens"])
 
-    slot = F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(SIEVE_BITS)).alias("slot")
-    return docs.select("doc_id", "text", slot).mapInArrow(sets, "id long, tokens binary")
+    return docs.select("doc_id", "text", _slot("doc_id")).mapInArrow(sets, "id long, tokens binary")
 
 
 def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -154,13 +182,31 @@ def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
     return saved(both.mapInArrow(_exact, "a long, b long"))
 
 
-def _bit_rows(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, BITS // 64)
+def _bit_rows(column: pa.Array, bits: int = BITS) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, bits // 64)
+
+
+def _spanning_forest(like: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a forest that joins all rows which likeness over 0 joins, by the largest likenesses."""
+    n = len(like)
+    best, partner = np.zeros(n), np.zeros(n, np.int64)
+    ends, starts = [], []
+    for _ in range(n):
+        k = int(best.argmax())
+        if best[k] > 0:
+            ends.append(k)
+            starts.append(partner[k])
+        else:
+            k = int((best == 0).argmax())
+        best[k] = -1
+        nearer = (like[k] > best) & (best >= 0)
+        best[nearer], partner[nearer] = like[k][nearer], k
+    return np.array(ends, np.int64), np.array(starts, np.int64)
 
 
 def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each row of a chunk (rows of one token and salt, sorted so) its NEAREST partners by the bitmaps' bound, the chunk's most
-    central row and the token's centre, as far as the bounds allow a link."""
+    """Of each chunk (rows of one token and salt, sorted so) a spanning forest by the bitmaps' bound, as far as the bounds allow
+    links, and its most central row with the token's centre."""
 
     def pairs(doc: np.ndarray, n: np.ndarray, bits: np.ndarray, centre: int) -> pa.RecordBatch:
         found = []
@@ -170,12 +216,8 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             like[k] = np.where(links(n[k], n, bound), bound / (n[k] + n - bound), 0)
         np.fill_diagonal(like, 0)
         middle = int(like.sum(1).argmax())
-        best = np.argsort(-like, 1)[:, :NEAREST]
-        for j in (*best.T, np.full(len(doc), middle)):
-            i = np.flatnonzero(like[np.arange(len(doc)), j] > 0)
-            found.append((doc[i], doc[j[i]]))
-        found.append((doc[[middle]], np.array([centre])))
-        x, y = (np.concatenate(c) for c in zip(*found, strict=True))
+        i, j = _spanning_forest(like)
+        x, y = np.append(doc[i], doc[middle]), np.append(doc[j], centre)
         both = np.unique(np.stack([np.maximum(x, y), np.minimum(x, y)]), axis=1)
         both = both[:, both[0] != both[1]]
         return pa.RecordBatch.from_arrays([pa.array(both[0]), pa.array(both[1])], ["a", "b"])
@@ -204,22 +246,23 @@ def _near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _centre_pairs(sets: DataFrame) -> DataFrame:
     """A few likely pairs of each text among the texts that share one of its first tokens."""
-    tokens = sets.select("doc_id", F.explode(F.slice("prefix", 1, CENTRES)).alias("token"))
+    tokens = sets.select("doc_id", F.explode("centres").alias("token"))
     centres = tokens.groupBy("token").agg(F.min("doc_id").alias("centre"), F.count("*").alias("held")).filter("held > 1")
-    salt = F.pmod(F.xxhash64("doc_id"), F.ceil(F.col("held") / (TILE // 2))).alias("salt")
+    salt = F.pmod(F.xxhash64("doc_id", "token"), F.ceil(F.col("held") / (TILE // 2))).alias("salt")
     rows = tokens.join(centres, "token").select("token", salt, "doc_id", "centre").join(sets.select("doc_id", "n", "bits"), "doc_id")
     return rows.repartition(partitions(sets.sparkSession), "token", "salt").sortWithinPartitions("token", "salt", "n").mapInArrow(_near, "a long, b long").distinct()
 
 
 def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens that most prefixes hold, with their counts, sorted by token; counted over all texts."""
-    rows = sets.select(F.explode("prefix").alias("token")).groupBy("token").count().filter(F.col("count") >= FREQUENT_FROM).orderBy(F.desc("count"), "token").limit(FREQUENT).toArrow()
+    """Tokens that most texts hold, with their counts, sorted by token; counted in blocks of all texts."""
+    found = sets.filter("hot is not null").select(F.explode(F.arrays_zip("hot", "held")).alias("x")).groupBy(F.col("x.hot").alias("token")).agg(F.sum("x.held").alias("held"))
+    rows = found.orderBy(F.desc("held"), "token").limit(FREQUENT).toArrow()
     tokens = rows.column("token").to_numpy().view(np.uint64)
     order = np.argsort(tokens)
-    return tokens[order], rows.column("count").to_numpy()[order].astype(np.int32)
+    return tokens[order], rows.column("held").to_numpy()[order].astype(np.int32)
 
 
-def _spots(token: int, held: int, n: int, doc: int) -> list[int]:
+def _spots(held: int, n: int, doc: int) -> list[int]:
     """Where a text goes whose token more than TILE texts hold: tile * 2 + side, for every tile that its chunk takes part in.
 
     A chunk is a size band, cut by a hash of the id. Chunks of the same and of neighbouring bands meet in a tile of
@@ -234,41 +277,68 @@ def _spots(token: int, held: int, n: int, doc: int) -> list[int]:
     return out + [tile(3 * band - 2, s, salt) * 2 + 1 for s in range(salts)]
 
 
-def _prefixes(docs: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
-    """(doc_id, tokens, spots, sizes, bits): each text's prefix in the order that puts frequent tokens last, by how many hold them.
-
-    spots: where each token's row goes (see _spots; 0 for the usual token). sizes: set size (from bit 31), place in the order, and in
-    bit 62 whether the token's rows need bitmaps; bits: the bitmap, if any does.
-    """
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+def _prefixes(docs: DataFrame, heads: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(doc_id, n, tokens, bits): of at least heads, each text's prefix in the order that puts frequent tokens last, by how many hold them,
+    and its signature for tiles."""
+    context = docs.sparkSession.sparkContext
+    shared, sieve = context.broadcast(frequent), context.broadcast(_sieve(heads.select(_slot("doc_id")), "slot", SIEVE_BITS))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, held = shared.value
         for batch in batches:
-            out, spots, sizes, bits = [], [], [], []
-            for doc, tokens in zip(batch.column("doc_id").to_pylist(), shingle_sets(batch.column("text")), strict=True):
+            batch = batch.filter(pa.array(_passes(sieve.value, batch.column("slot").to_numpy())))
+            sizes, out, bits = [], [], []
+            for tokens in shingle_sets(batch.column("text")):
                 n = len(tokens)
-                length = n - needed(n) + 1 if n and doc is not None else 0
-                rank = np.zeros(n, np.int32)
-                if len(hot) and length:
+                sizes.append(n)
+                bits.append(np.bitwise_or.reduce(bitmap(tokens).reshape(-1, TILE_BITS // 8)).tobytes())
+                if len(hot) and n:
                     at = np.minimum(np.searchsorted(hot, tokens), len(hot) - 1)
                     rank = np.where(hot[at] == tokens, held[at], 0)
                     if rank.any():
-                        order = np.argsort(rank, kind="stable")
-                        tokens, rank = tokens[order], rank[order]
-                bits.append(bitmap(tokens).tobytes() if length and rank[length - 1] >= WITH_BITS else None)
-                tokens, rank = tokens[:length], rank[:length]
-                size, spot = n << 31 | np.arange(length) | (rank >= WITH_BITS).astype(np.int64) << 62, np.zeros(length, np.int64)
-                if length and rank[-1] > TILE:
-                    where = [_spots(int(t), int(r), n, doc) if r > TILE else [0] for t, r in zip(tokens, rank, strict=True)]
-                    times = [len(x) for x in where]
-                    tokens, size, spot = np.repeat(tokens, times), np.repeat(size, times), np.array([x for own in where for x in own])
+                        tokens = tokens[np.argsort(rank, kind="stable")]
+                out.append(tokens[: n - needed(n) + 1] if n else tokens)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), _list(out), pa.array(bits, pa.binary())], ["doc_id", "n", "tokens", "bits"])
+
+    return docs.select("doc_id", "text", _slot("doc_id")).mapInArrow(prefixes, "doc_id long, n long, tokens array<long>, bits binary")
+
+
+def _placed(prefixes: DataFrame) -> DataFrame:
+    """(doc_id, tokens, spots, sizes, bits) of prefixes: tokens that several texts hold, where each one's row goes (see _spots; 0 for the
+    usual token), and set size (from bit 31) with the token's place in the order."""
+    spark = prefixes.sparkSession
+    counts = saved(prefixes.select(F.explode("tokens").alias("token")).groupBy("token").count().filter("count > 1"))
+    bits = min(max((8 * counts.count()).bit_length(), TOKEN_BITS[0]), TOKEN_BITS[1])
+    large = counts.filter(F.col("count") > TILE).orderBy(F.desc("count"), "token").limit(FREQUENT).toArrow().sort_by("token")
+    shared = spark.sparkContext.broadcast((_sieve(counts, "token", 1 << bits), large.column("token").to_numpy(), large.column("count").to_numpy()))
+
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sieve, large, held = shared.value
+        for batch in batches:
+            column = batch.column("tokens")
+            all_tokens, first = column.flatten().to_numpy(), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())])
+            repeated = _passes(sieve, all_tokens)
+            out, spots, sizes, kept = [], [], [], []
+            for k, (doc, n) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("n").to_pylist(), strict=True)):
+                place = np.flatnonzero(repeated[first[k] : first[k + 1]])
+                if not len(place) or doc is None:
+                    continue
+                tokens, size, spot = all_tokens[first[k] + place], n << 31 | place, np.zeros(len(place), np.int64)
+                if len(large):
+                    at = np.minimum(np.searchsorted(large, tokens), len(large) - 1)
+                    times = np.where(large[at] == tokens, held[at], 0)
+                    if times.any():
+                        where = [_spots(int(t), n, doc) if t else [0] for t in times]
+                        lengths = [len(x) for x in where]
+                        tokens, size, spot = np.repeat(tokens, lengths), np.repeat(size, lengths), np.array([x for own in where for x in own], np.int64)
+                kept.append(k)
                 out.append(tokens)
                 spots.append(spot)
                 sizes.append(size)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _list(out), _list(spots), _list(sizes), pa.array(bits, pa.binary())], ["doc_id", "tokens", "spots", "sizes", "bits"])
+            named = batch.take(pa.array(kept, pa.int64()))
+            yield pa.RecordBatch.from_arrays([named.column("doc_id"), _list(out), _list(spots), _list(sizes), named.column("bits")], ["doc_id", "tokens", "spots", "sizes", "bits"])
 
-    return docs.select("doc_id", "text").mapInArrow(prefixes, "doc_id long, tokens array<long>, spots array<long>, sizes array<long>, bits binary")
+    return prefixes.mapInArrow(placed, "doc_id long, tokens array<long>, spots array<long>, sizes array<long>, bits binary")
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,7 +349,7 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """
 
     def pairs(rows: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        side, doc, n, rest, component, *bits = rows
+        side, doc, n, rest, component, bits = rows
         left = np.flatnonzero(side == 0)
         right = np.flatnonzero(side == 1)
         inner = not len(right)
@@ -295,9 +365,9 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if inner and m == k:
                     ok = np.triu(ok, 1)
                 x, y = np.nonzero(ok)
-                if bits and len(x):
+                if len(x):
                     p, q = i[x, 0], j[y]
-                    near = np.concatenate([links(n[p[z]], n[q[z]], bitmap_bound(n[p[z]], n[q[z]], bits[0][p[z]], bits[0][q[z]])) for z in np.split(np.arange(len(p)), range(TILE * 16, len(p), TILE * 16))])
+                    near = np.concatenate([links(n[p[z]], n[q[z]], bitmap_bound(n[p[z]], n[q[z]], bits[p[z]], bits[q[z]])) for z in np.split(np.arange(len(p)), range(TILE * 16, len(p), TILE * 16))])
                     x, y = x[near], y[near]
                 if len(x):
                     a, b = doc[i[x, 0]], doc[j[y]]
@@ -309,11 +379,8 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         token, spot, doc, size, component = (batch.column(c).to_numpy() for c in ("token", "spot", "doc_id", "size", "component"))
-        tile, n, heavy = spot >> 1, size >> 31 & 0x7FFFFFFF, (size >> 62).astype(bool)
-        columns = [spot & 1, doc, n, n - (size & 0x7FFFFFFF), component]
-        bits = np.zeros((len(token), BITS // 64), np.uint64)
-        if heavy.any():
-            bits[heavy] = _bit_rows(batch.column("bits").filter(pa.array(heavy)))
+        tile, n = spot >> 1, size >> 31
+        columns = [spot & 1, doc, n, n - (size & 0x7FFFFFFF), component, _bit_rows(batch.column("bits"), TILE_BITS)]
         cuts = np.flatnonzero((token[1:] != token[:-1]) | (tile[1:] != tile[:-1])) + 1
         first, last = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(token)]])
         # tiles of one row that neither begin nor end the batch meet nothing
@@ -323,18 +390,17 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield from pairs([np.concatenate(x) for x in zip(*held, strict=True)])
                 held = []
             name = (token[lo], tile[lo])
-            held.append([c[lo:hi] for c in columns] + [bits[lo:hi]] * bool(heavy[lo]))
+            held.append([c[lo:hi] for c in columns])
     if held:
         yield from pairs([np.concatenate(x) for x in zip(*held, strict=True)])
 
 
-def _tile_pairs(docs: DataFrame, sets: DataFrame, joined: DataFrame) -> DataFrame:
+def _tile_pairs(docs: DataFrame, sets: DataFrame, joined: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """Pairs from different components (joined: node, component) that share a prefix token."""
     spark = docs.sparkSession
     keep = sets.select("doc_id").join(joined.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("doc_id", F.coalesce("component", "doc_id").alias("component"))
-    rows = _prefixes(docs, _frequent(sets)).join(keep, "doc_id").select("doc_id", "component", "bits", F.explode(F.arrays_zip("tokens", "spots", "sizes")).alias("x"))
-    bits = F.when(F.shiftright("x.sizes", 62) == 1, F.col("bits")).alias("bits")
-    rows = rows.select(F.col("x.tokens").alias("token"), F.col("x.spots").alias("spot"), "doc_id", F.col("x.sizes").alias("size"), "component", bits)
+    rows = _placed(saved(_prefixes(docs, sets, frequent))).join(keep, "doc_id").select("doc_id", "component", "bits", F.explode(F.arrays_zip("tokens", "spots", "sizes")).alias("x"))
+    rows = rows.select(F.col("x.tokens").alias("token"), F.col("x.spots").alias("spot"), "doc_id", F.col("x.sizes").alias("size"), "component", "bits")
     tile = F.shiftright("spot", 1)
     return rows.repartition(partitions(spark), "token", tile).sortWithinPartitions("token", tile).mapInArrow(_meet, "a long, b long").distinct()
 
@@ -351,11 +417,11 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     sets = saved(described(docs))
     classes = saved(sets.filter("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("class")))
-    heads = sets.join(classes.select(F.col("class").alias("doc_id")), "doc_id", "left_semi").filter("key is not null").dropDuplicates(["doc_id", "key"])
+    heads = sets.join(classes.select(F.col("class").alias("doc_id")), "doc_id", "left_semi").filter("key is not null").drop("hot", "held").dropDuplicates(["doc_id", "key"])
     heads = saved(heads)
     first = _verified(docs, heads, _centre_pairs(heads))
     joined = components(first)
-    second = _verified(docs, heads, _tile_pairs(docs, heads, joined))
+    second = _verified(docs, heads, _tile_pairs(docs, heads, joined, _frequent(sets)))
     edges = first.unionAll(second)
     whole = components(edges)
     of_class = classes.join(whole.withColumnRenamed("node", "class"), "class", "left").select("key", F.coalesce("component", "class").alias("component"))
