@@ -133,6 +133,18 @@ def _slot(column: str) -> F.Column:
     return F.xxhash64(F.col(column).cast("long")).alias("slot")
 
 
+def _packed(tokens: np.ndarray) -> bytes:
+    """The upper 48 bits of sorted tokens: two texts of 250 shingles share one by chance in one of 10**9 pairs."""
+    return tokens.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def _unpacked(data: pa.Buffer) -> np.ndarray:
+    own = np.frombuffer(data, np.uint8).reshape(-1, 6)
+    out = np.zeros((len(own), 8), np.uint8)
+    out[:, 2:] = own
+    return out.reshape(-1).view(np.uint64)
+
+
 def _arrays_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, tokens) of at least the documents in ids, from the texts; the sieve keeps the others' sets out of the shuffle."""
     sieve = docs.sparkSession.sparkContext.broadcast(_sieve(ids.select(_slot("id")), "slot", SIEVE_BITS))
@@ -140,7 +152,7 @@ def _arrays_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             named = batch.filter(pa.array(_passes(sieve.value, batch.column("slot").to_numpy())))
-            found = [x.tobytes() for x in shingle_sets(named.column("text"))]
+            found = [_packed(x) for x in shingle_sets(named.column("text"))]
             yield pa.RecordBatch.from_arrays([named.column("doc_id"), pa.array(found, pa.binary())], ["id", "tokens"])
 
     return docs.select("doc_id", "text", _slot("doc_id")).mapInArrow(sets, "id long, tokens binary")
@@ -160,7 +172,7 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         kept = []
         for x, y in zip(batch.column("tokens_a"), batch.column("tokens_b"), strict=True):
-            p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            p, q = _unpacked(x.as_buffer()), _unpacked(y.as_buffer())
             at = np.searchsorted(q, p)
             at[at == len(q)] = 0
             kept.append(bool(links(len(p), len(q), np.count_nonzero(q[at] == p))))
@@ -168,15 +180,20 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(kept), batch.column("b").filter(kept)], ["a", "b"])
 
 
-def _verified(docs: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link."""
+def _bound_passing(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) that may link by sizes and whole bitmaps."""
     sizes = sets.select("doc_id", "n", "bits")
     pairs = (
         pairs.join(sizes.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("bits_a")), "a")
         .join(sizes.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("bits_b")), "b")
         .filter(f"100 * na >= {SHARE_OF_100} * nb and 100 * nb >= {SHARE_OF_100} * na")
     )
-    pairs = saved(pairs.mapInArrow(_bounded, "a long, b long"))
+    return pairs.mapInArrow(_bounded, "a long, b long")
+
+
+def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (a, b) that link, by their sets."""
+    pairs = saved(pairs)
     arrays = _arrays_of(docs, pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")))
     both = pairs.join(arrays.select(F.col("id").alias("a"), F.col("tokens").alias("tokens_a")), "a").join(arrays.select(F.col("id").alias("b"), F.col("tokens").alias("tokens_b")), "b")
     return saved(both.mapInArrow(_exact, "a long, b long"))
@@ -419,9 +436,9 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
     classes = saved(sets.filter("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("class")))
     heads = sets.join(classes.select(F.col("class").alias("doc_id")), "doc_id", "left_semi").filter("key is not null").drop("hot", "held").dropDuplicates(["doc_id", "key"])
     heads = saved(heads)
-    first = _verified(docs, heads, _centre_pairs(heads))
+    first = _verified(docs, _centre_pairs(heads))
     joined = components(first)
-    second = _verified(docs, heads, _tile_pairs(docs, heads, joined, _frequent(sets)))
+    second = _verified(docs, _bound_passing(heads, _tile_pairs(docs, heads, joined, _frequent(sets))))
     edges = first.unionAll(second)
     whole = components(edges)
     of_class = classes.join(whole.withColumnRenamed("node", "class"), "class", "left").select("key", F.coalesce("component", "class").alias("component"))
