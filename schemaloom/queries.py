@@ -59,13 +59,14 @@ def desired_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
 
 
 def current_catalog(desired: Catalog) -> Catalog:
-    """desired without the columns in second place and the tables whose name has the letter g; with doubles as DECIMAL(18,2), a column
+    """desired without the columns in second place (later ones move up) and the tables whose name has the letter g; with doubles as DECIMAL(18,2), a column
     legacy_flag in tables whose name has an even length, and the first column of every table not null."""
     c = desired.columns.filter("position <> 1 and not contains(table_key, 'G')")
     double = F.col("field_type") == "ftExtended"
     c = c.withColumns({
         "type_name": F.when(double, "DECIMAL(%p,%s)").otherwise(F.col("type_name")), "precision": F.when(double, 18).otherwise(0), "scale": F.when(double, 2).otherwise(0),
         "field_type": F.when(double, "ftBCD").otherwise(F.col("field_type")), "not_null": F.col("position") == 0,
+        "position": F.when(F.col("position") > 1, F.col("position") - 1).otherwise(F.col("position")),
     })
     tables = desired.tables.filter("not contains(table_key, 'G')")
     flags = tables.filter("length(table_name) % 2 = 0").select(
@@ -83,7 +84,7 @@ with desired as (
         case data_type when 'BIGINT' then 'BIGINT' when 'INTEGER' then 'INT' when 'DOUBLE' then 'DOUBLE' when 'VARCHAR' then 'STRING' when 'TIMESTAMP' then 'TIMESTAMP_NTZ' when 'FLOAT[]' then 'ARRAY<FLOAT>' end as ty, false as nn
     from information_schema.columns where table_name in ({_NAMES})
 ), current_side as (
-    select t, c, pos, case ty when 'DOUBLE' then 'DECIMAL(18,2)' else ty end as ty, pos = 0 as nn from desired where pos <> 1 and not contains(t, 'g')
+    select t, c, case when pos > 1 then pos - 1 else pos end as pos, case ty when 'DOUBLE' then 'DECIMAL(18,2)' else ty end as ty, pos = 0 as nn from desired where pos <> 1 and not contains(t, 'g')
     union all select distinct t, 'legacy_flag', 99, 'VARCHAR(1)', false from desired where length(t) % 2 = 0 and not contains(t, 'g')
 )"""
 _DIFFS = f"""{_BOTH}, d as (
@@ -162,7 +163,7 @@ def policy_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "alter_classification",
-    f"""{_BOTH} select m.t as table_name, m.c as column_name, case when m.ty = 'DOUBLE' then 'InPlace' else 'InPlace' end as action
+    f"""{_BOTH} select m.t as table_name, m.c as column_name, 'InPlace' as action
     from desired m join current_side o on m.t = o.t and m.c = o.c where m.ty <> o.ty or m.nn <> o.nn""",
 )
 def alter_classification(spark: SparkSession, sf_dir: str) -> DataFrame:
