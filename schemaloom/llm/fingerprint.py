@@ -144,7 +144,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     ranges = docs.withColumn("part", F.size(F.filter(F.array(*[F.lit(x) for x in cuts]), lambda x: x <= F.col("place"))) if cuts else F.lit(0))
     firsts = sorted(tuple(x) for x in ranges.groupBy("part").agg(F.min("place")).collect())
     before = {place: firsts[k - 1][0] for k, (_, place) in enumerate(firsts)}  # at most one per partition
-    head = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])[F.col("place")] if before else F.lit(None).cast("int")
+    head = F.create_map(*[x for place, part in before.items() for x in (F.lit(place).cast("long"), F.lit(part))])[F.col("place")] if before else F.lit(None).cast("int")
     own = F.struct(F.col("part").alias("part"), F.lit(False).alias("tail"))
     sent = F.when(head.isNull(), F.array(own)).otherwise(F.array(own, F.struct(head.alias("part"), F.lit(True).alias("tail"))))
     dealt = ranges.withColumn("to", F.explode(sent)).select("doc_id", "text", "place", "to.part", "to.tail")
