@@ -83,9 +83,11 @@ def forward_backward(emission: np.ndarray, first: np.ndarray, transitions: np.nd
     real = at < first[row + 1][:, None]
     at = np.where(real, at, 0)
     own = gain[at]  # block, place, label
+    head = within == 0  # nothing leads to a sequence's first word
     whole = np.broadcast_to(np.eye(labels), (len(row), labels, labels)).copy()
     for k in range(BLOCK):
-        whole = np.where(real[:, k, None, None], _unit((whole @ move) * own[:, k, None, :], (1, 2)), whole)
+        moved = whole @ move if k else np.where(head[:, None, None], whole, whole @ move)
+        whole = np.where(real[:, k, None, None], _unit(moved * own[:, k, None, :], (1, 2)), whole)
     order = np.argsort(-blocks, kind="stable")
     before, after = np.empty((len(row), labels)), np.empty((len(row), labels))
     state, back = np.full((len(lengths), labels), 1 / labels), np.full((len(lengths), labels), 1 / labels)
@@ -102,7 +104,8 @@ def forward_backward(emission: np.ndarray, first: np.ndarray, transitions: np.nd
         back[seq] = _unit((whole[at_block] @ back[seq][:, :, None])[:, :, 0], (1,))
     alpha, beta = np.empty((len(row), BLOCK, labels)), np.empty((len(row), BLOCK, labels))
     for k in range(BLOCK):
-        step = _unit((before @ move) * own[:, k], (1,))
+        moved = before @ move if k else np.where(head[:, None], before, before @ move)
+        step = _unit(moved * own[:, k], (1,))
         before = np.where(real[:, k, None], step, before)
         alpha[:, k] = before
     for k in range(BLOCK - 1, -1, -1):
