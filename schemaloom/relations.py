@@ -78,7 +78,7 @@ class Catalog:
 
 _IDENTITY = {
     "tables": ("table_key",), "columns": ("table_key", "name_key"), "primary_keys": ("table_key",), "key_columns": ("table_key", "key_kind", "object_key", "position"),
-    **{n: ("table_key", "object_key") for n in ("indexes", "foreign_keys", "checks", "triggers", "views", "sequences", "domains", "procedures")},
+    **dict.fromkeys(("indexes", "foreign_keys", "checks", "triggers"), ("table_key", "object_key")), **dict.fromkeys(("views", "sequences", "domains", "procedures"), ("object_key",)),
 }
 
 
