@@ -11,7 +11,7 @@ from schemaloom.functions import normalize
 from schemaloom.functions.keys import InvalidSchemaName, ascii_upper, position_key, routine_key, valid_schema_name
 from schemaloom.operators import introspect, policy, sequence
 from schemaloom.plans.compare import compare
-from schemaloom.plans.execute import ConnectionTarget, ExecutionFailed, ExecutionRefused, execute, migrated_table
+from schemaloom.plans.execute import ConnectionTarget, ExecutionFailed, ExecutionRefused, execute, migrated_table, statements
 from schemaloom.plans.options import ADDITIVE, CONTINUE, REBUILD, CompareOptions, InvalidOption
 from schemaloom.plans.script import script
 from schemaloom.relations import Catalog, DuplicateObject, from_rows, read_catalog
@@ -251,6 +251,11 @@ def test_unknown_commands_are_denied(spark):
         policy.validated(rows, CompareOptions().policy)
 
 
+def test_statements_are_taken_one_by_one():
+    assert statements("CreateTable", "CREATE TABLE T (A TEXT DEFAULT 'x;y''z');\nCREATE INDEX I ON T (A);") == ["CREATE TABLE T (A TEXT DEFAULT 'x;y''z');", "CREATE INDEX I ON T (A);"]
+    assert statements("CreateProcedure", "begin a; b; end") == ["begin a; b; end"] and statements("AlterColumn", "A;B;") == ["A;", "B;"]
+
+
 class Recorder:
     connected, in_transaction = True, False
 
