@@ -59,3 +59,28 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [x for name, x in globals().items() if name.startswith("op") and callable(x)]
     return {x.__name__: x for x in found}
+
+
+_TURNS = f"(select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations union all values (-7, 0, 'user', '{TRAP}'), (-7, 1, 'assistant', '{TRAP}'))"
+_WORDS = r"list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+_SQL = {
+    "op4_chat_formatting": f"""
+select conv_id, count(*)::bigint as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+    sum(case when role = 'assistant' then length(text) else 0 end)::bigint as loss_chars, sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+    sum(14 + length(role) + length(regexp_replace(role, '[^\\\\#<:\\n]', '', 'g')) + length(text) + length(regexp_replace(text, '[^\\\\#<]', '', 'g')))::bigint as formatted_chars
+from {_TURNS} group by conv_id""",
+    "op5_ngram_jaccard_join": f"""
+with recursive w as (select doc_id, {_WORDS} as ws from documents),
+s as (select distinct doc_id, unnest(case when len(ws) >= 5 then [array_to_string(ws[i:i + 4], ' ') for i in range(1, len(ws) - 3)] when len(ws) > 0 then [array_to_string(ws, ' ')] else [] end) as sh from w),
+n as (select doc_id, count(*) as n from s group by 1),
+both_ways as (select a.doc_id as x, b.doc_id as y, count(*) as c from s a join s b on a.sh = b.sh and a.doc_id <> b.doc_id group by 1, 2),
+link as (select x, y from both_ways join n a on a.doc_id = x join n b on b.doc_id = y where 100 * c >= 80 * (a.n + b.n - c)),
+reach as (select x, y from link union select r.x, l.y from reach r join link l on r.y = l.x)
+select d.doc_id, coalesce(n.n, 0)::bigint as n_shingles, least(d.doc_id, coalesce(m.y, d.doc_id)) as component_id
+from documents d left join n on n.doc_id = d.doc_id left join (select x, min(y) as y from reach group by 1) m on m.x = d.doc_id""",
+}
+
+
+def oracle_sql() -> dict[str, str]:
+    """SQL of the queries that it can express. The others learn or hash, and are held against brute force in tests/llm."""
+    return dict(_SQL)
