@@ -80,9 +80,11 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     gathered: list[np.ndarray] = []
 
     def tally() -> tuple[np.ndarray, np.ndarray]:
-        values, counts = np.unique(np.concatenate(gathered), return_counts=True)
+        whole = np.concatenate(gathered)
         gathered.clear()
-        return values[counts >= FREQUENT_FROM], counts[counts >= FREQUENT_FROM]
+        whole.sort()
+        values = np.unique(whole[FREQUENT_FROM - 1 :][whole[FREQUENT_FROM - 1 :] == whole[: max(0, len(whole) - FREQUENT_FROM + 1)]])
+        return values, np.searchsorted(whole, values, "right") - np.searchsorted(whole, values)
 
     def with_tally(columns: list[pa.Array], found: tuple[np.ndarray, np.ndarray] | None) -> pa.RecordBatch:
         """The counts of a block go with the last row."""

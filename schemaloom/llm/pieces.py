@@ -32,7 +32,7 @@ from .words import _BASE, _INVERSE, _power, mix
 MODEL_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 BLANK = "▁"
 BEST = 3
-CACHED_WORDS = 400_000
+CACHED_WORDS = 100_000
 STEP_WORDS = 20_000
 _SLOTS = 22
 

@@ -51,7 +51,7 @@ def _power(base: int, n: int) -> np.ndarray:
         full = np.full(max(n, STEP_BYTES + 65536), base, U64)
         full[0] = 1
         have = np.cumprod(full, dtype=U64)
-        if n <= 8 * STEP_BYTES:
+        if n <= STEP_BYTES + 65536:  # what longer texts need is made for them alone
             _powers[base] = have
     return have[:n]
 
