@@ -4,8 +4,8 @@ Vocabulary and scores come from a SentencePiece model file; nothing is trained.
 pieces, its score the sum of its pieces' scores. A forward Viterbi pass gives every place its best score, which is then
 the exact heuristic of a backward A* search: paths leave the search complete and in order of score.
 
-No piece spans the end of a word, so a text's lattice falls into segments that are solved once per distinct word, for many
-words at a time. Of each segment the loss of its second-best path is known too; the N best paths of a text leave
+A text is cut only between two signs that stand side by side in no piece, so its lattice falls into segments (words with
+the signs that pieces join to them) that are solved once per distinct segment, for many at a time. Of each segment the loss of its second-best path is known too; the N best paths of a text leave
 the best one in none but the N - 1 segments of least loss, and only there the search has to run.
 
 Encoding is reversible for every text: a character without a piece of its own becomes its UTF-8 bytes, and so does
@@ -66,8 +66,20 @@ class Pieces:
         within = lambda x: any(re.search(x, p) for p in self.piece)
         marks = "".join(c for c in string.punctuation if not within(f"[^\\W_]{re.escape(c)}"))
         cut = re.escape(marks)
-        words = f" *[^ \n{cut}]+| *[{cut}]+[^ \n{cut}]*| +|\n" if marks else " *[^ \n]+| +|\n"
+        before: dict[str, set[str]] = {}  # of each mark: the signs other than marks that some piece has before it
+        for p in self.piece:
+            for a, b in itertools.pairwise(p):
+                if b in marks and a not in marks and a != BLANK:
+                    before.setdefault(b, set()).add(a)
+        like: dict[frozenset[str], str] = {}
+        for mark, signs in sorted(before.items()):
+            like[frozenset(signs)] = like.get(frozenset(signs), "") + mark
+        joined = "|".join(f"(?<=[{re.escape(''.join(sorted(signs)))}])[{re.escape(own)}]" for signs, own in like.items())
+        joined = f"(?:(?=[{cut}])(?:{joined})[{cut}]*[^ \n{cut}]*)*" if before else ""
+        words = f" *(?:[^ \n{cut}]+|[{cut}]+[^ \n{cut}]*){joined}| +|\n" if marks else " *[^ \n]+| +|\n"
         self.segment = re.compile("(?s).+" if within(f"[^{BLANK}]{BLANK}|\n") else words)
+        if any(len(self.segment.findall(p.replace(BLANK, " "))) != 1 for p in self.piece):
+            raise ValueError("the split cuts a piece")
         names = list(self.piece)
         hashes = []
         for p in names:

@@ -228,6 +228,31 @@ def test_pieces_match_brute_force_and_round_trip(vocabulary):
         assert vocabulary.decode(ids.tolist()) == text and list(scores) == sorted(scores, reverse=True)
 
 
+def whole_lattice(vocabulary, text, best):
+    """Scores of the best segmentations of a whole text, by keeping the best ones of every place: no split, no search."""
+    signs = (" " + text).replace(pieces.BLANK, "\0").replace(" ", pieces.BLANK)
+    reach = [[0.0]]
+    for end in range(1, len(signs) + 1):
+        own = [(start, vocabulary.score[vocabulary.piece[signs[start:end]]]) for start in range(end) if signs[start:end] in vocabulary.piece]
+        own += [(end - 1, vocabulary.fallback)] * (signs[end - 1] not in vocabulary.piece)
+        reach.append(sorted((s + w for start, w in own for s in reach[start]), reverse=True)[:best])
+    return reach[-1]
+
+
+def test_whole_sentences_match_the_whole_lattice(vocabulary):
+    for p in vocabulary.piece:
+        assert len(vocabulary.segment.findall(p.replace(pieces.BLANK, " "))) == 1, p
+    texts = ['He said "stop." and left', "(see above.) Then", "a ../b/./c .; d...) ./x ., y", "«ok.», “so.”) … “no”, then…] end", 'x.—"y" — "z"', "_.a_ .-. $.$ \n .. \n./", "1.,2.;3.)", "plain words only"]
+    r = random.Random(6)
+    texts += ["".join(r.choice([*"ab .,;:()/\"'”“…»—-_$[]}1\n", ". ", " the", "..."]) for _ in range(40)) for _ in range(60)]
+    for text, (ids, scores, _) in zip(texts, vocabulary.encode(texts), strict=True):
+        wanted = whole_lattice(vocabulary, text, pieces.BEST)
+        assert scores == pytest.approx(wanted), text
+        assert vocabulary.decode(ids.tolist()) == text
+    (ids, _, _), *_ = vocabulary.encode(['He said "stop." and left'], 1)
+    assert vocabulary.piece['."'] in ids
+
+
 def test_segmentations(spark):
     docs = frame(spark, ODD)
     rows = pieces.segmentations(docs).collect()
