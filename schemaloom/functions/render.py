@@ -58,6 +58,17 @@ def column_definition(name: Column, attrs: Column, dialect: str) -> Column:
     return cat(name, " ", rendered_type(attrs), default, _not_null(attrs))
 
 
+def counts_up(attrs: Column) -> Column:
+    """Whether SQLite can count the key column up: it takes AUTOINCREMENT for no type but INTEGER, which holds all integers."""
+    return F.upper(F.trim(attrs["type_name"])).isin("INTEGER", "INT", "SMALLINT", "BIGINT", "TINYINT", "MEDIUMINT")
+
+
+def counting_key(name: Column, attrs: Column, key_name: Column) -> Column:
+    """SQLite's definition of a key column that counts up."""
+    named = F.when(F.trim(key_name) != "", cat(" CONSTRAINT ", key_name)).otherwise("")
+    return cat(name, " INTEGER", _not_null(attrs), named, " PRIMARY KEY AUTOINCREMENT")
+
+
 def _actions(attrs: Column, dialect: str) -> Column:
     def clause(event: str, action: Column) -> Column:
         words = F.when(action == "Cascade", "CASCADE").when(action == "SetNull", "SET NULL").when(action == "SetDefault", "SET DEFAULT")

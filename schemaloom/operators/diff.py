@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .. import dialects as D
 from ..functions import normalize
 from ..functions.keys import ascii_upper
-from ..functions.render import cat, column_definition, constraint, create_index, qualified
+from ..functions.render import cat, column_definition, constraint, counting_key, counts_up, create_index, qualified
 from ..functions.types import type_class
 from ..plans.options import CompareOptions
 from ..relations import Catalog
@@ -175,13 +175,23 @@ def created_tables(rows: DataFrame, dialect: str) -> DataFrame:
     table = qualified(m["schema"], m["table_name"], dialect)
     inline = ["column", "primary_key", "check"] + ["foreign_key"] * (dialect == D.SQLITE)
     text = F.when(kind == "column", column_definition(m["name"], m["attrs"], dialect)).when(kind == "index", create_index(m["name"], table, m["attrs"])).otherwise(constraint(kind, m["name"], m["schema"], m["attrs"], dialect))
+    wanted = ~((kind == "primary_key") & (F.size(m["members"]) == 0))
+    rows = rows.filter((F.col("table_status") == "create") & (F.col("status") == "create"))
+    if dialect == D.SQLITE:  # a key that counts up is part of its column
+        of_table = Window.partitionBy("table_key")
+        sole = (kind == "primary_key") & (F.size(m["members"]) == 1)
+        key = F.struct(F.get(m["members"], F.lit(0)).alias("column"), m["name"].alias("name"), (m["attrs"]["auto_increment"] == "true").alias("up"))
+        rows = rows.withColumn("_key", F.max(F.when(sole, key)).over(of_table))
+        up = F.col("_key.up") | (m["attrs"]["auto_increment"] == "true")
+        rows = rows.withColumn("_counts", F.coalesce((kind == "column") & (F.col("object_key") == F.col("_key.column")) & up & counts_up(m["attrs"]), F.lit(False)))
+        rows = rows.withColumn("_inline", F.max("_counts").over(of_table))
+        text = F.when(F.col("_counts"), counting_key(m["name"], m["attrs"], F.col("_key.name"))).otherwise(text)
+        wanted = wanted & ~((kind == "primary_key") & F.col("_inline"))
     place = F.when(kind == "column", F.lpad(m["attrs"]["position"], 6, "0")).otherwise(F.col("object_key"))
     step = F.when(kind == "column", 0).when(kind == "primary_key", 1).when(kind == "foreign_key", 2).otherwise(3)
     part = F.struct(step.alias("step"), place.alias("place"), text.alias("text"))
-    wanted = ~((kind == "primary_key") & (F.size(m["members"]) == 0))
     grouped = (
-        rows.filter((F.col("table_status") == "create") & (F.col("status") == "create"))
-        .groupBy("table_key")
+        rows.groupBy("table_key")
         .agg(
             F.first(F.when(kind == "table", m), ignorenulls=True).alias("m"),
             F.sort_array(F.collect_list(F.when(kind.isin(*inline) & wanted, part))).alias("parts"),

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sqlite3
 
 from pyspark.sql import SparkSession
@@ -11,13 +12,15 @@ from ..relations import Catalog
 from .system_tables import decoded
 
 _USER = "m.name not like 'sqlite_%'"
+#: The one column of an INTEGER key; counts_up tells so of a table's name and statement.
+_COUNTS_UP = "c.pk = 1 and upper(c.type) = 'INTEGER' and counts_up(m.name, m.sql) and (select count(*) from pragma_table_info(m.name) k where k.pk > 0) = 1"
 QUERIES = {
     "tables": ("table_name string, description string", f"select m.name, '' from sqlite_master m where m.type = 'table' and {_USER}"),
     "columns": (
         "table_name string, column_name string, position int, native_type string, size int, precision int, scale int, not_null int, auto_increment int, default_value string, charset string, description string",
-        f"select m.name, c.name, c.cid, upper(c.type), 0, 0, 0, c.\"notnull\", 0, c.dflt_value, '', '' from sqlite_master m join pragma_table_info(m.name) c where m.type = 'table' and {_USER}",
+        f"select m.name, c.name, c.cid, upper(c.type), 0, 0, 0, c.\"notnull\", {_COUNTS_UP}, c.dflt_value, '', '' from sqlite_master m join pragma_table_info(m.name) c where m.type = 'table' and {_USER}",
     ),
-    "primary_keys": ("table_name string, pk_name string, column_name string, position int", f"select m.name, 'PK_' || m.name, c.name, c.pk from sqlite_master m join pragma_table_info(m.name) c where m.type = 'table' and c.pk > 0 and {_USER}"),
+    "primary_keys": ("table_name string, pk_name string, column_name string, position int, auto_increment int", f"select m.name, 'PK_' || m.name, c.name, c.pk, {_COUNTS_UP} from sqlite_master m join pragma_table_info(m.name) c where m.type = 'table' and c.pk > 0 and {_USER}"),
     "foreign_keys": (
         "table_name string, name string, column_name string, position int, parent_table string, parent_column string, on_update string, on_delete string",
         'select m.name, \'FK_\' || f."table" || \'_\' || (select g."from" from pragma_foreign_key_list(m.name) g where g.id = f.id and g.seq = 0), f."from", f.seq, f."table", coalesce(f."to", f."from"), f.on_update, f.on_delete '
@@ -33,6 +36,9 @@ SEQUENCES = ("name string, table_name string, initial_value int, increment int",
 EXTRACTED = frozenset({"foreign_keys", "views", "sequences"})
 
 
+_QUOTED = re.compile(r"""--[^\n]*|/\*.*?(?:\*/|$)|'(?:[^']|'')*'|"(?:[^"]|"")*"|`(?:[^`]|``)*`|\[[^]]*\]""", re.S)
+
+
 def _numbers(rows: list[tuple]) -> list[tuple]:
     """NAME(p,s) in the type becomes size, precision and scale."""
     out = []
@@ -48,15 +54,17 @@ def _numbers(rows: list[tuple]) -> list[tuple]:
 def sqlite_catalog(spark: SparkSession, path: str, name: str = "") -> Catalog:
     connection = sqlite3.connect(f"file:{path}?mode=ro", uri=True)
     try:
-        raw = {}
+        try:
+            sequences = connection.execute(SEQUENCES[1]).fetchall()
+        except sqlite3.OperationalError:  # there is no such table until a column counts up by itself
+            sequences = []
+        # before a table's first row only its statement tells that it counts up
+        counted = {r[0] for r in sequences}
+        connection.create_function("counts_up", 2, lambda table, sql: table in counted or bool(re.search(r"(?i)\bautoincrement\b", _QUOTED.sub(" ", sql or ""))))
+        raw = {"sequences": spark.createDataFrame(sequences, SEQUENCES[0])}
         for relation, (schema, query) in QUERIES.items():
             rows = connection.execute(query).fetchall()
             raw[relation] = spark.createDataFrame(_numbers(rows) if relation == "columns" else rows, schema)
-        try:
-            rows = connection.execute(SEQUENCES[1]).fetchall()
-        except sqlite3.OperationalError:  # there is no such table until a column counts up by itself
-            rows = []
-        raw["sequences"] = spark.createDataFrame(rows, SEQUENCES[0])
     finally:
         connection.close()
     return decoded(spark, raw, D.SQLITE, "", name)

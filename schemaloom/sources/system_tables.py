@@ -113,8 +113,8 @@ QUERIES: dict[str, dict[str, str]] = {
         "primary_keys": "select c.table_name, c.constraint_name as pk_name, k.column_name, k.position from user_constraints c join user_cons_columns k on k.constraint_name = c.constraint_name where c.constraint_type = 'P'",
         "foreign_keys": "select c.table_name, c.constraint_name as name, k.column_name, k.position, p.table_name as parent_table, q.column_name as parent_column, 'NO ACTION' as on_update, c.delete_rule as on_delete from user_constraints c "
         "join user_cons_columns k on k.constraint_name = c.constraint_name join user_constraints p on p.constraint_name = c.r_constraint_name join user_cons_columns q on q.constraint_name = p.constraint_name and q.position = k.position where c.constraint_type = 'R'",
-        "indexes": "select i.table_name, i.index_name as name, case when i.uniqueness = 'UNIQUE' then 1 else 0 end as is_unique, k.column_name, k.column_position as position from user_indexes i join user_ind_columns k on k.index_name = i.index_name "
-        "left join user_constraints c on c.index_name = i.index_name and c.constraint_type = 'P' where c.constraint_name is null and i.index_type <> 'LOB'",
+        "indexes": "select i.table_name, i.index_name as name, case when i.uniqueness = 'UNIQUE' then 1 else 0 end as is_unique, k.column_name, k.column_position as position, e.column_expression as expression from user_indexes i join user_ind_columns k on k.index_name = i.index_name "
+        "left join user_ind_expressions e on e.index_name = k.index_name and e.column_position = k.column_position left join user_constraints c on c.index_name = i.index_name and c.constraint_type = 'P' where c.constraint_name is null and i.index_type <> 'LOB'",
         "checks": "select table_name, constraint_name as name, search_condition_vc as condition from user_constraints where constraint_type = 'C' and generated = 'USER NAME'",
         "sequences": "select sequence_name as name, '' as table_name, min_value as initial_value, increment_by as increment from user_sequences",
     },
@@ -144,6 +144,8 @@ QUERIES[D.FIREBIRD3] = {
     **QUERIES[D.FIREBIRD],
     "columns": QUERIES[D.FIREBIRD]["columns"].replace("0 as auto_increment", "case when r.rdb$identity_type is null then 0 else 1 end as auto_increment"),
     "sequences": "select trim(rdb$generator_name) as name, '' as table_name, rdb$initial_value as initial_value, rdb$generator_increment as increment from rdb$generators where rdb$system_flag = 0",
+    "procedures": QUERIES[D.FIREBIRD]["procedures"] + " union all select trim(rdb$function_name), '', 1, 'CREATE FUNCTION ' || trim(rdb$function_name) || ' AS ' || rdb$function_source "
+    "from rdb$functions where coalesce(rdb$system_flag, 0) = 0 and rdb$function_source is not null and rdb$package_name is null",
 }
 #: What these sources can read, in the terms of CompareOptions.extracted.
 EXTRACTED = {d: frozenset({n for n in q if n in ("checks", "views", "sequences", "domains", "procedures")}) | {"foreign_keys", "comments"} for d, q in QUERIES.items()}
@@ -227,10 +229,12 @@ def decoded(spark: SparkSession, raw: Mapping[str, DataFrame], dialect: str, sch
     all_members = members(keys, "pk", "column_name", F.lit(""))
     pk_columns = all_members.select("table_key", "name_key", F.lit(True).alias("is_primary_key"))
     frames["columns"] = columns.join(pk_columns, ["table_key", "name_key"], "left").withColumn("is_primary_key", F.coalesce("is_primary_key", F.lit(False))).select([c.split()[0] for c in _columns_of("columns")])
-    frames["primary_keys"] = keys.select(own(), "pk_name").distinct().select("table_key", "pk_name", F.lit(False).alias("auto_increment"), none)
+    frames["primary_keys"] = keys.select(own(), "pk_name", (_flag("auto_increment") if "auto_increment" in keys.columns else F.lit(False)).alias("auto_increment")).distinct().select("*", none)
     foreign = raw["foreign_keys"]
     frames["foreign_keys"] = foreign.select(own(), key(), "name", "parent_table", ascii_upper(F.col("parent_table")).alias("parent_key"), rule_action(F.col("on_update")).alias("on_update"), rule_action(F.col("on_delete")).alias("on_delete"), none).distinct()
     indexes = raw["indexes"]
+    if "expression" in indexes.columns:
+        indexes = indexes.withColumn("column_name", F.coalesce("expression", "column_name"))
     frames["indexes"] = indexes.select(own(), key(), "name", _flag("is_unique").alias("is_unique"), none).distinct()
     name_key = ascii_upper(F.col("name"))
     frames["key_columns"] = all_members.union(members(indexes, "index", "column_name", name_key)).union(members(foreign, "fk_from", "column_name", name_key)).union(members(foreign, "fk_to", "parent_column", name_key))

@@ -317,6 +317,28 @@ def test_script_and_sqlite_round_trip(spark, tmp_path):
     assert [r.label for r in again.ordered().collect() if not r.op.startswith("Enable")] == []
 
 
+def test_sqlite_keys_that_count_up(spark, tmp_path):
+    from schemaloom.sources.sqlite import sqlite_catalog
+
+    path, copy = str(tmp_path / "a.db"), str(tmp_path / "b.db")
+    connection = sqlite3.connect(path)
+    connection.executescript(
+        "create table USED(ID INTEGER PRIMARY KEY AUTOINCREMENT, V TEXT); insert into USED(V) values ('x'); create table FRESH(V TEXT, ID integer primary key autoincrement); "
+        "create table PLAIN(ID INTEGER PRIMARY KEY, V TEXT DEFAULT 'autoincrement' /* autoincrement */); create table TWO(A INTEGER, B INTEGER, PRIMARY KEY (A, B));"
+    )
+    source = sqlite_catalog(spark, path)
+    assert {(r.table_key, r.column_name) for r in source.columns.filter("auto_increment").collect()} == {("USED", "ID"), ("FRESH", "ID")}
+    assert {r.table_key: r.auto_increment for r in source.primary_keys.collect()} == {"USED": True, "FRESH": True, "PLAIN": False, "TWO": False}
+    other = sqlite3.connect(copy, isolation_level=None)
+    plan = compare(source, Catalog(spark), CompareOptions(D.SQLITE, policy=CompareOptions().policy - {"CreateSequence"}))
+    assert execute(plan, ConnectionTarget(other)).counts()["Failed"] == 0
+    made = {name: flat(sql) for name, sql in other.execute("select name, sql from sqlite_master where type = 'table' and name not like 'sqlite_%'")}
+    assert {name for name, sql in made.items() if "AUTOINCREMENT" in sql} >= {"USED", "FRESH"} and "PRIMARY KEY AUTOINCREMENT" not in made["PLAIN"] + made["TWO"]
+    assert all(sql.count("PRIMARY KEY") == 1 for sql in made.values())
+    again = {(r.table_key, r.column_name) for r in sqlite_catalog(spark, copy).columns.filter("auto_increment").collect()}
+    assert again == {("USED", "ID"), ("FRESH", "ID")}
+
+
 def test_rows_follow_the_plan(spark):
     make = lambda size, **more: from_rows(spark, tables=[{"table_name": "T"}], columns=[col("T", 0, "ID", "INTEGER"), col("T", 1, "NOME", size=size, **more)])
     plan = compare(make(3, not_null=True, default_value="zz"), make(9, default_value="zz"), CompareOptions(strategy=REBUILD))

@@ -147,6 +147,34 @@ def test_system_tables(spark):
             system_tables.query_for(D.POSTGRESQL, "tables", "x'; drop")
 
 
+def test_functions_of_firebird_3():
+    import sqlite3
+
+    db = sqlite3.connect(":memory:")
+    db.executescript(
+        "create table rdb$procedures(rdb$procedure_name, rdb$procedure_source, rdb$system_flag); insert into rdb$procedures values ('P ', 'begin end', 0);"
+        "create table rdb$functions(rdb$function_name, rdb$function_source, rdb$system_flag, rdb$package_name);"
+        "insert into rdb$functions values ('F ', 'begin return 1; end', 0, null), ('G', 'begin end', null, null), ('S', 'x', 1, null), ('OLD_UDF', null, 0, null), ('INNER', 'x', 0, 'PACK');"
+    )
+    found = db.execute(system_tables.query_for(D.FIREBIRD3, "procedures")).fetchall()
+    assert found == [("P", "", 0, "CREATE PROCEDURE P AS begin end"), ("F", "", 1, "CREATE FUNCTION F AS begin return 1; end"), ("G", "", 1, "CREATE FUNCTION G AS begin end")]
+    assert "rdb$functions" not in system_tables.query_for(D.FIREBIRD, "procedures") + system_tables.query_for(D.INTERBASE, "procedures")
+
+
+def test_index_expressions_of_oracle(spark):
+    rows = lambda schema, *r: spark.createDataFrame(list(r), schema)
+    raw = {
+        "tables": rows("table_name string, description string", ("T", None)),
+        "columns": rows("table_name string, column_name string, position int, native_type string, size int, precision int, scale int, not_null int, auto_increment int, default_value string, charset string, description string", ("T", "A", 0, "VARCHAR2", 9, None, None, 0, 0, None, None, None)),
+        "primary_keys": rows("table_name string, pk_name string, column_name string, position int"),
+        "foreign_keys": rows("table_name string, name string, column_name string, position int, parent_table string, parent_column string, on_update string, on_delete string"),
+        "indexes": rows("table_name string, name string, is_unique int, column_name string, position int, expression string", ("T", "IX", 0, "SYS_NC00004$", 1, 'UPPER("A")'), ("T", "IX", 0, "A", 2, None)),
+    }
+    found = system_tables.decoded(spark, raw, D.ORACLE).key_columns.filter("key_kind = 'index'").orderBy("position").collect()
+    assert [r.column_name for r in found] == ['UPPER("A")', "A"]
+    assert "user_ind_expressions" in system_tables.query_for(D.ORACLE, "indexes")
+
+
 def test_session_tables(spark):
     from schemaloom.sources.frames import session_catalog
 
