@@ -186,6 +186,10 @@ def promising(index: Index, words: np.ndarray, first: np.ndarray) -> np.ndarray:
     units = len(index.rest)
     key, at = np.unique(np.repeat(half, times) * units + index.units[posting], return_inverse=True)
     total = np.bincount(at, index.impacts[posting])
+    # the passage that begins at the previous half may have telling terms in its second half only
+    early = np.setdiff1d(key[~np.isin(key // units, halves)] - units, key)
+    order = np.argsort(np.concatenate([key, early]), kind="stable")
+    key, total = np.concatenate([key, early])[order], np.concatenate([total, np.zeros(len(early))])[order]
     after = np.minimum(np.searchsorted(key, key + units), len(key) - 1)
     total = total + np.where(key[after] == key + units, total[after], 0) + index.rest[key % units]
     half = np.unique(key[total >= THRESHOLD - 1e-9] // units)

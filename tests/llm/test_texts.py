@@ -66,6 +66,30 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0 and decontaminate.contaminated(docs.limit(0), bench).count() == 0
 
 
+def test_every_passage_that_reaches_the_threshold_is_queried():
+    import numpy as np
+
+    r = random.Random(8)
+    common, rare = [f"c{k}" for k in range(40)], iter(f"r{k}" for k in range(100_000))
+    items = [r.sample(common, 24) + [next(rare) for _ in range(20)] for _ in range(60)]
+    index = decontaminate.build([decontaminate.words_of(" ".join(x)) for x in items])
+    texts = []
+    for item in items:  # common words of the item end the first half passage, some of its own begin the second
+        for kept in range(8, 14):
+            texts.append([next(rare) for _ in range(32 * r.randrange(3) + 8)] + item[:24] + item[24 : 24 + kept] + [next(rare) for _ in range(70)])
+    rows = [decontaminate.words_of(" ".join(x)) for x in texts]
+    first, words = np.concatenate([[0], np.cumsum([len(x) for x in rows])]), np.concatenate(rows)
+    reached = set()
+    for a, b in zip(first, first[1:], strict=False):
+        for start in range(a, b, decontaminate.HALF):
+            passage = words[start : min(start + decontaminate.PASSAGE, b)]
+            if decontaminate.wand(index, np.unique(index.rows(passage)[1])):
+                reached.add(start)
+    queried = set(decontaminate.promising(index, words, first).tolist())
+    assert reached and reached <= queried
+    assert all(start in {*range(a, b, decontaminate.HALF)} for start in queried for a, b in [(max(x for x in first if x <= start), min(x for x in first if x > start))])
+
+
 def accuracy(rows, truth, key):
     held = [r for r in rows if r.held_out and r.doc_id in truth]
     assert held and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0) for r in rows if r.doc_id is not None)
