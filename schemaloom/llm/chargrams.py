@@ -16,9 +16,9 @@ _letters: list[np.ndarray] = []
 
 
 def letter_table() -> np.ndarray:
-    """Which code points are letters; all from 65,536 on share the last entry, which is none."""
+    """Which code points are letters."""
     if not _letters:
-        _letters.append(np.array([chr(i).isalpha() for i in range(0xFFFF)] + [False]))
+        _letters.append(np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000))
     return _letters[0]
 
 
@@ -40,7 +40,7 @@ def code_points(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray,
 def grams(points: np.ndarray, orders: range, bits: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(order, start of each n-gram, its bucket of 2**bits). Other characters than letters count as blanks; an
     n-gram may begin or end with one blank, which marks the start or end of a word, and holds none inside."""
-    letter = letter_table()[np.minimum(points, 0xFFFF)]
+    letter = letter_table()[points]
     signs = np.where(letter, points, 0x20).astype(U64)
     state = signs.copy()
     solid = letter.copy()  # the n-gram so far, but for its first sign, is of letters only
@@ -62,7 +62,7 @@ def grams(points: np.ndarray, orders: range, bits: int) -> Iterator[tuple[int, n
 
 def letter_runs(points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(starts, ends, which code points are letters) of the words, runs of letters. The last code point must be none."""
-    letter = letter_table()[np.minimum(points, 0xFFFF)]
+    letter = letter_table()[points]
     turn = np.diff(letter.astype(np.int8), prepend=0)
     return np.flatnonzero(turn == 1), np.flatnonzero(turn == -1), letter
 

@@ -121,6 +121,24 @@ def test_languages(spark):
     assert language.languages(docs.limit(0)).count() == 0
 
 
+def test_letters_beyond_the_first_plane(spark):
+    import numpy as np
+
+    from schemaloom.llm import chargrams
+
+    gothic, bold, deseret = "𐌲𐌿𐍄 𐍃𐌰𐌹𐍈𐌰𐌽", "𝐛𝐚𝐝 𝐰𝐨𝐫𝐝", "𐐔𐐯𐑅𐐨𐑉𐐯𐐻"
+    for text in (gothic, bold, deseret):
+        points = np.frombuffer((text + "\n").encode("utf-32-le"), np.uint32)
+        starts, ends, _ = chargrams.letter_runs(points)
+        assert [text[a:b] for a, b in zip(starts, ends, strict=True)] == text.split()
+        assert sum(len(at) for _, at, _ in chargrams.grams(points, range(2, 5), 18))
+    points = np.frombuffer("🙂 1\U0010ffff\n".encode("utf-32-le"), np.uint32)
+    assert not len(chargrams.letter_runs(points)[0])
+    rows = [(k, gothic, "got") for k in range(30)] + [(100 + k, "plain words of this", "en") for k in range(30)] + [(200, "🙂 1", None)]
+    found = {x.doc_id: x for x in language.languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    assert (found[0].lang_pred, found[100].lang_pred, found[200].lang_pred) == ("got", "en", "und") and found[0].score > 0
+
+
 def test_forward_backward_equals_sums_over_paths():
     import itertools
 
