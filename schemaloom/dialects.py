@@ -11,7 +11,7 @@ FIREBIRD_FAMILY = (FIREBIRD, FIREBIRD3, INTERBASE)
 BASE_FEATURES = frozenset({"sequences", "foreign_keys", "checks", "views", "triggers"})
 FEATURES = {
     FIREBIRD: BASE_FEATURES | {"domains", "procedures", "comments"},
-    FIREBIRD3: BASE_FEATURES | {"domains", "procedures", "comments"},
+    FIREBIRD3: BASE_FEATURES | {"domains", "procedures"},
     INTERBASE: BASE_FEATURES | {"domains", "comments"},
     POSTGRESQL: BASE_FEATURES | {"domains", "procedures", "comments"},
     MYSQL: BASE_FEATURES - {"sequences"} | {"procedures"},

@@ -36,10 +36,11 @@ def check_condition(text: Column) -> Column:
         ),
     )
     layers = F.greatest(F.lit(0), F.when(opened + walk["depth"] == closed, F.least(opened, closed, opened + walk["least"])).otherwise(0))
-    pattern = lambda sign: F.concat(F.lit(rf"(?:{sign}"), F.lit(rf"{_EDGE}*){{"), layers.cast("string"), F.lit("}"))
-    head = F.concat(F.lit("^"), pattern(rf"{_EDGE}*\("))
-    tail = F.concat(F.lit(rf"(?:{_EDGE}*\)){{"), layers.cast("string"), F.lit(rf"}}{_EDGE}*$"))
-    return _strip(F.regexp_replace(F.regexp_replace(text, head, F.lit("")), tail, F.lit("")))
+    # what stands before the last of these opening parentheses and behind the first of these closing ones, by its length
+    part = lambda x, sign, times: F.length(F.call_function("substring_index", x, F.lit(sign), times))
+    before = part(F.regexp_extract(text, rf"^((?:{_EDGE}*\()*)", 1), "(", layers) + 1
+    behind = part(F.regexp_extract(text, rf"((?:\){_EDGE}*)*)$", 1), ")", -layers) + 1
+    return _strip(F.when(layers > 0, F.substr(text, before + 1, F.length(text) - before - behind)).otherwise(text))
 
 
 def joined_checks(text: Column, delimiter: str) -> Column:

@@ -6,6 +6,8 @@ on existing tables come as ALTER TABLE ... ADD CONSTRAINT. Inside CREATE TABLE p
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -178,6 +180,7 @@ def guard(op: str, on: bool, dialect: str) -> str:
     }.get(dialect, "")
 
 
+@functools.cache
 def statement(dialect: str) -> Column:
     """The statement of a row, '' if the dialect has none for it."""
     op, attrs, extra, name, schema = (F.col(c) for c in ("op", "attrs", "extra", "name", "schema"))
@@ -238,6 +241,7 @@ LABELS = {
 }
 
 
+@functools.cache
 def label() -> Column:
     op, name, new = F.col("op"), F.col("name"), F.col("extra")["new_name"]
     texts = {which: cat(prefix, new if which == "CreateColumnRebuild" else name) for which, prefix in LABELS.items()}

@@ -11,12 +11,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import dialects as D
-from ..functions import normalize
-from ..functions.keys import ascii_upper
 from ..functions.render import cat, column_definition, constraint, counting_key, counts_up, create_index, qualified
-from ..functions.types import type_class
 from ..plans.options import CompareOptions
-from ..relations import Catalog
+from ..relations import Catalog, written
 from .objects import objects
 
 #: Kinds by the feature that a dialect needs for them; other kinds are always compared.
@@ -35,135 +32,133 @@ def joined(desired: DataFrame, current: DataFrame) -> DataFrame:
     """Both sides of every object as structs m and t (null where absent), status, and the status of its table."""
     side = lambda frame, name: frame.select(*_IDENTITY, F.struct(*_SIDE).alias(name))
     both = side(desired, "m").join(side(current, "t"), list(_IDENTITY), "full_outer")
-    status = F.when(F.col("t").isNull(), "create").when(F.col("m").isNull(), "drop").otherwise("keep")
-    both = both.withColumns({"status": status, "own": F.when(F.col("table_key") == "", F.concat_ws(" ", "kind", "object_key")).otherwise(F.col("table_key"))})
-    table_status = F.max(F.when(F.col("kind") == "table", F.col("status"))).over(Window.partitionBy("own"))
-    return both.withColumn("table_status", F.coalesce(table_status, F.lit("keep")))
+    both = both.selectExpr("*", "case when t is null then 'create' when m is null then 'drop' else 'keep' end as status", "case when table_key = '' then concat_ws(' ', kind, object_key) else table_key end as own")
+    return both.selectExpr("*", "coalesce(max(case when kind = 'table' then status end) over (partition by own), 'keep') as table_status")
 
 
-def column_differs(m: Column, t: Column) -> Column:
-    """By everything but the description and the position; the character set only where the desired one is given."""
-    a, b = m["attrs"], t["attrs"]
-    differs = ~type_class(a["field_type"]).eqNullSafe(type_class(b["field_type"]))
-    for name in ("type_name", "size", "precision", "scale", "not_null", "auto_increment", "sorting_order", "default_value"):
-        differs = differs | ~a[name].eqNullSafe(b[name])
-    return differs | ((a["charset"] != "") & (a["charset"] != b["charset"]))
+# What follows is text of SQL expressions over m and t.
 
+_TYPES = " ".join(f"when '{t}' then '{c}'" for t, c in D.TYPE_CLASSES.items())
 
-def _action(when: Column, ops: list[str], audit: Column, needs: list[str] | None = None) -> Column:
-    texts = lambda x: F.array(*[F.lit(v) for v in x]).cast("array<string>")
-    return F.when(when, F.struct(texts(ops).alias("ops"), texts(ops if needs is None else needs).alias("needs"), audit.alias("audit")))
 
+def _class(side: str) -> str:
+    return f"case {side}.attrs['field_type'] {_TYPES} else {side}.attrs['field_type'] end"
 
-def _suppressed(words: str, *names: Column) -> Column:
-    parts: list[Column | str] = [f"{words} "]
-    for k, n in enumerate(names):
-        parts += ["."] * bool(k) + [n]
-    return cat(*parts, " suppressed by policy")
 
+def _differ(a: str, b: str) -> str:
+    return f"(not ({a} <=> {b}))"
 
-def _pair(differs: Column, word: str, create: str, drop: str, names: list[Column]) -> Column:
+
+def _attrs_differ(*names: str, form: str = "{}") -> str:
+    return "(" + " or ".join(_differ(form.format(f"m.attrs['{n}']"), form.format(f"t.attrs['{n}']")) for n in names) + ")"
+
+
+def _texts(names: list[str]) -> str:
+    return "cast(array(" + ", ".join(f"'{n}'" for n in names) + ") as array<string>)"
+
+
+#: By everything but the description and the position; the character set only where the desired one is given.
+COLUMN_DIFFERS = (
+    f"({_differ(_class('m'), _class('t'))} or {_attrs_differ('type_name', 'size', 'precision', 'scale', 'not_null', 'auto_increment', 'sorting_order', 'default_value')} "
+    "or (m.attrs['charset'] <> '' and m.attrs['charset'] <> t.attrs['charset']))"
+)
+
+
+def _action(when: str, ops: list[str], audit: str, needs: list[str] | None = None) -> str:
+    return f"case when {when} then named_struct('ops', {_texts(ops)}, 'needs', {_texts(ops if needs is None else needs)}, 'audit', {audit}) end"
+
+
+def _suppressed(words: str, *names: str) -> str:
+    return f"concat('{words} ', " + ", '.', ".join(names) + ", ' suppressed by policy')"
+
+
+def _pair(differs: str, word: str, create: str, drop: str, names: list[str]) -> str:
     """Drop and create again, both or neither."""
     return _action(differs, [drop, create], _suppressed(f"RECREATE {word}", *names))
 
 
-def _simple(kind: str, word: str, create: str, drop: str, differs: Column | None, created: Column, dropped: Column, by_table: bool, extra: list[Column] | None = None) -> Column:
+def _listed(found: list[str]) -> str:
+    return f"array_compact(array({', '.join(found)}))"
+
+
+def _simple(kind: str, word: str, create: str, drop: str, differs: str | None, created: str, dropped: str, by_table: bool, extra: list[str] | None = None) -> str:
     """Actions of a kind whose objects are created, dropped and, if they differ, made anew."""
-    m, t = F.col("m"), F.col("t")
-    names = lambda s: [s["table_name"], s["name"]] if by_table else [s["name"]]
+    names = lambda s: [f"{s}.table_name", f"{s}.name"] if by_table else [f"{s}.name"]
     found = [
-        _action((F.col("status") == "create") & created, [create], _suppressed(f"CREATE {word}", *names(m))),
-        _action((F.col("status") == "drop") & dropped, [drop], _suppressed(f"DROP {word}", *names(t))),
+        _action(f"status = 'create' and {created}", [create], _suppressed(f"CREATE {word}", *names("m"))),
+        _action(f"status = 'drop' and {dropped}", [drop], _suppressed(f"DROP {word}", *names("t"))),
     ]
     if differs is not None:
-        found.append(_pair((F.col("status") == "keep") & differs, word, create, drop, names(t)))
-    return F.when(F.col("kind") == kind, F.array_compact(F.array(*found, *(extra or []))))
+        found.append(_pair(f"status = 'keep' and {differs}", word, create, drop, names("t")))
+    return f"when kind = '{kind}' then {_listed([*found, *(extra or [])])}"
 
 
-def _same_members(a: Column, b: Column, strict: bool) -> Column:
-    return a.eqNullSafe(b) if strict else F.array_sort(F.array_distinct(a)).eqNullSafe(F.array_sort(F.array_distinct(b)))
+def _members_differ(name: str, strict: bool) -> str:
+    return _differ(f"m.{name}", f"t.{name}") if strict else _differ(f"array_sort(array_distinct(m.{name}))", f"array_sort(array_distinct(t.{name}))")
 
 
 def actions(options: CompareOptions) -> Column:
     """The actions of a row of joined."""
-    m, t = F.col("m"), F.col("t")
-    kept = F.col("table_status") == "keep"
-    both = F.col("status") == "keep"
-    yes, model = F.lit(True), F.lit(options.model_mode)
-    named = [m["table_name"], m["name"]]
-
-    default = ~m["attrs"]["default_value"].eqNullSafe(t["attrs"]["default_value"])
-    has_default = m["attrs"]["default_value"] != ""
+    kept, both = "table_status = 'keep'", "status = 'keep'"
+    model, yes, no = options.model_mode, "true", "false"
+    named = ["m.table_name", "m.name"]
+
+    default, has_default = _attrs_differ("default_value"), "m.attrs['default_value'] <> ''"
     column = [
-        _action(both & kept & column_differs(m, t), ["AlterColumn"], _suppressed("ALTER COLUMN", *named)),
-        _action(both & kept & default & has_default, ["AlterDefaultValue"], _suppressed("ALTER DEFAULT", *named)),
-        _action(both & kept & default & ~has_default, ["DropDefaultValue"], _suppressed("DROP DEFAULT", *named)),
+        _action(f"{both} and {kept} and {COLUMN_DIFFERS}", ["AlterColumn"], _suppressed("ALTER COLUMN", *named)),
+        _action(f"{both} and {kept} and {default} and {has_default}", ["AlterDefaultValue"], _suppressed("ALTER DEFAULT", *named)),
+        _action(f"{both} and {kept} and {default} and not ({has_default})", ["DropDefaultValue"], _suppressed("DROP DEFAULT", *named)),
     ]
     if options.compare_positions:
-        column.append(_action(F.col("moved") & (F.col("status") != "drop") & kept, ["AlterColumnPosition"], _suppressed("ALTER COLUMN POSITION", *named)))
-
-    mine, theirs = F.coalesce(m["members"], F.array()), F.coalesce(t["members"], F.array())
-    my_name, their_name = F.coalesce(m["name"], F.lit("")), F.coalesce(t["name"], F.lit(""))
-    has_theirs = F.trim(their_name) != ""
-    missing = F.size(F.array_except(mine, theirs)) > 0
-    if options.strict_keys:
-        missing = missing | (F.size(mine) > 0) & ~mine.eqNullSafe(theirs)
-    drop_key = has_theirs & (~normalize.same_text(my_name, their_name) | missing)
-    make_key = missing | (drop_key & (F.size(mine) > 0))
-    table_name = F.coalesce(t["table_name"], m["table_name"])
-    primary_key = F.when(
-        F.col("kind") == "primary_key",
-        F.array_compact(F.array(
-            _pair(kept & drop_key & make_key, "PRIMARYKEY", "CreatePrimaryKey", "DropPrimaryKey", [table_name, their_name]),
-            _action(kept & drop_key & ~make_key, ["DropPrimaryKey"], _suppressed("DROP PRIMARYKEY", table_name, their_name)),
-            _action(kept & ~drop_key & make_key, ["CreatePrimaryKey"], _suppressed("CREATE PRIMARYKEY", table_name, my_name)),
-        )),
-    )
+        column.append(_action(f"moved and status <> 'drop' and {kept}", ["AlterColumnPosition"], _suppressed("ALTER COLUMN POSITION", *named)))
+
+    mine, theirs, my_name, their_name = "coalesce(m.members, array())", "coalesce(t.members, array())", "coalesce(m.name, '')", "coalesce(t.name, '')"
+    missing = f"(size(array_except({mine}, {theirs})) > 0" + (f" or (size({mine}) > 0 and {_differ(mine, theirs)})" if options.strict_keys else "") + ")"
+    drop_key = f"(trim({their_name}) <> '' and (lower({my_name}) <> lower({their_name}) or {missing}))"
+    make_key = f"({missing} or ({drop_key} and size({mine}) > 0))"
+    table_name = "coalesce(t.table_name, m.table_name)"
+    primary_key = "when kind = 'primary_key' then " + _listed([
+        _pair(f"{kept} and {drop_key} and {make_key}", "PRIMARYKEY", "CreatePrimaryKey", "DropPrimaryKey", [table_name, their_name]),
+        _action(f"{kept} and {drop_key} and not {make_key}", ["DropPrimaryKey"], _suppressed("DROP PRIMARYKEY", table_name, their_name)),
+        _action(f"{kept} and not {drop_key} and {make_key}", ["CreatePrimaryKey"], _suppressed("CREATE PRIMARYKEY", table_name, my_name)),
+    ])
 
     strict = options.strict_keys
-    index_differs = ~m["attrs"]["is_unique"].eqNullSafe(t["attrs"]["is_unique"]) | ~_same_members(m["members"], t["members"], strict)
-    foreign_differs = (
-        ~ascii_upper(m["attrs"]["parent_table"]).eqNullSafe(ascii_upper(t["attrs"]["parent_table"]))
-        | ~m["attrs"]["on_delete"].eqNullSafe(t["attrs"]["on_delete"]) | ~m["attrs"]["on_update"].eqNullSafe(t["attrs"]["on_update"])
-        | ~_same_members(m["members"], t["members"], strict) | ~_same_members(m["to_members"], t["to_members"], strict)
-    )
-    foreign_created = kept | ((F.col("table_status") == "create") & F.lit(options.dialect != D.SQLITE))
-    script_differs = ~normalize.same_text(normalize.script(m["attrs"]["script"]), normalize.script(t["attrs"]["script"]))
-    check_differs = ~normalize.same_text(normalize.check_condition(m["attrs"]["condition"]), normalize.check_condition(t["attrs"]["condition"]))
-    view_given = ~(model & (F.trim(F.coalesce(m["attrs"]["script"], F.lit(""))) == ""))
-    step = t["attrs"]["increment"]
-    sequence_differs = (step != "0") & (m["attrs"]["increment"] != step)
+    index_differs = f"({_attrs_differ('is_unique')} or {_members_differ('members', strict)})"
+    foreign_differs = f"({_attrs_differ('parent_key', 'on_delete', 'on_update')} or {_members_differ('members', strict)} or {_members_differ('to_members', strict)})"
+    foreign_created = kept if options.dialect == D.SQLITE else "table_status in ('keep', 'create')"
+    canonical_differs = _attrs_differ("canonical", form="lower({})")
+    view_given = "trim(coalesce(m.attrs['script'], '')) <> ''" if model else yes
+    unless_model = no if model else yes
+    sequence_differs = "(t.attrs['increment'] <> '0' and m.attrs['increment'] <> t.attrs['increment'])"
     if options.compare_initial_values:
-        sequence_differs = sequence_differs | (m["attrs"]["initial_value"] != t["attrs"]["initial_value"])
-    domain_differs = F.lit(False)
-    for name in ("type_name", "not_null", "default_value"):
-        domain_differs = domain_differs | ~normalize.same_text(F.trim(m["attrs"][name]), F.trim(t["attrs"][name]))
-    checks = [normalize.check_condition(s["attrs"]["check_condition"]) for s in (m, t)]
-    domain_differs = domain_differs | ~normalize.same_text(*checks)
-    diagnostic = _action(both & domain_differs, [], cat("DIAGNOSTIC: DOMAIN ", t["name"], " diverges (type, default, not null or check) and is not altered automatically"), [])
-
-    found = F.coalesce(
+        sequence_differs = f"({sequence_differs} or m.attrs['initial_value'] <> t.attrs['initial_value'])"
+    altered = [] if options.dialect == D.SQLITE else [_action(f"{both} and {sequence_differs}", ["AlterSequence"], _suppressed("ALTER SEQUENCE", "m.name"))]
+    domain_differs = f"({_attrs_differ('type_name', 'not_null', 'default_value', form='lower(trim({}))')} or {canonical_differs})"
+    diagnostic = _action(f"{both} and {domain_differs}", [], "concat('DIAGNOSTIC: DOMAIN ', t.name, ' diverges (type, default, not null or check) and is not altered automatically')", [])
+
+    cases = [
         _simple("column", "COLUMN", "CreateColumn", "DropColumn", None, kept, kept, True, column),
         primary_key,
-        _simple("index", "INDEXE", "CreateIndexe", "DropIndexe", kept & index_differs, kept, kept, True),
-        _simple("foreign_key", "FOREIGNKEY", "CreateForeignKey", "DropForeignKey", kept & foreign_differs, foreign_created, kept, True),
-        _simple("check", "CHECK", "CreateCheck", "DropCheck", None, kept, kept, True, [_action(both & kept & check_differs, ["AlterCheck"], _suppressed("ALTER CHECK", *named))]),
-        _simple("trigger", "TRIGGER", "CreateTrigger", "DropTrigger", kept & script_differs, kept, kept, True),
-        _simple("view", "VIEW", "CreateView", "DropView", view_given & script_differs, view_given, ~model, False),
-        _simple("sequence", "SEQUENCE", "CreateSequence", "DropSequence", None, yes, yes, False, [_action(both & sequence_differs & F.lit(options.dialect != D.SQLITE), ["AlterSequence"], _suppressed("ALTER SEQUENCE", m["name"]))]),
-        _simple("domain", "DOMAIN", "CreateDomain", "DropDomain", None, yes, ~model, False, [diagnostic]),
-        _simple("procedure", "PROCEDURE", "CreateProcedure", "DropProcedure", ~model & script_differs, ~model, ~model, False),
-        _simple("table", "TABLE", "CreateTable", "DropTable", None, F.lit(False), yes, False),
-        F.array().cast(ACTIONS),
-    )
-    if not (options.compare_descriptions and options.compares("comments")):
-        return found
-    changed = both & kept & ~normalize.same_text(F.trim(m["attrs"]["description"]), F.trim(t["attrs"]["description"]))
-    comments = F.array_compact(F.array(
-        _action(changed & (F.col("kind") == "table"), ["SetTableComment"], _suppressed("COMMENT ON TABLE", m["name"]), ["SetComment"]),
-        _action(changed & (F.col("kind") == "column"), ["SetColumnComment"], _suppressed("COMMENT ON COLUMN", *named), ["SetComment"]),
-    ))
-    return F.concat(found, comments)
+        _simple("index", "INDEXE", "CreateIndexe", "DropIndexe", f"{kept} and {index_differs}", kept, kept, True),
+        _simple("foreign_key", "FOREIGNKEY", "CreateForeignKey", "DropForeignKey", f"{kept} and {foreign_differs}", foreign_created, kept, True),
+        _simple("check", "CHECK", "CreateCheck", "DropCheck", None, kept, kept, True, [_action(f"{both} and {kept} and {canonical_differs}", ["AlterCheck"], _suppressed("ALTER CHECK", *named))]),
+        _simple("trigger", "TRIGGER", "CreateTrigger", "DropTrigger", f"{kept} and {canonical_differs}", kept, kept, True),
+        _simple("view", "VIEW", "CreateView", "DropView", f"{view_given} and {canonical_differs}", view_given, unless_model, False),
+        _simple("sequence", "SEQUENCE", "CreateSequence", "DropSequence", None, yes, yes, False, altered),
+        _simple("domain", "DOMAIN", "CreateDomain", "DropDomain", None, yes, unless_model, False, [diagnostic]),
+        _simple("procedure", "PROCEDURE", "CreateProcedure", "DropProcedure", f"{unless_model} and {canonical_differs}", unless_model, unless_model, False),
+        _simple("table", "TABLE", "CreateTable", "DropTable", None, no, yes, False),
+    ]
+    found = f"coalesce(case {' '.join(cases)} end, cast(array() as {ACTIONS}))"
+    if options.compare_descriptions and options.compares("comments"):
+        changed = f"{both} and {kept} and {_attrs_differ('description', form='lower(trim({}))')}"
+        comments = _listed([
+            _action(f"{changed} and kind = 'table'", ["SetTableComment"], _suppressed("COMMENT ON TABLE", "m.name"), ["SetComment"]),
+            _action(f"{changed} and kind = 'column'", ["SetColumnComment"], _suppressed("COMMENT ON COLUMN", *named), ["SetComment"]),
+        ])
+        found = f"concat({found}, {comments})"
+    return F.expr(found)
 
 
 _CHANGE = ("kind", "table_key", "object_key", "m", "t")
@@ -204,13 +199,22 @@ def created_tables(rows: DataFrame, dialect: str) -> DataFrame:
     return grouped.select(F.lit("table").alias("kind"), "table_key", F.lit("").alias("object_key"), "m", F.lit(None).alias("t"), body.alias("sql"))
 
 
+def compared(desired: Catalog, current: Catalog) -> DataFrame:
+    """joined of two catalogs' objects, written once. It depends on no option, so it serves plans for several dialects and policies."""
+    return written(joined(objects(desired), objects(current)))
+
+
 def changes(desired: Catalog, current: Catalog, options: CompareOptions) -> DataFrame:
-    """Every difference: place (order of generation), ops, needs, audit, the two sides, and the statement of new tables.
+    """differences of two catalogs."""
+    return differences(compared(desired, current), options)
+
+
+def differences(rows: DataFrame, options: CompareOptions) -> DataFrame:
+    """Every difference in rows (see compared): place (order of generation), ops, needs, audit, the two sides, and the statement of new tables.
 
     Either catalog may be empty. Identities that occur twice on a side are an error of that catalog (Catalog.assert_unique) and give
     a difference for each pairing. Differences inside dropped tables are not listed.
     """
-    rows = joined(objects(desired), objects(current))
     gone = [k for k, f in FEATURE_OF.items() if not options.compares(f)]
     new_foreign = (F.col("kind") == "foreign_key") & (F.col("table_status") == "create")
     rows = rows.filter(~F.col("kind").isin(*gone) | new_foreign) if gone else rows
@@ -219,24 +223,15 @@ def changes(desired: Catalog, current: Catalog, options: CompareOptions) -> Data
         rows = rows.withColumn("moved", (F.col("kind") == "column") & F.max(moved).over(Window.partitionBy("own")))
 
     found = rows.select(*_CHANGE, "status", F.posexplode(actions(options)).alias("part", "action"))
-    kind, status = F.col("kind"), F.col("status")
-    first_op = F.coalesce(F.get(F.col("action.ops"), F.lit(0)), F.lit(""))
-    comment = first_op.isin("SetTableComment", "SetColumnComment")
-    stage, step = F.lit(TABLE_STAGE), F.lit(0)
-    for name, at in STAGES.items():
-        stage = F.when(kind == name, at).otherwise(stage)
-    for name, at in STEPS.items():
-        step = F.when(kind == name, at).otherwise(step)
-    position = F.when((kind == "column") & (status != "drop"), F.lpad(F.col("m")["attrs"]["position"], 6, "0")).otherwise("")
-    place = F.struct(
-        F.when(comment, COMMENT_STAGE).otherwise(stage).alias("stage"), F.when(first_op == "DropTable", 0).otherwise(1).alias("sub"), F.col("table_key").alias("own"),
-        (2 * step + F.when(status == "drop", 0).otherwise(1)).alias("step"), F.concat_ws(" ", position, "object_key").alias("item"), F.col("part"),
-    )
-    listed = found.select(place.alias("place"), *_CHANGE, "action.ops", "action.needs", "action.audit", F.lit(None).cast("string").alias("sql"))
-
-    made = created_tables(rows, options.dialect)
-    place = F.struct(F.lit(TABLE_STAGE).alias("stage"), F.lit(1).alias("sub"), F.col("table_key").alias("own"), F.lit(0).alias("step"), F.lit("").alias("item"), F.lit(0).alias("part"))
-    create = F.array(F.lit("CreateTable"))
-    made = made.select(place.alias("place"), "kind", "table_key", "object_key", "m", F.lit(None).cast(rows.schema["t"].dataType).alias("t"), create.alias("ops"), create.alias("needs"), _suppressed("CREATE TABLE", F.col("m")["name"]).alias("audit"), "sql")
+    comment = "coalesce(get(action.ops, 0), '') in ('SetTableComment', 'SetColumnComment')"
+    stage = " ".join(f"when '{k}' then {at}" for k, at in STAGES.items())
+    step = " ".join(f"when '{k}' then {at}" for k, at in STEPS.items())
+    place = f"""named_struct('stage', case when {comment} then {COMMENT_STAGE} else case kind {stage} else {TABLE_STAGE} end end, 'sub', if(get(action.ops, 0) <=> 'DropTable', 0, 1), 'own', table_key,
+        'step', 2 * (case kind {step} else 0 end) + if(status = 'drop', 0, 1),
+        'item', concat_ws(' ', if(kind = 'column' and status <> 'drop', lpad(m.attrs['position'], 6, '0'), ''), object_key), 'part', part)"""
+    listed = found.selectExpr(f"{place} as place", *_CHANGE, "action.ops as ops", "action.needs as needs", "action.audit as audit", "cast(null as string) as sql")
+
+    place = f"named_struct('stage', {TABLE_STAGE}, 'sub', 1, 'own', table_key, 'step', 0, 'item', '', 'part', 0)"
+    made = created_tables(rows, options.dialect).withColumn("t", F.lit(None).cast(rows.schema["t"].dataType))
+    made = made.selectExpr(f"{place} as place", *_CHANGE, "array('CreateTable') as ops", "array('CreateTable') as needs", f"{_suppressed('CREATE TABLE', 'm.name')} as audit", "sql")
     return listed.unionByName(made)
-

@@ -7,58 +7,60 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import normalize
 from ..relations import Catalog, key_list
 
 SCHEMA = "kind string, table_key string, object_key string, schema string, table_name string, name string, attrs map<string,string>, members array<string>, to_members array<string>"
-
-
-def _attrs(*names: str, **more: Column) -> Column:
-    pairs = [*[(n, F.col(n)) for n in names], *more.items()]
-    return F.map_from_arrays(F.array(*[F.lit(n) for n, _ in pairs]), F.array(*[F.coalesce(v.cast("string"), F.lit("")) for _, v in pairs]))
+_NONE = "cast(array() as array<string>)"
+_COLUMN = ("position", "field_type", "type_name", "size", "precision", "scale", "not_null", "auto_increment", "sorting_order", "default_value", "charset", "description")
 
 
 def objects(catalog: Catalog) -> DataFrame:
     """One row per table, column, key, index, check, trigger, view, sequence, domain and routine.
 
-    attrs has what the object is made of as text; members and to_members are the key forms of its columns. Children carry the name of
-    their table. A primary key without columns, which stands for none, is left out.
+    attrs has what the object is made of as text; members and to_members are the key forms of its columns. Texts that are compared by meaning have
+    their canonical form in attrs too, made here once for each side. Children carry the name of their table. A primary key without columns,
+    which stands for none, is left out. Kinds of which the catalog has no relation are left out of the plan.
     """
-    tables = catalog.tables
-    own = tables.select("table_key", "table_name")
-    none = F.array().cast("array<string>")
-    members = catalog.key_columns
+    own = catalog.tables.select("table_key", "table_name")
+    schema = "'" + catalog.schema.replace("'", "''") + "'"
+    parts: list[DataFrame] = []
 
-    def row(frame: DataFrame, kind: str, name: str, attrs: Column, table: bool, keys: Column | None = None, to_keys: Column | None = None) -> DataFrame:
-        table_key = F.col("table_key") if table else F.lit("")
-        shown = F.col("table_name") if table else F.lit("")
-        object_key = F.col("object_key") if kind != "column" else F.col("name_key")
-        object_key = F.lit("") if kind in ("table", "primary_key") else object_key
-        return frame.select(
-            F.lit(kind).alias("kind"), table_key.alias("table_key"), object_key.alias("object_key"), F.lit(catalog.schema).alias("schema"), shown.alias("table_name"), F.col(name).alias("name"),
-            attrs.alias("attrs"), (none if keys is None else keys).alias("members"), (none if to_keys is None else to_keys).alias("to_members"),
-        )
+    def add(relation: str, kind: str, name: str, attrs: tuple[str, ...], by_table: bool = True, keys: str = _NONE, to_keys: str = _NONE, canonical: Column | None = None, frame: DataFrame | None = None) -> None:
+        if relation not in catalog.frames:
+            return
+        frame = catalog.relation(relation) if frame is None else frame
+        if by_table and kind != "table":
+            frame = frame.join(own, "table_key")
+        if canonical is not None:
+            frame = frame.withColumn("canonical", canonical)
+            attrs = (*attrs, "canonical")
+        key = {"table": "''", "primary_key": "''", "column": "name_key"}.get(kind, "object_key")
+        pairs = ", ".join(f"'{a}', coalesce(cast({a} as string), '')" for a in attrs)
+        parts.append(frame.selectExpr(
+            f"'{kind}' as kind", f"{'table_key' if by_table else repr('')} as table_key", f"{key} as object_key", f"{schema} as schema", f"{'table_name' if by_table else repr('')} as table_name", f"{name} as name",
+            f"map({pairs}) as attrs", f"coalesce({keys}, {_NONE}) as members", f"coalesce({to_keys}, {_NONE}) as to_members",
+        ))
 
-    def listed(frame: DataFrame, kind: str, to: bool = False) -> DataFrame:
-        names = ("to_columns", "to_keys") if to else ("shown_columns", "keys")
-        found = key_list(members, kind).select("table_key", "object_key", F.array_join("names", ", ").alias(names[0]), F.col("keys").alias(names[1]))
+    def listed(frame: DataFrame, kind: str, to: str = "") -> DataFrame:
+        found = key_list(catalog.key_columns, kind).selectExpr("table_key", "object_key", f"array_join(names, ', ') as {to}columns", f"keys as {to}keys")
         return frame.join(found, ["table_key", "object_key"], "left")
 
-    keys = listed(catalog.primary_keys.withColumn("object_key", F.lit("")), "pk").filter("size(keys) > 0 or trim(pk_name) <> ''").join(own, "table_key")
-    indexes = listed(catalog.indexes, "index").join(own, "table_key")
-    foreign = listed(listed(catalog.foreign_keys, "fk_from"), "fk_to", to=True).join(own, "table_key")
-    columns = F.coalesce(F.col("shown_columns"), F.lit(""))
-    empty = lambda c: F.coalesce(F.col(c), none)
-    parts = [
-        row(tables, "table", "table_name", _attrs("description"), True),
-        row(catalog.columns.join(own, "table_key"), "column", "column_name", _attrs("position", "field_type", "type_name", "size", "precision", "scale", "not_null", "auto_increment", "sorting_order", "default_value", "charset", "description"), True),
-        row(keys, "primary_key", "pk_name", _attrs("auto_increment", "description", columns=columns), True, empty("keys")),
-        row(indexes, "index", "name", _attrs("is_unique", "description", columns=columns), True, empty("keys")),
-        row(foreign, "foreign_key", "name", _attrs("parent_table", "parent_key", "on_update", "on_delete", "description", columns=columns, to_columns=F.coalesce(F.col("to_columns"), F.lit(""))), True, empty("keys"), empty("to_keys")),
-        row(catalog.checks.join(own, "table_key"), "check", "name", _attrs("condition", "description"), True),
-        row(catalog.triggers.join(own, "table_key"), "trigger", "name", _attrs("script", "description"), True),
-        row(catalog.views, "view", "name", _attrs("script", "description"), False),
-        row(catalog.sequences, "sequence", "name", _attrs("table_name", "initial_value", "increment", "description"), False),
-        row(catalog.domains, "domain", "name", _attrs("type_name", "not_null", "default_value", "check_condition", "description"), False),
-        row(catalog.procedures, "procedure", "name", _attrs("signature", "is_function", "script", "description"), False),
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    add("tables", "table", "table_name", ("description",))
+    add("columns", "column", "column_name", _COLUMN)
+    if "primary_keys" in catalog.frames:
+        keys = listed(catalog.primary_keys.withColumn("object_key", F.lit("")), "pk").filter("size(keys) > 0 or trim(pk_name) <> ''")
+        add("primary_keys", "primary_key", "pk_name", ("auto_increment", "description", "columns"), keys="keys", frame=keys)
+    if "indexes" in catalog.frames:
+        add("indexes", "index", "name", ("is_unique", "description", "columns"), keys="keys", frame=listed(catalog.indexes, "index"))
+    if "foreign_keys" in catalog.frames:
+        foreign = listed(listed(catalog.foreign_keys, "fk_from"), "fk_to", "to_")
+        add("foreign_keys", "foreign_key", "name", ("parent_table", "parent_key", "on_update", "on_delete", "description", "columns", "to_columns"), keys="keys", to_keys="to_keys", frame=foreign)
+    add("checks", "check", "name", ("condition", "description"), canonical=normalize.check_condition(F.col("condition")))
+    script = normalize.script(F.col("script"))
+    add("triggers", "trigger", "name", ("script", "description"), canonical=script)
+    add("views", "view", "name", ("script", "description"), False, canonical=script)
+    add("sequences", "sequence", "name", ("table_name", "initial_value", "increment", "description"), False)
+    add("domains", "domain", "name", ("type_name", "not_null", "default_value", "check_condition", "description"), False, canonical=normalize.check_condition(F.col("check_condition")))
+    add("procedures", "procedure", "name", ("signature", "is_function", "script", "description"), False, canonical=script)
+    return reduce(DataFrame.unionByName, parts) if parts else catalog.spark.createDataFrame([], SCHEMA)

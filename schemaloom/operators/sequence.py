@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import heapq
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..relations import local_frame, written
+
 # Phases in their order.
 PHASES = (
     "Pre", "DropProcedures", "DropTriggers", "DropViews", "DropForeignKeys", "DropChecks", "DropIndexes", "DropPrimaryKeys", "DropColumns", "DropTables", "DropSequences", "DropDomains",
@@ -25,13 +28,13 @@ PHASE_OF = {
 def phase(op: Column, name: Column) -> Column:
     """Guards that suspend come first and those that resume last; unknown commands come near the end."""
     found = F.when(op.isin("EnableForeignKeys", "EnableTriggers"), F.when(name == "On", "Post").otherwise("Pre"))
-    for own, belongs in PHASE_OF.items():
-        found = found.when(op == own, belongs)
+    for belongs in dict.fromkeys(PHASE_OF.values()):
+        found = found.when(op.isin(*[own for own, phase_ in PHASE_OF.items() if phase_ == belongs]), belongs)
     return found.otherwise("Unknown")
 
 
 def phase_order(name: Column) -> Column:
-    return F.array_position(F.array(*[F.lit(p) for p in PHASES]), name).cast("int") - 1
+    return F.array_position(F.lit(list(PHASES)), name).cast("int") - 1
 
 
 def table_order(names: list[str], edges: set[tuple[str, str]], inverse: bool = False) -> list[str]:
@@ -69,44 +72,69 @@ def dependencies(commands: DataFrame, foreign_keys: DataFrame, op: str) -> DataF
     return edges.join(named.withColumnRenamed("table_key", "parent"), "parent", "left_semi").select("child", "parent")
 
 
-def cycles(edges: DataFrame, rounds: int = 64) -> DataFrame:
-    """(name, cycle) of every table on a cycle: cycle is the smallest name of those that it reaches and that reach it.
+def _until_still(rows: DataFrame, step: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """rows after step until no row of its result has moved; each round is written, so that plans stay small."""
+    while True:
+        after = written(step(rows))
+        rows = after.drop("moved")
+        if after.filter("moved").isEmpty():
+            return rows
+
+
+def _peeled(edges: DataFrame) -> DataFrame:
+    """edges without those of tables that nothing depends on, or that depend on nothing, over and over: cycles and paths between them remain."""
+    both = lambda rows: rows.select("child").intersect(rows.select("parent"))
+    size, rest = -1, written(edges)
+    while size != (now := rest.count()):
+        size, inner = now, both(rest)
+        rest = written(rest.join(inner, "child", "left_semi").join(inner.withColumnRenamed("child", "parent"), "parent", "left_semi").select("child", "parent"))
+    return rest
 
-    Tables that nothing depends on, or that depend on nothing, are peeled off until only cycles and paths between them remain;
-    reachability is then closed over those few by joins that double the length of paths. More than 2**rounds tables in one
-    cycle fail.
+
+def cycles(edges: DataFrame) -> DataFrame:
+    """(name, cycle) of every table on a cycle of edges (child, parent): cycle is the smallest name of those that it reaches and that reach it.
+
+    Every table takes the smallest name that it reaches; those that this one reaches in turn, among tables that took the same, are one cycle. What is found
+    is taken out, and the rest goes round again. The rows are tables and edges, never pairs of tables, and rounds are as many as the longest path has
+    steps. Edges of a table to itself don't count; an empty table gives an empty table.
     """
-    rest = edges.distinct().checkpoint() if edges.sparkSession.conf.get("spark.checkpoint.dir", None) else edges.distinct().persist()
-    size = rest.count()
-    while size:
-        kept = rest.join(rest.select(F.col("parent").alias("child")).distinct(), "child", "left_semi")
-        kept = kept.join(rest.select(F.col("child").alias("parent")).distinct(), "parent", "left_semi").select("child", "parent").persist()
-        now = kept.count()
-        if now == size:
-            break
-        rest, size = kept, now
-    reach, size = rest.select(F.col("child").alias("a"), F.col("parent").alias("b")), size
-    for _ in range(rounds):
-        longer = reach.alias("x").join(reach.alias("y"), F.col("x.b") == F.col("y.a")).select(F.col("x.a").alias("a"), F.col("y.b").alias("b"))
-        reach = reach.union(longer).distinct().persist()
-        now = reach.count()
-        if now == size:
-            break
-        size = now
-    mutual = reach.alias("x").join(reach.alias("y"), (F.col("x.a") == F.col("y.b")) & (F.col("x.b") == F.col("y.a"))).select(F.col("x.a").alias("name"), F.col("x.b").alias("other"))
-    return mutual.groupBy("name").agg(F.least(F.min("other"), F.first("name")).alias("cycle"))
-
-
-def ranked(commands: DataFrame, foreign_keys: DataFrame) -> DataFrame:
+    found, rest = None, _peeled(edges.select("child", "parent").filter("child <> parent").distinct())
+    while not rest.isEmpty():
+
+        def lower(tables: DataFrame, rest: DataFrame = rest) -> DataFrame:
+            near = rest.join(tables.withColumnRenamed("name", "parent"), "parent").groupBy(F.col("child").alias("name")).agg(F.min("cycle").alias("low"))
+            return tables.join(near, "name", "left").selectExpr("name", "least(cycle, coalesce(low, cycle)) as cycle", "coalesce(low < cycle, false) as moved")
+
+        tables = _until_still(rest.selectExpr("child as name").union(rest.selectExpr("parent")).distinct().selectExpr("name", "name as cycle"), lower)
+        inside = rest.join(tables.selectExpr("name as child", "cycle"), "child").join(tables.selectExpr("name as parent", "cycle"), ["parent", "cycle"])
+        inside = written(inside.select("child", "parent"))
+
+        def reached(marked: DataFrame, inside: DataFrame = inside) -> DataFrame:
+            near = inside.join(marked.filter("reached").selectExpr("name as child"), "child").selectExpr("parent as name", "true as near").distinct()
+            return marked.join(near, "name", "left").selectExpr("name", "cycle", "reached or coalesce(near, false) as reached", "not reached and coalesce(near, false) as moved")
+
+        members = _until_still(tables.selectExpr("name", "cycle", "name = cycle as reached"), reached).filter("reached").select("name", "cycle")
+        several = members.groupBy("cycle").count().filter("count > 1").select("cycle")
+        own = members.join(several, "cycle", "left_semi").select("name", "cycle")
+        found = own if found is None else found.union(own)
+        rest = rest.join(members.selectExpr("name as child"), "child", "left_anti").join(members.selectExpr("name as parent"), "parent", "left_anti").select("child", "parent")
+        rest = _peeled(rest)
+    return local_frame(edges.sparkSession, [], "name string, cycle string") if found is None else found
+
+
+def ranked(commands: DataFrame, foreign_keys: DataFrame | None) -> DataFrame:
     """commands with table_rank: the place of created and dropped tables among each other, 0 for other commands.
 
-    Only names of tables and their foreign keys are gathered, of the tables that this plan creates or drops.
+    Only names of tables and their foreign keys are gathered, of the tables that this plan creates or drops; nothing if there is but one.
     """
     spark = commands.sparkSession
     ranks = []
+    tables = commands.filter(F.col("op").isin("CreateTable", "DropTable")).select("op", "table_key", "place").orderBy("place").collect()
     for op, inverse in (("CreateTable", False), ("DropTable", True)):
-        names = [r.table_key for r in commands.filter(F.col("op") == op).orderBy("place").select("table_key").collect()]
-        edges = {(r.child, r.parent) for r in dependencies(commands, foreign_keys, op).collect()} if len(names) > 1 else set()
+        names = [r.table_key for r in tables if r.op == op]
+        edges = {(r.child, r.parent) for r in dependencies(commands, foreign_keys, op).collect()} if len(names) > 1 and foreign_keys is not None else set()
         ranks += [(op, name, k) for k, name in enumerate(table_order(names, edges, inverse))]
-    found = spark.createDataFrame(ranks, "op string, table_key string, table_rank int")
+    if not ranks:
+        return commands.withColumn("table_rank", F.lit(0))
+    found = local_frame(spark, ranks, "op string, table_key string, table_rank int")
     return commands.join(found, ["op", "table_key"], "left").withColumn("table_rank", F.coalesce("table_rank", F.lit(0)))

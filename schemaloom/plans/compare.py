@@ -3,13 +3,14 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import render
 from ..operators import alter, diff, policy, sequence
-from ..relations import Catalog
+from ..relations import Catalog, local_frame, written
 from .options import GUARDS, CompareOptions
 
 _PLACE = ("stage", "sub", "own", "step", "item", "part")
@@ -37,44 +38,40 @@ class Plan:
         return sequence.cycles(self.edges)
 
 
-def _side(name: str) -> list:
-    new, old = F.col("m")[name], F.col("t")[name]
-    is_drop = F.col("op").startswith("Drop") & ~F.col("op").isin("DropDefaultValue", "DropColumnRebuild")
-    return F.when(is_drop, old).otherwise(new).alias(name)
+_DROPS = "startswith(op, 'Drop') and op not in ('DropDefaultValue', 'DropColumnRebuild')"
 
 
-def _guards(spark: SparkSession) -> DataFrame:
-    rows = [(0 if state == "Off" else diff.LAST_STAGE, k, op, state) for state in ("Off", "On") for k, op in enumerate(GUARDS)]
-    frame = spark.createDataFrame(rows, "stage int, part int, op string, name string")
-    none = F.lit("")
-    place = F.struct("stage", F.lit(0).alias("sub"), none.alias("own"), F.lit(0).alias("step"), none.alias("item"), "part", F.lit(0).alias("op_part"))
-    return frame.select(
-        place.alias("place"), "op", none.alias("table_key"), none.alias("object_key"), none.alias("schema"), none.alias("table_name"), "name",
-        F.lit(None).cast("map<string,string>").alias("attrs"), F.lit(None).cast("string").alias("sql"), F.array().cast("array<string>").alias("notes"),
-    )
+def _guards(spark: SparkSession, like: DataFrame) -> DataFrame:
+    """The commands that suspend foreign keys and triggers before all others and resume them after all others."""
+    rows = ", ".join(f"({0 if state == 'Off' else diff.LAST_STAGE}, {k}, '{op}', '{state}')" for state in ("Off", "On") for k, op in enumerate(GUARDS))
+    frame = spark.sql(f"select * from values {rows} as guards(stage, part, op, name)")
+    place = "named_struct('stage', stage, 'sub', 0, 'own', '', 'step', 0, 'item', '', 'part', part, 'op_part', 0)"
+    given = {"place": place, "op": "op", "name": "name", "table_key": "''", "object_key": "''", "schema": "''", "table_name": "''", "notes": "cast(array() as array<string>)"}
+    return frame.selectExpr(*[f"{given.get(f.name, f'cast(null as {f.dataType.simpleString()})')} as {f.name}" for f in like.schema])
 
 
-def compare(desired: Catalog, current: Catalog, options: CompareOptions) -> Plan:
-    """The plan that turns current into desired. Two equal catalogs give the guards alone; empty catalogs are allowed.
+def compare(desired: Catalog, current: Catalog, options: CompareOptions, rows: DataFrame | None = None) -> Plan:
+    """The plan that turns current into desired. rows: what diff.compared gives for the two, if it is at hand. Two equal catalogs give the guards alone; empty catalogs are allowed.
 
-    Commands are kept in memory or on disk, as the order of tables and the script both read them.
+    Commands are written once (see relations.written), as the order of tables and the script both read them.
     """
     if options.schema:
         desired, current = replace(desired, schema=options.schema), replace(current, schema=options.schema)
-    kept, held = policy.gated(diff.changes(desired, current, options), options.policy)
+    kept, held = policy.gated(diff.differences(diff.compared(desired, current) if rows is None else rows, options), options.policy)
     steps, refused = alter.expanded(kept, options)
     steps = steps.select("*", F.posexplode("ops").alias("op_part", "op"))
-    place = F.struct(*[F.col("place")[n].alias(n) for n in _PLACE], "op_part").alias("place")
-    commands = steps.select(place, "op", "table_key", "object_key", _side("schema"), _side("table_name"), _side("name"), _side("attrs"), "sql", "notes")
-    commands = commands.unionByName(_guards(desired.spark))
-    temporary = F.concat("name", F.lit(alter.TEMPORARY))
-    commands = commands.withColumn("extra", F.create_map(F.lit("sql"), F.coalesce("sql", F.lit("")), F.lit("new_name"), temporary))
-    commands = commands.withColumns({"sql": render.statement(options.dialect), "label": render.label()}).persist()
-    foreign_keys = desired.foreign_keys.select("table_key", "parent_key").union(current.foreign_keys.select("table_key", "parent_key"))
+    place = "named_struct(" + ", ".join(f"'{n}', place.{n}" for n in _PLACE) + ", 'op_part', op_part) as place"
+    side = [f"case when {_DROPS} then t.{n} else m.{n} end as {n}" for n in ("schema", "table_name", "name", "attrs")]
+    commands = steps.selectExpr(place, "op", "table_key", "object_key", *side, "sql", "notes")
+    commands = commands.unionByName(_guards(desired.spark, commands))
+    commands = commands.selectExpr("*", f"map('sql', coalesce(sql, ''), 'new_name', concat(name, '{alter.TEMPORARY}')) as extra")
+    commands = commands.withColumns({"sql": render.statement(options.dialect), "label": render.label(), "phase": sequence.phase(F.col("op"), F.col("name"))}).drop("extra")
+    commands = written(commands)
+    keys = [c.foreign_keys.select("table_key", "parent_key") for c in (desired, current) if "foreign_keys" in c.frames]
+    foreign_keys = reduce(DataFrame.union, keys) if keys else None
     if options.sequenced:
-        commands = commands.withColumn("phase", sequence.phase(F.col("op"), F.col("name")))
         commands = sequence.ranked(commands.withColumn("phase_order", sequence.phase_order(F.col("phase"))), foreign_keys)
     else:
         commands = commands.withColumns({"phase": F.lit("Unknown"), "phase_order": F.lit(0), "table_rank": F.lit(0)})
-    edges = foreign_keys.select(F.col("table_key").alias("child"), F.col("parent_key").alias("parent")).filter("child <> parent").distinct()
-    return Plan(commands.drop("extra"), held.unionByName(refused), edges, options)
+    edges = local_frame(desired.spark, [], "child string, parent string") if foreign_keys is None else foreign_keys.selectExpr("table_key as child", "parent_key as parent").filter("child <> parent").distinct()
+    return Plan(commands, held.unionByName(refused), edges, options)

@@ -5,13 +5,16 @@ Columns named *_key are ASCII upper-case identities to join on; names keep their
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Iterable, Mapping
 from dataclasses import dataclass, field
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SCHEMAS = {
+SCHEMAS: dict[str, str] = {
     "tables": "schema_name string, table_key string, table_name string, description string",
     "columns": "table_key string, position int, column_name string, name_key string, field_type string, type_name string, size int, precision int, scale int, "
     "not_null boolean, auto_increment boolean, sorting_order string, default_value string, is_primary_key boolean, charset string, description string",
@@ -27,6 +30,9 @@ SCHEMAS = {
     "procedures": "object_key string, name string, signature string, is_function boolean, script string, description string",
 }
 
+#: The columns of views, kept but not compared: table_key is the view's object_key.
+SCHEMAS["view_columns"] = SCHEMAS["columns"]
+
 #: Kinds of key_columns rows.
 KEY_KINDS = ("pk", "index", "fk_from", "fk_to")
 
@@ -77,11 +83,28 @@ class Catalog:
 
 
 _IDENTITY = {
-    "tables": ("table_key",), "columns": ("table_key", "name_key"), "primary_keys": ("table_key",), "key_columns": ("table_key", "key_kind", "object_key", "position"),
+    "tables": ("table_key",), "columns": ("table_key", "name_key"), "view_columns": ("table_key", "name_key"), "primary_keys": ("table_key",), "key_columns": ("table_key", "key_kind", "object_key", "position"),
     **dict.fromkeys(("indexes", "foreign_keys", "checks", "triggers"), ("table_key", "object_key")), **dict.fromkeys(("views", "sequences", "domains", "procedures"), ("object_key",)),
 }
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder that spark.checkpoint.dir names: plans over it stay small, and a lost executor loses nothing.
+
+    Without such a folder it is kept by the executors instead, or, where all runs on this machine, in a temporary folder.
+    """
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and spark.sparkContext.master.startswith("local"):
+        folder = tempfile.mkdtemp(prefix="schemaloom-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    if not folder:
+        return df.persist()
+    path = f"{folder.rstrip('/')}/relation-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def read_catalog(spark: SparkSession, folder: str, name: str = "", schema: str = "") -> Catalog:
     """A catalog that Catalog.write has written."""
     return Catalog(spark, name, schema, {n: spark.read.schema(s).parquet(f"{folder.rstrip('/')}/{n}") for n, s in SCHEMAS.items()})
@@ -113,10 +136,20 @@ def from_rows(spark: SparkSession, name: str = "", schema: str = "", **rows: Ite
             r.setdefault("name_key", ascii_upper_text(r.get("column_name", "")))
             r.setdefault("sorting_order", "NoSort")
             filled.append(tuple(r.get(c, {"string": "", "int": 0, "boolean": False}[t]) for c, t in columns))
-        frames[relation] = spark.createDataFrame(filled, SCHEMAS[relation])
+        frames[relation] = local_frame(spark, filled, SCHEMAS[relation])
     return Catalog(spark, name, schema, frames)
 
 
+_ARROW = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_(), "long": pa.int64()}
+
+
+def local_frame(spark: SparkSession, rows: Iterable[tuple], schema: str) -> DataFrame:
+    """Rows of the driver as a relation whose size the optimizer knows, so that small ones are broadcast and no shuffle is planned for them."""
+    fields = [x.split() for x in schema.split(",")]
+    columns = list(zip(*rows, strict=True)) or [()] * len(fields)
+    return spark.createDataFrame(pa.table([pa.array(c, _ARROW[t]) for c, (_, t) in zip(columns, fields, strict=True)], [n for n, _ in fields]))
+
+
 def key_list(members: DataFrame, kind: str) -> DataFrame:
     """(table_key, object_key, names array, keys array) of the members of one kind, in order of position."""
     ordered = F.sort_array(F.collect_list(F.struct("position", "column_name", "name_key")))

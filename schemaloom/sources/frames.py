@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable, Mapping
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 
 from ..functions.keys import ascii_upper_text
-from ..relations import SCHEMAS, Catalog
+from ..relations import SCHEMAS, Catalog, DuplicateObject, local_frame
 
 _LOGICAL = {
     T.BooleanType: ("ftBoolean", "BOOLEAN"), T.ByteType: ("ftByte", "TINYINT"), T.ShortType: ("ftSmallint", "SMALLINT"), T.IntegerType: ("ftInteger", "INT"), T.LongType: ("ftLargeint", "BIGINT"),
@@ -34,12 +36,18 @@ def column_row(table: str, position: int, field: T.StructField) -> tuple:
 def from_schemas(spark: SparkSession, schemas: Mapping[str, T.StructType], name: str = "", schema: str = "", comments: Mapping[str, str] | None = None) -> Catalog:
     tables = [(schema, ascii_upper_text(t), t, (comments or {}).get(t, "")) for t in schemas]
     columns = [column_row(t, k, f) for t, own in schemas.items() for k, f in enumerate(own.fields)]
-    return Catalog(spark, name, schema, {"tables": spark.createDataFrame(tables, SCHEMAS["tables"]), "columns": spark.createDataFrame(columns, SCHEMAS["columns"])}).assert_unique()
+    for relation, keys in (("tables", [t[1] for t in tables]), ("columns", [(c[0], c[3]) for c in columns])):
+        if twice := [k for k, times in Counter(keys).items() if times > 1]:
+            raise DuplicateObject(f"{relation}: {twice[:5]}")
+    return Catalog(spark, name, schema, {"tables": local_frame(spark, tables, SCHEMAS["tables"]), "columns": local_frame(spark, columns, SCHEMAS["columns"])})
 
 
 def parquet_catalog(spark: SparkSession, folder: str, tables: Iterable[str], name: str = "", suffix: str = ".parquet") -> Catalog:
-    """The catalog of folder/<table>.parquet: one footer of each table is read."""
-    return from_schemas(spark, {t: spark.read.parquet(f"{folder.rstrip('/')}/{t}{suffix}").schema for t in tables}, name)
+    """The catalog of folder/<table>.parquet: one footer of each table is read, of several tables at a time."""
+    names = list(tables)
+    with ThreadPoolExecutor(8) as pool:
+        schemas = list(pool.map(lambda t: spark.read.parquet(f"{folder.rstrip('/')}/{t}{suffix}").schema, names))
+    return from_schemas(spark, dict(zip(names, schemas, strict=True)), name)
 
 
 def session_catalog(spark: SparkSession, database: str | None = None, name: str = "") -> Catalog:

@@ -356,3 +356,31 @@ def test_catalog_files_and_duplicates(spark, tmp_path, pair):
     twice = from_rows(spark, tables=[{"table_name": "a"}, {"table_name": "A"}])
     with pytest.raises(DuplicateObject):
         twice.assert_unique()
+
+
+def test_statements_are_cut_outside_of_quotes_and_comments():
+    from schemaloom.plans.execute import UnreadableStatement, statements
+
+    cut = lambda sql: statements("AlterCheck", sql)
+    assert cut("a 'x;y' ; b \"c;d\";") == ["a 'x;y' ;", 'b "c;d";'] and cut("a -- no; cut\n; b /* ; */ c") == ["a -- no; cut\n;", "b /* ; */ c"]
+    assert cut("a [x;y] - 1 / 2; ; `p;q`") == ["a [x;y] - 1 / 2;", "`p;q`"] and cut("it''s 'it''s';") == ["it''s 'it''s';"] and cut("") == []
+    for bad in ("a 'x; b", 'a "x; b', "a /* x; b", "a [x; b"):
+        with pytest.raises(UnreadableStatement):
+            cut(bad)
+
+
+def test_cycles_of_many_shapes(spark):
+    import random
+
+    from schemaloom.operators.sequence import cycles
+
+    r = random.Random(3)
+    edges = [("a", "b"), ("b", "c"), ("c", "a"), ("d", "a"), ("c", "e"), ("x", "y"), ("y", "x"), ("y", "a"), ("s", "s")] + [(f"n{r.randrange(12)}", f"n{r.randrange(12)}") for _ in range(14)]
+    names = {x for e in edges for x in e}
+    reach = {n: {b for a, b in edges if a == n and b != n} for n in names}
+    for _ in names:
+        reach = {n: own | {z for y in own for z in reach[y]} for n, own in reach.items()}
+    wanted = {(n, min(m for m in names if m in reach[n] and n in reach[m])) for n in names if n in reach[n]}
+    found = {(x.name, x.cycle) for x in cycles(spark.createDataFrame(edges, "child string, parent string")).collect()}
+    assert found == wanted and ("c", "a") in found
+    assert cycles(spark.createDataFrame([], "child string, parent string")).count() == 0
