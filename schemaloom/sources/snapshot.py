@@ -112,12 +112,13 @@ def encoded(catalog: Catalog, driver: str, description: str = "", generated_at:
         F.col("table_name").alias("Name"), F.col("description").alias("Description"), F.coalesce("PrimaryKey", empty_pk).alias("PrimaryKey"),
         *[F.coalesce(F.col(n), F.array().cast(dict(tables.dtypes)[n])).alias(n) for n in order],
     )
+    views = catalog.views.join(listed(catalog.view_columns.withColumnRenamed("table_key", "object_key"), ["object_key"], _column_struct(), F.col("position").alias("k")), "object_key", "left")
     whole = lambda rows, value, name, key: rows.agg(_sorted(F.collect_list(F.struct(F.col(key).alias("k"), value.alias("value")))).alias(name))
     named = lambda *pairs: F.struct(F.col("name").alias("Name"), F.col("description").alias("Description"), *[F.col(c).alias(n) for c, n in pairs])
     parts = [
         whole(tables, table, "Tables", "table_key"),
         whole(catalog.sequences, named(("table_name", "TableName"), ("initial_value", "InitialValue"), ("increment", "Increment")), "Sequences", "object_key"),
-        whole(catalog.views, F.struct(F.col("name").alias("Name"), F.col("description").alias("Description"), F.col("script").alias("Script"), none.alias("Fields")), "Views", "object_key"),
+        whole(views, F.struct(F.col("name").alias("Name"), F.col("description").alias("Description"), F.col("script").alias("Script"), some("x").alias("Fields")), "Views", "object_key"),
         whole(catalog.domains, named(("type_name", "TypeName"), ("not_null", "NotNull"), ("default_value", "DefaultValue"), ("check_condition", "CheckCondition")), "Domains", "object_key"),
         whole(catalog.procedures, named(("script", "Script"), ("is_function", "IsFunction"), ("signature", "Signature")), "Procedures", "object_key"),
     ]
@@ -206,6 +207,7 @@ def decoded(body: DataFrame, spark: SparkSession, name: str = "", schema: str =
         "checks": checks.select("table_key", "object_key", n, text("Condition").alias("condition"), d),
         "triggers": triggers.select("table_key", "object_key", n, text("Script").alias("script"), d),
         "views": top("Views").select("object_key", n, text("Script").alias("script"), d),
+        "view_columns": column(top("Views").select(F.col("object_key").alias("table_key"), F.explode("Fields").alias("c"))),
         "sequences": top("Sequences").select("object_key", n, text("TableName").alias("table_name"), _number("InitialValue").alias("initial_value"), _number("Increment").alias("increment"), d),
         "domains": top("Domains").select("object_key", n, text("TypeName").alias("type_name"), _flag("NotNull").alias("not_null"), text("DefaultValue").alias("default_value"), text("CheckCondition").alias("check_condition"), d),
         "procedures": routines.select(routine_key(text("Name"), text("Signature")).alias("object_key"), n, text("Signature").alias("signature"), _flag("IsFunction").alias("is_function"), text("Script").alias("script"), d),

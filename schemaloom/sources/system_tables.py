@@ -134,15 +134,16 @@ QUERIES: dict[str, dict[str, str]] = {
         "join rdb$triggers t on t.rdb$trigger_name = k.rdb$trigger_name where c.rdb$constraint_type = 'CHECK' and t.rdb$trigger_type = 1",
         "views": "select trim(rdb$relation_name) as name, rdb$view_source as script from rdb$relations where rdb$view_blr is not null and rdb$system_flag = 0",
         "sequences": "select trim(rdb$generator_name) as name, '' as table_name, 0 as initial_value, 0 as increment from rdb$generators where rdb$system_flag = 0",
-        "domains": "select trim(rdb$field_name) as name, rdb$field_type || '' as native_type, rdb$character_length as size, rdb$field_precision as precision, -rdb$field_scale as scale, coalesce(rdb$null_flag, 0) as not_null, rdb$default_source as default_value, rdb$validation_source as check_condition "
-        "from rdb$fields where rdb$system_flag = 0 and rdb$field_name not like 'RDB$%'",
+        "domains": "select trim(rdb$field_name) as name, rdb$field_type || '.' || coalesce(rdb$field_sub_type, 0) as domain_type, rdb$character_length as size, rdb$field_precision as precision, -rdb$field_scale as scale, coalesce(rdb$null_flag, 0) as not_null, rdb$default_source as default_value, rdb$validation_source as check_condition "
+        "from rdb$fields where coalesce(rdb$system_flag, 0) = 0 and rdb$field_name not like 'RDB$%' and rdb$field_name not like 'SQL$%'",
         "procedures": "select trim(rdb$procedure_name) as name, '' as signature, 0 as is_function, 'CREATE PROCEDURE ' || trim(rdb$procedure_name) || ' AS ' || rdb$procedure_source as script from rdb$procedures where rdb$system_flag = 0",
     },
 }
+QUERIES[D.FIREBIRD]["view_columns"] = QUERIES[D.FIREBIRD]["columns"].replace("t.rdb$view_blr is null", "t.rdb$view_blr is not null")
 QUERIES[D.INTERBASE] = QUERIES[D.FIREBIRD]
 QUERIES[D.FIREBIRD3] = {
     **QUERIES[D.FIREBIRD],
-    "columns": QUERIES[D.FIREBIRD]["columns"].replace("0 as auto_increment", "case when r.rdb$identity_type is null then 0 else 1 end as auto_increment"),
+    **{n: QUERIES[D.FIREBIRD][n].replace("0 as auto_increment", "case when r.rdb$identity_type is null then 0 else 1 end as auto_increment") for n in ("columns", "view_columns")},
     "sequences": "select trim(rdb$generator_name) as name, '' as table_name, rdb$initial_value as initial_value, rdb$generator_increment as increment from rdb$generators where rdb$system_flag = 0",
     "procedures": QUERIES[D.FIREBIRD]["procedures"] + " union all select trim(rdb$function_name), '', 1, 'CREATE FUNCTION ' || trim(rdb$function_name) || ' AS ' || rdb$function_source "
     "from rdb$functions where coalesce(rdb$system_flag, 0) = 0 and rdb$function_source is not null and rdb$package_name is null",
@@ -150,6 +151,12 @@ QUERIES[D.FIREBIRD3] = {
 #: What these sources can read, in the terms of CompareOptions.extracted.
 EXTRACTED = {d: frozenset({n for n in q if n in ("checks", "views", "sequences", "domains", "procedures")}) | {"foreign_keys", "comments"} for d, q in QUERIES.items()}
 
+# Types of Firebird's domains by type and subtype; other subtypes are as 0, other types as text.
+DOMAIN_TYPES = {
+    "7.0": "SMALLINT", "7.1": "NUMERIC(%p,%s)", "7.2": "DECIMAL(%p,%s)", "8.0": "INTEGER", "8.1": "NUMERIC(%p,%s)", "8.2": "DECIMAL(%p,%s)", "16.0": "BIGINT", "16.1": "NUMERIC(%p,%s)", "16.2": "DECIMAL(%p,%s)",
+    "10.0": "FLOAT", "12.0": "DATE", "13.0": "TIME", "14.0": "CHAR(%l)", "27.0": "DOUBLE PRECISION", "35.0": "TIMESTAMP", "37.0": "VARCHAR(%l)", "261.0": "BLOB", "261.1": "BLOB SUB_TYPE 1",
+}
+
 _ACTIONS = {"CASCADE": "Cascade", "SET NULL": "SetNull", "SET DEFAULT": "SetDefault", "1": "Cascade", "2": "SetNull", "3": "SetDefault"}
 
 
@@ -205,17 +212,21 @@ def decoded(spark: SparkSession, raw: Mapping[str, DataFrame], dialect: str, sch
     none = F.lit("").alias("description")
     frames: dict[str, DataFrame] = {"tables": raw["tables"].select(F.lit(schema).alias("schema_name"), own(), F.col("table_name"), _text("description").alias("description"))}
 
-    columns = raw["columns"].withColumn("field_type", native_type(F.col("native_type").cast("string"), dialect))
-    if dialect == D.ORACLE:
-        whole = (F.col("native_type") == "NUMBER") & (_number("precision") == 0)
-        columns = columns.withColumn("field_type", F.when(whole, "ftInteger").otherwise(F.col("field_type")))
     default = F.trim(_text("default_value"))
     if dialect == D.MSSQL:
         default = F.translate(default, "()", "")
     elif dialect in D.FIREBIRD_FAMILY:
         default = normalize.default_value(default)
     default = F.when(default == "0.000", "0").otherwise(default)
-    columns = columns.select(
+
+    def fields(rows: DataFrame) -> DataFrame:
+        rows = rows.withColumn("field_type", native_type(F.col("native_type").cast("string"), dialect))
+        if dialect == D.ORACLE:
+            whole = (F.col("native_type") == "NUMBER") & (_number("precision") == 0)
+            rows = rows.withColumn("field_type", F.when(whole, "ftInteger").otherwise(F.col("field_type")))
+        return rows.select(*shown)
+
+    shown = (
         own(), F.col("position").cast("int").alias("position"), "column_name", ascii_upper(F.col("column_name")).alias("name_key"), "field_type", type_template(F.col("field_type"), dialect, _number("size")).alias("type_name"), _number("size").alias("size"),
         _number("precision").alias("precision"), _number("scale").alias("scale"), _flag("not_null").alias("not_null"), _flag("auto_increment").alias("auto_increment"), F.lit("NoSort").alias("sorting_order"),
         default.alias("default_value"), _text("charset").alias("charset"), _text("description").alias("description"),
@@ -227,6 +238,7 @@ def decoded(spark: SparkSession, raw: Mapping[str, DataFrame], dialect: str, sch
 
     keys = raw["primary_keys"]
     all_members = members(keys, "pk", "column_name", F.lit(""))
+    columns = fields(raw["columns"])
     pk_columns = all_members.select("table_key", "name_key", F.lit(True).alias("is_primary_key"))
     frames["columns"] = columns.join(pk_columns, ["table_key", "name_key"], "left").withColumn("is_primary_key", F.coalesce("is_primary_key", F.lit(False))).select([c.split()[0] for c in _columns_of("columns")])
     frames["primary_keys"] = keys.select(own(), "pk_name", (_flag("auto_increment") if "auto_increment" in keys.columns else F.lit(False)).alias("auto_increment")).distinct().select("*", none)
@@ -243,6 +255,8 @@ def decoded(spark: SparkSession, raw: Mapping[str, DataFrame], dialect: str, sch
         frames["checks"] = raw["checks"].select(own(), key(), "name", condition.alias("condition"), none)
     if "views" in raw:
         frames["views"] = raw["views"].select(key(), "name", normalize.view_body(_text("script")).alias("script"), none)
+    if "view_columns" in raw:
+        frames["view_columns"] = fields(raw["view_columns"]).withColumn("is_primary_key", F.lit(False)).select([c.split()[0] for c in _columns_of("columns")])
     if "sequences" in raw:
         frames["sequences"] = raw["sequences"].select(key(), "name", _text("table_name").alias("table_name"), _number("initial_value").alias("initial_value"), _number("increment").alias("increment"), none)
     if "domains" in raw:
@@ -267,7 +281,8 @@ def _columns_of(relation: str) -> list[str]:
 def _domains(rows: DataFrame, dialect: str) -> DataFrame:
     """One row per domain; several checks become one condition."""
     if "type_name" not in rows.columns:
-        template = type_template(native_type(F.col("native_type"), dialect), dialect)
+        kind = F.col("domain_type")
+        template = F.coalesce(choice(kind, DOMAIN_TYPES), choice(F.concat(F.regexp_extract(kind, r"^[0-9]*", 0), F.lit(".0")), DOMAIN_TYPES), F.lit("VARCHAR(%l)"))
         for mark, column in (("%l", "size"), ("%p", "precision"), ("%s", "scale")):
             template = F.replace(template, F.lit(mark), _number(column).cast("string"))
         rows = rows.withColumn("type_name", template)

@@ -200,3 +200,46 @@ def test_streamed_rules(spark, tmp_path):
 
 def test_empty_catalogs(spark):
     assert Catalog(spark).tables.filter(F.lit(True)).count() == 0
+
+
+@pytest.mark.parametrize("dialect", sorted(system_tables.QUERIES))
+def test_queries_are_sql(dialect):
+    """A parser of another database takes the queries, but for the forms that only their own database has."""
+    import duckdb
+
+    own = {(D.POSTGRESQL, "views"), (D.POSTGRESQL, "indexes")}
+    for relation in system_tables.QUERIES[dialect]:
+        for schema in ("", "app"):
+            text = system_tables.query_for(dialect, relation, schema).replace("`", '"').replace("rdb$", "rdb_").replace("starting with", "like")
+            said = json.loads(duckdb.execute("select json_serialize_sql(?)", [text]).fetchone()[0])
+            assert not said["error"] or (dialect, relation) in own, (relation, said)
+
+
+def test_domains_and_view_columns_of_firebird(spark):
+    import sqlite3
+
+    db = sqlite3.connect(":memory:")
+    db.executescript(
+        "create table rdb$fields(rdb$field_name, rdb$field_type, rdb$field_sub_type, rdb$character_length, rdb$field_precision, rdb$field_scale, rdb$null_flag, rdb$default_source, rdb$validation_source, rdb$system_flag, rdb$character_set_id);"
+        "insert into rdb$fields values ('MONEY', 16, 2, null, 18, -2, 1, 'DEFAULT 0', 'CHECK (VALUE >= 0)', 0, null), ('PHOTO', 261, 0, null, null, 0, null, null, null, null, null), ('NOTE', 261, 1, null, null, 0, null, null, null, 0, null),"
+        "('CODE', 37, null, 10, null, 0, null, null, null, 0, null), ('RDB$1', 8, 0, null, 9, 0, null, null, null, 0, null), ('SQL$1', 8, 0, null, 9, 0, null, null, null, 0, null), ('ODD', 99, 0, 5, null, 0, null, null, null, 0, null);"
+        "create table rdb$relations(rdb$relation_name, rdb$view_blr, rdb$system_flag); insert into rdb$relations values ('T', null, 0), ('V', 'x', 0);"
+        "create table rdb$relation_fields(rdb$relation_name, rdb$field_name, rdb$field_position, rdb$field_source, rdb$null_flag, rdb$default_source, rdb$description);"
+        "insert into rdb$relation_fields values ('T', 'A', 0, 'CODE', 1, null, null), ('V', 'B', 1, 'CODE', null, null, 'seen'), ('V', 'C', 0, 'RDB$1', null, null, null); create table rdb$character_sets(rdb$character_set_id, rdb$character_set_name);"
+    )
+    read = lambda relation, schema: spark.createDataFrame(db.execute(system_tables.query_for(D.FIREBIRD, relation)).fetchall(), schema)
+    found = system_tables._domains(read("domains", "name string, domain_type string, size int, precision int, scale int, not_null int, default_value string, check_condition string"), D.FIREBIRD)
+    assert {r.name: (r.type_name, r.not_null, r.default_value, r.check_condition) for r in found.collect()} == {
+        "MONEY": ("DECIMAL(18,2)", True, "0", "VALUE >= 0"), "PHOTO": ("BLOB", False, "", ""), "NOTE": ("BLOB SUB_TYPE 1", False, "", ""), "CODE": ("VARCHAR(10)", False, "", ""), "ODD": ("VARCHAR(5)", False, "", ""),
+    }
+    columns = "table_name string, column_name string, position int, native_type string, size int, precision int, scale int, not_null int, auto_increment int, default_value string, charset string, description string"
+    raw = {"tables": spark.createDataFrame([("T", None)], "table_name string, description string"), "columns": read("columns", columns), "view_columns": read("view_columns", columns), "views": spark.createDataFrame([("V", "select 1")], "name string, script string")}
+    empty = {"primary_keys": "table_name string, pk_name string, column_name string, position int", "foreign_keys": "table_name string, name string, column_name string, position int, parent_table string, parent_column string, on_update string, on_delete string", "indexes": "table_name string, name string, is_unique int, column_name string, position int"}
+    catalog = system_tables.decoded(spark, {**raw, **{k: spark.createDataFrame([], v) for k, v in empty.items()}}, D.FIREBIRD)
+    assert [r.column_name for r in catalog.columns.collect()] == ["A"]
+    seen = {(r.table_key, r.column_name, r.position, r.field_type, r.description) for r in catalog.view_columns.collect()}
+    assert seen == {("V", "B", 1, "ftString", "seen"), ("V", "C", 0, "ftInteger", "")}
+    text = snapshot.encoded(catalog, D.FIREBIRD).selectExpr("to_json(struct(*)) as j").first().j
+    assert [f["Name"] for f in json.loads(text)["Catalog"]["Views"][0]["Fields"]] == ["C", "B"]
+    back = snapshot.decoded(spark.createDataFrame([(text,)], "j string").selectExpr(f"from_json(j, '{snapshot.SCHEMA}') as d").select("d.Catalog.*"), spark)
+    assert {(r.table_key, r.column_name, r.position, r.field_type, r.description) for r in back.view_columns.collect()} == seen
