@@ -143,11 +143,10 @@ def diff_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("diff_positions", f"{_BOTH} select m.t as table_name, m.c as column_name, m.pos::int as desired_position, o.pos::int as current_position from desired m join current_side o on m.t = o.t and m.c = o.c where m.pos <> o.pos")
 def diff_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    desired = desired_catalog(spark, sf_dir)
-    current = current_catalog(desired)
-    old = current.columns.select("table_key", "name_key", F.col("position").alias("current_position"))
-    named = desired.columns.join(desired.tables.select("table_key", "table_name"), "table_key").join(old, ["table_key", "name_key"])
-    return named.filter("position <> current_position").select("table_name", "column_name", F.col("position").alias("desired_position"), "current_position")
+    rows = _changes(spark, sf_dir, dialect=D.FIREBIRD, compare_positions=True).filter(F.array_contains("ops", "AlterColumnPosition") & F.col("t").isNotNull())
+    m, t = F.col("m"), F.col("t")
+    place = lambda side: side["attrs"]["position"].cast("int")
+    return rows.filter(place(m) != place(t)).select(m["table_name"].alias("table_name"), m["name"].alias("column_name"), place(m).alias("desired_position"), place(t).alias("current_position"))
 
 
 @query("policy_audit", f"{_DIFFS} select case op when 'DropColumn' then 'DROP COLUMN ' else 'ALTER COLUMN ' end || table_name || '.' || column_name || ' suppressed by policy' as audit from d where op in ('DropColumn', 'AlterColumn')")
@@ -209,7 +208,17 @@ def phase_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare(desired, current_catalog(desired), CompareOptions(D.POSTGRESQL)).phase_counts()
 
 
-@query("script_lines")
+_MYSQL = "case op when 'DropColumn' then ' DROP COLUMN ' || column_name when 'CreateColumn' then ' ADD ' || column_name || ' ' || ty else ' MODIFY COLUMN ' || column_name || ' ' || ty end"
+
+
+@query(
+    "script_lines",
+    f"""{_DIFFS}, commands as (
+        select case op when 'DropColumn' then 'DropColumns' else 'Columns' end as phase, case op when 'DropColumn' then 'Drop Column: ' when 'CreateColumn' then 'Create Column: ' else 'Alter Column: ' end || column_name as label, 'ALTER TABLE ' || table_name || {_MYSQL} || ';' as sql from d where op is not null
+        union all select 'CreateTables', 'Create Table: ' || t, 'CREATE TABLE ' || t || ' (' || chr(10) || '  ' || string_agg(c || ' ' || ty, ',' || chr(10) || '  ' order by pos) || chr(10) || ');' from desired where contains(t, 'g') group by t
+        union all values ('Pre', 'Enable ForeignKeys: Off', 'SET FOREIGN_KEY_CHECKS = 0;'), ('Post', 'Enable ForeignKeys: On', 'SET FOREIGN_KEY_CHECKS = 1;')
+    ) select '-- ' || label as line from commands union all select sql from commands union all select distinct chr(10) || '-- ---------- PHASE: ' || phase || ' ----------' from commands""",
+)
 def script_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     desired = desired_catalog(spark, sf_dir)
     return ordered_lines(compare(desired, current_catalog(desired), CompareOptions(D.MYSQL)))
@@ -230,31 +239,48 @@ def keyed_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
     return base.replaced(**extra.frames)
 
 
-_ORDER = ("benchmark", "conversations", "documents", "embeddings", "events", "labels", "pages", "part", "region", "nation", "customer", "orders", "supplier", "lineitem")
+_EDGE_ROWS = f"(values {', '.join(map(str, _EDGES))}) as e(child, parent, own, other)"
 
 
-@query("fk_topology", f"select * from (values {', '.join(f'({k}, {t.upper()!r})' for k, t in enumerate(_ORDER))}) as x(place, table_key)")
+@query(
+    "fk_topology",
+    f"""with recursive names as (select distinct upper(table_name) as t from information_schema.columns where table_name in ({_NAMES})), edges as (select upper(child) as c, upper(parent) as p from {_EDGE_ROWS}),
+    steps(place, done) as (select 0, []::varchar[] union all select place + 1, list_append(done, (
+        select min(t) from names where not list_contains(done, t) and not exists (select 1 from edges where c = t and not list_contains(done, p))
+    )) from steps where place < (select count(*) from names))
+    select (place - 1)::int as place, done[-1] as table_key from steps where place > 0""",
+)
 def fk_topology(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The order in which new tables are made: parents first, and by name where there is a choice."""
     plan = compare(keyed_catalog(spark, sf_dir), Catalog(spark), CompareOptions(D.POSTGRESQL))
     return plan.commands.filter("op = 'CreateTable'").select(F.col("table_rank").alias("place"), "table_key")
 
 
-@query("diff_foreign_keys", f"select * from (values {', '.join(f'({c!r}, {f'ALTER TABLE {c} ADD CONSTRAINT FK_{c}_{p} FOREIGN KEY ({a}) REFERENCES {p}({b}) ON DELETE CASCADE;'!r})' for c, p, a, b in _EDGES)}) as x(table_name, sql)")
+@query("diff_foreign_keys", f"select child as table_name, 'ALTER TABLE ' || child || ' ADD CONSTRAINT FK_' || child || '_' || parent || ' FOREIGN KEY (' || own || ') REFERENCES ' || parent || '(' || other || ') ON DELETE CASCADE;' as sql from {_EDGE_ROWS}")
 def diff_foreign_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = compare(keyed_catalog(spark, sf_dir), desired_catalog(spark, sf_dir), CompareOptions(D.POSTGRESQL))
     return plan.commands.filter("op = 'CreateForeignKey'").select("table_name", "sql")
 
 
-@query("diff_keys_pk", f"select * from (values {', '.join(f'({t!r}, {f'ALTER TABLE {t} ADD CONSTRAINT PK_{t} PRIMARY KEY ({c});'!r})' for t, c in _KEYS)}) as x(table_name, sql)")
+@query("diff_keys_pk", f"select t as table_name, 'ALTER TABLE ' || t || ' ADD CONSTRAINT PK_' || t || ' PRIMARY KEY (' || c || ');' as sql from (values {', '.join(map(str, _KEYS))}) as k(t, c)")
 def diff_keys_pk(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = compare(keyed_catalog(spark, sf_dir), desired_catalog(spark, sf_dir), CompareOptions(D.POSTGRESQL))
     return plan.commands.filter("op = 'CreatePrimaryKey'").select("table_name", "sql")
 
 
-@query("fk_cycles", "select * from (values ('A', 'A'), ('B', 'A'), ('C', 'A')) as x(name, cycle)")
+@query(
+    "fk_cycles",
+    """with recursive keys as (select s_suppkey as k, count(*) over () as n from supplier), edges as (
+        select 'S' || k as child, 'S' || (k * k + 3) % n as parent from keys union select 'S' || k, 'S' || (k * 7) % n from keys where k % 5 = 0
+    ), own as (select * from edges where child <> parent), reach as (select child as a, parent as b from own union select r.a, e.parent from reach r join own e on e.child = r.b)
+    select x.a as name, min(x.b) as cycle from reach x join reach y on y.a = x.b and y.b = x.a group by 1""",
+)
 def fk_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sequence.cycles(spark.createDataFrame([("A", "B"), ("B", "C"), ("C", "A"), ("D", "A"), ("A", "E")], "child string, parent string"))
+    """Tables named by suppliers, with references by a rule that runs into cycles."""
+    keys = _table(spark, sf_dir, "supplier").selectExpr("s_suppkey as k")
+    n = keys.count()
+    edges = keys.selectExpr("concat('S', k) as child", f"concat('S', (k * k + 3) % {n}) as parent").union(keys.filter("k % 5 = 0").selectExpr("concat('S', k)", f"concat('S', k * 7 % {n})"))
+    return sequence.cycles(edges)
 
 
 # canonical texts, over the tables' own text columns
@@ -309,14 +335,18 @@ def assert_pk_unique(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.duplicate_keys(_table(spark, sf_dir, "orders"), ["o_custkey", "o_orderpriority"])
 
 
-@query("assert_pk_violations", "select user_id, event_type, count(*)::bigint as copies, 'duplicate' as problem from events group by 1, 2 having count(*) > 1 and user_id is not null and event_type is not null")
+@query("assert_pk_violations", "select k as user_id, event_type, count(*)::bigint as copies, case when k is null or event_type is null then 'null' else 'duplicate' end as problem from (select case when event_id % 9 <> 0 then user_id end as k, event_type from events) group by 1, 2 having count(*) > 1 or k is null or event_type is null")
 def assert_pk_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checks.key_violations(_table(spark, sf_dir, "events"), ["user_id", "event_type"])
+    """Of a ninth of the events the user is taken away, so that keys with nulls occur."""
+    events = _table(spark, sf_dir, "events").selectExpr("case when event_id % 9 <> 0 then user_id end as user_id", "event_type")
+    return checks.key_violations(events, ["user_id", "event_type"])
 
 
-@query("assert_not_null", "select doc_id from documents where lang is null or text is null")
+@query("assert_not_null", "select o_orderkey from orders where o_orderkey % 13 = 0 or o_orderpriority = '5-LOW'")
 def assert_not_null(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return checks.null_rows(_table(spark, sf_dir, "documents"), ["lang", "text"]).select("doc_id")
+    """Some customers and all low priorities are taken away, so that nulls occur."""
+    orders = _table(spark, sf_dir, "orders").selectExpr("o_orderkey", "case when o_orderkey % 13 <> 0 then o_custkey end as o_custkey", "nullif(o_orderpriority, '5-LOW') as o_orderpriority")
+    return checks.null_rows(orders, ["o_custkey", "o_orderpriority"]).select("o_orderkey")
 
 
 @query("assert_check", "select l_orderkey, l_linenumber, l_quantity from lineitem where not (l_quantity <= 45 and l_discount < 0.09)")
@@ -363,5 +393,8 @@ def validators_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+from . import catalog_queries, extraction_queries, lifecycle_queries  # noqa: E402, F401  (they add their queries to those above)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan_commands(spark, sf_dir)
