@@ -5,13 +5,17 @@ beginning every half passage. A score is taken as a share of the item's score fo
 all items. Retrieved items are verified on the document's own words: the question (all but the item's last sentence) and the
 answer (its last sentence) must both overlap.
 
-The index is cut into shards of at most SHARD_ITEMS items, so what is broadcast is bounded however long the benchmark is; each shard is one pass
-over the documents. Long items are indexed as parts of at most PASSAGE words. Document frequencies count all parts of all shards.
-Documents are never shuffled.
+What is broadcast is bounded however long the benchmark is: the index is cut into shards of at most SHARD_WORDS words, or of one bucket of
+items if that alone has more, as one item has to fit into memory; a bucket is a sixteenth of a shard on average. Long items are indexed as parts of at
+most PASSAGE words. Document frequencies count all parts of all shards. Documents are never shuffled.
+
+Most passages have no item near the threshold. WAND's bound by largest impacts of terms is too loose to tell so for short items, so a bound per
+unit goes first for all passages at once (see promising); it is never below the score, so WAND finds all units that it would find without it.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -21,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .scratch import saved
 from .words import PLAIN_BYTE, mix, spans, steps, word_hashes
 
 PASSAGE = 64
@@ -30,7 +35,7 @@ OVERLAP = 0.5
 ANSWER_WORDS = 5
 K1, B = 1.2, 0.75
 BLOCK = 8
-SHARD_ITEMS = 20_000
+SHARD_WORDS = 2_000_000
 #: Share of an item's own score that its less telling terms may make up; the first bound looks at the others only.
 LESS_TELLING = 0.2
 
@@ -171,7 +176,10 @@ def wand(index: Index, terms: np.ndarray, least: float = THRESHOLD) -> list[tupl
 def promising(index: Index, words: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Starts of the passages that can reach the threshold, by a bound from above over telling terms; first: each row's first word.
 
-    Half passages are added up per unit; a passage is two halves in a row.
+    Half passages are added up per unit; a passage is two halves in a row. For a passage p and a unit u, score(p, u) is the sum of impact(t, u) over
+    the distinct terms t of p that u has. Telling ones among them are added up here (a term that is in both halves twice, which only raises the sum), and the
+    others come to at most rest(u), whichever p has. So the bound is at least the score. A unit without any telling term in p scores at most
+    rest(u) <= LESS_TELLING < THRESHOLD and is rightly left out.
     """
     maybe = np.flatnonzero(index.sieve[(words & np.uint64(0xFFFF)).astype(np.int64)])
     own, terms = index.rows(words[maybe])
@@ -199,8 +207,13 @@ def promising(index: Index, words: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 _SCHEMA = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
 
+#: An index and, of each of its items, id, question and answer.
+Shard = tuple[Index, list[tuple[int | None, np.ndarray, np.ndarray]]]
+
 
-def _matches(index: Index, items: list[tuple[int | None, np.ndarray, np.ndarray]], docs: list[int | None], texts: list[str | None]) -> Iterator[tuple]:
+def _matches(shard: Shard, texts: list[str | None]) -> Iterator[tuple[int, int, float, float, float]]:
+    """(place in texts, item's place in the shard, score, overlaps), once for each text and item, by its best passage."""
+    index, items = shard
     for row0, _, data, at in steps(pa.array([(x or "").lower() for x in texts], pa.large_string())):
         starts, ends, first = spans(data, at, PLAIN_BYTE)
         words = word_hashes(data, starts, ends)
@@ -208,8 +221,7 @@ def _matches(index: Index, items: list[tuple[int | None, np.ndarray, np.ndarray]
         for start in promising(index, words, first):
             row = int(np.searchsorted(first, start, "right")) - 1
             end = min(start + PASSAGE, first[row + 1])
-            found = wand(index, np.unique(index.rows(words[start:end])[1]))
-            for unit, score in found:
+            for unit, score in wand(index, np.unique(index.rows(words[start:end])[1])):
                 item = int(index.item[unit])
                 _, question, answer = items[item]
                 reach = PASSAGE + len(question) + len(answer)
@@ -218,18 +230,26 @@ def _matches(index: Index, items: list[tuple[int | None, np.ndarray, np.ndarray]
                 if q >= OVERLAP and a >= OVERLAP and score > best.get((row, item), (0,))[0]:
                     best[row, item] = (score, q, a)
         for (row, item), (score, q, a) in best.items():
-            yield docs[row0 + row], items[item][0], min(score, 1.0), q, a
+            yield row0 + row, item, min(score, 1.0), q, a
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """(doc_id, item_id, score, question_overlap, answer_overlap): the items that documents contain, once per row of docs and item.
+def packed(buckets: list[tuple[int, int]], limit: int) -> list[list[int]]:
+    """Buckets (name, words) in groups of at most limit words; one that has more is alone."""
+    groups: list[list[int]] = []
+    size = limit
+    for name, words in sorted(buckets):
+        if size + words > limit:
+            groups.append([])
+            size = 0
+        groups[-1].append(name)
+        size += words
+    return groups
 
-    docs: doc_id long, text string; benchmark: item_id long, text string; other columns are ignored. Null and empty texts, and items
-    without words, match nothing. Repeated rows give repeated results. Empty tables give an empty result.
-    """
-    spark = docs.sparkSession
-    benchmark = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+
+def _shards(benchmark: DataFrame) -> Iterator[Shard]:
+    """The index in shards of at most SHARD_WORDS words (or one bucket of items), one at a time."""
+    spark = benchmark.sparkSession
+    benchmark = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text").filter("text is not null").distinct()
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -238,32 +258,61 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             unit = np.concatenate([np.arange(len(x)) == 0 for x in own]) if own else np.zeros(0, bool)
             yield pa.RecordBatch.from_arrays([pa.array(flat.view(np.int64)), pa.array(unit.astype(np.int64))], ["term", "unit"])
 
-    counts = benchmark.mapInArrow(terms, "term long, unit long").groupBy("term").agg(F.count("*").alias("held"), F.sum("unit").alias("unit")).persist()
+    counts = saved(benchmark.mapInArrow(terms, "term long, unit long").groupBy("term").agg(F.count("*").alias("held"), F.sum("unit").alias("unit")))
     units = counts.agg(F.sum("unit")).first()[0] or 0
-    shards = max(1, -(-benchmark.count() // SHARD_ITEMS))
-    found = None
-    for k in range(shards):
-        shard = benchmark.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == k).orderBy("item_id", "text").collect() if shards > 1 else benchmark.orderBy("item_id", "text").collect()
-        words = [words_of(r.text) for r in shard]
-        wanted = {int(t) for own in words for t in own}
-        names = spark.createDataFrame([(int(np.array([t], np.uint64).view(np.int64)[0]),) for t in sorted(wanted)], "term long")
+    size = F.length("text") / 4 + 1  # about as many words
+    total = benchmark.agg(F.sum(size)).first()[0] or 0
+    bucket = F.pmod(F.xxhash64("item_id", "text"), F.lit(16 * max(1, math.ceil(total / SHARD_WORDS))))
+    sizes = [(r.bucket, math.ceil(r.words)) for r in benchmark.groupBy(bucket.alias("bucket")).agg(F.sum(size).alias("words")).collect()]
+    for group in packed(sizes, SHARD_WORDS):
+        rows = benchmark.filter(bucket.isin(group)).orderBy("item_id", "text").collect()
+        words = [words_of(r.text) for r in rows]
+        wanted = np.unique(np.concatenate(words)).view(np.int64) if words else np.zeros(0, np.int64)
+        names = spark.createDataFrame(pa.table({"term": wanted}))
         held = {int(np.array([r.term], np.int64).view(np.uint64)[0]): r.held for r in counts.join(F.broadcast(names), "term").collect()}
-        items = [(r.item_id, *question_and_answer(r.text)) for r in shard]
-        shared = spark.sparkContext.broadcast((build(words, held, units), items))
+        yield build(words, held, units), [(r.item_id, *question_and_answer(r.text)) for r in rows]
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """(doc_id, item_id, score, question_overlap, answer_overlap): the items that documents contain, once per row of docs and item.
+
+    docs: doc_id long, text string; benchmark: item_id long, text string; other columns are ignored. Null and empty texts, and items
+    without words, match nothing. Repeated rows of docs give repeated results, repeated items count once; items with equal texts and different ids are
+    all found, with equal scores. Of equally good passages the first counts. Null ids are kept as null. Texts are read whole, passage by passage. Empty
+    tables give an empty result.
+    """
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    found = None
+    for shard in _shards(benchmark):
+        shared = docs.sparkSession.sparkContext.broadcast(shard)
 
         def matches(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                rows = list(_matches(*shared.value, batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()))
-                columns = [list(x) for x in zip(*rows, strict=True)] if rows else [[]] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), *[pa.float64()] * 3), strict=True)], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
+                rows = list(_matches(shared.value, batch.column("text").to_pylist()))
+                place, item, *numbers = zip(*rows, strict=True) if rows else [[]] * 5
+                ids = [shared.value[1][k][0] for k in item]
+                columns = [batch.column("doc_id").take(pa.array(place, pa.int64())), pa.array(ids, pa.int64()), *[pa.array(x, pa.float64()) for x in numbers]]
+                yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in _SCHEMA.split(", ")])
 
         one = docs.mapInArrow(matches, _SCHEMA)
         found = one if found is None else found.unionAll(one)
-    counts.unpersist()
-    return found
+    return docs.sparkSession.createDataFrame([], _SCHEMA) if found is None else found
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the documents that contain a benchmark item."""
-    leaks = contaminated(docs, benchmark).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*[docs[c] for c in docs.columns])
+    """docs without the rows whose text contains a benchmark item, with docs' own columns, whatever their names.
+
+    Each row is judged by its own text alone, so repeated ids and rows without an id stand or fall by themselves. Null and empty texts stay.
+    The shards are filters one after the other: each sees what the one before it has left, in one pass over docs.
+    """
+    for shard in _shards(benchmark):
+        shared = docs.sparkSession.sparkContext.broadcast(shard)
+
+        def kept(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                clean = np.ones(batch.num_rows, bool)
+                clean[[row for row, *_ in _matches(shared.value, batch.column("text").to_pylist())]] = False
+                yield batch.filter(pa.array(clean))
+
+        docs = docs.mapInArrow(kept, docs.schema)
+    return docs

@@ -4,28 +4,52 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one of our own only where that is unset."""
+    """The folder named by spark.checkpoint.dir. Where that is unset, a temporary one of our own if all runs on this machine, and an error on a cluster."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = tempfile.mkdtemp(prefix="schemaloom-checkpoint-")
         spark.conf.set("spark.checkpoint.dir", path)
         spark.sparkContext.setCheckpointDir(path)
     return path
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """df written as Parquet to the shared folder and read again: lineage ends there, and a lost executor loses nothing."""
+_open: list[list[str]] = []
+
+
+def saved(df: DataFrame, keep: bool = False) -> DataFrame:
+    """df written as Parquet to the shared folder and read again: lineage ends there, and a lost executor loses nothing.
+
+    Inside tidy() the table goes at the end of the block, unless keep says that the block's result reads it.
+    """
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _open and not keep:
+        _open[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables that saved() wrote inside the block and didn't keep."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            target = spark._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -45,6 +69,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(docs: DataFrame, name: str) -> str:
+    """name, or a longer one that docs has no column of."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name = f"_{name}"
+    return name
+
+
 def held_out() -> "F.Column":
     """Rows whose crc32(doc_id as text) mod 5 is 0: never used for learning."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
