@@ -14,6 +14,7 @@ the sign that stands for a blank.
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import heapq
 import itertools
@@ -34,6 +35,8 @@ BLANK = "▁"
 BEST = 3
 CACHED_WORDS = 100_000
 STEP_WORDS = 20_000
+#: Places of a segment whose edges a search keeps in memory.
+KEPT_PLACES = 4_096
 _SLOTS = 22
 
 
@@ -106,43 +109,52 @@ class Pieces:
 
     # one segment at a time, for the search
 
-    def edges(self, segment: str) -> list[list[tuple[int, float, tuple[int, ...]]]]:
-        """For each end: (start, score, ids) of the pieces that end there. segment: blanks as blanks."""
-        signs = segment.replace(BLANK, "\0").replace(" ", BLANK)
-        into: list[list[tuple[int, float, tuple[int, ...]]]] = [[] for _ in range(len(signs) + 1)]
-        for end in range(1, len(signs) + 1):
-            for start in range(max(0, end - self.longest), end):
-                if (i := self.piece.get(signs[start:end])) is not None:
-                    into[end].append((start, float(self.score[i]), (i,)))
-            if not into[end] or into[end][-1][0] != end - 1:
-                into[end].append((end - 1, self.fallback, tuple(self.byte[b] for b in segment[end - 1].encode("utf-8", "surrogatepass"))))
-        return into
+    def ending(self, segment: str, signs: str, end: int) -> list[tuple[int, float, tuple[int, ...]]]:
+        """(start, score, ids) of the pieces that end at a place. segment: blanks as blanks; signs: as pieces have them."""
+        found = []
+        for start in range(max(0, end - self.longest), end):
+            if (i := self.piece.get(signs[start:end])) is not None:
+                found.append((start, float(self.score[i]), (i,)))
+        if not found or found[-1][0] != end - 1:
+            found.append((end - 1, self.fallback, tuple(self.byte[b] for b in segment[end - 1].encode("utf-8", "surrogatepass"))))
+        return found
 
     def search(self, segments: list[str], best: int = BEST) -> list[tuple[float, list[tuple[int, ...]]]]:
-        """The best segmentations of segments in a row: (score, ids of each segment), by score from the best."""
-        into, ends = [[]], {0: 0}
-        for segment in segments:
-            base = len(into) - 1
-            into += [[(base + s, w, ids) for s, w, ids in e] for e in self.edges(segment)[1:]]
-            ends[len(into) - 1] = len(ends)
+        """The best segmentations of segments in a row: (score, ids of each segment), by score from the best.
+
+        Of equal losses the place nearest to the start goes first, so the search follows one path to its end before it tries
+        an equal one; and no place is left more than best times, as the best paths through it need no more. Both keep the number of
+        steps in proportion to the length, also where all paths are equally good. Of paths with equal scores those stay that were met first.
+        """
+        at = [0, *itertools.accumulate(map(len, segments))]
+        signs = [x.replace(BLANK, "\0").replace(" ", BLANK) for x in segments]
+
+        def into(place: int) -> list[tuple[int, float, tuple[int, ...]]]:
+            k = bisect.bisect_left(at, place) - 1
+            return [(at[k] + s, w, ids) for s, w, ids in self.ending(segments[k], signs[k], place - at[k])]
+
+        if at[-1] <= KEPT_PLACES:  # edges of longer segments are looked up again, not kept
+            into = [(), *(self.ending(segments[0], signs[0], place) if place <= at[1] else into(place) for place in range(1, at[-1] + 1))].__getitem__
         forward = [0.0]
-        for e in into[1:]:
-            forward.append(max(forward[s] + w for s, w, _ in e))
-        found, tie = [], itertools.count()
-        # (loss against the best path, tie, place, score after place, pieces after place)
-        heap = [(-forward[-1], next(tie), len(into) - 1, 0.0, None)]
+        for place in range(1, at[-1] + 1):
+            forward.append(max(forward[s] + w for s, w, _ in into(place)))
+        found, tie, left = [], itertools.count(), [0] * len(forward)
+        # (loss against the best path, place, tie, score after place, pieces after place)
+        heap = [(-forward[-1], at[-1], next(tie), 0.0, None)]
         while heap and len(found) < best:
-            _, _, place, score, tail = heapq.heappop(heap)
+            _, place, _, score, tail = heapq.heappop(heap)
             if not place:
                 parts: list[list[int]] = [[] for _ in segments]
                 while tail:
                     end, ids, tail = tail
-                    k = min(ends[x] for x in ends if x >= end) - 1
-                    parts[k] += ids
+                    parts[bisect.bisect_left(at, end) - 1] += ids
                 found.append((score, [tuple(p) for p in parts]))
                 continue
-            for start, w, ids in into[place]:
-                heapq.heappush(heap, (-(forward[start] + score + w), next(tie), start, score + w, (place, ids, tail)))
+            left[place] += 1
+            if left[place] > best:
+                continue
+            for start, w, ids in into(place):
+                heapq.heappush(heap, (-(forward[start] + score + w), start, next(tie), score + w, (place, ids, tail)))
         return found
 
     def _searched(self, segment: str, best: int) -> list[tuple[float, tuple[int, ...]]]:
