@@ -13,6 +13,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +22,8 @@ from .scratch import partitions
 from .words import shingles, steps
 
 FRACTION = 1 / 8
+#: Least hashes of a sketch, if the document has as many. Documents of fewer than about FLOOR / FRACTION shingles keep a larger share than FRACTION,
+#: up to all of them: with FRACTION alone most of them would have a handful of hashes or none. 0 leaves FRACTION alone.
 FLOOR = 64
 _LIMIT = np.uint64(int(FRACTION * 2**64) - 1)
 _ALL = np.uint64(2**64 - 1)
@@ -29,21 +32,21 @@ _ROWS = 512
 Sketch = tuple[np.uint64, np.ndarray]
 
 
-def sketch(hashes: np.ndarray) -> Sketch:
+def sketch(hashes: np.ndarray, floor: int = FLOOR) -> Sketch:
     """(bound, sorted distinct hashes up to it) of all shingle hashes of a document."""
     own = np.unique(hashes[hashes <= _LIMIT])
-    if len(own) >= FLOOR:
+    if len(own) >= floor:
         return _LIMIT, own
     own = np.unique(hashes)
-    return (_ALL, own) if len(own) <= FLOOR else (max(_LIMIT, own[FLOOR - 1]), own[:FLOOR])
+    return (_ALL, own) if len(own) <= floor else (max(_LIMIT, own[floor - 1]), own[:floor])
 
 
-def merge(a: Sketch, b: Sketch) -> Sketch:
+def merge(a: Sketch, b: Sketch, floor: int = FLOOR) -> Sketch:
     """The sketch of the union of two documents' shingles, from their sketches alone."""
     own = np.union1d(a[1], b[1])
     bound = min(a[0], b[0])
-    if len(own) > FLOOR:
-        bound = min(bound, max(_LIMIT, own[FLOOR - 1]))
+    if len(own) > floor:
+        bound = min(bound, max(_LIMIT, own[floor - 1] if floor else _LIMIT))
     return bound, own[own <= bound]
 
 
@@ -127,25 +130,62 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ids, texts = ids[-1:], texts[-1:]
 
 
+#: Where rows without a doc_id stand, and from where on their ties are, so that they come after a document of that very id.
+_LAST, _NO_ID = 2**63 - 1, 1 << 31
+
+
+def boundaries(quantiles: list[float]) -> list[tuple[int, int]]:
+    """(place, tie) at which a partition begins, from quantiles of the places. A place that fills several partitions is cut by ties."""
+    places = [min(int(x), _LAST) for x in quantiles]
+    found = []
+    for place in sorted(set(places)):
+        times, least = places.count(place), _NO_ID if place == _LAST else 0
+        found += [(place, least + k * _NO_ID // times) for k in range(times)]
+    return found
+
+
+def part_of(cuts: list[tuple[int, int]], place: np.ndarray, tie: np.ndarray) -> np.ndarray:
+    """How many cuts are not after (place, tie), by binary search."""
+    cut_place, cut_tie = (np.array([x[k] for x in cuts], np.int64) for k in (0, 1))
+    low, high = np.searchsorted(cut_place, place), np.searchsorted(cut_place, place, "right")
+    part = low.copy()
+    for start in np.unique(low[high > low]):
+        own = np.flatnonzero((low == start) & (high > low))
+        part[own] += np.searchsorted(cut_tie[start : high[own[0]]], tie[own], "right")
+    return part
+
+
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """One row per row of docs (doc_id long, text string): n_chars, the edited text's SHA-256, both fingerprints, likenesses.
+    """One row per row of docs (doc_id long, text string): n_chars, the edited text's SHA-256, both fingerprints, likenesses. Other columns are ignored.
 
-    The next document is the next in ascending doc_id (ties by text), after the last the first; a single document
-    follows itself. Null texts count as empty; rows without a doc_id come last. An empty table gives an empty result.
+    The next document is the next in ascending doc_id (ties by a hash of the text, then by the text), after the last the first; a single
+    document follows itself. Null texts count as empty; rows without a doc_id come last, in the order of ties. Repeated rows follow
+    each other. A text is read whole and has to fit into memory; texts without words have an empty fingerprint and are alike.
+    An empty table gives an empty result.
 
-    The texts are shuffled once: ranges of doc_id become partitions, and each range also gets the first document of the range
-    after it, which is all that it needs from elsewhere.
+    The texts are shuffled once: ranges of (doc_id, hash of the text) become partitions, so that many rows of one id or of none are split as well,
+    and each range also gets the first document of the range after it, which is all that it needs from elsewhere. Only
+    one boundary and one first place for each partition pass the driver.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    docs = docs.withColumn("place", F.coalesce("doc_id", F.lit(2**63 - 1)))
+    tie = F.shiftrightunsigned(F.xxhash64("text"), 33) + F.when(F.col("doc_id").isNull(), F.lit(_NO_ID)).otherwise(F.lit(0))
+    docs = docs.withColumns({"place": F.coalesce("doc_id", F.lit(_LAST)), "tie": tie})
     count = max(partitions(spark), 1)
-    cuts = sorted({int(x) for x in docs.stat.approxQuantile("place", [k / count for k in range(1, count)], 0.1 / count)}) if count > 1 else []
-    ranges = docs.withColumn("part", F.size(F.filter(F.array(*[F.lit(x) for x in cuts]), lambda x: x <= F.col("place"))) if cuts else F.lit(0))
-    firsts = sorted(tuple(x) for x in ranges.groupBy("part").agg(F.min("place")).collect())
-    before = {place: firsts[k - 1][0] for k, (_, place) in enumerate(firsts)}  # at most one per partition
-    head = F.create_map(*[x for place, part in before.items() for x in (F.lit(place).cast("long"), F.lit(part))])[F.col("place")] if before else F.lit(None).cast("int")
+    cuts = boundaries(docs.stat.approxQuantile("place", [k / count for k in range(1, count)], 0.1 / count)) if count > 1 else []
+
+    @F.pandas_udf("int")
+    def part(place: pd.Series, tie: pd.Series) -> pd.Series:
+        return pd.Series(part_of(cuts, place.to_numpy(), tie.to_numpy()).astype(np.int32))
+
+    ranges = docs.withColumn("part", part("place", "tie"))
+    order = F.col("place").cast("decimal(38,0)") * F.lit(2**32).cast("decimal(18,0)") + F.col("tie").cast("decimal(18,0)")
+    ranges = ranges.withColumn("order", order.cast("decimal(38,0)"))
+    firsts = sorted(tuple(x) for x in ranges.groupBy("part").agg(F.min("order")).collect())
+    before = pa.table({"order": pa.array([x for _, x in firsts], pa.decimal128(38, 0)), "to_before": pa.array([firsts[k - 1][0] for k in range(len(firsts))], pa.int32())})
     own = F.struct(F.col("part").alias("part"), F.lit(False).alias("tail"))
-    sent = F.when(head.isNull(), F.array(own)).otherwise(F.array(own, F.struct(head.alias("part"), F.lit(True).alias("tail"))))
-    dealt = ranges.withColumn("to", F.explode(sent)).select("doc_id", "text", "place", "to.part", "to.tail")
-    return dealt.repartitionById(count, F.col("part")).sortWithinPartitions("tail", "place", "text").mapInArrow(_compare, _SCHEMA)
+    heads = F.broadcast(spark.createDataFrame(before))  # one row per partition
+    dealt = ranges.join(heads, "order", "left")
+    sent = F.when(F.col("to_before").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("to_before").alias("part"), F.lit(True).alias("tail"))))
+    dealt = dealt.withColumn("to", F.explode(sent)).select("doc_id", "text", "place", "tie", "to.part", "to.tail")
+    return dealt.repartitionById(count, F.col("part")).sortWithinPartitions("tail", "place", "tie", "text").mapInArrow(_compare, _SCHEMA)
