@@ -9,6 +9,7 @@ whose marginal of being main text is over a half is kept, in page order.
 
 from __future__ import annotations
 
+import bisect
 import html
 import re
 import zlib
@@ -30,9 +31,15 @@ SAME_ENDS = {"li": {"li"}, "dd": {"dd", "dt"}, "dt": {"dd", "dt"}, "tr": {"tr",
 STOPS_AT = {"li": {"ul", "ol", "menu", "dir"}, "dd": {"dl"}, "dt": {"dl"}, "tr": {"table", "tbody", "thead", "tfoot"}, "td": {"tr", "table"}, "th": {"tr", "table"}}
 
 _TAG = re.compile(r"<!--(?:.*?--!?>|.*)|<![^>]*+>|<\?[^>]*+>|<(/?)([a-zA-Z][^\s/>]*+)((?:\"[^\"]*+\"|'[^']*+'|[^\"'>])*+)>", re.S)
-_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in RAW}
-_RAW_OPEN = {t: re.compile(rf"<(/?){t}(?=[\s/>])[^>]*>", re.I) for t in ("svg", "math", "object", "audio", "video", "canvas", "select", "datalist", "noscript", "button", "head")}
-_ATTRIBUTE = re.compile(r"([^\s=\"'/]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_RAW_TAG = {t: re.compile(rf"<(/?){t}(?=[\s/>])[^>]*+>", re.I) for t in RAW}
+#: Raw elements that can hold others of their name.
+_NESTED = frozenset("svg math object audio video canvas select datalist noscript button head".split())
+_ATTRIBUTE = re.compile(r"(?<![^\s=\"'/])([^\s=\"'/]++)\s*+=\s*+(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]++))")
+_TURN = re.compile("[>\"']")
+#: Elements below this depth become children of the last one above it, as in browsers.
+MOST_DEPTH = 512
+# Elements that a paragraph's end is not looked for beyond.
+SCOPES = {"table", "td", "th", "caption", "html"}
 _NAME = re.compile(r"[a-zA-Z][a-z]*")
 
 _BLOCK = {t: i for i, t in enumerate(BLOCKS)}
@@ -43,18 +50,81 @@ _RAWS, _VOIDS = frozenset(RAW), frozenset(VOID)
 class Tree:
     tags: list[int]
     parents: list[int]
+    depths: list[int]
     names: list[list[str]]
     texts: list[tuple[int, str]]  # (node, text as in the page) in page order
     chars: list[int]
     linked: list[int]
 
 
+class _Scan:
+    """Ends of tags and of raw elements in a page. Each is told by one pass over the page at most, whatever is left open in it."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = page.rfind(">") + 1
+        self.turns: list[int] | None = None  # places of > and quotes, and for each the end of a tag that gets there outside of quotes
+        self.ends: list[int] = []
+        self.raw: dict[str, dict[int, int]] = {}
+
+    def tag(self, at: int) -> re.Match | None:
+        """The next tag or comment from a place on. A tag that is never closed is text."""
+        while (at := self.page.find("<", at)) >= 0:
+            if at >= self.last and not self.page.startswith("<!--", at):
+                return None
+            sign = self.page[at + 1 : at + 2]
+            named = sign == "/" or sign.isalpha()
+            if (self.turns is None or not named or self._closed(at)) and (found := _TAG.match(self.page, at)):
+                return found
+            if self.turns is None and named:
+                self._find_ends()
+            at += 1
+        return None
+
+    def _find_ends(self) -> None:
+        self.turns = [m.start() for m in _TURN.finditer(self.page)]
+        self.ends = [-1] * (len(self.turns) + 1)
+        following = {'"': len(self.turns), "'": len(self.turns)}
+        for k in range(len(self.turns) - 1, -1, -1):
+            sign = self.page[self.turns[k]]
+            if sign == ">":
+                self.ends[k] = self.turns[k]
+            else:
+                self.ends[k] = self.ends[following[sign] + 1] if following[sign] < len(self.turns) else -1
+                following[sign] = k
+
+    def _closed(self, at: int) -> bool:
+        return self.ends[bisect.bisect_left(self.turns, at)] >= 0
+
+    def raw_end(self, name: str, at: int) -> int:
+        """Where the raw element ends whose start tag ends at a place; -1 if it never does."""
+        if name not in self.raw:
+            tags = [(m.start(), m.end(), bool(m[1])) for m in _RAW_TAG[name].finditer(self.page, 0, self.last)]
+            ends, open_tags, following = {}, [], -1
+            if name in _NESTED:
+                for start, end, closes in tags:
+                    if not closes:
+                        open_tags.append(start)
+                    elif open_tags:
+                        ends[open_tags.pop()] = end
+            else:
+                for start, end, closes in reversed(tags):
+                    if closes:
+                        following = end
+                    else:
+                        ends[start] = following
+            self.raw[name] = ends
+        return self.raw[name].get(at, -1)
+
+
 def parse(page: str) -> Tree:
-    """Node 0 is the page. Missing end tags are supplied as browsers do for paragraphs, list items and table cells."""
-    tree = Tree([_BLOCK["html"]], [-1], [[]], [], [0], [0])
-    stack = [(0, "html")]
+    """Node 0 is the page. Missing end tags are supplied as browsers do for paragraphs, list items and table cells. Linear in the page's length."""
+    tree = Tree([_BLOCK["html"]], [-1], [0], [[]], [], [0], [0])
+    stack = [(0, "html", 0)]  # node, name, place in the stack of the open paragraph that a block ends (0: none)
+    opened: dict[str, int] = {}
     link = 0
     run: list[str] = []
+    scan = _Scan(page)
 
     def flush() -> None:
         if run:
@@ -70,9 +140,24 @@ def parse(page: str) -> Tree:
                 if link:
                     tree.linked[node] += len(text)
 
+    def cut(k: int) -> None:
+        for _, name, _ in stack[k:]:
+            opened[name] -= 1
+        del stack[k:]
+
+    def nearest(names: set[str], stops: set[str]) -> int:
+        """Place in the stack of the innermost element with one of the names, 0 if one of stops comes before it."""
+        if any(opened.get(x) for x in names):
+            for k in range(len(stack) - 1, 0, -1):
+                if stack[k][1] in names:
+                    return k
+                if stack[k][1] in stops:
+                    break
+        return 0
+
     at, size = 0, len(page)
     while at < size:
-        tag = _TAG.search(page, at)
+        tag = scan.tag(at)
         if tag is None:
             add(page[at:])
             break
@@ -83,18 +168,11 @@ def parse(page: str) -> Tree:
         name = tag[2].lower()
         if name in _RAWS and name != "head":
             if not tag[1]:
-                end = _RAW_END[name].search(page, at)
-                depth_open = _RAW_OPEN.get(name)
-                if depth_open is not None:
-                    depth, end = 1, None
-                    for m in depth_open.finditer(page, at):
-                        depth += -1 if m[1] else 1
-                        if not depth:
-                            end = m
-                            break
-                    if end is None:
-                        continue  # never closed: only the tag is dropped
-                at = end.end() if end else size
+                end = scan.raw_end(name, tag.start())
+                if end >= 0:
+                    at = end
+                elif name not in _NESTED:
+                    at = size  # of nested ones that are never closed only the tag is dropped
             continue
         if name == "a":
             link = 0 if tag[1] else 1
@@ -104,26 +182,16 @@ def parse(page: str) -> Tree:
         elif name in _BLOCK:
             flush()
             if tag[1]:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][1] == name:
-                        del stack[k:]
-                        link = 0
-                        break
+                if k := nearest({name}, set()):
+                    cut(k)
+                    link = 0
                 continue
-            if name in ("html", "body") and any(x[1] == name for x in stack[1:]):
+            if name in ("html", "body") and opened.get(name):
                 continue
-            if name in CLOSE_P and any(x[1] == "p" for x in stack[-3:]):
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][1] == "p":
-                        del stack[k:]
-                        break
-            if name in SAME_ENDS:
-                for k in range(len(stack) - 1, 0, -1):
-                    if stack[k][1] in STOPS_AT[name]:
-                        break
-                    if stack[k][1] in SAME_ENDS[name]:
-                        del stack[k:]
-                        break
+            if name in CLOSE_P and stack[-1][2]:
+                cut(stack[-1][2])
+            if name in SAME_ENDS and (k := nearest(SAME_ENDS[name], STOPS_AT[name])):
+                cut(k)
             node = len(tree.tags)
             words: list[str] = []
             if tag[3]:
@@ -132,12 +200,15 @@ def parse(page: str) -> Tree:
                         words += [w.lower() for w in _NAME.findall(a or b or c)]
                     elif key.lower() == "hidden":
                         words.append("hidden")
+            parent = stack[min(len(stack), MOST_DEPTH) - 1][0]
             tree.tags.append(_BLOCK[name])
-            tree.parents.append(stack[-1][0])
+            tree.parents.append(parent)
+            tree.depths.append(tree.depths[parent] + 1)
             tree.names.append(words)
             tree.chars.append(0)
             tree.linked.append(0)
-            stack.append((node, name))
+            stack.append((node, name, len(stack) if name == "p" else 0 if name in SCOPES else stack[-1][2]))
+            opened[name] = opened.get(name, 0) + 1
     flush()
     return tree
 
@@ -165,6 +236,12 @@ class Forest:
     feature: np.ndarray
 
 
+def levels(depth: np.ndarray) -> list[np.ndarray]:
+    """The nodes of each depth."""
+    order = np.argsort(depth, kind="stable")
+    return np.split(order, np.searchsorted(depth[order], np.arange(1, int(depth.max(initial=-1)) + 1)))
+
+
 def _log_bin(x: np.ndarray) -> np.ndarray:
     return np.minimum(np.ceil(np.log2(x + 1)).astype(np.int64), _SIZES - 1)
 
@@ -177,19 +254,9 @@ def forest(trees: list[Tree]) -> Forest:
     parent = np.array([x for t in trees for x in t.parents], np.int64)
     parent = np.where(parent >= 0, parent + shift, -1)
     chars, linked = (np.array([x for t in trees for x in getattr(t, k)], np.int64) for k in ("chars", "linked"))
-    depth = np.zeros(n, np.int64)
-    front = np.flatnonzero(parent < 0)
-    order = np.argsort(parent, kind="stable")
-    sorted_parent = parent[order]
-    level = 0
-    while len(front):
-        depth[front] = level
-        lo, hi = np.searchsorted(sorted_parent, front), np.searchsorted(sorted_parent, front, "right")
-        front = order[np.concatenate([np.arange(a, b) for a, b in zip(lo, hi, strict=True) if b > a] or [np.zeros(0, np.int64)])]
-        level += 1
+    depth = np.array([x for t in trees for x in t.depths], np.int64)
     all_chars, all_linked = chars.copy(), linked.copy()
-    for d in range(level - 1, 0, -1):
-        own = np.flatnonzero(depth == d)
+    for own in levels(depth)[:0:-1]:
         np.add.at(all_chars, parent[own], all_chars[own])
         np.add.at(all_linked, parent[own], all_linked[own])
     kids = np.bincount(parent[parent >= 0], minlength=n)
@@ -219,13 +286,13 @@ def marginals(model: Model, f: Forest) -> tuple[np.ndarray, np.ndarray]:
     unary[:, 1] = np.bincount(f.node, model.weights[f.feature], n)
     pair = model.pairs[f.tag]
     up, message = unary.copy(), np.zeros((n, 2))
-    levels = [np.flatnonzero(f.depth == d) for d in range(int(f.depth.max(initial=-1)) + 1)]
-    for own in levels[:0:-1]:
+    of_depth = levels(f.depth)
+    for own in of_depth[:0:-1]:
         message[own] = np.logaddexp.reduce(pair[own] + up[own][:, None, :], 2)
         np.add.at(up, f.parent[own], message[own])
     down = np.zeros((n, 2))
     joint = np.zeros((n, 2, 2))
-    for own in levels[1:]:
+    for own in of_depth[1:]:
         parent = f.parent[own]
         rest = up[parent] + down[parent] - message[own]  # what the parent hears from elsewhere
         down[own] = np.logaddexp.reduce(pair[own] + rest[:, :, None], 1)
@@ -305,6 +372,11 @@ def extracted(pages: DataFrame, model: Model | None = None) -> DataFrame:
 
 
 def main_texts(pages: DataFrame) -> DataFrame:
-    """(page_id, url, text, n_chars) of every row of pages (page_id, url, html). Repeated rows give repeated results; an empty table gives none."""
+    """(page_id, url, text, n_chars) of every row of pages (page_id, url, html); other columns are ignored.
+
+    Null and empty html, and pages without main text, give the empty text. Pages are read whole; elements nested deeper than MOST_DEPTH join the
+    one at that depth, so no text is lost. A node whose marginal is exactly a half is left out. Tags that are never closed are text; of two texts of
+    one node the page's order decides. Repeated rows give repeated results; an empty table gives none.
+    """
     found = extracted(pages.select("page_id", "url", "html"))
     return found.select("page_id", "url", F.col("main_text").alias("text"), F.col("main_chars").alias("n_chars"))

@@ -29,6 +29,38 @@ def test_marginals_equal_sums_over_labellings():
     assert np.allclose(found, yes / total)
 
 
+OPEN = {
+    "buttons": "<button>" * 100_000, "selects": "<select><p>" * 50_000, "quotes": "<a x " * 100_000 + '">', "odd quotes": '<a "' * 100_001 + ">", "mixed": "<a '\"" * 50_000 + "x>", "ends": '</a "' * 100_000 + "'>",
+    "blocks": "<div>" * 100_000, "stray ends": "<div>" * 50_000 + "</p>" * 50_000, "drawings": "<svg>" * 60_000 + "</svg>" * 20_000, "marks": "<!" * 100_000, "names": "<p " + "a" * 200_000 + ">", "cells": "<td><tr>" * 50_000, "signs": "<" * 200_000 + ">",
+}
+
+
+@pytest.mark.parametrize("name", OPEN)
+def test_pages_that_leave_all_open_take_linear_time(model, name):
+    import time
+
+    began = time.perf_counter()
+    html_extract.extract(model, [OPEN[name]])
+    assert time.perf_counter() - began < 4  # under 2 seconds on a free machine
+
+
+def test_elements_that_never_end():
+    texts = lambda page: [t for _, t in html_extract.parse(page).texts]
+    assert texts("<p>a<button>b<button>c</button>d</p>") == ["abd"]
+    assert texts('<p>a<b "c>d</p>e') == ['a<b "c>d', "e"]
+    assert texts("<p>a</p><script>b</p>c") == ["a"]
+    assert texts("<svg><svg>x</svg></svg><p>a") == ["a"]
+    assert texts("a < b > c") == ["a < b > c"]
+    deep = html_extract.parse("<div>" * 2000 + "text" + "</div>" * 2000 + "<p>after</p>")
+    assert max(deep.depths) == html_extract.MOST_DEPTH and [t for _, t in deep.texts] == ["text", "after"] and deep.parents[-1] == 0
+
+
+def test_a_paragraph_ends_however_deep_it_is_open():
+    tree = html_extract.parse("<p><span><section>" + "<b>" * 5 + "<p>x<p>y")
+    assert [html_extract.BLOCKS[t] for t in tree.tags] == ["html", "p", "section", "p", "p"]
+    assert html_extract.parse("<p>a<table><tr><td>b<div>c</div></td></tr></table>").parents == [-1, 0, 0, 2, 3, 4]
+
+
 def test_held_out_layouts(model):
     pages = [(html_pages._Writer(seed).page(), html_pages.MARK) for seed in range(10_000, 10_060)]
     right = total = 0
