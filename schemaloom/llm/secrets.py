@@ -1,13 +1,16 @@
 """Secret scans: fixed forms, and any other token that a battery of randomness tests can't tell from random signs.
 
-Tokens of LEAST signs or more get the encoding that their signs allow (hexadecimal, base 32, base 64) and four p-values against the hypothesis of
+Tokens of LEAST signs or more get the encoding that their signs allow (hexadecimal, base 32, 36, 62 or 64, letters of both cases) and four p-values against the hypothesis of
 independent uniform signs: chi-squared over the alphabet, chi-squared over the classes of signs, runs above and below the middle,
 and serial correlation. Fisher's method combines them. Whether a token departs from randomness is then a matter of many tests at once, so
 tokens are rejected under a false-discovery rate of RATE (Benjamini-Hochberg), for each encoding and band of lengths apart,
 as the tests' power grows with length. The procedure runs on counts of tokens per cell of p, over the whole table. Tokens that are
 not rejected, and whose length carries BITS bits or more in their encoding, are reported as random.
 
-All of it is DataFrame expressions. What is collected are counts per encoding, band and cell: at most 3 * BANDS * CELLS rows.
+What is controlled is the share of random tokens among those that are dismissed: at most RATE of them. The share of tokens among the
+reported ones that aren't random is not controlled, as it depends on how far from random the other tokens are; tests/llm measures it.
+
+All of it is DataFrame expressions. What is collected are counts per encoding, band and cell: at most len(ENCODINGS) * BANDS * CELLS rows.
 """
 
 from __future__ import annotations
@@ -28,8 +31,20 @@ HEX = r"(?:\G|(?<![0-9a-f]))[0-9a-f]{24,}+"
 TOKEN = r"(?:\G|(?<![A-Za-z0-9+/_=-]))[A-Za-z0-9+/_=-]{20,}+"
 LEAST, BITS, RATE = 20, 80, 0.05
 BANDS, CELLS = 8, 64
-#: Signs of each encoding, in the order of their values.
-ALPHABETS = {"hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"}
+_CAPITALS, _SMALL, _DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
+#: Signs of each encoding, in the order of their values; and what a token of it looks like. A token has the first encoding that it fits, so the
+#: smallest alphabets come first.
+ENCODINGS = {
+    "hex": ("0123456789abcdef", r"^(?=.*[0-9])(?=.*[A-Fa-f])(?:[0-9a-f]+|[0-9A-F]+)$"),
+    "base32": (_CAPITALS + "234567", r"^(?=.*[2-7])(?=.*[A-Z])[A-Z2-7]+=*$"),
+    "base32_small": (_SMALL + "234567", r"^(?=.*[2-7])(?=.*[a-z])[a-z2-7]+=*$"),
+    "base36": (_DIGITS + _SMALL, r"^(?=.*[0-9])(?=.*[a-z])[0-9a-z]+$"),
+    "base36_capital": (_DIGITS + _CAPITALS, r"^(?=.*[0-9])(?=.*[A-Z])[0-9A-Z]+$"),
+    "base62": (_CAPITALS + _SMALL + _DIGITS, r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[0-9A-Za-z]+$"),
+    "base64": (_CAPITALS + _SMALL + _DIGITS + "+/", r"^(?=.*[0-9])(?=.*[a-z])(?=.*[A-Z])[0-9A-Za-z+/_-]+=*$"),
+    "letters": (_CAPITALS + _SMALL, r"^(?=.*[a-z])(?=.*[A-Z])[A-Za-z]+$"),
+}
+ALPHABETS = {k: signs for k, (signs, _) in ENCODINGS.items()}
 
 
 def _found(docs: DataFrame) -> DataFrame:
@@ -72,9 +87,9 @@ def _uniform(values: Column, n: Column, m: Column) -> Column:
 
 
 def _by_class(signs: Column, alphabet: Column, n: Column, m: Column) -> Column:
-    """Capital letters, small letters, and other signs, against their shares of the alphabet."""
+    """Vowels and other letters, capital and small, and other signs, against their shares of the alphabet. Words have more vowels than random letters."""
     statistic, classes = F.lit(0.0), F.lit(0)
-    for others in ("[^A-Z]", "[^a-z]", "[A-Za-z]"):
+    for others in ("[^AEIOU]", "[^B-DF-HJ-NP-TV-Z]", "[^aeiou]", "[^b-df-hj-np-tv-z]", "[A-Za-z]"):
         due = n * F.length(F.regexp_replace(alphabet, others, "")) / m
         held = F.length(F.regexp_replace(signs, others, ""))
         statistic = statistic + F.when(due > 0, (held - due) * (held - due) / due).otherwise(0.0)
@@ -126,13 +141,11 @@ def battery(token: Column, encoding: Column) -> Column:
 
 
 def _encoding(token: Column) -> Column:
-    kinds = token.rlike("[0-9]").cast("int") + token.rlike("[a-z]").cast("int") + token.rlike("[A-Z]").cast("int")
-    return (
-        F.when(~token.rlike("[0-9]") | ~token.rlike("[A-Za-z]"), F.lit(None))  # words and numbers
-        .when(token.rlike("^[0-9a-f]+$") | token.rlike("^[0-9A-F]+$"), "hex")
-        .when(token.rlike("^[A-Z2-7]+=*$"), "base32")
-        .when(kinds == 3, "base64")
-    )
+    """The first encoding that a token fits; null for numbers and for words of one case, alone or joined by other signs."""
+    found = None
+    for name, (_, looks) in ENCODINGS.items():
+        found = F.when(token.rlike(looks), name) if found is None else found.when(token.rlike(looks), name)
+    return found
 
 
 def _band(length: Column) -> Column:
@@ -170,8 +183,8 @@ def _judged(tokens: Column) -> Column:
 def secrets(docs: DataFrame) -> DataFrame:
     """(doc_id, n_assign, n_access, n_hex, base_sha256, spans) of every row of docs (doc_id, text); other columns are ignored.
 
-    Base spans stay whatever the battery says; random spans overlap no base span. Null and empty texts have no spans. Repeated
-    rows count each by itself, and an empty table gives an empty result.
+    Base spans stay whatever the battery says; random spans overlap no base span. Null and empty texts have no spans. Texts are read whole,
+    however long. Tokens with equal p stand or fall together. Repeated rows count each by itself, and an empty table gives an empty result.
     """
     found = _found(docs.select("doc_id", "text")).select("doc_id", "base", "tokens")
     found = saved(found.select("doc_id", "base", F.when(F.size("tokens") > 0, _judged(F.col("tokens"))).otherwise(F.array()).alias("tokens")))
