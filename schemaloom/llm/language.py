@@ -7,7 +7,7 @@ neighbours, while a switch of language inside a text is found where the words ar
 word's language probabilities; a text's language is the one with the largest sum over its words.
 
 Training texts are cut into segments, and segments of all languages are shuffled into code-switched sequences with
-known labels. Training reads at most TRAIN_EACH whole texts of each language, chosen by a hash of doc_id.
+known labels. Training reads at most TRAIN_EACH whole texts of each language, chosen by a hash of doc_id. Weights take one megabyte a language.
 """
 
 from __future__ import annotations
@@ -17,12 +17,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructType
 
 from .chargrams import code_points, grams, letter_runs, run_hashes
-from .scratch import held_out
+from .scratch import held_out, saved
 
 BITS = 18
 ORDERS = range(2, 5)
@@ -196,15 +196,13 @@ def predict(model: Model, texts: list[str | None]) -> tuple[list[str], list[floa
 def train(docs: DataFrame) -> Model:
     """From rows that are not held out and have a doc_id, a text and a lang; at most TRAIN_EACH of each lang."""
     known = docs.select("doc_id", "lang").filter("doc_id is not null and lang is not null and text is not null").filter(~held_out())
-    languages = sorted(r.lang for r in known.select("lang").distinct().collect())
-    if not languages:
-        return Model([], np.zeros((0, 1 << BITS), np.float32), np.zeros((0, 0)))
-    chosen = None
-    for name in languages:
-        some = known.filter(F.col("lang") == name).orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_EACH)
-        chosen = some if chosen is None else chosen.unionAll(some)
-    chosen = F.broadcast(chosen.distinct())  # at most TRAIN_EACH rows of two values for each language
+    # the smallest hashes of each language in every partition, and of these of all: one pass, whatever the number of languages
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    chosen = known.withColumn("place", F.dense_rank().over(first)).filter(F.col("place") <= TRAIN_EACH).select("doc_id", "lang").distinct()
+    chosen = saved(chosen)  # the join knows its size: broadcast if it is small
     rows = docs.select("doc_id", "lang", "text").join(chosen, ["doc_id", "lang"]).filter("text is not null").groupBy("doc_id", "lang").agg(F.min("text").alias("text")).toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")])
+    if not len(rows):
+        return Model([], np.zeros((0, 1 << BITS), np.float32), np.zeros((0, 0)))
     return fit(rows.column("text").to_pylist(), rows.column("lang").to_pylist())
 
 
@@ -224,8 +222,8 @@ def identified(docs: DataFrame, model: Model) -> DataFrame:
 def languages(docs: DataFrame) -> DataFrame:
     """(doc_id, held_out, lang_pred, score) of every row of docs (doc_id, text, lang).
 
-    Null texts and texts without a letter are 'und' with score 0, and so is every text where no row can be learned from. Repeated
-    rows get equal results; a null doc_id counts as not held out but is not learned from; an empty table gives an empty result.
+    Null texts and texts without a letter are 'und' with score 0, and so is every text where no row can be learned from. Texts are read whole,
+    however long; of languages with equal shares the first by name is taken. Other columns are ignored. Repeated rows get equal results; a null doc_id counts as not held out but is not learned from; an empty table gives an empty result.
     """
     found = identified(docs.select("doc_id", "text"), train(docs))
     return found.select("doc_id", held_out().alias("held_out"), "lang_pred", F.col("lang_score").alias("score"))
