@@ -129,13 +129,27 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, held_out, score, predicted) of every row of docs. Repeated rows get equal results; a null doc_id counts as not held out; empty tables give empty results."""
+    """(doc_id, held_out, score, predicted) of every row of docs (doc_id, text); other columns are ignored. A text is scored whole, however long.
+
+    Repeated rows and equal texts get equal scores; null and empty texts the model's bias alone; a score of exactly 0.5 counts as toxic; a
+    null doc_id counts as not held out, but is not learned from. Of an id with several labels the larger counts. Empty tables give empty results; without
+    labels of both classes every score is the same.
+    """
     found = scored(docs.select("doc_id", "text"), train(docs, labels))
     return found.select("doc_id", held_out().alias("held_out"), F.col("toxicity").alias("score"), F.col("toxic").alias("predicted"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """docs without the documents that the classifier finds toxic, with docs' own columns."""
-    names = docs.columns
-    found = scored(docs, train(docs, labels))
-    return found.filter("toxic = 0").select(*[F.col(f"`{x}`") for x in names]) if "toxic" not in names else docs.join(found.filter("toxic = 0").select("doc_id").distinct(), "doc_id", "left_semi")
+    """docs without the rows that the classifier finds toxic, with docs' own columns, whatever their names.
+
+    Each row is judged by its own text alone, so repeated ids and rows without an id stand or fall by themselves. Null and empty texts
+    get the model's bias. An empty table stays empty.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value.table()
+        for batch in batches:
+            yield batch.filter(pa.array(score(shared.value, table, batch.column("text").to_pylist()) < 0.5))
+
+    return docs.mapInArrow(kept, docs.schema)
