@@ -27,7 +27,7 @@ IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 NUMBER = r"(?<![0-9A-Za-z_.@+-])\(?[0-9](?:[\x20()./-]{0,2}[0-9]){6,}+(?![0-9A-Za-z_@])"
-ADDRESS = r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|[\[(]dot[\])])\x20?[A-Za-z0-9-]++)++"
+ADDRESS = r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|[\[(]dot[\])])\x20?[A-Za-z0-9-]++)++"
 LABELERS = ["form", "check", "grouping", "prefix", "context", "unit"]
 # Words near contact and payment data, words near other numbers, number prefixes, top-level domains.
 NEAR = "e-?mail|mail|phone|tel|call|fax|mobile|cell|contact|whatsapp|ssn|passport|card|visa|iban|account|ip|host|address"
@@ -180,8 +180,8 @@ def _plain(spans: Column) -> Column:
 def personal_data(docs: DataFrame) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of every row of docs (doc_id, text); other columns are ignored.
 
-    Null and empty texts have no spans. Spans of the fixed forms may overlap each other; added ones overlap none of them. Repeated rows
-    each have their own result; an empty table gives an empty one.
+    Null and empty texts have no spans. Texts are read whole, however long. Spans of the fixed forms may overlap each other; added ones overlap none
+    of them; spans with equal features are added or left out together. Repeated rows each have their own result; an empty table gives an empty one.
     """
     found = saved(_spans(docs.select("doc_id", "text")).select("doc_id", "base", "loose"))
     more = F.filter("loose", _likely(found))
