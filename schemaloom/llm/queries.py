@@ -82,5 +82,5 @@ from documents d left join n on n.doc_id = d.doc_id left join (select x, min(y)
 
 
 def oracle_sql() -> dict[str, str]:
-    """SQL of the queries that it can express. The others learn or hash, and are held against brute force in tests/llm."""
+    """SQL of the queries that it can express. The others learn or hash; tests/llm hold them against brute force, exact round trips or held-out rows."""
     return dict(_SQL)

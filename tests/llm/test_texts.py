@@ -40,6 +40,61 @@ def test_fingerprints(spark):
     assert fingerprint.fingerprints(frame(spark, ODD).limit(0)).count() == 0
 
 
+def test_fingerprints_of_many_rows_without_an_id(spark):
+    r = random.Random(7)
+    text = lambda: " ".join(f"w{r.randrange(50)}" for _ in range(r.randrange(12)))
+    rows = [(None, text()) for _ in range(180)] + [(5, text()) for _ in range(60)] + [(k, text()) for k in (2**63 - 1, -(2**63), 0, 2**53 + 1, 2**53)]
+    frame_ = frame(spark, rows).repartition(5)
+    found = fingerprint.fingerprints(frame_).collect()
+    assert len(found) == len(rows)
+    ties = {x.text: x.tie for x in frame_.selectExpr("text", "shiftrightunsigned(xxhash64(text), 33) as tie").collect()}
+    order = sorted(rows, key=lambda x: (x[0] is None, x[0] or 0, ties[x[1]], x[1]))
+    wanted = []
+    for k, (d, t) in enumerate(order):
+        half, follower = len(t) // 2, order[(k + 1) % len(order)][1]
+        wanted.append((d, sha(t[: len(t) - half] + follower[:half])))
+    assert sorted(((x.doc_id, x.edited_sha256) for x in found), key=repr) == sorted(wanted, key=repr)
+    assert fingerprint.fingerprints(spark.createDataFrame([(None, "a b")] * 6 + [(1, "c")] * 3, "doc_id long, text string")).count() == 9
+
+
+def test_places_are_split_where_rows_crowd():
+    import numpy as np
+
+    r = np.random.RandomState(2)
+    place = np.concatenate([r.randint(0, 1000, 4000), np.full(4000, 5), np.full(4000, 2**63 - 1)])
+    tie = np.concatenate([r.randint(0, 2**31, 8000), r.randint(2**31, 2**32, 4000)])
+    cuts = fingerprint.boundaries([float(x) for x in np.quantile(place.astype(float), np.arange(1, 12) / 12)])
+    part = fingerprint.part_of(cuts, place, tie)
+    order = np.lexsort((tie, place))
+    assert (np.diff(part[order]) >= 0).all() and np.bincount(part).max() < 2000
+    assert part.tolist() == [sum(c <= (p, t) for c in cuts) for p, t in zip(place.tolist(), tie.tolist())]
+
+
+def test_likeness_is_near_the_true_one(spark):
+    r = random.Random(9)
+    grams = lambda t: {tuple(t.split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))}
+    rows = [(k, " ".join(f"w{r.randrange(4000)}" for _ in range(r.choice([5, 30, 68, 200, 900, 3000])))) for k in range(60)]
+    rows += [(100 + k, t + " some words more") for k, (_, t) in enumerate(rows[:20])]
+    rows.sort(key=lambda x: (x[0] % 100, x[0]))
+    rows = list(enumerate(t for _, t in rows))
+    found = {x.doc_id: x for x in fingerprint.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    off = {"small": [], "large": []}
+    for k, (d, t) in enumerate(rows):
+        follower = rows[(k + 1) % len(rows)][1]
+        true = len(grams(t) & grams(follower)) / len(grams(t) | grams(follower))
+        off["small" if max(len(grams(t)), len(grams(follower))) <= fingerprint.FLOOR else "large"].append(abs(found[d].near_next - true))
+    assert max(off["small"]) == 0  # up to FLOOR shingles a sketch is the whole set
+    assert max(off["large"]) < 0.25 and sum(off["large"]) / len(off["large"]) < 0.05
+
+
+def test_floor_keeps_short_documents_comparable():
+    import numpy as np
+
+    a = fingerprint.shingles(*next(iter(fingerprint.steps(fingerprint.pa.array([" ".join(f"w{k}" for k in range(44))], fingerprint.pa.large_string()))))[2:])[0]
+    alone, floor = fingerprint.sketch(a, 0), fingerprint.sketch(a)
+    assert len(alone[1]) < 16 and len(floor[1]) == len(np.unique(a)) == 40
+
+
 def test_sketches_estimate_and_merge():
     words = [f"w{k}" for k in range(4000)]
     a, b, both = fingerprint.sketches([" ".join(words[:3000]), " ".join(words[1000:]), " ".join(words)])
@@ -66,6 +121,86 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(docs, bench.limit(0)).count() == 0 and decontaminate.contaminated(docs.limit(0), bench).count() == 0
 
 
+def exhaustive(items, passages):
+    """(passage, item's part) of every share of the part's own BM25 score that reaches the threshold, from plain counts."""
+    import math
+    from collections import Counter
+
+    parts = [Counter(p.tolist()) for words in items for p in decontaminate.parts_of(words)]
+    mean = sum(sum(p.values()) for p in parts) / len(parts)
+    df = Counter(t for p in parts for t in p)
+    found = set()
+    for u, part in enumerate(parts):
+        length = sum(part.values())
+        gain = {t: math.log(1 + (len(parts) - df[t] + 0.5) / (df[t] + 0.5)) * f * (decontaminate.K1 + 1) / (f + decontaminate.K1 * (1 - decontaminate.B + decontaminate.B * length / mean)) for t, f in part.items()}
+        whole = sum(gain.values())
+        for k, passage in enumerate(passages):
+            score = sum(gain.get(t, 0.0) for t in set(passage.tolist())) / whole
+            if score >= decontaminate.THRESHOLD + 1e-9:
+                found.add((k, u))
+    return found
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_wand_finds_what_exhaustive_bm25_finds(seed):
+    import numpy as np
+
+    r = random.Random(seed)
+    pool = [f"c{k}" for k in range(30)] + [f"r{k}" for k in range(800)]
+    word = lambda: r.choice(pool[:30]) if r.random() < 0.4 else r.choice(pool)
+    items = [[word() for _ in range(r.choice([3, 9, 20, 50, 90, 200]))] for _ in range(80)]
+    texts = []
+    for _ in range(60):
+        own = [word() for _ in range(r.randrange(200))]
+        for _ in range(r.randrange(3)):
+            item = r.choice(items)
+            a = r.randrange(len(item))
+            at = r.randrange(len(own) + 1)
+            own[at:at] = [w if r.random() < 0.85 else word() for w in item[a : a + r.randrange(80)]]
+        texts.append(own)
+    hashed = [decontaminate.words_of(" ".join(x)) for x in items]
+    rows = [decontaminate.words_of(" ".join(x)) for x in texts]
+    first, words = np.concatenate([[0], np.cumsum([len(x) for x in rows])]), np.concatenate(rows)
+    passages = [(start, words[start : min(start + decontaminate.PASSAGE, b)]) for a, b in zip(first, first[1:], strict=False) for start in range(a, b, decontaminate.HALF)]
+    index = decontaminate.build(hashed)
+    queried = set(decontaminate.promising(index, words, first).tolist())
+    found = {(k, u) for k, (start, p) in enumerate(passages) if start in queried for u, _ in decontaminate.wand(index, np.unique(index.rows(p)[1]))}
+    wanted = exhaustive(hashed, [p for _, p in passages])
+    assert len(wanted) > 50 and wanted <= found and len(found - wanted) <= 1
+
+
+def test_shards_give_the_rows_of_one_index(spark, monkeypatch):
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(5))
+    items = [(k, " ".join(word() for _ in range(12)) + ". " + " ".join(word() for _ in range(6)) + ".") for k in range(60)] + [(70, "long " + " ".join(word() for _ in range(700)))]
+    docs = frame(spark, [(k, " ".join(word() for _ in range(40)) + " " + t) for k, (_, t) in enumerate(items)] + ODD)
+    bench = spark.createDataFrame([*items, items[0], (80, items[3][1]), (None, items[4][1])], "item_id long, text string")
+    rows = lambda: sorted((tuple(x) for x in decontaminate.contaminated(docs, bench).collect()), key=repr)
+    whole = rows()
+    assert len(whole) == len(items) + 2
+    monkeypatch.setattr(decontaminate, "SHARD_WORDS", 300)
+    assert len(list(decontaminate._shards(bench))) > 3 and [x[:2] for x in rows()] == [x[:2] for x in whole]
+    assert decontaminate.without_benchmark(docs, bench).count() == len(ODD)
+    assert decontaminate.packed([(2, 5), (0, 4), (1, 6), (3, 99)], 10) == [[0, 1], [2], [3]]
+
+
+def test_stages_judge_each_row_by_itself(spark):
+    """Rows without an id, repeated ids and columns with the operators' own names."""
+    docs, labels = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    rows = toxicity.scored(docs.select("doc_id", "text"), toxicity.train(docs, labels)).select("text", "toxic").collect()
+    bad, good = next(x.text for x in rows if x.toxic), next(x.text for x in rows if not x.toxic)
+    odd = spark.createDataFrame([(1, bad, 0.25, 7, "a"), (1, good, 0.5, 8, "b"), (None, bad, 0.5, 9, "c"), (None, good, None, None, "d"), (2, None, 1.0, 0, "e")], "doc_id long, text string, toxicity double, toxic int, score string")
+    model_docs = docs.selectExpr("doc_id", "text", "cast(null as double) as toxicity", "cast(null as int) as toxic", "cast(null as string) as score")
+    kept = toxicity.without_toxic(model_docs.unionByName(odd), labels)
+    assert kept.columns == odd.columns
+    assert sorted((tuple(x)[2:] for x in kept.filter("score is not null").collect()), key=lambda x: x[2]) == [(0.5, 8, "b"), (None, None, "d"), (1.0, 0, "e")]
+    item = "what is the name of the tallest mountain of them all. it is the peak in the far north"
+    bench = spark.createDataFrame([(1, item)], "item_id long, text string")
+    odd = spark.createDataFrame([(1, item, 1, 1.0), (1, good, 2, 1.0), (None, "so: " + item, 3, 1.0), (None, good, 4, 1.0), (None, None, 5, None)], "doc_id long, text string, item_id long, score double")
+    kept = decontaminate.without_benchmark(odd, bench)
+    assert kept.columns == odd.columns and {x.item_id for x in kept.collect()} == {2, 4, 5}
+
+
 def test_every_passage_that_reaches_the_threshold_is_queried():
     import numpy as np
 
@@ -245,7 +380,8 @@ def test_false_discovery_rejects_the_ordered():
 
 def best_segmentations(vocabulary, word, best):
     """All segmentations of a short word, by score."""
-    into = vocabulary.edges(word)
+    signs = word.replace(pieces.BLANK, "\0").replace(" ", pieces.BLANK)
+    into = [[], *(vocabulary.ending(word, signs, end) for end in range(1, len(signs) + 1))]
 
     def paths(end):
         if not end:
@@ -275,7 +411,7 @@ def whole_lattice(vocabulary, text, best):
     signs = (" " + text).replace(pieces.BLANK, "\0").replace(" ", pieces.BLANK)
     reach = [[0.0]]
     for end in range(1, len(signs) + 1):
-        own = [(start, vocabulary.score[vocabulary.piece[signs[start:end]]]) for start in range(end) if signs[start:end] in vocabulary.piece]
+        own = [(start, vocabulary.score[vocabulary.piece[signs[start:end]]]) for start in range(max(0, end - vocabulary.longest), end) if signs[start:end] in vocabulary.piece]
         own += [(end - 1, vocabulary.fallback)] * (signs[end - 1] not in vocabulary.piece)
         reach.append(sorted((s + w for start, w in own for s in reach[start]), reverse=True)[:best])
     return reach[-1]
@@ -295,6 +431,21 @@ def test_whole_sentences_match_the_whole_lattice(vocabulary):
     assert vocabulary.piece['."'] in ids
 
 
+def test_runs_of_one_sign(vocabulary):
+    import time
+
+    for text in ("#" * 23, "-" * 40, "ab" * 30, "=" * 97, " " * 50, "\n" * 20, "." * 64):
+        (ids, scores, _), *_ = vocabulary.encode([text])
+        assert scores == pytest.approx(whole_lattice(vocabulary, text, pieces.BEST)), text
+        assert vocabulary.decode(ids.tolist()) == text
+    for text in ("#" * 5000, "-" * 5000, "=" * 5000, "#-" * 2500):
+        began = time.perf_counter()
+        (ids, scores, away), *_ = vocabulary.encode([text])
+        assert time.perf_counter() - began < 1 and vocabulary.decode(ids.tolist()) == text
+        assert scores == pytest.approx(whole_lattice(vocabulary, text, pieces.BEST))
+        assert len({repr(x) for x in away}) == len(scores)  # all different
+
+
 def test_segmentations(spark):
     docs = frame(spark, ODD)
     rows = pieces.segmentations(docs).collect()
@@ -302,3 +453,66 @@ def test_segmentations(spark):
     back = {x.doc_id: x.text for x in pieces.decoded(pieces.encoded(docs)).collect()}
     assert back[7] == dict(ODD)[7] and back[1] == "" and back[6] == LONG
     assert pieces.segmentations(docs.limit(0)).count() == 0
+
+
+def test_random_tokens_of_every_encoding(spark):
+    """Planted keys against identifiers, paths and words joined together: recall and precision of the spans that the battery adds."""
+    r = random.Random(11)
+    keys = {name: ["".join(r.choice(signs) for _ in range(r.choice([32, 40, 48]))) for _ in range(40)] for name, (signs, _) in secrets.ENCODINGS.items() if name != "hex"}
+    words = "alpha customer window report version manager default handler stream config number value table index service module resource message".split()
+    camel = lambda n: "".join(r.choice(words).title() for _ in range(n))
+    decoys = [camel(5) for _ in range(60)] + [camel(4) + str(r.randrange(10)) for _ in range(60)] + ["-".join(r.choice(words) for _ in range(5)) for _ in range(60)] + ["a" * 30, "ab" * 16, "A1b" * 12, "0001" * 8 + "a1"]
+    rows, at = [], 0
+    for name, own in keys.items():
+        for key in own:
+            rows.append((at, f"some text {key} and more", key, name))
+            at += 1
+    for word in decoys:
+        rows.append((at, f"some text {word} and more", None, "decoy"))
+        at += 1
+    found = {x.doc_id: x.spans for x in secrets.secrets(frame(spark, [x[:2] for x in rows])).collect()}
+    hit = lambda name: sum("random:10:" in found[d] for d, _, _, own in rows if own == name)
+    for name, own in keys.items():
+        assert hit(name) >= 0.9 * len(own), (name, hit(name))
+    flagged = hit("decoy")
+    assert flagged <= 0.1 * len(decoys), flagged
+    assert secrets.secrets(frame(spark, [(1, "key ghp0a1b2c3d4e5f6g7h8i9j0k1l2m3n4o5 end")])).first().spans is not None
+
+
+def test_reliabilities_are_recovered():
+    r = random.Random(13)
+    n, share = len(pii.LABELERS), 0.3
+    right = {1: {-1: 0.05, 0: 0.35, 1: 0.6}, 0: {-1: 0.5, 0: 0.4, 1: 0.1}}
+    counts, yes = {}, {}
+    for _ in range(20_000):
+        truth = int(r.random() < share)
+        votes = tuple(r.choices((-1, 0, 1), [right[truth][v] for v in (-1, 0, 1)])[0] for _ in range(n))
+        counts[votes] = counts.get(votes, 0) + 1
+        yes[votes] = yes.get(votes, 0) + truth
+    found, table = pii.reliabilities(counts)
+    assert abs(found - share) < 0.03
+    for labeler in table:
+        assert all(abs(labeler[v][k] - right[k][v]) < 0.05 for v in (-1, 0, 1) for k in (0, 1))
+    off = sum(c * abs(pii.probability(found, table, v) - yes[v] / c) for v, c in counts.items()) / 20_000
+    assert off < 0.05
+    assert pii.reliabilities({}) == (0.5, [dict(pii.START) for _ in pii.LABELERS])
+
+
+def test_classifier_follows_the_probabilities():
+    cells = {(kind, size): (100, 100.0 * p) for kind, base in ((1, 0.9), (2, 0.1)) for size, p in ((0, base), (1, min(1.0, base + 0.05)))}
+    bias, weights = pii.train_classifier(cells)
+    score = lambda kind, size: bias + weights[0, kind] + weights[1, size]
+    assert score(1, 0) > 1 and score(1, 1) > score(1, 0) and score(2, 0) < -1
+    assert pii.train_classifier({}) == (0.0, {})
+
+
+def test_added_personal_data(spark):
+    """Loose forms near words of contact against numbers of other kinds."""
+    r = random.Random(14)
+    digits = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    good = [f"call me on phone {r.randrange(200, 999)}-{r.randrange(200, 999)}-{digits(4)} today" for _ in range(60)] + [f"mail: bob{k} (at) site{k} (dot) org now" for k in range(60)]
+    bad = [f"order {digits(9)} of invoice {digits(8)}" for _ in range(60)] + [f"on {r.randrange(1990, 2030)}-{r.randrange(10, 13)}-{r.randrange(10, 29)} page {digits(8)}" for _ in range(60)] + [f"total {digits(10)} usd" for _ in range(60)]
+    rows = [(k, t) for k, t in enumerate(good + bad)]
+    found = {x.doc_id: x.spans for x in pii.personal_data(frame(spark, rows)).collect()}
+    caught, wrong = sum(bool(found[k]) for k in range(len(good))), sum(bool(found[k]) for k in range(len(good), len(rows)))
+    assert caught >= 0.9 * len(good) and wrong <= 0.1 * len(bad), (caught, wrong)
