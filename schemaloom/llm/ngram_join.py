@@ -12,7 +12,7 @@ Exact at every size. The steps:
 4. Prefix tokens are counted. Those that only one text has lead nowhere; a filter of the others keeps them out of the shuffle.
    All texts of one prefix token and size band form tiles, in which only texts not yet in the same component are compared:
    by size, by the token's place, and by bitmaps.
-5. What is left is decided by intersecting the sorted sets.
+5. What is left is decided by intersecting the sorted sets: on the upper bytes of the tokens first, and on whole tokens where a link hangs on few of them.
 
 Any token order gives the same links, so the table of frequent tokens may be bounded and its counts may be low without losing any.
 """
@@ -23,11 +23,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .components import components
-from .scratch import partitions, saved, short_batches
+from .scratch import fresh, partitions, saved, short_batches, tidy
 from .words import mix, shingle_sets
 
 SHARE_OF_100 = 80
@@ -41,6 +41,8 @@ FREQUENT, FREQUENT_FROM = 500_000, 4
 BLOCK_TOKENS = 4_000_000
 #: Rows compared at a time; a token that more texts hold is spread over tiles.
 TILE = 1_024
+#: Slots, as a power of two, of the table that says over how many tiles a frequent token is spread (4 MB).
+SPREAD_SLOTS = 22
 #: Bits of the filter that finds the texts named by some pair; fuller filters pass more, never fewer.
 SIEVE_BITS = 1 << 22
 #: The filter of repeated tokens has 8 to 16 bits for each, from 2**20 and up to 2**27 (16 MB) in all; fuller ones pass more, never fewer.
@@ -77,11 +79,11 @@ def links(n_a: np.ndarray, n_b: np.ndarray, overlap: np.ndarray) -> np.ndarray:
 def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import xxhash
 
-    gathered: list[np.ndarray] = []
+    gathered, filled = np.empty(BLOCK_TOKENS * 9 // 8, np.uint64), 0
 
     def tally() -> tuple[np.ndarray, np.ndarray]:
-        whole = np.concatenate(gathered)
-        gathered.clear()
+        nonlocal filled
+        whole, filled = gathered[:filled], 0
         whole.sort()
         values = np.unique(whole[FREQUENT_FROM - 1 :][whole[FREQUENT_FROM - 1 :] == whole[: max(0, len(whole) - FREQUENT_FROM + 1)]])
         return values, np.searchsorted(whole, values, "right") - np.searchsorted(whole, values)
@@ -97,14 +99,17 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         if waiting is not None:
-            yield with_tally(waiting, tally() if sum(map(len, gathered)) >= BLOCK_TOKENS else None)
+            yield with_tally(waiting, tally() if filled >= BLOCK_TOKENS else None)
         n, keys, bits, centres = [], [], [], []
         for tokens in shingle_sets(batch.column("text")):
             n.append(len(tokens))
             keys.append(xxhash.xxh3_128_hexdigest(tokens) if len(tokens) else None)
             bits.append(bitmap(tokens).tobytes())
             centres.append(tokens[: min(CENTRES, len(tokens) - needed(len(tokens)) + 1)] if len(tokens) else tokens)
-            gathered.append(tokens)
+            if filled + len(tokens) > len(gathered):
+                gathered = np.concatenate([gathered[:filled], np.empty(len(tokens) + BLOCK_TOKENS // 8, np.uint64)])
+            gathered[filled : filled + len(tokens)] = tokens
+            filled += len(tokens)
         waiting = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(keys, pa.string()), pa.array(bits, pa.binary()), _list(centres)]
     if waiting is not None:
         yield with_tally(waiting, tally())
@@ -135,26 +140,31 @@ def _slot(column: str) -> F.Column:
     return F.xxhash64(F.col(column).cast("long")).alias("slot")
 
 
-def _packed(tokens: np.ndarray) -> bytes:
-    """The upper 48 bits of sorted tokens: two texts of 250 shingles share one by chance in one of 10**9 pairs."""
-    return tokens.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+#: Bytes of a token that the first check looks at, and how many tokens two sets may share there by chance: a pair whose link hangs on so few is
+#: checked again on whole tokens. Two sets of 250 share one by chance in one of 4 * 10**9 pairs, so three in one of 10**29.
+SHORT_TOKEN, CHANCE = 6, 2
 
 
-def _unpacked(data: pa.Buffer) -> np.ndarray:
-    own = np.frombuffer(data, np.uint8).reshape(-1, 6)
+def _packed(tokens: np.ndarray, width: int) -> bytes:
+    """The upper bytes of sorted tokens."""
+    return tokens.view(np.uint8).reshape(-1, 8)[:, 8 - width :].tobytes()
+
+
+def _unpacked(data: pa.Buffer, width: int) -> np.ndarray:
+    own = np.frombuffer(data, np.uint8).reshape(-1, width)
     out = np.zeros((len(own), 8), np.uint8)
-    out[:, 2:] = own
+    out[:, 8 - width :] = own
     return out.reshape(-1).view(np.uint64)
 
 
-def _arrays_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+def _arrays_of(docs: DataFrame, ids: DataFrame, width: int) -> DataFrame:
     """(id, tokens) of at least the documents in ids, from the texts; the sieve keeps the others' sets out of the shuffle."""
     sieve = docs.sparkSession.sparkContext.broadcast(_sieve(ids.select(_slot("id")), "slot", SIEVE_BITS))
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             named = batch.filter(pa.array(_passes(sieve.value, batch.column("slot").to_numpy())))
-            found = [_packed(x) for x in shingle_sets(named.column("text"))]
+            found = [_packed(x, width) for x in shingle_sets(named.column("text"))]
             yield pa.RecordBatch.from_arrays([named.column("doc_id"), pa.array(found, pa.binary())], ["id", "tokens"])
 
     return docs.select("doc_id", "text", _slot("doc_id")).mapInArrow(sets, "id long, tokens binary")
@@ -170,16 +180,11 @@ def _bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("a").filter(pa.array(kept)), batch.column("b").filter(pa.array(kept))], ["a", "b"])
 
 
-def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        kept = []
-        for x, y in zip(batch.column("tokens_a"), batch.column("tokens_b"), strict=True):
-            p, q = _unpacked(x.as_buffer()), _unpacked(y.as_buffer())
-            at = np.searchsorted(q, p)
-            at[at == len(q)] = 0
-            kept.append(bool(links(len(p), len(q), np.count_nonzero(q[at] == p))))
-        kept = pa.array(kept, pa.bool_())
-        yield pa.RecordBatch.from_arrays([batch.column("a").filter(kept), batch.column("b").filter(kept)], ["a", "b"])
+def shared_tokens(p: np.ndarray, q: np.ndarray) -> int:
+    """How many of p are in q; both sorted, q not empty."""
+    at = np.searchsorted(q, p)
+    at[at == len(q)] = 0
+    return int(np.count_nonzero(q[at] == p))
 
 
 def _bound_passing(sets: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -193,12 +198,28 @@ def _bound_passing(sets: DataFrame, pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(_bounded, "a long, b long")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link, by their sets."""
+def _verified(docs: DataFrame, pairs: DataFrame, width: int = SHORT_TOKEN) -> DataFrame:
+    """(a, b, sure) of the pairs that link, by their sets; not sure where tokens that are shared by chance could make the link.
+
+    Tokens that differ may be equal in their upper bytes, never the other way round, so pairs that don't link are out for good.
+    """
+    chance = CHANCE if width < 8 else 0
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept, sure = [], []
+            for x, y in zip(batch.column("tokens_a"), batch.column("tokens_b"), strict=True):
+                p, q = _unpacked(x.as_buffer(), width), _unpacked(y.as_buffer(), width)
+                both = shared_tokens(p, q)
+                kept.append(bool(links(len(p), len(q), both)))
+                sure.append(bool(links(len(p), len(q), both - chance)))
+            mask = pa.array(kept, pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column("a").filter(mask), batch.column("b").filter(mask), pa.array(sure, pa.bool_()).filter(mask)], ["a", "b", "sure"])
+
     pairs = saved(pairs)
-    arrays = _arrays_of(docs, pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")))
+    arrays = _arrays_of(docs, pairs.select(F.col("a").alias("id")).unionAll(pairs.select("b")), width)
     both = pairs.join(arrays.select(F.col("id").alias("a"), F.col("tokens").alias("tokens_a")), "a").join(arrays.select(F.col("id").alias("b"), F.col("tokens").alias("tokens_b")), "b")
-    return saved(both.mapInArrow(_exact, "a long, b long"))
+    return saved(both.mapInArrow(exact, "a long, b long, sure boolean"))
 
 
 def _bit_rows(column: pa.Array, bits: int = BITS) -> np.ndarray:
@@ -281,19 +302,55 @@ def _frequent(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return tokens[order], rows.column("held").to_numpy()[order].astype(np.int32)
 
 
-def _spots(held: int, n: int, doc: int) -> list[int]:
+def band_of(n: np.ndarray | int) -> np.ndarray:
+    """Size band: sizes whose ratio is 0.8 or more are in the same or in neighbouring bands."""
+    return (np.log(np.maximum(n, 1)) / np.log(100 / SHARE_OF_100)).astype(np.int64)
+
+
+def _spread_slot(token: np.ndarray, band: np.ndarray) -> np.ndarray:
+    return (mix(token.view(np.uint64) + mix(band.astype(np.uint64) + np.uint64(1))) >> np.uint64(64 - SPREAD_SLOTS)).astype(np.int64)
+
+
+def _spots(token: int, n: int, doc: int, salts: np.ndarray) -> list[int]:
     """Where a text goes whose token more than TILE texts hold: tile * 2 + side, for every tile that its chunk takes part in.
 
-    A chunk is a size band, cut by a hash of the id. Chunks of the same and of neighbouring bands meet in a tile of
-    their own (sizes whose ratio is 0.8 or more differ by one band at most), so no task gets a whole frequent token.
+    A chunk is a size band, cut by a hash of the id into as many parts as salts (2 ** salts[slot of token and band]) says for the band. Chunks of the same
+    and of neighbouring bands meet in a tile of their own, so no task gets a whole frequent token.
     """
-    salts = -(-held // TILE)
-    band = int(np.log(n) / np.log(100 / SHARE_OF_100))
-    salt = int(mix(np.array([doc], np.int64).view(np.uint64))[0]) % salts
-    tile = lambda b, s, t: 1 + (b << 40) + (s << 20) + t
-    out = [tile(3 * band, min(salt, s), max(salt, s)) * 2 + (salt > s) for s in range(salts)]
-    out += [tile(3 * band + 1, salt, s) * 2 for s in range(salts)]
-    return out + [tile(3 * band - 2, s, salt) * 2 + 1 for s in range(salts)]
+    band = int(band_of(n))
+    slots = _spread_slot(np.full(3, token, np.int64), np.arange(band - 1, band + 2))
+    below, own, above = (1 << int(x) for x in salts[slots])
+    salt = int(mix(np.array([doc], np.int64).view(np.uint64))[0]) & own - 1
+    tile = lambda b, s, t: 1 + (b << 48) + (s << 24) + t
+    out = [tile(3 * band, min(salt, s), max(salt, s)) * 2 + (salt > s) for s in range(own)]
+    out += [tile(3 * band + 1, salt, s) * 2 for s in range(above)]
+    return out + [tile(3 * band - 2, s, salt) * 2 + 1 for s in range(below)]
+
+
+def _spread(prefixes: DataFrame, large: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(sieve of the tokens that more than TILE texts hold, by slot of token and band the salts as a power of two).
+
+    Both have a fixed size, however many such tokens there are: tokens that share a bit or a slot with a larger one are spread like it, which costs
+    rows but loses no link.
+    """
+    spark = prefixes.sparkSession
+    sieve = _sieve(large, "token", 1 << SPREAD_SLOTS)
+    shared = spark.sparkContext.broadcast(sieve)
+
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("tokens")
+            tokens = column.flatten().to_numpy()
+            bands = np.repeat(band_of(batch.column("n").to_numpy()), column.value_lengths().to_numpy())
+            hot = _passes(shared.value, tokens)
+            slot, times = np.unique(_spread_slot(tokens[hot], bands[hot]), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(times)], ["slot", "times"])
+
+    counts = prefixes.mapInArrow(slots, "slot long, times long").groupBy("slot").agg(F.sum("times").alias("held")).filter(F.col("held") > TILE)
+    rows = counts.select(F.col("slot").cast("int").alias("slot"), F.ceil(F.log2(F.col("held") / TILE)).cast("byte").alias("salts")).toArrow()
+    salts = np.zeros(1 << SPREAD_SLOTS, np.uint8)
+    salts[rows.column("slot").to_numpy()] = rows.column("salts").to_numpy()
+    return sieve, salts
 
 
 def _prefixes(docs: DataFrame, heads: DataFrame, frequent: tuple[np.ndarray, np.ndarray]) -> DataFrame:
@@ -328,11 +385,12 @@ def _placed(prefixes: DataFrame) -> DataFrame:
     spark = prefixes.sparkSession
     counts = saved(prefixes.select(F.explode("tokens").alias("token")).groupBy("token").count().filter("count > 1"))
     bits = min(max((8 * counts.count()).bit_length(), TOKEN_BITS[0]), TOKEN_BITS[1])
-    large = counts.filter(F.col("count") > TILE).orderBy(F.desc("count"), "token").limit(FREQUENT).toArrow().sort_by("token")
-    shared = spark.sparkContext.broadcast((_sieve(counts, "token", 1 << bits), large.column("token").to_numpy(), large.column("count").to_numpy()))
+    large = counts.filter(F.col("count") > TILE).select("token")
+    spread = _spread(prefixes, large) if large.limit(1).count() else None
+    shared = spark.sparkContext.broadcast((_sieve(counts, "token", 1 << bits), spread))
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sieve, large, held = shared.value
+        sieve, spread = shared.value
         for batch in batches:
             column = batch.column("tokens")
             all_tokens, first = column.flatten().to_numpy(), np.concatenate([[0], np.cumsum(column.value_lengths().to_numpy())])
@@ -343,13 +401,10 @@ def _placed(prefixes: DataFrame) -> DataFrame:
                 if not len(place) or doc is None:
                     continue
                 tokens, size, spot = all_tokens[first[k] + place], n << 31 | place, np.zeros(len(place), np.int64)
-                if len(large):
-                    at = np.minimum(np.searchsorted(large, tokens), len(large) - 1)
-                    times = np.where(large[at] == tokens, held[at], 0)
-                    if times.any():
-                        where = [_spots(int(t), n, doc) if t else [0] for t in times]
-                        lengths = [len(x) for x in where]
-                        tokens, size, spot = np.repeat(tokens, lengths), np.repeat(size, lengths), np.array([x for own in where for x in own], np.int64)
+                if spread is not None and (hot := _passes(spread[0], tokens)).any():
+                    where = [_spots(int(t), n, doc, spread[1]) if h else [0] for t, h in zip(tokens, hot, strict=True)]
+                    lengths = [len(x) for x in where]
+                    tokens, size, spot = np.repeat(tokens, lengths), np.repeat(size, lengths), np.array([x for own in where for x in own], np.int64)
                 kept.append(k)
                 out.append(tokens)
                 spots.append(spot)
@@ -430,27 +485,38 @@ def similarity_classes(docs: DataFrame) -> DataFrame:
     n_shingles is the set size; component_id the smallest doc_id reached by links, the row's own if none.
     Null and empty texts, and texts without words, have no shingles and link with nothing. Repeated rows give
     repeated results; rows of one doc_id with different texts all count as that document. A null doc_id keeps a null
-    component. An empty table gives an empty result.
+    component. Texts are read whole, however long; a similarity of exactly 80 % links. An empty table gives an empty result.
     """
     short_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sets = saved(described(docs))
-    classes = saved(sets.filter("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("class")))
-    heads = sets.join(classes.select(F.col("class").alias("doc_id")), "doc_id", "left_semi").filter("key is not null").drop("hot", "held").dropDuplicates(["doc_id", "key"])
-    heads = saved(heads)
-    first = _verified(docs, _centre_pairs(heads))
-    joined = components(first)
-    second = _verified(docs, _bound_passing(heads, _tile_pairs(docs, heads, joined, _frequent(sets))))
-    edges = first.unionAll(second)
-    whole = components(edges)
+    with tidy(docs.sparkSession):
+        sets = saved(described(docs), keep=True)
+        classes = saved(sets.filter("key is not null and doc_id is not null").groupBy("key").agg(F.min("doc_id").alias("class")), keep=True)
+        heads = sets.join(classes.select(F.col("class").alias("doc_id")), "doc_id", "left_semi").filter("key is not null").drop("hot", "held").dropDuplicates(["doc_id", "key"])
+        heads = saved(heads)
+        first = _verified(docs, _centre_pairs(heads))
+        joined = components(first.filter("sure"))
+        second = _verified(docs, _bound_passing(heads, _tile_pairs(docs, heads, joined, _frequent(sets))))
+        found = first.unionAll(second)
+        close = _verified(docs, found.filter("not sure").select("a", "b").distinct(), 8)
+        whole = components(found.filter("sure").unionAll(close).select("a", "b"), keep=True)
     of_class = classes.join(whole.withColumnRenamed("node", "class"), "class", "left").select("key", F.coalesce("component", "class").alias("component"))
     rows = sets.select("doc_id", "n", "key").join(of_class, "key", "left")
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def one_of_each_group(docs: DataFrame) -> DataFrame:
-    """docs without the documents that a smaller doc_id stands for: of every class of similar texts the smallest id stays, once."""
-    classes = similarity_classes(docs)
-    heads = classes.filter("component_id = doc_id or doc_id is null").select("doc_id").distinct()
-    known = docs.filter("doc_id is not null").join(heads, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return known.unionByName(docs.filter("doc_id is null"))
+    """docs without the documents that a smaller doc_id stands for: of every class of similar texts the smallest id stays.
+
+    Rows that repeat both id and text stay once, the one with the least hash of its other columns; rows of a kept id with different texts all
+    stay. Null and empty texts link with nothing, so their documents stay, and so do all rows without a doc_id, for which no other can stand.
+    An empty table stays empty. The columns are docs' own, whatever their names.
+    """
+    names = docs.columns
+    head, text, rest, times = (fresh(docs, x) for x in ("_head", "_text", "_rest", "_times"))
+    heads = similarity_classes(docs).filter("component_id = doc_id").select(F.col("doc_id").alias(head)).distinct()
+    others = [F.col(f"`{c}`") for c in names if c not in ("doc_id", "text")]
+    known = docs.filter("doc_id is not null").join(heads, F.col("doc_id") == F.col(head), "left_semi")
+    known = known.withColumns({text: F.coalesce(F.sha2("text", 256), F.lit("")), rest: F.xxhash64(*others) if others else F.lit(0)})
+    known = known.withColumn(times, F.row_number().over(Window.partitionBy("doc_id", text).orderBy(rest))).filter(F.col(times) == 1)
+    return known.select(*[f"`{c}`" for c in names]).unionByName(docs.filter("doc_id is null"))
