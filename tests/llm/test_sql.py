@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", queries.oracle_sql())
 def test_query_equals_its_sql(spark, name):
     connection = duckdb.connect()
-    for table in ("documents", "conversations"):
+    for table in ("documents", "conversations", "embeddings"):
         connection.execute(f"create view {table} as select * from '{SF}/{table}.parquet'")
     wanted = connection.execute(queries.oracle_sql()[name])
     columns = [c[0] for c in wanted.description]
