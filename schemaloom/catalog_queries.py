@@ -15,8 +15,9 @@ from .operators import diff, policy
 from .operators.alter import classified, expanded
 from .plans.compare import Plan, compare
 from .plans.options import ADDITIVE, FULL, REBUILD, CompareOptions
-from .queries import _table, query
+from .query_base import _table, query
 from .relations import SCHEMAS, Catalog, local_frame, written
+from .sources.system_tables import decoded
 
 SCHEMA = "app"
 _RULES = "'None', 'Cascade', 'SetNull', 'SetDefault'"
@@ -161,6 +162,28 @@ _kind_query("diff_procedures", ("procedure",), "op like '%Procedure'")
 _kind_query("diff_comments", ("table",), "op in ('SetTableComment', 'DropTable', 'CreateTable')")
 
 
+@query(
+    "diff_index_expressions",
+    """select case p_partkey % 4 when 3 then 'CreateIndexe' else 'DropIndexe' end as op, 'I' || p_partkey as name from part where p_partkey % 4 in (1, 2, 3) and p_partkey % 8 <> 2
+    union all select 'CreateIndexe', 'I' || p_partkey from part where p_partkey % 4 in (1, 2) and p_partkey % 8 <> 2""",
+)
+def diff_index_expressions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Indexes over expressions as PostgreSQL gives them: other spelling is no difference, but another function, another literal, or a plain column instead is."""
+    part = _table(spark, sf_dir, "part").selectExpr("cast(p_partkey as int) as n")
+    empty = {"columns": "column_name string, position int, native_type string, size int, precision int, scale int, not_null int, auto_increment int, default_value string, charset string, description string", "primary_keys": "pk_name string, column_name string, position int",
+        "foreign_keys": "name string, column_name string, position int, parent_table string, parent_column string, on_update string, on_delete string"}
+
+    def side(expression: str, own: DataFrame) -> Catalog:
+        rows = own.selectExpr("'t' as table_name", "concat('I', n) as name", "0 as is_unique", "explode(array(1, 2)) as position", "n").selectExpr("*", "if(position = 2, 'b', null) as column_name", f"if(position = 1, {expression}, null) as expression")
+        rows = rows.withColumn("column_name", F.when(F.col("expression") == "-", "a").otherwise(F.col("column_name"))).withColumn("expression", F.nullif(F.col("expression"), F.lit("-")))
+        given = {"tables": local_frame(spark, [("t", "")], "table_name string, description string"), "indexes": rows, **{k: spark.createDataFrame([], f"table_name string, {v}") for k, v in empty.items()}}
+        return decoded(spark, given, D.POSTGRESQL)
+
+    desired = side("case n % 4 when 0 then concat('lower(a || ', chr(39), 'X  ', n, chr(39), ')') when 2 then concat('replace(a, ', chr(39), 'k', chr(39), ')') else 'lower(a)' end", part)
+    current = side("case n % 4 when 0 then concat('( LOWER ( A||', chr(39), 'X  ', n, chr(39), ' ) )') when 2 then if(n % 8 = 2, concat('REPLACE(a,', chr(39), 'k', chr(39), ')'), concat('REPLACE(a,', chr(39), 'K', chr(39), ')')) else '-' end", part.filter("n % 4 <> 3"))
+    return _ops(diff.changes(desired, current, CompareOptions(D.POSTGRESQL)).filter("kind = 'index'")).select("op", "name")
+
+
 @query(
     "diff_domains",
     f"""{_PLAN_OPS} select op, name, null as audit from plan where op like '%Domain' union all

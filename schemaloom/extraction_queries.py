@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import dialects as D
 from .operators.objects import objects
-from .queries import _table, query
+from .query_base import _table, query
 from .sources.system_tables import DOMAIN_TYPES, NATIVE_TYPES, QUERIES, decoded
 
 DETAILS = {
@@ -26,6 +26,10 @@ def _array(texts: list[str]) -> str:
     return "array(" + ", ".join(repr(t) for t in texts) + ")"
 
 
+def _reads_expressions(dialect: str) -> bool:
+    return "expression" in QUERIES[dialect]["indexes"]
+
+
 def raw(spark: SparkSession, sf_dir: str, dialect: str) -> dict[str, DataFrame]:
     """Answers to the dialect's queries."""
     part = _table(spark, sf_dir, "part").selectExpr("cast(p_partkey as int) as n").selectExpr("n", "concat('Tab', n % 25) as t", "n % 11 as k")
@@ -42,7 +46,7 @@ def raw(spark: SparkSession, sf_dir: str, dialect: str) -> dict[str, DataFrame]:
         ),
         "primary_keys": tables.selectExpr("t as table_name", "concat('PK_', t) as pk_name", two),
         "foreign_keys": part.filter("k = 6").selectExpr("t as table_name", name("fk"), "'x' as column_name", "1 as position", "'Tab0' as parent_table", "'id' as parent_column", f"element_at({_array(rules)}, n % 4 + 1) as on_update", f"element_at({_array(rules)}, cast(n div 4 % 4 as int) + 1) as on_delete"),
-        "indexes": part.filter("k = 3").selectExpr("t as table_name", name("ix"), "n % 2 as is_unique", "n", two).selectExpr("*", *(["if(n % 2 = 0 and position = 1, 'UPPER(a)', null) as expression"] if dialect == D.ORACLE else [])),
+        "indexes": part.filter("k = 3").selectExpr("t as table_name", name("ix"), "n % 2 as is_unique", "n", two).selectExpr("*", *(["if(n % 2 = 0 and position = 1, 'upper( a )', null) as expression"] if _reads_expressions(dialect) else [])),
         "checks": part.filter("k = 4").selectExpr("t as table_name", name("ck"), "concat('CHECK ((a > ', n, '))') as condition"),
         "views": part.filter("k = 7").selectExpr(name("v"), "if(n % 2 = 0, concat('CREATE VIEW [dbo].[v] AS  SELECT ', n), concat('SELECT ', n)) as script"),
         "sequences": part.filter("k = 8").selectExpr(name("s"), "'' as table_name", "n as initial_value", "if(n % 5 = 0, null, n % 5) as increment"),
@@ -66,7 +70,7 @@ def extraction_sql(d: str) -> str:
     default = f"""case n % 5 when 1 then '0' when 2 then '{' 7 ' if d == D.MSSQL else '7'}' when 3 then '''{'X' if firebird else 'x'}''' when 4 then '{'now' if d == D.MSSQL else 'NOW()' if firebird else 'now()'}' else '' end"""
     size = "case when n % 7 = 0 then -1 else n % 50 + 1 end" if d == D.MSSQL else "n % 50 + 1"
     rule = lambda x: f"case {x} when 1 then 'Cascade' when 2 then 'SetNull' when 3 then 'SetDefault' else 'None' end"
-    first = "case when n % 2 = 0 then 'UPPER(a)' else 'a' end" if d == D.ORACLE else "'a'"
+    first, first_key = ("case when n % 2 = 0 then 'upper( a )' else 'a' end", "case when n % 2 = 0 then 'UPPER(A)' else 'A' end") if _reads_expressions(d) else ("'a'", "'A'")
     domains = ", ".join(f"({k}, '{DOMAIN_TYPES.get(x, DOMAIN_TYPES.get(x.split('.')[0] + '.0', 'VARCHAR(%l)'))}')" for k, x in enumerate(_DOMAINS))
     domain_type = f"(select replace(replace(replace(x.template, '%l', (n % 20)::varchar), '%p', (n % 7)::varchar), '%s', (n % 4)::varchar) from (values {domains}) as x(k, template) where x.k = n % {len(_DOMAINS)})" if firebird else "'varchar(' || n || ')'"
     truth = lambda x: f"case when {x} then 'true' else 'false' end"
@@ -75,7 +79,7 @@ def extraction_sql(d: str) -> str:
         "columns": f"select 'column', upper(t), 'C' || n, 'c' || n, concat_ws('|', n, {kind}, {template}, {size}, n % 9, n % 3, {truth('n % 2 = 1')}, {truth('n % 4 = 0')}, {default}, case when n % 6 = 0 then 'UTF8' else '' end, case when n % 8 = 0 then 'told' else '' end) from items join (values {types}) as f(native, ft, template) on f.native = n % {len(natives)}",
         "primary_keys": "select 'primary_key', upper(t), '', 'PK_' || t, 'a, b' from tabs",
         "foreign_keys": f"select 'foreign_key', upper(t), 'FK' || n, 'fk' || n, concat_ws('|', 'Tab0', 'TAB0', {rule('n % 4')}, {rule('n // 4 % 4')}, 'x', 'id') from items where k = 6",
-        "indexes": f"select 'index', upper(t), 'IX' || n, 'ix' || n, concat_ws('|', {truth('n % 2 = 1')}, {first} || ', b') from items where k = 3",
+        "indexes": f"select 'index', upper(t), 'IX' || n, 'ix' || n, concat_ws('|', {truth('n % 2 = 1')}, {first} || ', b', {first_key} || ', B') from items where k = 3",
         "checks": f"select 'check', upper(t), 'CK' || n, 'ck' || n, {"'CHECK ((a > ' || n || '))'" if d == D.ORACLE else "'a > ' || n"} from items where k = 4",
         "views": "select 'view', '', 'V' || n, 'v' || n, 'SELECT ' || n from items where k = 7",
         "sequences": "select 'sequence', '', 'S' || n, 's' || n, concat_ws('|', '', n, n % 5) from items where k = 8",
@@ -90,7 +94,7 @@ def _extraction_query(dialect: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = objects(decoded(spark, raw(spark, sf_dir, dialect), dialect))
         details = " ".join(f"when '{kind}' then concat_ws('|', {', '.join(f'attrs[{c!r}]' for c in columns)})" for kind, columns in DETAILS.items())
-        return rows.selectExpr("kind", "table_key", "object_key", "name", f"case kind {details} end as detail")
+        return rows.selectExpr("kind", "table_key", "object_key", "name", f"concat_ws('|', case kind {details} end, if(kind = 'index', array_join(members, ', '), null)) as detail")
 
 
 for _dialect in QUERIES:

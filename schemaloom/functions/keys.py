@@ -24,6 +24,23 @@ def ascii_upper(text: Column | str) -> Column:
     return F.translate(F.col(text) if isinstance(text, str) else text, string.ascii_lowercase, string.ascii_uppercase)
 
 
+def schema_prefix_text(schema: str) -> str:
+    """What keys of a schema's objects begin with. A schema with a dot or a quote is quoted, so no two schemas have prefixes of which one begins with the other."""
+    key = ascii_upper_text(schema)
+    return ('"' + key.replace('"', '""') + '"' if "." in key or '"' in key else key) + "."
+
+
+def schema_prefix(schema: Column) -> Column:
+    key = ascii_upper(schema)
+    quoted = F.concat(F.lit('"'), F.replace(key, F.lit('"'), F.lit('""')), F.lit('"'))
+    return F.concat(F.when(key.contains(".") | key.contains('"'), quoted).otherwise(key), F.lit("."))
+
+
+def qualified_key(schema: Column, key: Column) -> Column:
+    """A key of an object in a catalog of several schemas."""
+    return F.concat(schema_prefix(schema), key)
+
+
 def position_key(position: Column | str) -> Column:
     """Positions as text of six digits, which sorts as the positions do."""
     return F.lpad((F.col(position) if isinstance(position, str) else position).cast("string"), 6, "0")

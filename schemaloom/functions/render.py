@@ -83,7 +83,7 @@ def _actions(attrs: Column, dialect: str) -> Column:
 def constraint(kind: Column, name: Column, schema: Column, attrs: Column, dialect: str) -> Column:
     """CONSTRAINT ... of a primary key, a foreign key or a check."""
     key = cat("PRIMARY KEY (", attrs["columns"], ")")
-    foreign = cat("FOREIGN KEY (", attrs["columns"], ") REFERENCES ", qualified(schema, attrs["parent_table"], dialect), "(", attrs["to_columns"], ")", _actions(attrs, dialect))
+    foreign = cat("FOREIGN KEY (", attrs["columns"], ") REFERENCES ", qualified(F.coalesce(attrs["parent_schema"], schema), attrs["parent_table"], dialect), "(", attrs["to_columns"], ")", _actions(attrs, dialect))
     check = cat("CHECK (", attrs["condition"], ")")
     return cat("CONSTRAINT ", name, " ", F.when(kind == "primary_key", key).when(kind == "foreign_key", foreign).otherwise(check))
 

@@ -15,7 +15,7 @@ from .operators.sequence import PHASES
 from .plans.execute import execute
 from .plans.options import CONTINUE, STOP
 from .plans.script import dry_run
-from .queries import _table, query
+from .query_base import _table, query
 from .relations import Catalog, local_frame, written
 from .sources import declared as m
 from .sources import snapshot

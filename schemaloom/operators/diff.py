@@ -7,14 +7,18 @@ the audit says if it doesn't.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import dialects as D
 from ..functions.render import cat, column_definition, constraint, counting_key, counts_up, create_index, qualified
 from ..plans.options import CompareOptions
-from ..relations import Catalog, written
+from ..relations import Catalog, DuplicateObject, written
+from . import digest
 from .objects import objects
+from .schemas import aligned
 
 #: Kinds by the feature that a dialect needs for them; other kinds are always compared.
 FEATURE_OF = {"foreign_key": "foreign_keys", "check": "checks", "trigger": "triggers", "view": "views", "sequence": "sequences", "domain": "domains", "procedure": "procedures"}
@@ -199,21 +203,30 @@ def created_tables(rows: DataFrame, dialect: str) -> DataFrame:
     return grouped.select(F.lit("table").alias("kind"), "table_key", F.lit("").alias("object_key"), "m", F.lit(None).alias("t"), body.alias("sql"))
 
 
-def compared(desired: Catalog, current: Catalog) -> DataFrame:
-    """joined of two catalogs' objects, written once. It depends on no option, so it serves plans for several dialects and policies."""
-    return written(joined(objects(desired), objects(current)))
+def compared(desired: Catalog, current: Catalog, schemas: Sequence[tuple[str, str]] = (), narrow: bool | None = None) -> DataFrame:
+    """joined of two catalogs' objects, written once. Of all options it depends on schemas alone, so it serves plans for several dialects and policies.
+
+    Tables and objects that are equal on both sides leave first (see digest), if the catalogs are large or narrow says so. DuplicateObject if a side has an identity twice.
+    """
+    desired, current = aligned(desired, current, schemas)
+    if digest.worthwhile(desired, current) if narrow is None else narrow:
+        desired, current = digest.narrowed(desired, current)
+    rows = written(joined(objects(desired), objects(current)))
+    twice = rows.groupBy(*_IDENTITY).count().filter("count > 1").limit(5).collect()
+    if twice:
+        raise DuplicateObject(", ".join(" ".join(filter(None, (r.kind, r.table_key, r.object_key))) for r in twice))
+    return rows
 
 
 def changes(desired: Catalog, current: Catalog, options: CompareOptions) -> DataFrame:
     """differences of two catalogs."""
-    return differences(compared(desired, current), options)
+    return differences(compared(desired, current, options.schemas), options)
 
 
 def differences(rows: DataFrame, options: CompareOptions) -> DataFrame:
     """Every difference in rows (see compared): place (order of generation), ops, needs, audit, the two sides, and the statement of new tables.
 
-    Either catalog may be empty. Identities that occur twice on a side are an error of that catalog (Catalog.assert_unique) and give
-    a difference for each pairing. Differences inside dropped tables are not listed.
+    Either catalog may be empty. Differences inside dropped tables are not listed.
     """
     gone = [k for k, f in FEATURE_OF.items() if not options.compares(f)]
     new_foreign = (F.col("kind") == "foreign_key") & (F.col("table_status") == "create")

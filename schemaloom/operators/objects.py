@@ -19,11 +19,11 @@ def objects(catalog: Catalog) -> DataFrame:
     """One row per table, column, key, index, check, trigger, view, sequence, domain and routine.
 
     attrs has what the object is made of as text; members and to_members are the key forms of its columns. Texts that are compared by meaning have
-    their canonical form in attrs too, made here once for each side. Children carry the name of their table. A primary key without columns,
-    which stands for none, is left out. Kinds of which the catalog has no relation are left out of the plan.
+    their canonical form in attrs too, made here once for each side. Children carry the name of their table, and its schema in a catalog of several. A primary key without
+    columns, which stands for none, is left out. Kinds of which the catalog has no relation are left out of the plan.
     """
-    own = catalog.tables.select("table_key", "table_name")
-    schema = "'" + catalog.schema.replace("'", "''") + "'"
+    own = catalog.tables.select("table_key", "table_name", *(["schema_name"] if catalog.qualified else []))
+    schema = "coalesce(schema_name, '')" if catalog.qualified else "'" + catalog.schema.replace("'", "''") + "'"
     parts: list[DataFrame] = []
 
     def add(relation: str, kind: str, name: str, attrs: tuple[str, ...], by_table: bool = True, keys: str = _NONE, to_keys: str = _NONE, canonical: Column | None = None, frame: DataFrame | None = None) -> None:
@@ -55,7 +55,7 @@ def objects(catalog: Catalog) -> DataFrame:
         add("indexes", "index", "name", ("is_unique", "description", "columns"), keys="keys", frame=listed(catalog.indexes, "index"))
     if "foreign_keys" in catalog.frames:
         foreign = listed(listed(catalog.foreign_keys, "fk_from"), "fk_to", "to_")
-        add("foreign_keys", "foreign_key", "name", ("parent_table", "parent_key", "on_update", "on_delete", "description", "columns", "to_columns"), keys="keys", to_keys="to_keys", frame=foreign)
+        add("foreign_keys", "foreign_key", "name", ("parent_table", "parent_key", "on_update", "on_delete", "description", "columns", "to_columns", *(["parent_schema"] if catalog.qualified else [])), keys="keys", to_keys="to_keys", frame=foreign)
     add("checks", "check", "name", ("condition", "description"), canonical=normalize.check_condition(F.col("condition")))
     script = normalize.script(F.col("script"))
     add("triggers", "trigger", "name", ("script", "description"), canonical=script)

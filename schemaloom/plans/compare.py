@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import render
 from ..operators import alter, diff, policy, sequence
+from ..operators.schemas import aligned
 from ..relations import Catalog, local_frame, written
 from .options import GUARDS, CompareOptions
 
@@ -18,12 +19,13 @@ _PLACE = ("stage", "sub", "own", "step", "item", "part")
 
 @dataclass(frozen=True)
 class Plan:
-    """commands: one row each, to be ordered by ORDER; audit: texts of what the policy or a rule held back."""
+    """commands: one row each, to be ordered by ORDER; audit: texts of what the policy or a rule held back; desired: the catalog that the plan leads to."""
 
     commands: DataFrame
     audit: DataFrame
     edges: DataFrame
     options: CompareOptions
+    desired: Catalog | None = None
 
     ORDER = ("phase_order", "table_rank", "place")
 
@@ -57,6 +59,7 @@ def compare(desired: Catalog, current: Catalog, options: CompareOptions, rows: D
     """
     if options.schema:
         desired, current = replace(desired, schema=options.schema), replace(current, schema=options.schema)
+    desired, current = aligned(desired, current, options.schemas)
     kept, held = policy.gated(diff.differences(diff.compared(desired, current) if rows is None else rows, options), options.policy)
     steps, refused = alter.expanded(kept, options)
     steps = steps.select("*", F.posexplode("ops").alias("op_part", "op"))
@@ -74,4 +77,4 @@ def compare(desired: Catalog, current: Catalog, options: CompareOptions, rows: D
     else:
         commands = commands.withColumns({"phase": F.lit("Unknown"), "phase_order": F.lit(0), "table_rank": F.lit(0)})
     edges = local_frame(desired.spark, [], "child string, parent string") if foreign_keys is None else foreign_keys.selectExpr("table_key as child", "parent_key as parent").filter("child <> parent").distinct()
-    return Plan(commands, held.unionByName(refused), edges, options)
+    return Plan(commands, held.unionByName(refused), edges, options, desired)

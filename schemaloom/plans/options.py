@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from .. import dialects as D
-from ..functions.keys import valid_schema_name
+from ..functions.keys import ascii_upper_text, valid_schema_name
 
 # The operations that a policy can allow.
 OPERATIONS = (
@@ -37,7 +37,8 @@ class CompareOptions:
     """How two catalogs are compared and how the plan is applied.
 
     model_mode: the desired side is a set of declared models, which have no views' or routines' texts. strict_keys also compares the order of key
-    columns and extra ones. extracted: the kinds that the current side's source can read (None: all); others are not compared.
+    columns and extra ones. extracted: the kinds that the current side's source can read (None: all); others are not compared. schema: the schema that
+    statements name, for catalogs of one. schemas: for catalogs of several, (desired, current) names of schemas that stand for each other; statements name the current one.
     """
 
     dialect: str = D.SPARK
@@ -53,10 +54,14 @@ class CompareOptions:
     raise_on_error: bool = True
     schema: str = ""
     extracted: frozenset[str] | None = None
+    schemas: tuple[tuple[str, str], ...] = ()
 
     def __post_init__(self) -> None:
         D.features(self.dialect)
         valid_schema_name(self.schema)
+        desired, current = zip(*self.schemas) if self.schemas else ((), ())
+        if len({ascii_upper_text(x) for x in desired}) < len(desired) or len({ascii_upper_text(x) for x in current}) < len(current):
+            raise InvalidOption(f"schemas: {self.schemas}")
         if unknown := self.policy - FULL:
             raise InvalidOption(f"policy: {sorted(unknown)}")
         if self.strategy not in (IN_PLACE, REBUILD):

@@ -6,11 +6,10 @@ by fixed rules, so that every kind of difference occurs.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import catalog_queries, extraction_queries, lifecycle_queries, table_queries  # noqa: F401  (they add their queries to those below)
 from . import dialects as D
 from .functions import normalize, types
 from .functions.keys import position_key, routine_key
@@ -21,38 +20,13 @@ from .operators.apply import applied
 from .plans.compare import compare
 from .plans.options import ADDITIVE, FULL, REBUILD, CompareOptions
 from .plans.script import ordered_lines
+from .query_base import _table, oracle_sql, queries, query  # noqa: F401  (oracle_sql and queries are this module's too)
 from .relations import Catalog, from_rows
 from .sources.frames import parquet_catalog
 
-Query = Callable[[SparkSession, str], DataFrame]
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 _NAMES = ", ".join(f"'{t}'" for t in TABLES)
 
-_QUERIES: dict[str, Query] = {}
-_SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        _QUERIES[name] = f
-        if sql is not None:
-            _SQL[name] = sql
-        return f
-
-    return add
-
-
-def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
-
-
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
 
 def desired_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
     return parquet_catalog(spark, sf_dir, TABLES)
@@ -393,8 +367,5 @@ def validators_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-from . import catalog_queries, extraction_queries, lifecycle_queries  # noqa: E402, F401  (they add their queries to those above)
-
-
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan_commands(spark, sf_dir)

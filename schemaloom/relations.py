@@ -8,7 +8,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterable, Mapping
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,6 +33,9 @@ SCHEMAS: dict[str, str] = {
 #: The columns of views, kept but not compared: table_key is the view's object_key.
 SCHEMAS["view_columns"] = SCHEMAS["columns"]
 
+#: What rows of catalogs that span several schemas have besides: the schema of objects outside of tables, and that of a foreign key's parent.
+SCHEMA_COLUMNS = {**dict.fromkeys(("views", "sequences", "domains", "procedures"), "schema_name"), "foreign_keys": "parent_schema"}
+
 #: Kinds of key_columns rows.
 KEY_KINDS = ("pk", "index", "fk_from", "fk_to")
 
@@ -43,12 +46,16 @@ class DuplicateObject(ValueError):
 
 @dataclass(frozen=True)
 class Catalog:
-    """A database catalog: its name, its schema and its relations. Relations that are left out are empty."""
+    """A database catalog: its name, its schema and its relations. Relations that are left out are empty.
+
+    A qualified catalog spans several schemas: its keys begin with the schema (see functions.keys.qualified_key), and its rows have SCHEMA_COLUMNS.
+    """
 
     spark: SparkSession
     name: str = ""
     schema: str = ""
     frames: Mapping[str, DataFrame] = field(default_factory=dict)
+    qualified: bool = False
 
     def __getattr__(self, relation: str) -> DataFrame:
         if relation not in SCHEMAS:
@@ -62,10 +69,10 @@ class Catalog:
         return self.spark.createDataFrame([], SCHEMAS[name]) if found is None else found
 
     def replaced(self, **frames: DataFrame) -> Catalog:
-        return Catalog(self.spark, self.name, self.schema, {**self.frames, **frames})
+        return replace(self, frames={**self.frames, **frames})
 
     def cached(self) -> Catalog:
-        return Catalog(self.spark, self.name, self.schema, {k: v.cache() for k, v in self.frames.items()})
+        return replace(self, frames={k: v.cache() for k, v in self.frames.items()})
 
     def write(self, folder: str) -> None:
         """One Parquet folder for each relation."""
@@ -88,26 +95,33 @@ _IDENTITY = {
 }
 
 
-def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder that spark.checkpoint.dir names: plans over it stay small, and a lost executor loses nothing.
+_local_folders: dict[str, str] = {}
 
-    Without such a folder it is kept by the executors instead, or, where all runs on this machine, in a temporary folder.
-    """
-    spark = df.sparkSession
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Where that is unset, a temporary one for each application if all runs on this machine, and an error on a cluster."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and spark.sparkContext.master.startswith("local"):
-        folder = tempfile.mkdtemp(prefix="schemaloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    if not folder:
-        return df.persist()
-    path = f"{folder.rstrip('/')}/relation-{uuid.uuid4().hex}"
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    own = spark.sparkContext.applicationId
+    if own not in _local_folders:
+        _local_folders[own] = tempfile.mkdtemp(prefix="schemaloom-")
+    return _local_folders[own]
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder: plans over it stay small, and a lost executor loses nothing."""
+    path = f"{shared_folder(df.sparkSession)}/relation-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def read_catalog(spark: SparkSession, folder: str, name: str = "", schema: str = "") -> Catalog:
+def read_catalog(spark: SparkSession, folder: str, name: str = "", schema: str = "", qualified: bool = False) -> Catalog:
     """A catalog that Catalog.write has written."""
-    return Catalog(spark, name, schema, {n: spark.read.schema(s).parquet(f"{folder.rstrip('/')}/{n}") for n, s in SCHEMAS.items()})
+    full = {n: f"{s}, {SCHEMA_COLUMNS[n]} string" if qualified and n in SCHEMA_COLUMNS else s for n, s in SCHEMAS.items()}
+    return Catalog(spark, name, schema, {n: spark.read.schema(s).parquet(f"{folder.rstrip('/')}/{n}") for n, s in full.items()}, qualified)
 
 
 def from_rows(spark: SparkSession, name: str = "", schema: str = "", **rows: Iterable[Mapping]) -> Catalog:

@@ -6,14 +6,14 @@ Spark reads the results. All queries return the same column names, and one decod
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .. import dialects as D
 from ..functions import normalize
-from ..functions.keys import ascii_upper, routine_key, valid_schema_name
+from ..functions.keys import ascii_upper, qualified_key, routine_key, valid_schema_name
 from ..functions.render import choice
 from ..functions.types import type_template
 from ..relations import Catalog
@@ -56,25 +56,26 @@ _SYSTEM = "('pg_catalog', 'information_schema')"
 # {schema} becomes a condition on the column before it, or nothing.
 QUERIES: dict[str, dict[str, str]] = {
     D.POSTGRESQL: {
-        "tables": f"select table_name, '' as description from information_schema.tables where table_type = 'BASE TABLE' and table_schema not in {_SYSTEM}{{schema:table_schema}}",
-        "columns": "select c.table_name, c.column_name, c.ordinal_position - 1 as position, upper(c.udt_name) as native_type, c.character_maximum_length as size, c.numeric_precision as precision, c.numeric_scale as scale, "
+        "tables": f"select table_schema as schema_name, table_name, '' as description from information_schema.tables where table_type = 'BASE TABLE' and table_schema not in {_SYSTEM}{{schema:table_schema}}",
+        "columns": "select c.table_schema as schema_name, c.table_name, c.column_name, c.ordinal_position - 1 as position, upper(c.udt_name) as native_type, c.character_maximum_length as size, c.numeric_precision as precision, c.numeric_scale as scale, "
         "case when c.is_nullable = 'NO' then 1 else 0 end as not_null, 0 as auto_increment, c.column_default as default_value, c.character_set_name as charset, '' as description "
         f"from information_schema.columns c join information_schema.tables t on t.table_schema = c.table_schema and t.table_name = c.table_name and t.table_type = 'BASE TABLE' where c.table_schema not in {_SYSTEM}{{schema:c.table_schema}}",
-        "primary_keys": "select k.table_name, 'PK_' || k.table_name as pk_name, k.column_name, k.ordinal_position as position from information_schema.key_column_usage k join information_schema.table_constraints t "
+        "primary_keys": "select k.table_schema as schema_name, k.table_name, 'PK_' || k.table_name as pk_name, k.column_name, k.ordinal_position as position from information_schema.key_column_usage k join information_schema.table_constraints t "
         f"on t.constraint_schema = k.constraint_schema and t.table_name = k.table_name and t.constraint_name = k.constraint_name where t.constraint_type = 'PRIMARY KEY' and t.table_schema not in {_SYSTEM}{{schema:t.table_schema}}",
-        "foreign_keys": "select k.table_name, k.constraint_name as name, k.column_name, k.ordinal_position as position, u.table_name as parent_table, u.column_name as parent_column, r.update_rule as on_update, r.delete_rule as on_delete "
+        "foreign_keys": "select k.table_schema as schema_name, k.table_name, k.constraint_name as name, k.column_name, k.ordinal_position as position, u.table_schema as parent_schema, u.table_name as parent_table, u.column_name as parent_column, r.update_rule as on_update, r.delete_rule as on_delete "
         "from information_schema.key_column_usage k join information_schema.referential_constraints r on r.constraint_schema = k.constraint_schema and r.constraint_name = k.constraint_name "
         "join information_schema.key_column_usage u on u.constraint_schema = r.unique_constraint_schema and u.constraint_name = r.unique_constraint_name and u.ordinal_position = k.position_in_unique_constraint "
         f"where k.table_schema not in {_SYSTEM}{{schema:k.table_schema}}",
-        "indexes": "select t.relname as table_name, i.relname as name, case when x.indisunique then 1 else 0 end as is_unique, a.attname as column_name, k.ord as position from pg_index x join pg_class t on t.oid = x.indrelid "
-        "join pg_class i on i.oid = x.indexrelid join pg_namespace n on n.oid = t.relnamespace cross join lateral unnest(x.indkey) with ordinality as k(attnum, ord) join pg_attribute a on a.attrelid = t.oid and a.attnum = k.attnum "
-        f"where not x.indisprimary and n.nspname not in {_SYSTEM}{{schema:n.nspname}}",
-        "checks": f"select t.relname as table_name, c.conname as name, pg_get_constraintdef(c.oid) as condition from pg_constraint c join pg_class t on t.oid = c.conrelid join pg_namespace n on n.oid = c.connamespace where c.contype = 'c' and n.nspname not in {_SYSTEM}{{schema:n.nspname}}",
-        "views": f"select table_name as name, view_definition as script from information_schema.views where table_schema not in {_SYSTEM} and table_name !~ '^pg_'{{schema:table_schema}}",
-        "sequences": "select sequencename as name, '' as table_name, start_value as initial_value, increment_by as increment from pg_sequences where 1 = 1{schema:schemaname}",
-        "domains": "select t.typname as name, format_type(t.typbasetype, t.typtypmod) as type_name, case when t.typnotnull then 1 else 0 end as not_null, t.typdefault as default_value, pg_get_constraintdef(c.oid) as check_condition "
+        "indexes": "select n.nspname as schema_name, t.relname as table_name, i.relname as name, case when x.indisunique then 1 else 0 end as is_unique, a.attname as column_name, k.ord as position, "
+        "case when k.attnum = 0 then pg_get_indexdef(x.indexrelid, cast(k.ord as integer), true) end as expression from pg_index x join pg_class t on t.oid = x.indrelid "
+        "join pg_class i on i.oid = x.indexrelid join pg_namespace n on n.oid = t.relnamespace cross join lateral unnest(x.indkey) with ordinality as k(attnum, ord) left join pg_attribute a on a.attrelid = t.oid and a.attnum = k.attnum and k.attnum <> 0 "
+        f"where not x.indisprimary and k.ord <= x.indnkeyatts and n.nspname not in {_SYSTEM}{{schema:n.nspname}}",
+        "checks": f"select n.nspname as schema_name, t.relname as table_name, c.conname as name, pg_get_constraintdef(c.oid) as condition from pg_constraint c join pg_class t on t.oid = c.conrelid join pg_namespace n on n.oid = c.connamespace where c.contype = 'c' and n.nspname not in {_SYSTEM}{{schema:n.nspname}}",
+        "views": f"select table_schema as schema_name, table_name as name, view_definition as script from information_schema.views where table_schema not in {_SYSTEM} and table_name !~ '^pg_'{{schema:table_schema}}",
+        "sequences": "select schemaname as schema_name, sequencename as name, '' as table_name, start_value as initial_value, increment_by as increment from pg_sequences where 1 = 1{schema:schemaname}",
+        "domains": "select n.nspname as schema_name, t.typname as name, format_type(t.typbasetype, t.typtypmod) as type_name, case when t.typnotnull then 1 else 0 end as not_null, t.typdefault as default_value, pg_get_constraintdef(c.oid) as check_condition "
         f"from pg_type t join pg_namespace n on n.oid = t.typnamespace left join pg_constraint c on c.contypid = t.oid where t.typtype = 'd' and n.nspname not in {_SYSTEM}{{schema:n.nspname}}",
-        "procedures": "select p.proname as name, pg_get_function_identity_arguments(p.oid) as signature, case when p.prokind = 'f' then 1 else 0 end as is_function, pg_get_functiondef(p.oid) as script "
+        "procedures": "select n.nspname as schema_name, p.proname as name, pg_get_function_identity_arguments(p.oid) as signature, case when p.prokind = 'f' then 1 else 0 end as is_function, pg_get_functiondef(p.oid) as script "
         f"from pg_proc p join pg_namespace n on n.oid = p.pronamespace where p.prokind in ('p', 'f') and n.nspname not in {_SYSTEM}{{schema:n.nspname}}",
     },
     D.MYSQL: {
@@ -84,26 +85,26 @@ QUERIES: dict[str, dict[str, str]] = {
         "primary_keys": "select table_name, concat('PK_', table_name) as pk_name, column_name, ordinal_position as position from information_schema.key_column_usage where constraint_name = 'PRIMARY' and table_schema = database()",
         "foreign_keys": "select k.table_name, k.constraint_name as name, k.column_name, k.ordinal_position as position, k.referenced_table_name as parent_table, k.referenced_column_name as parent_column, r.update_rule as on_update, r.delete_rule as on_delete "
         "from information_schema.key_column_usage k join information_schema.referential_constraints r on r.constraint_schema = k.constraint_schema and r.constraint_name = k.constraint_name and r.table_name = k.table_name where k.table_schema = database()",
-        "indexes": "select table_name, index_name as name, 1 - non_unique as is_unique, column_name, seq_in_index as position from information_schema.statistics where index_name <> 'PRIMARY' and table_schema = database()",
+        "indexes": "select table_name, index_name as name, 1 - non_unique as is_unique, column_name, seq_in_index as position, expression from information_schema.statistics where index_name <> 'PRIMARY' and table_schema = database()",
         "views": "select table_name as name, view_definition as script from information_schema.views where table_schema = database()",
         "procedures": "select routine_name as name, '' as signature, case when routine_type = 'FUNCTION' then 1 else 0 end as is_function, concat('CREATE ', routine_type, ' ', routine_name, '() ', routine_definition) as script "
         "from information_schema.routines where routine_schema = database() and trim(coalesce(routine_definition, '')) <> ''",
     },
     D.MSSQL: {
-        "tables": "select o.name as table_name, cast(e.value as nvarchar(4000)) as description from sys.tables o left join sys.extended_properties e on e.class = 1 and e.major_id = o.object_id and e.minor_id = 0 and e.name = 'MS_Description' where o.is_ms_shipped = 0{schema:schema_name(o.schema_id)}",
-        "columns": "select o.name as table_name, c.name as column_name, c.column_id - 1 as position, upper(y.name) as native_type, case when c.max_length = -1 then -1 when y.name in ('nchar', 'nvarchar') then c.max_length / 2 else c.max_length end as size, "
+        "tables": "select schema_name(o.schema_id) as schema_name, o.name as table_name, cast(e.value as nvarchar(4000)) as description from sys.tables o left join sys.extended_properties e on e.class = 1 and e.major_id = o.object_id and e.minor_id = 0 and e.name = 'MS_Description' where o.is_ms_shipped = 0{schema:schema_name(o.schema_id)}",
+        "columns": "select schema_name(o.schema_id) as schema_name, o.name as table_name, c.name as column_name, c.column_id - 1 as position, upper(y.name) as native_type, case when c.max_length = -1 then -1 when y.name in ('nchar', 'nvarchar') then c.max_length / 2 else c.max_length end as size, "
         "c.precision, c.scale, case when c.is_nullable = 0 then 1 else 0 end as not_null, cast(c.is_identity as int) as auto_increment, d.definition as default_value, '' as charset, cast(e.value as nvarchar(4000)) as description from sys.tables o join sys.columns c on c.object_id = o.object_id "
         "join sys.types y on y.user_type_id = c.user_type_id left join sys.default_constraints d on d.object_id = c.default_object_id left join sys.extended_properties e on e.class = 1 and e.major_id = o.object_id and e.minor_id = c.column_id and e.name = 'MS_Description' where o.is_ms_shipped = 0{schema:schema_name(o.schema_id)}",
-        "primary_keys": "select o.name as table_name, x.name as pk_name, c.name as column_name, i.key_ordinal as position from sys.indexes x join sys.tables o on o.object_id = x.object_id join sys.index_columns i on i.object_id = x.object_id and i.index_id = x.index_id "
+        "primary_keys": "select schema_name(o.schema_id) as schema_name, o.name as table_name, x.name as pk_name, c.name as column_name, i.key_ordinal as position from sys.indexes x join sys.tables o on o.object_id = x.object_id join sys.index_columns i on i.object_id = x.object_id and i.index_id = x.index_id "
         "join sys.columns c on c.object_id = i.object_id and c.column_id = i.column_id where x.is_primary_key = 1{schema:schema_name(o.schema_id)}",
-        "foreign_keys": "select o.name as table_name, f.name, c.name as column_name, k.constraint_column_id as position, p.name as parent_table, q.name as parent_column, cast(f.update_referential_action as varchar(2)) as on_update, cast(f.delete_referential_action as varchar(2)) as on_delete from sys.foreign_keys f "
+        "foreign_keys": "select schema_name(o.schema_id) as schema_name, o.name as table_name, f.name, c.name as column_name, k.constraint_column_id as position, schema_name(p.schema_id) as parent_schema, p.name as parent_table, q.name as parent_column, cast(f.update_referential_action as varchar(2)) as on_update, cast(f.delete_referential_action as varchar(2)) as on_delete from sys.foreign_keys f "
         "join sys.foreign_key_columns k on k.constraint_object_id = f.object_id join sys.tables o on o.object_id = f.parent_object_id join sys.columns c on c.object_id = k.parent_object_id and c.column_id = k.parent_column_id "
         "join sys.tables p on p.object_id = f.referenced_object_id join sys.columns q on q.object_id = k.referenced_object_id and q.column_id = k.referenced_column_id where 1 = 1{schema:schema_name(o.schema_id)}",
-        "indexes": "select o.name as table_name, x.name, cast(x.is_unique as int) as is_unique, c.name as column_name, i.key_ordinal as position from sys.indexes x join sys.tables o on o.object_id = x.object_id join sys.index_columns i on i.object_id = x.object_id and i.index_id = x.index_id "
+        "indexes": "select schema_name(o.schema_id) as schema_name, o.name as table_name, x.name, cast(x.is_unique as int) as is_unique, c.name as column_name, i.key_ordinal as position from sys.indexes x join sys.tables o on o.object_id = x.object_id join sys.index_columns i on i.object_id = x.object_id and i.index_id = x.index_id "
         "join sys.columns c on c.object_id = i.object_id and c.column_id = i.column_id where x.type = 2 and x.is_primary_key = 0 and i.is_included_column = 0{schema:schema_name(o.schema_id)}",
-        "views": "select v.name, m.definition as script from sys.views v join sys.sql_modules m on m.object_id = v.object_id where v.is_ms_shipped = 0{schema:schema_name(v.schema_id)}",
-        "sequences": "select name, '' as table_name, cast(start_value as bigint) as initial_value, cast(increment as bigint) as increment from sys.sequences where 1 = 1{schema:schema_name(schema_id)}",
-        "procedures": "select o.name, '' as signature, case when o.type = 'P' then 0 else 1 end as is_function, m.definition as script from sys.objects o join sys.sql_modules m on m.object_id = o.object_id where o.type in ('P', 'FN', 'IF', 'TF') and o.is_ms_shipped = 0{schema:schema_name(o.schema_id)}",
+        "views": "select schema_name(v.schema_id) as schema_name, v.name, m.definition as script from sys.views v join sys.sql_modules m on m.object_id = v.object_id where v.is_ms_shipped = 0{schema:schema_name(v.schema_id)}",
+        "sequences": "select schema_name(schema_id) as schema_name, name, '' as table_name, cast(start_value as bigint) as initial_value, cast(increment as bigint) as increment from sys.sequences where 1 = 1{schema:schema_name(schema_id)}",
+        "procedures": "select schema_name(o.schema_id) as schema_name, o.name, '' as signature, case when o.type = 'P' then 0 else 1 end as is_function, m.definition as script from sys.objects o join sys.sql_modules m on m.object_id = o.object_id where o.type in ('P', 'FN', 'IF', 'TF') and o.is_ms_shipped = 0{schema:schema_name(o.schema_id)}",
     },
     D.ORACLE: {
         "tables": "select t.table_name, c.comments as description from user_tables t left join user_tab_comments c on c.table_name = t.table_name where t.table_name not like '%$%'",
@@ -128,7 +129,7 @@ QUERIES: dict[str, dict[str, str]] = {
         "foreign_keys": "select trim(c.rdb$relation_name) as table_name, trim(c.rdb$constraint_name) as name, trim(s.rdb$field_name) as column_name, s.rdb$field_position as position, trim(p.rdb$relation_name) as parent_table, trim(q.rdb$field_name) as parent_column, trim(r.rdb$update_rule) as on_update, trim(r.rdb$delete_rule) as on_delete "
         "from rdb$relation_constraints c join rdb$ref_constraints r on r.rdb$constraint_name = c.rdb$constraint_name join rdb$relation_constraints p on p.rdb$constraint_name = r.rdb$const_name_uq join rdb$index_segments s on s.rdb$index_name = c.rdb$index_name "
         "join rdb$index_segments q on q.rdb$index_name = p.rdb$index_name and q.rdb$field_position = s.rdb$field_position where c.rdb$constraint_type = 'FOREIGN KEY'",
-        "indexes": "select trim(i.rdb$relation_name) as table_name, trim(i.rdb$index_name) as name, coalesce(i.rdb$unique_flag, 0) as is_unique, trim(s.rdb$field_name) as column_name, s.rdb$field_position as position from rdb$indices i join rdb$index_segments s on s.rdb$index_name = i.rdb$index_name "
+        "indexes": "select trim(i.rdb$relation_name) as table_name, trim(i.rdb$index_name) as name, coalesce(i.rdb$unique_flag, 0) as is_unique, trim(s.rdb$field_name) as column_name, coalesce(s.rdb$field_position, 0) as position, i.rdb$expression_source as expression from rdb$indices i left join rdb$index_segments s on s.rdb$index_name = i.rdb$index_name "
         "left join rdb$relation_constraints c on c.rdb$index_name = i.rdb$index_name where i.rdb$system_flag = 0 and (c.rdb$constraint_type is null or c.rdb$constraint_type = 'UNIQUE')",
         "checks": "select trim(c.rdb$relation_name) as table_name, trim(c.rdb$constraint_name) as name, t.rdb$trigger_source as condition from rdb$relation_constraints c join rdb$check_constraints k on k.rdb$constraint_name = c.rdb$constraint_name "
         "join rdb$triggers t on t.rdb$trigger_name = k.rdb$trigger_name where c.rdb$constraint_type = 'CHECK' and t.rdb$trigger_type = 1",
@@ -139,6 +140,8 @@ QUERIES: dict[str, dict[str, str]] = {
         "procedures": "select trim(rdb$procedure_name) as name, '' as signature, 0 as is_function, 'CREATE PROCEDURE ' || trim(rdb$procedure_name) || ' AS ' || rdb$procedure_source as script from rdb$procedures where rdb$system_flag = 0",
     },
 }
+#: What servers without expressions in indexes answer: MySQL before 8.0.13.
+OLDER = {D.MYSQL: {"indexes": QUERIES[D.MYSQL]["indexes"].replace(", expression from", " from")}}
 QUERIES[D.FIREBIRD]["view_columns"] = QUERIES[D.FIREBIRD]["columns"].replace("t.rdb$view_blr is null", "t.rdb$view_blr is not null")
 QUERIES[D.INTERBASE] = QUERIES[D.FIREBIRD]
 QUERIES[D.FIREBIRD3] = {
@@ -197,20 +200,25 @@ def native_type(name: Column, dialect: str) -> Column:
     return F.coalesce(found, F.raise_error(F.concat(F.lit("unknown column type: "), F.coalesce(name, F.lit("null")))).cast("string"))
 
 
-def database_catalog(spark: SparkSession, read: Reader, dialect: str, schema: str = "", name: str = "") -> Catalog:
-    """The catalog of a database; schema restricts it where the dialect has schemas. Kinds that the dialect's source can't read are empty."""
-    given = QUERIES[dialect]
+def database_catalog(spark: SparkSession, read: Reader, dialect: str, schema: str = "", name: str = "", older: bool = False) -> Catalog:
+    """The catalog of a database; schema restricts it where the dialect has schemas, and without it the catalog is qualified, as it may span several. Kinds that the dialect's
+    source can't read are empty. older: the server is one that OLDER is for."""
+    given = {n: query_for(dialect, n, schema) for n in QUERIES[dialect]} | (OLDER.get(dialect, {}) if older else {})
     lowered = lambda rows: rows.toDF(*[c.lower() for c in rows.columns])
-    raw = {n: lowered(read(query_for(dialect, n, schema))) for n in given}
+    raw = {n: lowered(read(q)) for n, q in given.items()}
     return decoded(spark, raw, dialect, schema, name)
 
 
 def decoded(spark: SparkSession, raw: Mapping[str, DataFrame], dialect: str, schema: str = "", name: str = "") -> Catalog:
-    """Rows of the queries as the relations of a catalog."""
-    own = lambda c="table_name": ascii_upper(F.col(c)).alias("table_key")
-    key = lambda c="name": ascii_upper(F.col(c)).alias("object_key")
+    """Rows of the queries as the relations of a catalog. Where no schema is given and the rows have theirs, the catalog is qualified."""
+    several = not schema and "schema_name" in raw["tables"].columns
+    with_schema = lambda column, k: qualified_key(_text(column), k) if several else k
+    own = lambda: with_schema("schema_name", ascii_upper(F.col("table_name"))).alias("table_key")
+    key = lambda: ascii_upper(F.col("name")).alias("object_key")
+    free = lambda: with_schema("schema_name", ascii_upper(F.col("name"))).alias("object_key")
+    theirs = [_text("schema_name").alias("schema_name")] if several else []
     none = F.lit("").alias("description")
-    frames: dict[str, DataFrame] = {"tables": raw["tables"].select(F.lit(schema).alias("schema_name"), own(), F.col("table_name"), _text("description").alias("description"))}
+    frames: dict[str, DataFrame] = {"tables": raw["tables"].select(*(theirs or [F.lit(schema).alias("schema_name")]), own(), F.col("table_name"), _text("description").alias("description"))}
 
     default = F.trim(_text("default_value"))
     if dialect == D.MSSQL:
@@ -233,8 +241,12 @@ def decoded(spark: SparkSession, raw: Mapping[str, DataFrame], dialect: str, sch
     )
 
     def members(rows: DataFrame, kind: str, column: str, object_key: Column) -> DataFrame:
-        position = (F.row_number().over(_by_position(object_key)) - 1).alias("position")
-        return rows.select(own(), F.lit(kind).alias("key_kind"), object_key.alias("object_key"), position, F.col(column).alias("column_name"), ascii_upper(F.col(column)).alias("name_key"), F.lit("NoSort").alias("sorting_order"))
+        position = (F.row_number().over(Window.partitionBy(own(), object_key).orderBy(F.col("position").cast("int"))) - 1).alias("position")
+        name = F.col(column)
+        shown, name_key = name, ascii_upper(name)
+        if kind == "index" and "expression" in rows.columns:  # a member that is an expression is known by its canonical form
+            shown, name_key = F.coalesce("expression", name), F.coalesce(normalize.expression(F.col("expression")), name_key)
+        return rows.select(own(), F.lit(kind).alias("key_kind"), object_key.alias("object_key"), position, shown.alias("column_name"), name_key.alias("name_key"), F.lit("NoSort").alias("sorting_order"))
 
     keys = raw["primary_keys"]
     all_members = members(keys, "pk", "column_name", F.lit(""))
@@ -243,10 +255,8 @@ def decoded(spark: SparkSession, raw: Mapping[str, DataFrame], dialect: str, sch
     frames["columns"] = columns.join(pk_columns, ["table_key", "name_key"], "left").withColumn("is_primary_key", F.coalesce("is_primary_key", F.lit(False))).select([c.split()[0] for c in _columns_of("columns")])
     frames["primary_keys"] = keys.select(own(), "pk_name", (_flag("auto_increment") if "auto_increment" in keys.columns else F.lit(False)).alias("auto_increment")).distinct().select("*", none)
     foreign = raw["foreign_keys"]
-    frames["foreign_keys"] = foreign.select(own(), key(), "name", "parent_table", ascii_upper(F.col("parent_table")).alias("parent_key"), rule_action(F.col("on_update")).alias("on_update"), rule_action(F.col("on_delete")).alias("on_delete"), none).distinct()
+    frames["foreign_keys"] = foreign.select(own(), key(), "name", "parent_table", with_schema("parent_schema", ascii_upper(F.col("parent_table"))).alias("parent_key"), *([_text("parent_schema").alias("parent_schema")] if several else []), rule_action(F.col("on_update")).alias("on_update"), rule_action(F.col("on_delete")).alias("on_delete"), none).distinct()
     indexes = raw["indexes"]
-    if "expression" in indexes.columns:
-        indexes = indexes.withColumn("column_name", F.coalesce("expression", "column_name"))
     frames["indexes"] = indexes.select(own(), key(), "name", _flag("is_unique").alias("is_unique"), none).distinct()
     name_key = ascii_upper(F.col("name"))
     frames["key_columns"] = all_members.union(members(indexes, "index", "column_name", name_key)).union(members(foreign, "fk_from", "column_name", name_key)).union(members(foreign, "fk_to", "parent_column", name_key))
@@ -254,22 +264,16 @@ def decoded(spark: SparkSession, raw: Mapping[str, DataFrame], dialect: str, sch
         condition = _text("condition") if dialect == D.ORACLE else normalize.check_condition(_text("condition"))
         frames["checks"] = raw["checks"].select(own(), key(), "name", condition.alias("condition"), none)
     if "views" in raw:
-        frames["views"] = raw["views"].select(key(), "name", normalize.view_body(_text("script")).alias("script"), none)
+        frames["views"] = raw["views"].select(free(), *theirs, "name", normalize.view_body(_text("script")).alias("script"), none)
     if "view_columns" in raw:
         frames["view_columns"] = fields(raw["view_columns"]).withColumn("is_primary_key", F.lit(False)).select([c.split()[0] for c in _columns_of("columns")])
     if "sequences" in raw:
-        frames["sequences"] = raw["sequences"].select(key(), "name", _text("table_name").alias("table_name"), _number("initial_value").alias("initial_value"), _number("increment").alias("increment"), none)
+        frames["sequences"] = raw["sequences"].select(free(), *theirs, "name", _text("table_name").alias("table_name"), _number("initial_value").alias("initial_value"), _number("increment").alias("increment"), none)
     if "domains" in raw:
-        frames["domains"] = _domains(raw["domains"], dialect)
+        frames["domains"] = _domains(raw["domains"], dialect, free(), theirs)
     if "procedures" in raw:
-        frames["procedures"] = raw["procedures"].select(routine_key(F.col("name"), _text("signature")).alias("object_key"), "name", _text("signature").alias("signature"), _flag("is_function").alias("is_function"), _text("script").alias("script"), none)
-    return Catalog(spark, name, schema, frames)
-
-
-def _by_position(object_key: Column):
-    from pyspark.sql import Window
-
-    return Window.partitionBy("table_name", object_key).orderBy(F.col("position").cast("int"))
+        frames["procedures"] = raw["procedures"].select(with_schema("schema_name", routine_key(F.col("name"), _text("signature"))).alias("object_key"), *theirs, "name", _text("signature").alias("signature"), _flag("is_function").alias("is_function"), _text("script").alias("script"), none)
+    return Catalog(spark, name, schema, frames, several)
 
 
 def _columns_of(relation: str) -> list[str]:
@@ -278,7 +282,7 @@ def _columns_of(relation: str) -> list[str]:
     return [c.strip() for c in SCHEMAS[relation].split(",")]
 
 
-def _domains(rows: DataFrame, dialect: str) -> DataFrame:
+def _domains(rows: DataFrame, dialect: str, key: Column | None = None, schema: Sequence[Column] = ()) -> DataFrame:
     """One row per domain; several checks become one condition."""
     if "type_name" not in rows.columns:
         kind = F.col("domain_type")
@@ -287,6 +291,7 @@ def _domains(rows: DataFrame, dialect: str) -> DataFrame:
             template = F.replace(template, F.lit(mark), _number(column).cast("string"))
         rows = rows.withColumn("type_name", template)
     checks = F.array_sort(F.filter(F.collect_list(normalize.check_condition(_text("check_condition"))), lambda x: x != ""))
-    grouped = rows.groupBy("name", "type_name", _flag("not_null").alias("not_null"), normalize.default_value(_text("default_value")).alias("default_value")).agg(checks.alias("c"))
+    key = ascii_upper(F.col("name")).alias("object_key") if key is None else key
+    grouped = rows.groupBy(key, *schema, "name", "type_name", _flag("not_null").alias("not_null"), normalize.default_value(_text("default_value")).alias("default_value")).agg(checks.alias("c"))
     several = F.array_join(F.transform("c", lambda x: F.concat(F.lit("("), x, F.lit(")"))), " AND ")
-    return grouped.select(ascii_upper(F.col("name")).alias("object_key"), "name", "type_name", "not_null", "default_value", F.when(F.size("c") > 1, several).otherwise(F.array_join("c", "")).alias("check_condition"), F.lit("").alias("description"))
+    return grouped.select("object_key", *(["schema_name"] if schema else []), "name", "type_name", "not_null", "default_value", F.when(F.size("c") > 1, several).otherwise(F.array_join("c", "")).alias("check_condition"), F.lit("").alias("description"))
