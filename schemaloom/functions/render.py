@@ -1,21 +1,19 @@
-"""Statements as text: one Column expression for all operations of a dialect.
+"""Statements as text, from the templates of dialects (see dialects.STATEMENTS).
 
-Rows to render have op, schema, table_name, name, attrs and extra (see operators.diff). Statements are whole in every dialect: constraints
-on existing tables come as ALTER TABLE ... ADD CONSTRAINT. Inside CREATE TABLE parts are joined by commas.
+Statements are whole in every dialect: constraints on existing tables come as ALTER TABLE ... ADD CONSTRAINT. Inside CREATE TABLE parts are joined by commas.
 """
 
 from __future__ import annotations
 
-import functools
+import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import dialects as D
 from .types import mysql_cast_type, rendered_type
 
-OPENING, CLOSING = {D.POSTGRESQL: '"', D.MSSQL: "[", D.SPARK: "`"}, {D.POSTGRESQL: '"', D.MSSQL: "]", D.SPARK: "`"}
-
+GUARDS = ("EnableForeignKeys", "EnableTriggers")
 
 def cat(*parts: Column | str) -> Column:
     return F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
@@ -43,7 +41,7 @@ def default_literal(attrs: Column) -> Column:
 
 
 def qualified(schema: Column, name: Column, dialect: str) -> Column:
-    a, z = OPENING.get(dialect, ""), CLOSING.get(dialect, "")
+    a, z = D.QUOTES.get(dialect, ("", ""))
     return F.when(schema != "", cat(a, schema, z, ".", a, name, z)).otherwise(name)
 
 
@@ -71,13 +69,13 @@ def counting_key(name: Column, attrs: Column, key_name: Column) -> Column:
     return cat(name, " INTEGER", _not_null(attrs), named, " PRIMARY KEY AUTOINCREMENT")
 
 
-def _actions(attrs: Column, dialect: str) -> Column:
-    def clause(event: str, action: Column) -> Column:
-        words = F.when(action == "Cascade", "CASCADE").when(action == "SetNull", "SET NULL").when(action == "SetDefault", "SET DEFAULT")
-        return F.when(words.isNull(), "").otherwise(cat(f" ON {event} ", words))
+def _rule(event: str, action: Column) -> Column:
+    words = F.when(action == "Cascade", "CASCADE").when(action == "SetNull", "SET NULL").when(action == "SetDefault", "SET DEFAULT")
+    return F.when(words.isNull(), "").otherwise(cat(f" ON {event} ", words))
 
-    update = F.lit("") if dialect == D.ORACLE else clause("UPDATE", attrs["on_update"])
-    return cat(clause("DELETE", attrs["on_delete"]), update)
+
+def _actions(attrs: Column, dialect: str) -> Column:
+    return cat(_rule("DELETE", attrs["on_delete"]), F.lit("") if dialect in D.WITHOUT_UPDATES else _rule("UPDATE", attrs["on_update"]))
 
 
 def constraint(kind: Column, name: Column, schema: Column, attrs: Column, dialect: str) -> Column:
@@ -92,143 +90,6 @@ def create_index(name: Column, table: Column, attrs: Column) -> Column:
     return cat("CREATE ", F.when(attrs["is_unique"] == "true", "UNIQUE ").otherwise(""), "INDEX ", name, " ON ", table, " (", attrs["columns"], ");")
 
 
-def _alter_column(table: Column, name: Column, attrs: Column, dialect: str) -> Column:
-    kind = rendered_type(attrs)
-    if dialect == D.POSTGRESQL:
-        start = cat("ALTER TABLE ", table, " ALTER COLUMN ", name)
-        default = F.when(_has_default(attrs), cat(" SET DEFAULT ", default_literal(attrs), ";")).otherwise(" DROP DEFAULT;")
-        null = F.when(attrs["not_null"] == "true", " SET NOT NULL;").otherwise(" DROP NOT NULL;")
-        return cat(start, " TYPE ", kind, ";", start, default, start, null, "COMMENT ON COLUMN ", table, ".", name, " IS ", quoted(attrs["description"]), ";")
-    if dialect in D.FIREBIRD_FAMILY:
-        return cat("ALTER TABLE ", table, " ALTER COLUMN ", name, " TYPE ", kind, _not_null(attrs), ";")
-    if dialect == D.MYSQL:
-        return cat("ALTER TABLE ", table, " MODIFY COLUMN ", name, " ", kind, _not_null(attrs), ";")
-    if dialect == D.ORACLE:
-        return cat("ALTER TABLE ", table, " MODIFY (", name, " ", kind, _not_null(attrs), ");")
-    return cat("ALTER TABLE ", table, " ALTER COLUMN ", name, " ", kind, _not_null(attrs), ";")
-
-
-def _rename_column(table: Column, name: Column, new: Column, dialect: str) -> Column:
-    if dialect in D.FIREBIRD_FAMILY:
-        return cat("ALTER TABLE ", table, " ALTER COLUMN ", name, " TO ", new, ";")
-    if dialect == D.MSSQL:
-        return cat("EXEC sp_rename '", table, ".", name, "', '", new, "', 'COLUMN';")
-    return cat("ALTER TABLE ", table, " RENAME COLUMN ", name, " TO ", new, ";")
-
-
-def _default_statements(table: Column, name: Column, attrs: Column, dialect: str) -> tuple[Column, Column]:
-    if dialect == D.ORACLE:
-        start = cat("ALTER TABLE ", table, " MODIFY (", name, " DEFAULT ")
-        return cat(start, default_literal(attrs), ");"), cat(start, "NULL);")
-    if dialect == D.MSSQL:
-        key = cat("DF_", F.col("table_name"), "_", name)
-        return cat("ALTER TABLE ", table, " ADD CONSTRAINT ", key, " DEFAULT ", default_literal(attrs), " FOR ", name, ";"), cat("ALTER TABLE ", table, " DROP CONSTRAINT ", key, ";")
-    if dialect == D.SQLITE:
-        return F.lit(""), F.lit("")
-    start = cat("ALTER TABLE ", table, " ALTER COLUMN ", name)
-    return cat(start, " SET DEFAULT ", default_literal(attrs), ";"), cat(start, " DROP DEFAULT;")
-
-
-def _sequence_statements(name: Column, attrs: Column, dialect: str) -> tuple[Column, Column, Column]:
-    """(create, alter, drop)"""
-    first, step = attrs["initial_value"], attrs["increment"]
-    drop = cat("DROP SEQUENCE ", name, ";")
-    both = cat("ALTER SEQUENCE ", name, " RESTART WITH ", first, " INCREMENT BY ", step, ";")
-    if dialect in D.FIREBIRD_FAMILY:
-        alter = both if dialect == D.FIREBIRD3 else cat("ALTER SEQUENCE ", name, " RESTART WITH ", first, ";")
-        return cat("CREATE GENERATOR ", name, ";"), alter, cat("DROP GENERATOR ", name, ";")
-    if dialect == D.POSTGRESQL:
-        return cat('CREATE SEQUENCE "', name, '" INCREMENT ', step, " START ", first, ";"), both, drop
-    if dialect == D.MSSQL:
-        return cat("CREATE SEQUENCE ", name, " AS int START WITH ", first, " INCREMENT BY ", step, ";"), both, drop
-    if dialect == D.ORACLE:
-        create = cat("CREATE SEQUENCE ", name, " MINVALUE 1 START WITH ", first, " INCREMENT BY ", step, " NOCACHE;")
-        return create, cat("ALTER SEQUENCE ", name, " INCREMENT BY ", step, ";"), drop
-    if dialect == D.SQLITE:
-        return cat("INSERT INTO SQLITE_SEQUENCE(NAME, SEQ) VALUES (", quoted(name), ", 0);"), F.lit(""), cat("DELETE FROM SQLITE_SEQUENCE WHERE NAME = ", quoted(name), ";")
-    return F.lit(""), F.lit(""), F.lit("")
-
-
-def _oracle_loop(view: str, where: str, kind: str, key: str, on: bool) -> str:
-    action, thing = ("ENABLE" if on else "DISABLE"), view[0]
-    if kind == "TRIGGER":
-        run = f"'ALTER TRIGGER \"' || {thing}.{key} || '\" {action}'"
-    else:
-        run = f"'ALTER TABLE \"' || {thing}.table_name || '\" {action} CONSTRAINT \"' || {thing}.{key} || '\"'"
-    return f"BEGIN\n  FOR {thing} IN (SELECT {where}) LOOP\n    EXECUTE IMMEDIATE {run};\n  END LOOP;\nEND;"
-
-
-def guard(op: str, on: bool, dialect: str) -> str:
-    """The statement that suspends or resumes foreign keys or triggers, or '' where a dialect has none."""
-    if dialect == D.POSTGRESQL:
-        return f"SET session_replication_role = {'DEFAULT' if on else 'replica'};"
-    if op == "EnableForeignKeys":
-        return {
-            D.MSSQL: f'EXEC sp_MSforeachtable "ALTER TABLE ? {"WITH CHECK CHECK" if on else "NOCHECK"} CONSTRAINT all";',
-            D.MYSQL: f"SET FOREIGN_KEY_CHECKS = {int(on)};",
-            D.ORACLE: _oracle_loop("c", "table_name, constraint_name FROM user_constraints WHERE constraint_type = 'R'", "CONSTRAINT", "constraint_name", on),
-            D.SQLITE: f"PRAGMA foreign_keys = {'on' if on else 'off'};",
-        }.get(dialect, "")
-    return {
-        D.MSSQL: f'EXEC sp_MSforeachtable "ALTER TABLE ? {"ENABLE" if on else "DISABLE"} TRIGGER ALL";',
-        D.ORACLE: _oracle_loop("t", "trigger_name FROM user_triggers", "TRIGGER", "trigger_name", on),
-        **dict.fromkeys(
-            (D.FIREBIRD, D.INTERBASE),
-            f"UPDATE RDB$TRIGGERS SET RDB$TRIGGER_INACTIVE = {int(not on)} WHERE RDB$TRIGGER_SOURCE IS NOT NULL AND ((RDB$SYSTEM_FLAG = 0) OR (RDB$SYSTEM_FLAG IS NULL)) "
-            "AND NOT EXISTS (SELECT 1 FROM RDB$CHECK_CONSTRAINTS CK WHERE CK.RDB$TRIGGER_NAME = RDB$TRIGGERS.RDB$TRIGGER_NAME);",
-        ),
-    }.get(dialect, "")
-
-
-@functools.cache
-def statement(dialect: str) -> Column:
-    """The statement of a row, '' if the dialect has none for it."""
-    op, attrs, extra, name, schema = (F.col(c) for c in ("op", "attrs", "extra", "name", "schema"))
-    table = qualified(schema, F.col("table_name"), dialect)
-    own = lambda kind: constraint(F.lit(kind), name, schema, attrs, dialect)
-    alter = cat("ALTER TABLE ", table)
-    drop_constraint = cat(alter, " DROP CONSTRAINT ", name, ";")
-    set_default, drop_default = _default_statements(table, name, attrs, dialect)
-    create_sequence, alter_sequence, drop_sequence = _sequence_statements(name, attrs, dialect)
-    cast_type = mysql_cast_type(attrs) if dialect == D.MYSQL else rendered_type(attrs)
-    drop_index = {
-        **dict.fromkeys((*D.FIREBIRD_FAMILY, D.POSTGRESQL, D.ORACLE, D.SQLITE), cat("DROP INDEX ", name, ";")),
-        D.MYSQL: cat(alter, " DROP INDEX ", name, ";"),
-    }.get(dialect, cat("DROP INDEX ", name, " ON ", table, ";"))
-    drop_key = cat(alter, " DROP PRIMARY KEY;") if dialect in (D.POSTGRESQL, D.MYSQL, D.ORACLE) else drop_constraint
-    drop_column = cat(alter, " DROP ", name, ";") if dialect in D.FIREBIRD_FAMILY else cat(alter, " DROP COLUMN ", name, ";")
-    add_foreign = F.lit("") if dialect == D.SQLITE else cat(alter, " ADD ", own("foreign_key"), F.lit(" ENABLE VALIDATE;" if dialect == D.ORACLE else ";"))
-    routine = cat(F.when(attrs["is_function"] == "true", "DROP FUNCTION ").otherwise("DROP PROCEDURE "), name, F.when(F.trim(attrs["signature"]) != "", cat("(", attrs["signature"], ")")).otherwise(""), ";")
-    comment = lambda x: F.when(F.trim(x) == "", "NULL").otherwise(quoted(x))
-    guards = choice(F.concat_ws(" ", op, name), {f"{which} {'On' if on else 'Off'}": guard(which, on, dialect) for which in ("EnableForeignKeys", "EnableTriggers") for on in (False, True)})
-    texts = {
-        "CreateTable": extra["sql"], "DropTable": cat("DROP TABLE ", table, ";"),
-        "CreateColumn": cat(alter, " ADD ", column_definition(name, attrs, dialect), ";"), "DropColumn": drop_column,
-        "AlterColumn": _alter_column(table, name, attrs, dialect),
-        "AlterColumnPosition": cat(alter, " ALTER COLUMN ", name, " POSITION ", (attrs["position"].cast("int") + 1).cast("string"), ";") if dialect in D.FIREBIRD_FAMILY else F.lit(""),
-        "AlterDefaultValue": set_default, "DropDefaultValue": drop_default,
-        "CreateColumnRebuild": cat(alter, " ADD ", extra["new_name"], " ", rendered_type(attrs), ";"),
-        "CopyColumnData": cat("UPDATE ", table, " SET ", extra["new_name"], " = CAST(", name, " AS ", cast_type, ");"),
-        "BackfillColumnData": cat("UPDATE ", table, " SET ", name, " = ", default_literal(attrs), " WHERE ", name, " IS NULL;"),
-        "DropColumnRebuild": drop_column, "RenameColumn": _rename_column(table, extra["new_name"], name, dialect),
-        "CreatePrimaryKey": cat(alter, " ADD ", own("primary_key"), ";"), "DropPrimaryKey": drop_key,
-        "CreateForeignKey": add_foreign, "DropForeignKey": drop_constraint,
-        "CreateIndexe": create_index(name, table, attrs), "DropIndexe": drop_index,
-        "CreateCheck": cat(alter, " ADD ", own("check"), ";"), "AlterCheck": cat(drop_constraint, cat(alter, " ADD ", own("check"), ";")), "DropCheck": drop_constraint,
-        "CreateView": cat("CREATE VIEW ", name, " AS ", attrs["script"], ";"), "DropView": cat("DROP VIEW ", name, ";"),
-        "CreateTrigger": cat("CREATE TRIGGER ", name, " AS ", attrs["script"], ";"), "DropTrigger": cat("DROP TRIGGER ", name, ";"),
-        "CreateSequence": create_sequence, "AlterSequence": alter_sequence, "DropSequence": drop_sequence,
-        "CreateDomain": cat(
-            "CREATE DOMAIN ", name, " AS ", attrs["type_name"], F.when(F.trim(attrs["default_value"]) != "", cat(" DEFAULT ", attrs["default_value"])).otherwise(""),
-            _not_null(attrs), F.when(F.trim(attrs["check_condition"]) != "", cat(" CHECK (", attrs["check_condition"], ")")).otherwise(""), ";",
-        ),
-        "DropDomain": cat("DROP DOMAIN ", name, ";"), "CreateProcedure": attrs["script"], "DropProcedure": routine,
-        "SetTableComment": cat("COMMENT ON TABLE ", table, " IS ", comment(attrs["description"]), ";"),
-        "SetColumnComment": cat("COMMENT ON COLUMN ", table, ".", name, " IS ", comment(attrs["description"]), ";"),
-    }
-    return F.coalesce(choice(op, texts).otherwise(guards), F.lit(""))
-
-
 # What a command is called in plans.
 LABELS = {
     "CreateTable": "Create Table: ", "DropTable": "Drop Table: ", "CreateColumn": "Create Column: ", "DropColumn": "Drop Column: ", "AlterColumn": "Alter Column: ",
@@ -241,12 +102,44 @@ LABELS = {
 }
 
 
-@functools.cache
-def label() -> Column:
-    op, name, new = F.col("op"), F.col("name"), F.col("extra")["new_name"]
-    texts = {which: cat(prefix, new if which == "CreateColumnRebuild" else name) for which, prefix in LABELS.items()}
-    texts["CopyColumnData"] = cat("Copy Column Data: ", name, " -> ", new)
-    texts["RenameColumn"] = cat("Rename Column: ", new, " TO ", name)
-    texts["SetTableComment"] = cat("Set Comment: ", name)
-    texts["SetColumnComment"] = cat("Set Comment: ", F.col("table_name"), ".", name)
-    return choice(op, texts).otherwise("")
+_NEW_NAMES = {"CreateColumnRebuild": "Create Column: {new_name}", "CopyColumnData": "Copy Column Data: {name} -> {new_name}", "RenameColumn": "Rename Column: {new_name} TO {name}", "SetTableComment": "Set Comment: {name}", "SetColumnComment": "Set Comment: {table_name}.{name}"}
+_LABEL_TEMPLATES = {which: prefix + "{name}" for which, prefix in LABELS.items()} | _NEW_NAMES
+
+
+def values(dialect: str) -> dict[str, Column]:
+    """What placeholders in statements stand for. Rows have op, schema, table_name, name, attrs and extra."""
+    attrs, extra, name, schema, table_name = (F.col(c) for c in ("attrs", "extra", "name", "schema", "table_name"))
+    domain = cat(attrs["type_name"], F.when(F.trim(attrs["default_value"]) != "", cat(" DEFAULT ", attrs["default_value"])).otherwise(""), _not_null(attrs), F.when(F.trim(attrs["check_condition"]) != "", cat(" CHECK (", attrs["check_condition"], ")")).otherwise(""))
+    default = default_literal(attrs)
+    return {
+        "sql": extra["sql"], "table": qualified(schema, table_name, dialect), "table_name": table_name, "name": name, "new_name": extra["new_name"], "name_literal": quoted(name),
+        "type": rendered_type(attrs), "cast_type": mysql_cast_type(attrs), "default": default, "default_clause": F.when(_has_default(attrs), cat(" DEFAULT ", default)).otherwise(""), "not_null": _not_null(attrs),
+        "default_change": F.when(_has_default(attrs), cat(" SET DEFAULT ", default)).otherwise(" DROP DEFAULT"), "not_null_change": F.when(attrs["not_null"] == "true", " SET NOT NULL").otherwise(" DROP NOT NULL"),
+        "place": (attrs["position"].cast("int") + 1).cast("string"), "description": quoted(attrs["description"]), "comment": F.when(F.trim(attrs["description"]) == "", "NULL").otherwise(quoted(attrs["description"])),
+        "columns": attrs["columns"], "to_columns": attrs["to_columns"], "parent": qualified(F.coalesce(attrs["parent_schema"], schema), attrs["parent_table"], dialect), "on_delete": _rule("DELETE", attrs["on_delete"]),
+        "on_update": F.lit("") if dialect in D.WITHOUT_UPDATES else _rule("UPDATE", attrs["on_update"]), "condition": attrs["condition"], "unique": F.when(attrs["is_unique"] == "true", "UNIQUE ").otherwise(""), "script": attrs["script"],
+        "first": attrs["initial_value"], "step": attrs["increment"], "domain_type": domain, "routine": F.when(attrs["is_function"] == "true", "FUNCTION").otherwise("PROCEDURE"),
+        "signature": F.when(F.trim(attrs["signature"]) != "", cat("(", attrs["signature"], ")")).otherwise(""),
+    }
+
+
+def parts(template: str) -> list[str]:
+    """The template cut at its placeholders."""
+    return [x for x in re.split(r"(\{[a-z_]+\})", template) if x]
+
+
+def rendered(rows: DataFrame, dialect: str) -> DataFrame:
+    """rows with sql, '' if the dialect has no statement for a row's op, and label.
+
+    One expression serves all dialects: a template is a short list of texts and placeholders, found by a join with the dialect's few templates, and each placeholder is
+    looked up among the row's values. What values contain is never read as a template.
+    """
+    templates = [(op, parts(text), parts(_LABEL_TEMPLATES.get(op.split(" ")[0], ""))) for op, text in D.statements(dialect).items()]
+    found = {op for op, _, _ in templates}
+    templates += [(key, [], parts(_LABEL_TEMPLATES[op])) for op in GUARDS for key in (f"{op} Off", f"{op} On") if key not in found]
+    table = rows.sparkSession.createDataFrame(templates, "_key string, _statement array<string>, _label array<string>")
+    known = F.create_map(*[x for n, v in values(dialect).items() for x in (F.lit(f"{{{n}}}"), F.coalesce(v, F.lit("")))])
+    key = F.when(F.col("op").isin(*GUARDS), F.concat_ws(" ", "op", "name")).otherwise(F.col("op"))
+    filled = lambda c: F.coalesce(F.array_join(F.transform(c, lambda p: F.coalesce(F.try_element_at("_values", p), p)), ""), F.lit(""))
+    rows = rows.withColumns({"_key": key, "_values": known}).join(F.broadcast(table), "_key", "left")  # as many rows as there are commands
+    return rows.withColumns({"sql": filled("_statement"), "label": filled("_label")}).drop("_key", "_values", "_statement", "_label")

@@ -39,13 +39,13 @@ def classified(new: Column, old: Column, dialect: str) -> Column:
 
 def expanded(changes: DataFrame, options: CompareOptions) -> tuple[DataFrame, DataFrame]:
     """(changes with the steps of unsafe column changes in ops and risks in notes, audit of rebuilds that the policy does not allow)"""
+    refused = changes.sparkSession.createDataFrame([], changes.select("place", "audit").schema)
     if options.strategy != REBUILD:
-        return changes.withColumn("notes", F.array().cast("array<string>")), changes.limit(0).select("place", "audit")
+        return changes.withColumn("notes", F.array().cast("array<string>")), refused
     new = F.col("m")["attrs"]
     kind = F.when(F.array_contains("ops", "AlterColumn"), classified(new, F.col("t")["attrs"], options.dialect)).otherwise("None")
     changes = changes.withColumn("_kind", kind)
     unsafe = F.col("_kind").isin("TypeRebuild", "BackfillNotNull")
-    refused = changes.limit(0).select("place", "audit")
     if "RebuildColumn" not in options.policy:
         text = cat("REBUILD COLUMN ", F.col("m")["table_name"], ".", F.col("m")["name"], " suppressed by policy (kept in-place ALTER)")
         refused = changes.filter(unsafe).select("place", text.alias("audit"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -26,14 +27,14 @@ def objects(catalog: Catalog) -> DataFrame:
     schema = "coalesce(schema_name, '')" if catalog.qualified else "'" + catalog.schema.replace("'", "''") + "'"
     parts: list[DataFrame] = []
 
-    def add(relation: str, kind: str, name: str, attrs: tuple[str, ...], by_table: bool = True, keys: str = _NONE, to_keys: str = _NONE, canonical: Column | None = None, frame: DataFrame | None = None) -> None:
+    def add(relation: str, kind: str, name: str, attrs: tuple[str, ...], by_table: bool = True, keys: str = _NONE, to_keys: str = _NONE, canonical: Callable[[], Column] | None = None, frame: DataFrame | None = None) -> None:
         if relation not in catalog.frames:
             return
         frame = catalog.relation(relation) if frame is None else frame
         if by_table and kind != "table":
             frame = frame.join(own, "table_key")
         if canonical is not None:
-            frame = frame.withColumn("canonical", canonical)
+            frame = frame.withColumn("canonical", canonical())
             attrs = (*attrs, "canonical")
         key = {"table": "''", "primary_key": "''", "column": "name_key"}.get(kind, "object_key")
         pairs = ", ".join(f"'{a}', coalesce(cast({a} as string), '')" for a in attrs)
@@ -56,11 +57,11 @@ def objects(catalog: Catalog) -> DataFrame:
     if "foreign_keys" in catalog.frames:
         foreign = listed(listed(catalog.foreign_keys, "fk_from"), "fk_to", "to_")
         add("foreign_keys", "foreign_key", "name", ("parent_table", "parent_key", "on_update", "on_delete", "description", "columns", "to_columns", *(["parent_schema"] if catalog.qualified else [])), keys="keys", to_keys="to_keys", frame=foreign)
-    add("checks", "check", "name", ("condition", "description"), canonical=normalize.check_condition(F.col("condition")))
-    script = normalize.script(F.col("script"))
+    add("checks", "check", "name", ("condition", "description"), canonical=lambda: normalize.check_condition(F.col("condition")))
+    script = lambda: normalize.script(F.col("script"))
     add("triggers", "trigger", "name", ("script", "description"), canonical=script)
     add("views", "view", "name", ("script", "description"), False, canonical=script)
     add("sequences", "sequence", "name", ("table_name", "initial_value", "increment", "description"), False)
-    add("domains", "domain", "name", ("type_name", "not_null", "default_value", "check_condition", "description"), False, canonical=normalize.check_condition(F.col("check_condition")))
+    add("domains", "domain", "name", ("type_name", "not_null", "default_value", "check_condition", "description"), False, canonical=lambda: normalize.check_condition(F.col("check_condition")))
     add("procedures", "procedure", "name", ("signature", "is_function", "script", "description"), False, canonical=script)
     return reduce(DataFrame.unionByName, parts) if parts else catalog.spark.createDataFrame([], SCHEMA)

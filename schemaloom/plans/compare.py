@@ -68,7 +68,7 @@ def compare(desired: Catalog, current: Catalog, options: CompareOptions, rows: D
     commands = steps.selectExpr(place, "op", "table_key", "object_key", *side, "sql", "notes")
     commands = commands.unionByName(_guards(desired.spark, commands))
     commands = commands.selectExpr("*", f"map('sql', coalesce(sql, ''), 'new_name', concat(name, '{alter.TEMPORARY}')) as extra")
-    commands = commands.withColumns({"sql": render.statement(options.dialect), "label": render.label(), "phase": sequence.phase(F.col("op"), F.col("name"))}).drop("extra")
+    commands = render.rendered(commands, options.dialect).withColumn("phase", sequence.phase(F.col("op"), F.col("name"))).drop("extra")
     commands = written(commands)
     keys = [c.foreign_keys.select("table_key", "parent_key") for c in (desired, current) if "foreign_keys" in c.frames]
     foreign_keys = reduce(DataFrame.union, keys) if keys else None
