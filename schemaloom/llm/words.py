@@ -40,6 +40,7 @@ _BYTE = stream(11, 256)
 _FOLDED = _BYTE[FOLD]
 _BASE = 0x2545F4914F6CDD1D
 _INVERSE = pow(_BASE, -1, 1 << 64)
+_PLACE = U64(0x9E3779B97F4A7C15)
 _WEIGHTS = stream(23, SHINGLE) | U64(1)
 _SHORT = stream(37, SHINGLE)
 _powers: dict[int, np.ndarray] = {}
@@ -91,10 +92,16 @@ def spans(data: np.ndarray, at: np.ndarray, in_word: np.ndarray = WORD_BYTE) ->
 
 
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bool = True) -> np.ndarray:
+    """A hash of every word: the sum of what its bytes give, each mixed with its place in the word. No two pairs of byte and place are related, as powers of one base would be."""
     n = len(data)
+    if not n:
+        return np.zeros(0, U64)
+    begins = np.zeros(n, np.int64)
+    begins[starts] = starts
+    place = np.arange(n) - np.maximum.accumulate(begins)
     total = np.zeros(n + 1, U64)
-    np.cumsum((_FOLDED if fold else _BYTE)[data] * _power(_BASE, n), out=total[1:])
-    return mix((total[ends] - total[starts]) * _power(_INVERSE, n)[starts]) if n else np.zeros(0, U64)
+    np.cumsum(mix((_FOLDED if fold else _BYTE)[data] + place.astype(U64) * _PLACE), out=total[1:])
+    return mix(total[ends] - total[starts])
 
 
 def shingles(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
