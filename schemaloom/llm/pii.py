@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .native_spans import apart, by_kind, by_start, digits, let, listed, luhn, masked, with_matches
+from .native_spans import apart, before, by_kind, by_start, digits, let, listed, luhn, masked, with_matches
 from .scratch import saved
 
 KINDS = ["email", "ip", "card", "phone", "number", "address"]
@@ -26,7 +26,7 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-NUMBER = r"(?<![0-9A-Za-z_.@+-])\(?[0-9](?:[\x20()./-]{0,2}[0-9]){6,}+(?![0-9A-Za-z_@])"
+NUMBER = r"(?<![0-9A-Za-z_.@+-])\(?[0-9](?:[\x20()./-]{0,2}[0-9]){6,}+[A-Za-z_@]?+"
 ADDRESS = r"(?i)(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++\x20?[\[(]at[\])]\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|[\[(]dot[\])])\x20?[A-Za-z0-9-]++)++"
 LABELERS = ["form", "check", "grouping", "prefix", "context", "unit"]
 # Words near contact and payment data, words near other numbers, number prefixes, top-level domains.
@@ -60,15 +60,15 @@ def _candidates(docs: DataFrame) -> DataFrame:
     phone_fits = lambda s: F.length(digits(s["match"])).between(9, 15)
     base = F.concat("email", F.filter("ip", ip_fits), F.filter("card", card_fits), F.filter("phone", phone_fits))
     docs = docs.withColumn("base", base)
-    return docs.withColumn("loose", apart(F.concat("number", "address"), F.col("base"))).drop(*wanted)
+    number = F.filter("number", lambda s: s["match"].rlike("[0-9]$"))  # a run that goes on with a letter is none, nor is any part of it
+    return docs.withColumn("loose", apart(F.concat(number, "address"), F.col("base"))).drop(*wanted)
 
 
 def _described(spans: Column, text: Column) -> Column:
     """Spans with their votes and features."""
 
-    def each(s: Column) -> Column:
-        low = F.lower(F.substr(text, F.greatest(s["at"] - WINDOW, F.lit(0)) + 1, F.least(s["at"], F.lit(WINDOW))))
-        return let(F.struct(s.alias("s"), digits(s["match"]).alias("number"), low.alias("low")), judged)
+    def each(x: Column) -> Column:
+        return let(F.struct(x["s"].alias("s"), digits(x["s"]["match"]).alias("number"), x["low"].alias("low")), judged)
 
     def judged(x: Column) -> Column:
         s, number, low = x["s"], x["number"], x["low"]
@@ -92,7 +92,7 @@ def _described(spans: Column, text: Column) -> Column:
         ]
         return F.struct(*[s[c].alias(c) for c in ("kind", "at", "end", "match")], F.array(*[votes[k].cast("int") for k in LABELERS]).alias("votes"), F.array(*[c.cast("int") for c in cell]).alias("cell"))
 
-    return F.transform(spans, each)
+    return F.transform(before(spans, text, WINDOW), each)
 
 
 def reliabilities(counts: dict[tuple[int, ...], int]) -> tuple[float, list[dict[int, tuple[float, float]]]]:
