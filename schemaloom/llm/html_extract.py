@@ -121,7 +121,7 @@ def parse(page: str) -> Tree:
     """Node 0 is the page. Missing end tags are supplied as browsers do for paragraphs, list items and table cells. Linear in the page's length."""
     tree = Tree([_BLOCK["html"]], [-1], [0], [[]], [], [0], [0])
     stack = [(0, "html", 0)]  # node, name, place in the stack of the open paragraph that a block ends (0: none)
-    opened: dict[str, int] = {}
+    places: dict[str, list[int]] = {}  # of each name's elements in the stack
     link = 0
     run: list[str] = []
     scan = _Scan(page)
@@ -142,18 +142,14 @@ def parse(page: str) -> Tree:
 
     def cut(k: int) -> None:
         for _, name, _ in stack[k:]:
-            opened[name] -= 1
+            places[name].pop()
         del stack[k:]
 
     def nearest(names: set[str], stops: set[str]) -> int:
         """Place in the stack of the innermost element with one of the names, 0 if one of stops comes before it."""
-        if any(opened.get(x) for x in names):
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k][1] in names:
-                    return k
-                if stack[k][1] in stops:
-                    break
-        return 0
+        last = lambda own: max((places[x][-1] for x in own if places.get(x)), default=0)
+        found = last(names)
+        return found if found >= last(stops) else 0
 
     at, size = 0, len(page)
     while at < size:
@@ -186,7 +182,7 @@ def parse(page: str) -> Tree:
                     cut(k)
                     link = 0
                 continue
-            if name in ("html", "body") and opened.get(name):
+            if name in ("html", "body") and places.get(name):
                 continue
             if name in CLOSE_P and stack[-1][2]:
                 cut(stack[-1][2])
@@ -208,7 +204,7 @@ def parse(page: str) -> Tree:
             tree.chars.append(0)
             tree.linked.append(0)
             stack.append((node, name, len(stack) if name == "p" else 0 if name in SCOPES else stack[-1][2]))
-            opened[name] = opened.get(name, 0) + 1
+            places.setdefault(name, []).append(len(stack) - 1)
     flush()
     return tree
 
