@@ -6,6 +6,8 @@ Objects are made of the rows of `part` by fixed rules. n is p_partkey; table T<n
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -364,3 +366,65 @@ def _ddl_query(dialect: str) -> None:
 
 for _dialect in D.DIALECTS:
     _ddl_query(_dialect)
+
+
+# A dialect that is none of the library's.
+
+_TERSE = "Terse"
+D.register(D.Dialect(
+    _TERSE, frozenset({"foreign_keys", "checks", "views", "comments"}), {"CreateColumn": "+ {table} {name} {type}{default_clause}{not_null}", "DropColumn": "- {table} {name}", "AlterColumn": "~ {table} {name} {type}{not_null}", "CreateIndexe": "+ {unique}{name} on {table}: {columns}"},
+    {"ftInteger": "NUM"}, quotes=("<", ">"),
+))
+
+
+@query(
+    "ddl_registered",
+    f"""{_PLAN_OPS} select op, t as table_name, name, case op when 'CreateColumn' then '+ <app>.<' || t || '> ' || name || ' ' || ty || case when def <> '' then ' DEFAULT ' || def else '' end || nn when 'DropColumn' then '- <app>.<' || t || '> ' || name
+        when 'AlterColumn' then '~ <app>.<' || t || '> ' || name || ' ' || ty || nn else '+ ' || case when n % 2 = 0 then 'UNIQUE ' else '' end || name || ' on <app>.<' || t || '>: ID' || case when n % 3 = 0 then ', Note' else '' end end as sql
+    from plan where op in ('CreateColumn', 'DropColumn', 'AlterColumn', 'CreateIndexe')""",
+)
+def ddl_registered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements of a dialect that a user has added as data."""
+    return _plan(spark, sf_dir, _TERSE).commands.filter("op in ('CreateColumn', 'DropColumn', 'AlterColumn', 'CreateIndexe')").select("op", "table_name", "name", "sql")
+
+
+# Statements of rebuilds and positions.
+
+_REBUILDING = (D.FIREBIRD, D.FIREBIRD3, D.INTERBASE, D.POSTGRESQL, D.MYSQL, D.MSSQL, D.ORACLE, D.SPARK)
+
+
+def rebuild_sql(d: str) -> str:
+    """DuckDB SQL for the statements of rebuilt and backfilled columns."""
+    a, z = {D.POSTGRESQL: ('"', '"'), D.MSSQL: ("[", "]"), D.SPARK: ("`", "`")}.get(d, ("", ""))
+    tab, new = f"'{a}{SCHEMA}{z}.{a}' || t || '{z}'", "name || '_MDBTMP'"
+    cast = "case when c in (1, 4) then 'CHAR(40)' when c = 2 then 'DECIMAL(12,2)' when c = 3 then 'DATE' else 'SIGNED' end" if d == D.MYSQL else "ty"
+    rename = f"'ALTER TABLE ' || {tab} || ' RENAME COLUMN ' || {new} || ' TO ' || name || ';'"
+    if d in D.FIREBIRD_FAMILY:
+        rename = f"'ALTER TABLE ' || {tab} || ' ALTER COLUMN ' || {new} || ' TO ' || name || ';'"
+    elif d == D.MSSQL:
+        rename = f"'EXEC sp_rename ' || chr(39) || {tab} || '.' || {new} || chr(39) || ', ' || chr(39) || name || chr(39) || ', ' || chr(39) || 'COLUMN' || chr(39) || ';'"
+    texts = {
+        "CreateColumnRebuild": f"'ALTER TABLE ' || {tab} || ' ADD ' || {new} || ' ' || ty || ';'", "CopyColumnData": f"'UPDATE ' || {tab} || ' SET ' || {new} || ' = CAST(' || name || ' AS ' || {cast} || ');'",
+        "DropColumnRebuild": f"'ALTER TABLE ' || {tab} || ' DROP {'' if d in D.FIREBIRD_FAMILY else 'COLUMN '}' || name || ';'", "RenameColumn": rename, "BackfillColumnData": f"'UPDATE ' || {tab} || ' SET ' || name || ' = ' || def || ' WHERE ' || name || ' IS NULL;'",
+    }
+    cases = " ".join(f"when '{op}' then {text}" for op, text in texts.items())
+    steps = f"case when v = 0 and {'true' if d in D.FIREBIRD_FAMILY else 'c in (1, 2, 4)'} then {_REBUILT} when v = 1 and c in (4, 5) then ['BackfillColumnData'] else [] end"
+    return f"{_ITEMS}, steps as (select *, unnest({steps}) as step from ops where op = 'AlterColumn') select '{d}' as dialect, step as op, t as table_name, name, case step {cases} end as sql from steps"
+
+
+@query("rebuild_statements", " union all ".join(f"select * from ({rebuild_sql(d)})" for d in _REBUILDING))
+def rebuild_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statements of columns that are rebuilt or filled, in every dialect that can."""
+    steps = ("CreateColumnRebuild", "CopyColumnData", "DropColumnRebuild", "RenameColumn", "BackfillColumnData")
+    own = lambda d: _plan(spark, sf_dir, d, strategy=REBUILD, policy=frozenset({"AlterColumn", "RebuildColumn"})).commands.filter(F.col("op").isin(*steps)).select(F.lit(d).alias("dialect"), "op", "table_name", "name", "sql")
+    return reduce(DataFrame.union, map(own, _REBUILDING))
+
+
+_MOVED = "select 'T' || range as t, 'Note' as name, 1 as position from range(25) where range % 2 = 1 and range not in (3, 7, 8) union all select t, 'C' || n, n + 10 from items where k < 3 and kept and s <> 1 and j % 2 = 1 union all select t, 'ID', 0 from tabs where kept and j % 2 = 1"
+
+
+@query("position_statements", f"{_ITEMS} select d as dialect, t as table_name, name, case when d in ('Firebird', 'Firebird3', 'Interbase') then 'ALTER TABLE app.' || t || ' ALTER COLUMN ' || name || ' POSITION ' || (position + 1) || ';' else '' end as sql from ({_MOVED}) cross join (values ('Firebird'), ('Firebird3'), ('Interbase'), ('PostgreSQL'), ('MySQL')) as x(d)")
+def position_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Columns that are out of place: dialects of one family can move them, others have no statement for it."""
+    own = lambda d: _plan(spark, sf_dir, d, compare_positions=True, policy=frozenset({"AlterColumnPosition"})).commands.filter("op = 'AlterColumnPosition'").select(F.lit(d).alias("dialect"), "table_name", "name", "sql")
+    return reduce(DataFrame.union, [own(d) for d in (D.FIREBIRD, D.FIREBIRD3, D.INTERBASE, D.POSTGRESQL, D.MYSQL)])

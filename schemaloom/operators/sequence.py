@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -82,23 +83,44 @@ def _until_still(rows: DataFrame, step: Callable[[DataFrame], DataFrame]) -> Dat
 
 
 def _peeled(edges: DataFrame) -> DataFrame:
-    """edges without those of tables that nothing depends on, or that depend on nothing, over and over: cycles and paths between them remain."""
-    both = lambda rows: rows.select("child").intersect(rows.select("parent"))
-    size, rest = -1, written(edges)
-    while size != (now := rest.count()):
-        size, inner = now, both(rest)
-        rest = written(rest.join(inner, "child", "left_semi").join(inner.withColumnRenamed("child", "parent"), "parent", "left_semi").select("child", "parent"))
-    return rest
+    """edges without those of tables that nothing depends on, or that depend on nothing: one layer of them."""
+    inner = edges.select("child").intersect(edges.select("parent"))
+    return written(edges.join(inner, "child", "left_semi").join(inner.withColumnRenamed("child", "parent"), "parent", "left_semi").select("child", "parent"))
 
 
-def cycles(edges: DataFrame) -> DataFrame:
-    """(name, cycle) of every table on a cycle of edges (child, parent): cycle is the smallest name of those that it reaches and that reach it.
+def _contracted(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """(edges with chains as one edge each, (name, prev, next) of what lies inside of chains, (name, cycle) of plain rings); None if there are no chains.
 
-    Every table takes the smallest name that it reaches; those that this one reaches in turn, among tables that took the same, are one cycle. What is found
-    is taken out, and the rest goes round again. The rows are tables and edges, never pairs of tables, and rounds are as many as the longest path has
-    steps. Edges of a table to itself don't count; an empty table gives an empty table.
+    Inside of a chain are tables with one edge in and one edge out. Every one of them points at its neighbours; pointers jump to where the pointed-at point, so that after as many
+    rounds as the length of the longest chain has binary digits all point at the chain's ends. Those that still point at others inside then are on rings.
     """
-    found, rest = None, _peeled(edges.select("child", "parent").filter("child <> parent").distinct())
+    outs = edges.groupBy(F.col("child").alias("name")).agg(F.count("*").alias("outs"), F.first("parent").alias("next"))
+    ins = edges.groupBy(F.col("parent").alias("name")).agg(F.count("*").alias("ins"), F.first("child").alias("prev"))
+    inside = written(outs.join(ins, "name").filter("outs = 1 and ins = 1").selectExpr("name", "prev", "next", "name as low"))
+    n = inside.count()
+    if not n:
+        return None
+    for _ in range(n.bit_length()):
+        ahead, back = inside.selectExpr("name as next", "next as after", "low as low_after"), inside.selectExpr("name as prev", "prev as ahead_of")
+        jumped = inside.join(ahead, "next", "left").join(back, "prev", "left")
+        moved = "after is not null or ahead_of is not null"
+        inside = written(jumped.selectExpr("name", "coalesce(ahead_of, prev) as prev", "coalesce(after, next) as next", "least(low, coalesce(low_after, low)) as low", f"{moved} as moved"))
+        if inside.filter("moved").isEmpty():
+            break
+        inside = inside.drop("moved")
+    names = inside.select("name")
+    on_ring = names.withColumnRenamed("name", "next")
+    chains = inside.join(on_ring, "next", "left_anti").select("name", "prev", "next")
+    outer = edges.join(names.withColumnRenamed("name", "child"), "child", "left_anti").join(names.withColumnRenamed("name", "parent"), "parent", "left_anti").select("child", "parent")
+    chains = written(chains)
+    edges = outer.union(chains.select("prev", "next").filter("prev <> next")).distinct()
+    return written(edges), chains, inside.join(on_ring, "next", "left_semi").selectExpr("name", "low as cycle")
+
+
+def _coloured(rest: DataFrame) -> DataFrame | None:
+    """(name, cycle) of every table on a cycle: it takes the smallest name that it reaches; those that this one reaches in turn, among tables that took the same, are one cycle. What
+    is found is taken out, and the rest goes round again."""
+    found = None
     while not rest.isEmpty():
 
         def lower(tables: DataFrame, rest: DataFrame = rest) -> DataFrame:
@@ -119,7 +141,40 @@ def cycles(edges: DataFrame) -> DataFrame:
         found = own if found is None else found.union(own)
         rest = rest.join(members.selectExpr("name as child"), "child", "left_anti").join(members.selectExpr("name as parent"), "parent", "left_anti").select("child", "parent")
         rest = _peeled(rest)
-    return local_frame(edges.sparkSession, [], "name string, cycle string") if found is None else found
+    return found
+
+
+def cycles(edges: DataFrame) -> DataFrame:
+    """(name, cycle) of every table on a cycle of edges (child, parent): cycle is the smallest name of those that it reaches and that reach it.
+
+    Chains become single edges and ends without a way on are taken off, over and over; what is left has branches everywhere and is solved by colours. Then what lay inside of a chain is on
+    a cycle if both its ends are on the same one. The rows are tables and edges, never pairs of tables. Rounds grow with the binary digits of the lengths of chains, and with the steps of
+    ways on which every table has branches. Edges of a table to itself don't count; an empty table gives an empty table.
+    """
+    rest = written(edges.select("child", "parent").filter("child <> parent").distinct())
+    levels, parts, size = [], [local_frame(edges.sparkSession, [], "name string, cycle string")], rest.count()
+    while size:
+        if contracted := _contracted(rest):
+            rest, chains, rings = contracted
+            levels.append(chains)
+            parts.append(rings)
+        rest = _peeled(rest)
+        now = rest.count()
+        if now == size and contracted is None:
+            break
+        size = now
+    if size and (core := _coloured(rest)) is not None:
+        parts.append(core)
+    if not levels and len(parts) == 1:
+        return parts[0]
+    found = written(reduce(DataFrame.union, parts))
+    for chains in reversed(levels):
+        ends = chains.join(found.selectExpr("name as prev", "cycle"), "prev", "left").join(found.selectExpr("name as next", "cycle as other"), "next", "left")
+        inner = ends.filter("cycle = other or prev = next").selectExpr("name", "coalesce(cycle, prev) as cycle")
+        loops = ends.filter("prev = next and cycle is null").selectExpr("prev as name", "prev as cycle").distinct()
+        found = written(found.union(inner).union(loops))
+    least = found.groupBy("cycle").agg(F.min("name").alias("least"))
+    return found.join(least, "cycle").selectExpr("name", "least as cycle")
 
 
 def ranked(commands: DataFrame, foreign_keys: DataFrame | None) -> DataFrame:

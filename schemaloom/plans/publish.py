@@ -25,6 +25,7 @@ from ..operators import checks, policy
 from ..operators.apply import STEPS, applied, spark_type
 from .compare import Plan
 from .execute import ExecutionFailed, Item, Report
+from .journal import digest
 from .options import STOP
 
 
@@ -156,13 +157,6 @@ class Store:
         return len(old)
 
 
-def digest(plan: Plan) -> str:
-    """Of all commands of a plan; equal plans have equal ones, whenever they are made."""
-    text = F.to_json(F.struct("phase", "op", "table_key", "object_key", "name", "sql"))
-    words = [F.bit_xor(F.xxhash64(text, F.lit(seed))).alias(f"w{seed}") for seed in range(4)]
-    return "".join(f"{x & (1 << 64) - 1:016x}" for x in plan.commands.agg(*[F.coalesce(w, F.lit(0)) for w in words], F.count("*")).first())
-
-
 _CONSTRAINTS = ("CreatePrimaryKey", "CreateIndexe", "CreateForeignKey", "CreateCheck", "AlterCheck")
 
 

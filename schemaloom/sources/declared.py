@@ -14,8 +14,9 @@ from __future__ import annotations
 
 import re
 import threading
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, field, replace
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,7 +25,7 @@ from pyspark.sql import functions as F
 from .. import dialects as D
 from ..functions.types import resolved_types
 from ..operators.validators import Rule
-from ..relations import Catalog, from_rows
+from ..relations import Catalog, from_rows, local_frame
 
 RESTRICTIONS = frozenset({"NotNull", "NoInsert", "NoUpdate", "NoValidate", "Unique", "Hidden", "VirtualData"})
 CASCADES = frozenset({"CascadeNone", "CascadeAutoInc", "CascadeInsert", "CascadeUpdate", "CascadeDelete"})
@@ -300,3 +301,36 @@ def aggregated(model: Model, rows: DataFrame) -> DataFrame:
     if not fields or any(c.extra["group"] != fields[0].extra["group"] for c in fields):
         raise ModelError("aggregate fields need one grouping")
     return rows.groupBy(*fields[0].extra["group"]).agg(*[F.expr(c.extra["expression"]).alias(c.name) for c in fields])
+
+
+#: The most rows of the model and of the other table that may share a key, by multiplicity; None is any number.
+_BOUNDS = {"OneToOne": (1, 1), "OneToMany": (1, None), "ManyToOne": (None, 1), "ManyToMany": (None, None)}
+
+
+def association_violations(models: Iterable[Model], tables: Mapping[str, DataFrame]) -> DataFrame:
+    """(association, key, own_rows, other_rows) of the keys that have more rows on a side than the multiplicity of an association allows, for all associations of the models at once.
+
+    tables: rows by table name. Each table is read once, however many associations name it; rows become counts of (association, key) before they are shuffled, so a key that a third of all rows
+    have is one small row of each task. Keys with a null refer to nothing and don't count; key is the JSON text of the key's values, so keys of several columns and any types are told apart.
+    """
+    wanted: dict[str, list[Column]] = {}
+    bounds: list[tuple[str, int, int]] = []
+    for model in models:
+        for c in model.columns:
+            if c.kind != "association":
+                continue
+            name = f"{model.table}.{c.attribute}"
+            own, other = _BOUNDS[c.extra["multiplicity"]]
+            bounds.append((name, -1 if own is None else own, -1 if other is None else other))
+            for table, columns, side in ((model.table, c.name, (1, 0)), (c.extra["table"], c.extra["reference"], (0, 1))):
+                names = _names(columns)
+                key = F.to_json(F.array(*[F.col(f"`{x}`").cast("string") for x in names]))
+                given = reduce(Column.__and__, [F.col(f"`{x}`").isNotNull() for x in names])
+                wanted.setdefault(table, []).append(F.when(given, F.struct(F.lit(name).alias("association"), key.alias("key"), F.lit(side[0]).alias("own"), F.lit(side[1]).alias("other"))))
+    if not wanted:
+        raise ModelError("the models have no associations")
+    rows = reduce(DataFrame.union, [tables[t].select(F.explode(F.array_compact(F.array(*parts))).alias("x")).select("x.*") for t, parts in wanted.items()])
+    counted = rows.groupBy("association", "key").agg(F.sum("own").alias("own_rows"), F.sum("other").alias("other_rows"))
+    limits = local_frame(rows.sparkSession, bounds, "association string, most_own int, most_other int")
+    kept = counted.join(F.broadcast(limits), "association").filter("(most_own >= 0 and own_rows > most_own and other_rows > 0) or (most_other >= 0 and other_rows > most_other and own_rows > 0)")
+    return kept.select("association", "key", "own_rows", "other_rows")

@@ -132,7 +132,7 @@ def encoded(catalog: Catalog, driver: str, description: str = "", generated_at:
 
 def save(catalog: Catalog, path: str, driver: str, description: str = "", generated_at: str | None = None) -> None:
     """One file, UTF-8, indented by two blanks. A snapshot is a single document: it is made for catalogs, whose size is that of a schema."""
-    if driver not in D.DIALECTS:
+    if driver not in D.FEATURES:
         raise SnapshotError(f"unknown driver {driver}")
     text = encoded(catalog, driver, description, generated_at).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).first().j
     with open(path, "w", encoding="utf-8", newline="\n") as out:
@@ -154,7 +154,7 @@ def load(spark: SparkSession, path: str) -> Snapshot:
         raise SnapshotError("FormatVersion is missing or not a number")
     if not 1 <= seen.FormatVersion <= VERSION:
         raise SnapshotError(f"FormatVersion {seen.FormatVersion} is not between 1 and {VERSION}")
-    if seen.DriverName not in D.DIALECTS:
+    if seen.DriverName not in D.FEATURES:
         raise SnapshotError(f"unknown driver {seen.DriverName}")
     if not seen.has:
         raise SnapshotError("Catalog is missing")

@@ -52,8 +52,10 @@ def _numbers(rows: list[tuple]) -> list[tuple]:
 
 
 def sqlite_catalog(spark: SparkSession, path: str, name: str = "") -> Catalog:
-    connection = sqlite3.connect(f"file:{path}?mode=ro", uri=True)
+    """All relations are read in one transaction, so that they are of one version of the file."""
+    connection = sqlite3.connect(f"file:{path}?mode=ro", uri=True, isolation_level=None)
     try:
+        connection.execute("begin")
         try:
             sequences = connection.execute(SEQUENCES[1]).fetchall()
         except sqlite3.OperationalError:  # there is no such table until a column counts up by itself

@@ -152,7 +152,8 @@ QUERIES[D.FIREBIRD3] = {
     "from rdb$functions where coalesce(rdb$system_flag, 0) = 0 and rdb$function_source is not null and rdb$package_name is null",
 }
 #: What these sources can read, in the terms of CompareOptions.extracted.
-EXTRACTED = {d: frozenset({n for n in q if n in ("checks", "views", "sequences", "domains", "procedures")}) | {"foreign_keys", "comments"} for d, q in QUERIES.items()}
+_extracted = lambda queries: frozenset({n for n in queries if n in ("checks", "views", "sequences", "domains", "procedures")}) | {"foreign_keys", "comments"}
+EXTRACTED = {d: _extracted(q) for d, q in QUERIES.items()}
 
 # Types of Firebird's domains by type and subtype; other subtypes are as 0, other types as text.
 DOMAIN_TYPES = {
@@ -167,6 +168,22 @@ def jdbc_reader(spark: SparkSession, url: str, properties: Mapping[str, str] | N
     return lambda query: spark.read.format("jdbc").options(**(properties or {}), url=url, query=query).load()
 
 
+#: What every database's queries must answer; other relations are as QUERIES has them.
+_REQUIRED = ("tables", "columns", "primary_keys", "foreign_keys", "indexes")
+
+
+def register_source(dialect: str, queries: Mapping[str, str], native_types: Mapping[str, str]) -> None:
+    """Makes the system tables of a registered dialect readable: its queries by relation, with the columns that QUERIES have, and logical types by the database's names for types."""
+    if dialect in D.DIALECTS:
+        raise D.UnsupportedDialect(f"{dialect} is built in")
+    D.features(dialect)
+    known = {n for given in QUERIES.values() for n in given}
+    if wrong := (set(_REQUIRED) - set(queries)) | (set(queries) - known) | (set(native_types.values()) - set(D.TYPE_TEMPLATES)):
+        raise D.UnsupportedDialect(f"{dialect}: missing or unknown {sorted(wrong)}")
+    QUERIES[dialect], NATIVE_TYPES[dialect] = dict(queries), {k.upper(): v for k, v in native_types.items()}
+    EXTRACTED[dialect] = _extracted(queries)
+
+
 def query_for(dialect: str, relation: str, schema: str = "") -> str:
     """The query with the condition on the schema filled in."""
     text = QUERIES[dialect][relation]
@@ -176,6 +193,10 @@ def query_for(dialect: str, relation: str, schema: str = "") -> str:
     return head + (f" and {rest.removesuffix('}')} = '{valid_schema_name(schema)}'" if schema else "")
 
 
+def queries_for(dialect: str, schema: str = "", older: bool = False) -> dict[str, str]:
+    return {n: query_for(dialect, n, schema) for n in QUERIES[dialect]} | (OLDER.get(dialect, {}) if older else {})
+
+
 def rule_action(text: Column) -> Column:
     """An action as a database names or numbers it; anything else is None."""
     return F.coalesce(choice(F.upper(F.trim(text.cast("string"))), _ACTIONS), F.lit("None"))
@@ -203,7 +224,7 @@ def native_type(name: Column, dialect: str) -> Column:
 def database_catalog(spark: SparkSession, read: Reader, dialect: str, schema: str = "", name: str = "", older: bool = False) -> Catalog:
     """The catalog of a database; schema restricts it where the dialect has schemas, and without it the catalog is qualified, as it may span several. Kinds that the dialect's
     source can't read are empty. older: the server is one that OLDER is for."""
-    given = {n: query_for(dialect, n, schema) for n in QUERIES[dialect]} | (OLDER.get(dialect, {}) if older else {})
+    given = queries_for(dialect, schema, older)
     lowered = lambda rows: rows.toDF(*[c.lower() for c in rows.columns])
     raw = {n: lowered(read(q)) for n, q in given.items()}
     return decoded(spark, raw, dialect, schema, name)

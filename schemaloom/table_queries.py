@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
+import sqlite3
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import dialects as D
-from .catalog_queries import _frame
-from .operators import diff, digest
+from .catalog_queries import _ITEMS, _frame, catalogs
+from .operators import diff
+from .operators.digest import changed
+from .operators.objects import objects
 from .plans.compare import Plan, compare
+from .plans.execute import ConnectionTarget, execute
+from .plans.journal import Journal, command_id, digest
 from .plans.options import REBUILD, CompareOptions
 from .plans.publish import Store, publish
 from .query_base import _table, query
-from .relations import Catalog, from_rows, shared_folder
+from .relations import Catalog, from_rows, local_frame, shared_folder
+from .sources import declared as m
 from .sources.frames import parquet_catalog
+from .sources.sqlite import sqlite_catalog
 
 # publishing
 
@@ -97,7 +105,7 @@ _LINES = "select distinct l_orderkey as o, l_linenumber as k, l_orderkey % 97 =
 @query("digest_tables", f"select distinct 'T' || o as table_key from ({_LINES}) where other or missing or less")
 def digest_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The tables that differ, found without a join."""
-    return digest.changed(*order_catalogs(spark, sf_dir)).selectExpr("own as table_key")
+    return changed(*order_catalogs(spark, sf_dir)).selectExpr("own as table_key")
 
 
 @query(
@@ -150,3 +158,97 @@ def schema_statements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statements between two catalogs of three schemas, one of which goes by another name, with the schema that they name."""
     plan = compare(*schema_catalogs(spark, sf_dir), CompareOptions(D.POSTGRESQL, schemas=(("new.s", "raw"),)))
     return plan.commands.filter("sql <> '' and op not like 'Enable%'").select("op", F.regexp_extract("sql", r'^ALTER TABLE ("[^"]*"\."[^"]*")', 1).alias("own"), "name")
+
+
+# execution on a database, and what it has done
+
+
+def plain_catalog(spark: SparkSession, sf_dir: str) -> Catalog:
+    """The tables, columns, keys, indexes, references, checks and views of the pair's desired side: what SQLite can hold."""
+    whole = catalogs(spark, sf_dir)[0]
+    kept = ("tables", "columns", "primary_keys", "key_columns", "indexes", "foreign_keys", "checks", "views")
+    return Catalog(spark, "", "", {n: f for n, f in whole.frames.items() if n in kept})
+
+
+@query(
+    "executed_on_sqlite",
+    f"""{_ITEMS} select 'table' as kind, t as table_key, '' as object_key, '' as detail from tabs where j <> 3
+    union all select 'column', t, 'ID', 'INTEGER|0|0|0|true' from tabs where j <> 3 union all select 'column', t, 'NOTE', 'VARCHAR(%l)|100|0|0|false' from tabs where j <> 3
+    union all select 'column', t, name, case when c in (1, 4) then 'VARCHAR(%l)|40|0|0' when c = 2 then 'FLOAT(%p,%s)|0|12|2' when c = 3 then 'DATE|0|0|0' else 'INTEGER|0|0|0' end || case when nn <> '' then '|true' else '|false' end from cols where s <> 1 and j <> 3
+    union all select 'primary_key', t, '', 'ID' from tabs where j <> 3 and j % 2 = 0
+    union all select 'index', t, 'IX' || n, case when n % 2 = 0 then 'true' else 'false' end || '|ID' || case when n % 3 = 0 then ', Note' else '' end from items where k = 3 and s <> 1 and j <> 3
+    union all select 'view', '', 'V' || n, '' from items where k = 7 and s <> 1""",
+)
+def executed_on_sqlite(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A plan carried out on an SQLite file, and the file's catalog read back."""
+    plan = compare(plain_catalog(spark, sf_dir), Catalog(spark), CompareOptions(D.SQLITE))
+    with tempfile.TemporaryDirectory() as folder:  # of the driver, which is the only one to use it
+        connection = sqlite3.connect(f"{folder}/made.db", isolation_level=None)
+        execute(plan, ConnectionTarget(connection))
+        connection.close()
+        found = sqlite_catalog(spark, f"{folder}/made.db")
+    details = {"column": ("type_name", "size", "precision", "scale", "not_null"), "primary_key": ("columns",), "index": ("is_unique", "columns")}
+    detail = " ".join(f"when '{kind}' then concat_ws('|', {', '.join(f'attrs[{c!r}]' for c in columns)})" for kind, columns in details.items())
+    rows = objects(found).filter("kind <> 'foreign_key'")  # SQLite keeps no names of references
+    return rows.selectExpr("kind", "table_key", "object_key", f"case kind {detail} else '' end as detail")
+
+
+@query(
+    "journal_of_two_runs",
+    f"""{_ITEMS}
+    select 'CreateTables' as phase, t as name, 1 as run from tabs where j <> 3 union all select 'Views', 'V' || n, 2 from items where k = 7 and s <> 1""",
+)
+def journal_of_two_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run that a view stops, whose name is taken; a second one that leaves out what the journal has; and in which of the runs every command was done. The phase of the views was
+    one transaction, so the first run has none of them."""
+    whole = plain_catalog(spark, sf_dir)
+    last = whole.views.agg(F.max("name")).first()[0]
+    plan = compare(whole, Catalog(spark), CompareOptions(D.SQLITE, raise_on_error=False))
+    with tempfile.TemporaryDirectory() as folder:
+        connection = sqlite3.connect(f"{folder}/made.db", isolation_level=None)
+        connection.execute(f"create table {last} (a)")
+        journal, known = Journal(connection), digest(plan)
+        execute(plan, ConnectionTarget(connection), journal=journal)
+        done = [set(journal.done(known))]
+        connection.execute(f"drop table {last}")
+        execute(plan, ConnectionTarget(connection), journal=journal)
+        done.append(set(journal.done(known)) - done[0])
+        connection.close()
+    ledger = local_frame(spark, [(x, run + 1) for run, own in enumerate(done) for x in own], "command_id string, run int")
+    return plan.commands.withColumn("command_id", command_id()).join(ledger, "command_id").select("phase", "name", "run")
+
+
+# associations
+
+
+@m.table("customer")
+class _Customer:
+    key = m.column("c_custkey", "ftLargeint")
+    orders = m.association("OneToMany", "c_custkey", "orders", "o_custkey")
+    largest = m.association("OneToOne", "c_nationkey", "nation", "n_nationkey")
+
+
+@m.table("orders")
+class _Orders:
+    key = m.column("o_orderkey", "ftLargeint")
+    line = m.association("OneToOne", "o_orderkey", "lineitem", "l_orderkey")
+    customer = m.association("ManyToOne", "o_custkey", "customer", "c_custkey")
+
+
+@m.table("lineitem")
+class _Lines:
+    key = m.column("l_orderkey", "ftLargeint")
+    order = m.association("ManyToOne", "l_orderkey; l_linenumber", "orders", "o_orderkey; o_one")
+    part = m.association("ManyToMany", "l_partkey", "orders", "o_orderkey")
+
+
+@query(
+    "association_violations",
+    """select 'orders.line' as association, '["' || o_orderkey || '"]' as key, 1::bigint as own_rows, n as other_rows from orders join (select l_orderkey, count(*) as n from lineitem group by 1) on l_orderkey = o_orderkey where n > 1
+    union all select 'customer.largest', '["' || c_nationkey || '"]', count(*), 1::bigint from customer group by c_nationkey having count(*) > 1""",
+)
+def association_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys that have more partners than the associations of three models allow."""
+    tables = {t: _table(spark, sf_dir, t) for t in ("customer", "orders", "lineitem", "nation")}
+    tables["orders"] = tables["orders"].withColumn("o_one", F.lit(1))
+    return m.association_violations([m.read_model(c) for c in (_Customer, _Orders, _Lines)], tables)
