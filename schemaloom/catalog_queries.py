@@ -18,7 +18,7 @@ from .operators.alter import classified, expanded
 from .plans.compare import Plan, compare
 from .plans.options import ADDITIVE, FULL, REBUILD, CompareOptions
 from .query_base import _table, query
-from .relations import SCHEMAS, Catalog, local_frame, written
+from .relations import SCHEMAS, Catalog, local_frame, shared_folder, written
 from .sources.system_tables import decoded
 
 SCHEMA = "app"
@@ -39,12 +39,19 @@ def catalogs(spark: SparkSession, sf_dir: str) -> tuple[Catalog, Catalog]:
     return _catalog(spark, items, tables, True), _catalog(spark, items, tables, False)
 
 
-_compared: dict[tuple[str, str], tuple[Catalog, Catalog, DataFrame]] = {}
+_compared: dict[tuple, tuple[Catalog, Catalog, DataFrame]] = {}
+
+
+def _state(spark: SparkSession, path: str) -> tuple:
+    """When a file or a folder's files were last written, and their sizes."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    return tuple(sorted((x.getPath().getName(), x.getModificationTime(), x.getLen()) for x in files.listStatus(target)))
 
 
 def compared(spark: SparkSession, sf_dir: str) -> tuple[Catalog, Catalog, DataFrame]:
-    """(desired, current, their objects side by side), made once in a session for all queries of this module."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """(desired, current, their objects side by side), made once in a session for all queries of this module, and anew if the table or the shared folder is another."""
+    key = (spark.sparkContext.applicationId, shared_folder(spark), sf_dir, _state(spark, f"{sf_dir}/part.parquet"))
     if key not in _compared:
         both = catalogs(spark, sf_dir)
         _compared[key] = (*both, diff.compared(*both))

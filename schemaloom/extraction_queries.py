@@ -18,6 +18,21 @@ _RULES = {D.MSSQL: ["0", "1", "2", "3"]}
 _DOMAINS = [*DOMAIN_TYPES, "8.5", "99.0"]
 
 
+# What some types of each database are to become, written out here and not taken from the library's maps.
+_EXPECTED: dict[str, dict[str, tuple[str, str]]] = {
+    D.POSTGRESQL: {"VARCHAR": ("ftString", "VARCHAR(%l)"), "INT8": ("ftLargeint", "BIGINT"), "BYTEA": ("ftBlob", "BYTEA"), "NUMERIC": ("ftFloat", "NUMERIC(%p,%s)"), "MONEY": ("ftCurrency", "MONEY"), "TIMESTAMP": ("ftTimeStamp", "TIMESTAMP"), "TEXT": ("ftWideMemo", "TEXT"), "BPCHAR": ("ftFixedChar", "CHAR(%l)")},
+    D.MYSQL: {"VARCHAR": ("ftString", "VARCHAR(%l)"), "INT": ("ftInteger", "INT"), "DATETIME": ("ftDateTime", "DATETIME"), "DOUBLE": ("ftExtended", "DOUBLE"), "DECIMAL": ("ftBCD", "DECIMAL(%p,%s)"), "TINYINT": ("ftSmallint", "SMALLINT"), "BIGINT": ("ftLargeint", "NUMERIC(%l)")},
+    D.MSSQL: {"NVARCHAR": ("ftWideString", "NVARCHAR(%l)"), "INT": ("ftInteger", "INT"), "BIT": ("ftBoolean", "BIT"), "FLOAT": ("ftFloat", "FLOAT"), "IMAGE": ("ftGraphic", "IMAGE"), "VARBINARY": ("ftBlob", "VARBINARY(MAX)"), "GUID": ("ftGuid", "GUID")},
+    D.ORACLE: {"VARCHAR2": ("ftString", "VARCHAR2(%l)"), "DATE": ("ftDateTime", "DATE"), "CLOB": ("ftMemo", "CLOB"), "NCLOB": ("ftWideMemo", "NCLOB"), "BLOB": ("ftOraBlob", "BLOB"), "RAW": ("ftGuid", "NCHAR(%l)"), "CHAR": ("ftFixedChar", "CHAR(%l)")},
+    **dict.fromkeys(D.FIREBIRD_FAMILY, {"8": ("ftInteger", "INTEGER"), "16": ("ftLargeint", "BIGINT"), "37": ("ftString", "VARCHAR(%l)"), "261": ("ftMemo", "BLOB SUB_TYPE 1"), "27": ("ftExtended", "DOUBLE PRECISION"), "35": ("ftTimeStamp", "TIMESTAMP"), "14": ("ftFixedChar", "CHAR(%l)"), "16.2": ("ftBCD", "DECIMAL(%p,%s)")}),
+}
+
+
+def _expected(dialect: str, native: str) -> tuple[str, str]:
+    logical = NATIVE_TYPES[dialect][native]
+    return _EXPECTED[dialect].get(native, (logical, {**D.TYPE_TEMPLATES, **D.TYPE_EXCEPTIONS[dialect]}[logical]))
+
+
 def _natives(dialect: str) -> list[str]:
     return list(NATIVE_TYPES[dialect])
 
@@ -64,7 +79,7 @@ def extraction_sql(d: str) -> str:
     has, firebird = QUERIES[d], d in D.FIREBIRD_FAMILY
     templates = {**D.TYPE_TEMPLATES, **D.TYPE_EXCEPTIONS[d]}
     natives = _natives(d)
-    types = ", ".join(f"({k}, '{NATIVE_TYPES[d][x]}', '{templates[NATIVE_TYPES[d][x]]}')" for k, x in enumerate(natives))
+    types = ", ".join("({}, '{}', '{}')".format(k, *_expected(d, x)) for k, x in enumerate(natives))
     kind = f"case when f.native = {natives.index('NUMBER')} and n % 9 = 0 then 'ftInteger' else f.ft end" if d == D.ORACLE else "f.ft"
     template = "case when f.ft = 'ftString' and n % 7 = 0 then 'VARCHAR(MAX)' else f.template end" if d == D.MSSQL else f"case when f.native = {natives.index('NUMBER')} and n % 9 = 0 then '{templates['ftInteger']}' else f.template end" if d == D.ORACLE else "f.template"
     default = f"""case n % 5 when 1 then '0' when 2 then '{' 7 ' if d == D.MSSQL else '7'}' when 3 then '''{'X' if firebird else 'x'}''' when 4 then '{'now' if d == D.MSSQL else 'NOW()' if firebird else 'now()'}' else '' end"""

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,13 +12,14 @@ from pyspark.sql import functions as F
 from . import dialects as D
 from .catalog_queries import _ITEMS, _plan, catalogs, ddl_sql
 from .extraction_queries import DETAILS
+from .operators import introspect
 from .operators.objects import objects
 from .operators.sequence import PHASES
 from .plans.execute import execute
 from .plans.options import CONTINUE, STOP
 from .plans.script import dry_run
 from .query_base import _table, query
-from .relations import Catalog, local_frame, written
+from .relations import Catalog, local_frame, shared_folder, written
 from .sources import declared as m
 from .sources import snapshot
 
@@ -107,9 +110,7 @@ def model_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _read_back(catalog: Catalog) -> Catalog:
-    text = snapshot.encoded(catalog, D.POSTGRESQL).select(F.to_json(F.struct("*")).alias("j"))
-    body = text.select(F.from_json("j", snapshot.SCHEMA).alias("d")).select("d.Catalog.*")
-    return snapshot.decoded(written(body), catalog.spark)
+    return snapshot.decoded(snapshot.entries(written(snapshot.encoded(catalog))), catalog.spark)
 
 
 @query(
@@ -135,6 +136,53 @@ def snapshot_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.explode("ops").alias("op"), F.coalesce(F.col("m")["name"], F.col("t")["name"]).alias("name"))
 
 
+_FLAG = "case when {} then 'true' else 'false' end"
+_RULE = "case {} when 1 then 'Cascade' when 2 then 'SetNull' when 3 then 'SetDefault' else 'None' end"
+
+
+@query(
+    "snapshot_file",
+    f"""{_ITEMS}, kinds as (select *, case when c in (1, 4) then 'ftString|VARCHAR(%l)|40|0|0' when c = 2 then 'ftBCD|DECIMAL(%p,%s)|0|12|2' when c = 3 then 'ftDate|DATE|0|0|0' else 'ftInteger|INTEGER|0|0|0' end as told,
+        case when s = 3 and v = 2 then case when c in (1, 4) then 'it''s' else '7' end when s = 3 and v = 3 then '' when c = 4 then 'n/a' when c = 5 then '0' else '' end as given,
+        case when s = 3 then 'BEGIN x :=  ''a  b''; y := ' || n || '; END' else 'BEGIN  y := ' || n || ';' || chr(9) || 'END ' end as body from items where s <> 1)
+    select 'table' as kind, t as table_key, '' as object_key, t as name, 'about ' || t as detail from tabs where j <> 3 union all select 'column', t, 'ID', 'ID', '0|ftInteger|INTEGER|0|0|0|true|false|||' from tabs where j <> 3
+    union all select 'column', t, 'NOTE', 'Note', '1|ftString|VARCHAR(%l)|100|0|0|false|false|||' from tabs where j <> 3
+    union all select 'column', t, 'C' || n, 'C' || n, concat_ws('|', n + 10, told, {_FLAG.format('s = 3 and v = 1')}, 'false', given, '', 'col ' || n) from kinds where k < 3 and j <> 3
+    union all select 'primary_key', t, '', 'PK_' || t, 'ID' from tabs where j <> 3 and j % 2 = 0
+    union all select 'index', t, 'IX' || n, 'IX' || n, {_FLAG.format('n % 2 = 0')} || '|ID' || case when n % 3 = 0 then ', Note' else '' end from kinds where k = 3 and j <> 3
+    union all select 'check', t, 'CK' || n, 'CK' || n, 'ID > ' || n from kinds where k = 4 and j <> 3 union all select 'trigger', t, 'TR' || n, 'TR' || n, null from kinds where k = 5 and j <> 3
+    union all select 'foreign_key', t, 'FK' || n, 'FK' || n, concat_ws('|', 'T0', 'T0', {_RULE.format('n // 4 % 4')}, {_RULE.format('n % 4')}, 'ID', 'ID') from kinds where k = 6 and j <> 3
+    union all select 'view', '', 'V' || n, 'V' || n, 'SELECT ' || n || case when s = 3 then ' AS  a' else ' AS b  ' end from kinds where k = 7 union all select 'sequence', '', 'SQ' || n, 'SQ' || n, '|5|1' from kinds where k = 8
+    union all select 'domain', '', 'DM' || n, 'DM' || n, concat_ws('|', 'INTEGER', {_FLAG.format('n % 2 = 0')}, case when n % 3 = 0 then '1' else '' end, case when n % 5 = 0 then 'VALUE > 0' else '' end) from kinds where k = 9
+    union all select 'procedure', '', 'P' || n || case when n % 2 = 0 then '(INT)' else '' end, 'P' || n, concat_ws('|', case when n % 2 = 0 then 'int' else '' end, {_FLAG.format('n % 3 = 0')}, body) from kinds where k = 10""",
+)
+def snapshot_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A catalog written to a file and loaded from it, with all that its objects are made of."""
+    path = f"{shared_folder(spark)}/snapshot-{uuid.uuid4().hex}.json"
+    snapshot.save(catalogs(spark, sf_dir)[0], path, D.POSTGRESQL, "of the parts")
+    return objects(snapshot.load(spark, path).catalog).selectExpr("kind", "table_key", "object_key", "name", _DETAIL)
+
+
+# questions to a catalog
+
+
+@query(
+    "introspection",
+    f"""{_ITEMS} select 'table' as asked, t as name, 0 as place from tabs where j <> 3 union all select 'field', 'ID', 0 union all select 'field', 'Note', 1 union all select 'field', name, n + 10 from cols where j = 2 and s <> 1
+    union all select 'primary_key', 'PK_T2', 0 union all select 'member', 'ID', 0 union all select 'index', 'IX' || n, 0 from items where k = 3 and j = 2 and s <> 1 union all select 'foreign_key', 'FK' || n, 0 from items where k = 6 and j = 2 and s <> 1
+    union all select 'referencing', 'FK' || n, 0 from items where k = 6 and j <> 3 and s <> 1""",
+)
+def introspection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What one asks a catalog: its tables, and the fields, keys and indexes of a table."""
+    c = catalogs(spark, sf_dir)[0]
+    asked = lambda what, rows, name, place="0": rows.selectExpr(f"'{what}' as asked", f"{name} as name", f"{place} as place")
+    found = [
+        asked("table", introspect.tables(c), "table_name"), asked("field", introspect.fields(c, "t2"), "column_name", "position"), asked("primary_key", introspect.primary_key(c, "T2"), "pk_name"), asked("member", introspect.members(c, "T2", "pk"), "column_name", "position"),
+        asked("index", introspect.indexes(c, "T2"), "name"), asked("foreign_key", introspect.foreign_keys(c, "T2"), "name"), asked("referencing", introspect.referencing(c, "T0"), "name"),
+    ]
+    return reduce(DataFrame.union, found)
+
+
 # scripts and execution
 
 _EMPTY = {D.POSTGRESQL: "", D.MYSQL: " union all values ('Pre', 'EnableTriggers', '', 'Off', ''), ('Post', 'EnableTriggers', '', 'On', '')"}

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import itertools
 import json
+import textwrap
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
 from datetime import UTC, datetime
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,13 +31,14 @@ _TABLE = (
     f"ForeignKeys:array<struct<Name:string,Description:string,FromTable:string,OnUpdate:string,OnDelete:string,FromFields:array<{_COLUMN}>,ToFields:array<{_COLUMN}>>>,"
     "Checks:array<struct<Name:string,Description:string,Condition:string>>,Triggers:array<struct<Name:string,Description:string,Script:string>>>"
 )
+#: The arrays of Catalog in their order, and the shape of their entries.
+SECTIONS = {
+    "Tables": _TABLE, "Sequences": "struct<Name:string,Description:string,TableName:string,InitialValue:int,Increment:int>", "Views": f"struct<Name:string,Description:string,Script:string,Fields:array<{_COLUMN}>>",
+    "Domains": "struct<Name:string,Description:string,TypeName:string,NotNull:boolean,DefaultValue:string,CheckCondition:string>", "Procedures": "struct<Name:string,Description:string,Script:string,IsFunction:boolean,Signature:string>",
+}
 SCHEMA = (
     "FormatVersion int, DriverName string, GeneratedAt string, SourceDescription string, "
-    f"Catalog struct<Name:string,Schema:string,Description:string,Tables:array<{_TABLE}>,"
-    "Sequences:array<struct<Name:string,Description:string,TableName:string,InitialValue:int,Increment:int>>,"
-    f"Views:array<struct<Name:string,Description:string,Script:string,Fields:array<{_COLUMN}>>>,"
-    "Domains:array<struct<Name:string,Description:string,TypeName:string,NotNull:boolean,DefaultValue:string,CheckCondition:string>>,"
-    "Procedures:array<struct<Name:string,Description:string,Script:string,IsFunction:boolean,Signature:string>>>"
+    f"Catalog struct<Name:string,Schema:string,Description:string,{','.join(f'{n}:array<{shape}>' for n, shape in SECTIONS.items())}>"
 )
 
 
@@ -76,8 +81,8 @@ def _column_struct(kind: str = "") -> Column:
     )
 
 
-def encoded(catalog: Catalog, driver: str, description: str = "", generated_at: str | None = None) -> DataFrame:
-    """One row with the envelope's columns. All arrays are in order of their keys, so equal catalogs give equal documents."""
+def encoded(catalog: Catalog) -> DataFrame:
+    """(section, key, doc): a row for each entry of the document's arrays, doc its JSON object. By section and key they have one order, so equal catalogs give equal documents. What is gathered in a row is one table."""
     columns = catalog.columns
     listed = lambda rows, keys, value, order: rows.groupBy(*keys).agg(F.collect_list(F.struct(order, value.alias("value"))).alias("x")).select(*keys, _sorted(F.col("x")).alias("x"))
     fields = listed(columns, ["table_key"], _column_struct(), F.col("position").alias("k"))
@@ -113,31 +118,52 @@ def encoded(catalog: Catalog, driver: str, description: str = "", generated_at:
         *[F.coalesce(F.col(n), F.array().cast(dict(tables.dtypes)[n])).alias(n) for n in order],
     )
     views = catalog.views.join(listed(catalog.view_columns.withColumnRenamed("table_key", "object_key"), ["object_key"], _column_struct(), F.col("position").alias("k")), "object_key", "left")
-    whole = lambda rows, value, name, key: rows.agg(_sorted(F.collect_list(F.struct(F.col(key).alias("k"), value.alias("value")))).alias(name))
+    entry = lambda rows, value, name, key: rows.select(F.lit(name).alias("section"), F.col(key).alias("key"), F.to_json(value, {"ignoreNullFields": "false"}).alias("doc"))
     named = lambda *pairs: F.struct(F.col("name").alias("Name"), F.col("description").alias("Description"), *[F.col(c).alias(n) for c, n in pairs])
     parts = [
-        whole(tables, table, "Tables", "table_key"),
-        whole(catalog.sequences, named(("table_name", "TableName"), ("initial_value", "InitialValue"), ("increment", "Increment")), "Sequences", "object_key"),
-        whole(views, F.struct(F.col("name").alias("Name"), F.col("description").alias("Description"), F.col("script").alias("Script"), some("x").alias("Fields")), "Views", "object_key"),
-        whole(catalog.domains, named(("type_name", "TypeName"), ("not_null", "NotNull"), ("default_value", "DefaultValue"), ("check_condition", "CheckCondition")), "Domains", "object_key"),
-        whole(catalog.procedures, named(("script", "Script"), ("is_function", "IsFunction"), ("signature", "Signature")), "Procedures", "object_key"),
+        entry(tables, table, "Tables", "table_key"),
+        entry(catalog.sequences, named(("table_name", "TableName"), ("initial_value", "InitialValue"), ("increment", "Increment")), "Sequences", "object_key"),
+        entry(views, F.struct(F.col("name").alias("Name"), F.col("description").alias("Description"), F.col("script").alias("Script"), some("x").alias("Fields")), "Views", "object_key"),
+        entry(catalog.domains, named(("type_name", "TypeName"), ("not_null", "NotNull"), ("default_value", "DefaultValue"), ("check_condition", "CheckCondition")), "Domains", "object_key"),
+        entry(catalog.procedures, named(("script", "Script"), ("is_function", "IsFunction"), ("signature", "Signature")), "Procedures", "object_key"),
     ]
-    one = parts[0]
-    for p in parts[1:]:
-        one = one.crossJoin(p)  # one row each
-    stamp = generated_at or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%S.%fZ")
-    body = F.struct(F.lit(catalog.name).alias("Name"), F.lit(catalog.schema).alias("Schema"), F.lit("").alias("Description"), "Tables", "Sequences", "Views", "Domains", "Procedures")
-    return one.select(F.lit(VERSION).alias("FormatVersion"), F.lit(driver).alias("DriverName"), F.lit(stamp).alias("GeneratedAt"), F.lit(description).alias("SourceDescription"), body.alias("Catalog"))
+    return reduce(DataFrame.union, parts)
 
 
-def save(catalog: Catalog, path: str, driver: str, description: str = "", generated_at: str | None = None) -> None:
-    """One file, UTF-8, indented by two blanks. A snapshot is a single document: it is made for catalogs, whose size is that of a schema."""
+def document(catalog: Catalog, driver: str, description: str = "", generated_at: str | None = None) -> Iterator[str]:
+    """The text of a snapshot in pieces, indented by two blanks. Entries come to the driver one after another."""
     if driver not in D.FEATURES:
         raise SnapshotError(f"unknown driver {driver}")
-    text = encoded(catalog, driver, description, generated_at).select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias("j")).first().j
-    with open(path, "w", encoding="utf-8", newline="\n") as out:
-        json.dump(json.loads(text), out, indent=2, ensure_ascii=False)
-        out.write("\n")
+    stamp = generated_at or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%S.%fZ")
+    shown = lambda x: json.dumps(x, ensure_ascii=False, indent=2)
+    head = {"FormatVersion": VERSION, "DriverName": driver, "GeneratedAt": stamp, "SourceDescription": description}
+    yield shown(head)[:-2] + ',\n  "Catalog": {\n'
+    yield "".join(f"    {shown(k)}: {shown(v)},\n" for k, v in (("Name", catalog.name), ("Schema", catalog.schema), ("Description", "")))
+    order = F.array_position(F.lit(list(SECTIONS)), F.col("section"))
+    rows = encoded(catalog).orderBy(order, "key").toLocalIterator()
+    following = next(rows, None)
+    for section in SECTIONS:
+        yield f'    "{section}": ['
+        empty = True
+        while following is not None and following.section == section:
+            yield ("\n" if empty else ",\n") + textwrap.indent(shown(json.loads(following.doc)), " " * 6)
+            empty, following = False, next(rows, None)
+        yield ("]" if empty else "\n    ]") + ("" if section == "Procedures" else ",") + "\n"
+    yield "  }\n}\n"
+
+
+def save(catalog: Catalog, path: str, driver: str, description: str = "", generated_at: str | None = None) -> None:
+    """One file, UTF-8, at a path that Spark's readers know too, written piece by piece. A snapshot is a single document, so it is read as one and holds at most 2 GB."""
+    pieces = document(catalog, driver, description, generated_at)
+    first = next(pieces)  # a catalog that can't be written leaves no file
+    spark = catalog.spark
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
+    try:
+        for piece in itertools.chain([first], pieces):
+            out.write(bytearray(piece.encode()))
+    finally:
+        out.close()
 
 
 def load(spark: SparkSession, path: str) -> Snapshot:
@@ -158,7 +184,8 @@ def load(spark: SparkSession, path: str) -> Snapshot:
         raise SnapshotError(f"unknown driver {seen.DriverName}")
     if not seen.has:
         raise SnapshotError("Catalog is missing")
-    catalog = decoded(doc.select("d.Catalog.*"), spark, seen.Name or "", seen.Schema or "")
+    parts = {n: doc.select(F.explode(f"d.Catalog.{n}").alias("x")).select("x.*") for n in SECTIONS}
+    catalog = decoded(parts, spark, seen.Name or "", seen.Schema or "")
     _check_names(catalog)
     return Snapshot(catalog, seen.DriverName, seen.SourceDescription or "", seen.GeneratedAt or "", seen.FormatVersion)
 
@@ -172,9 +199,14 @@ def _check_names(catalog: Catalog) -> None:
         raise SnapshotError(f"unknown names: {sorted(str(r[0]) for r in bad)}")
 
 
-def decoded(body: DataFrame, spark: SparkSession, name: str = "", schema: str = "") -> Catalog:
-    """The relations of a row with the fields of Catalog."""
-    tables = body.select(F.explode("Tables").alias("t")).select("t.*").withColumn("table_key", ascii_upper(F.col("Name")))
+def entries(rows: DataFrame) -> dict[str, DataFrame]:
+    """The entries of each section, of rows as encoded gives them."""
+    return {n: rows.filter(F.col("section") == n).select(F.from_json("doc", shape).alias("x")).select("x.*") for n, shape in SECTIONS.items()}
+
+
+def decoded(parts: Mapping[str, DataFrame], spark: SparkSession, name: str = "", schema: str = "") -> Catalog:
+    """The relations of the entries of each section."""
+    tables = parts["Tables"].withColumn("table_key", ascii_upper(F.col("Name")))
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
 
     def column(rows: DataFrame) -> DataFrame:
@@ -194,8 +226,8 @@ def decoded(body: DataFrame, spark: SparkSession, name: str = "", schema: str =
     pk = tables.select("table_key", F.lit("").alias("object_key"), "PrimaryKey.*")
     indexes, foreign, checks, triggers = (objects(tables, f) for f in ("IndexeKeys", "ForeignKeys", "Checks", "Triggers"))
     keys = members(pk, "pk", "Fields").union(members(indexes, "index", "Fields")).union(members(foreign, "fk_from", "FromFields")).union(members(foreign, "fk_to", "ToFields"))
-    top = lambda field: body.select(F.explode(field).alias("o")).select("o.*").withColumn("object_key", ascii_upper(text("Name")))
-    routines = body.select(F.explode("Procedures").alias("o")).select("o.*")
+    top = lambda field: parts[field].withColumn("object_key", ascii_upper(text("Name")))
+    routines = parts["Procedures"]
     n, d = text("Name").alias("name"), text("Description").alias("description")
     frames = {
         "tables": tables.select(F.lit(schema).alias("schema_name"), "table_key", F.col("Name").alias("table_name"), d),
