@@ -15,10 +15,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .scratch import partitions
+from .scratch import partitions, saved
 
 START, END = b"### ", b"</turn>\n"
 LEARNED_ROLE = "assistant"
@@ -83,42 +84,62 @@ def assemble(conv: pa.Array, role: pa.Array, text: pa.Array) -> pa.Table:
     return pa.table([conv.take(pa.array(first)), formatted, *spans], ["conv_id", "formatted", "loss_starts", "loss_ends"])
 
 
-def formatted(turns: DataFrame) -> DataFrame:
-    """(conv_id, formatted, loss_starts, loss_ends) of each conversation of turns (conv_id long, turn, role, text).
+_PIECES = "conv_id long, part int, place long, formatted string, loss_starts array<long>, loss_ends array<long>"
+PREFIX = 64
+#: A piece ends with the turn that brings it to this many turns or bytes.
+PIECE_TURNS, PIECE_BYTES = 1_000, 4 << 20
+
+
+def _cut(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in slices that are small enough for pieces."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    start = 0
+    while start < batch.num_rows:
+        before = sizes[start - 1] if start else 0
+        end = min(start + PIECE_TURNS, int(np.searchsorted(sizes, before + PIECE_BYTES)) + 1, batch.num_rows)
+        yield batch.slice(start, end - start)
+        start = end
+
+
+def formatted_pieces(turns: DataFrame) -> DataFrame:
+    """(conv_id, piece, at, formatted, loss_starts, loss_ends) of the conversations of turns (conv_id long, turn, role, text), in pieces of whole turns.
 
-    Turns go by turn; ties by role, then text, and repeated rows stay. Null roles and texts count as empty; a null conv_id is a
-    conversation of its own. Other columns are ignored; an empty table gives an empty result. A conversation is
-    one row of the result, so its text has to fit into memory once.
+    The pieces of a conversation, in order of piece from 0, are its text; at is how many code points come before a piece, and the offsets of what is learned are those in the whole
+    conversation. A piece has at most PIECE_TURNS turns and ends when it has PIECE_BYTES, so neither a conversation that holds a third of all turns nor the turns without a conv_id, which are one, have to be in one task or
+    fit into memory. Turns go by turn; ties by role, then text, and repeated rows stay. Null roles and texts count as empty. Other columns are ignored; an empty table gives an empty result.
     """
+    spark = turns.sparkSession
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[pa.Table] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = pa.Table.from_batches([batch])
-            conv = rows.column("conv_id").to_pylist()
-            last = conv[-1]
-            cut = next((k for k in range(len(conv) - 1, -1, -1) if conv[k] != last), -1) + 1
-            if kept and (cut or kept[-1].column("conv_id")[-1].as_py() != last):
-                whole = pa.concat_tables([*kept, rows.slice(0, cut)]).combine_chunks()
-                yield from assemble(*[whole.column(c).combine_chunks() for c in ("conv_id", "role", "text")]).to_batches()
-                kept = []
-            elif cut:
-                whole = rows.slice(0, cut).combine_chunks()
-                yield from assemble(*[whole.column(c).combine_chunks() for c in ("conv_id", "role", "text")]).to_batches()
-            kept.append(rows.slice(cut))
-        if kept:
-            whole = pa.concat_tables(kept).combine_chunks()
-            yield from assemble(*[whole.column(c).combine_chunks() for c in ("conv_id", "role", "text")]).to_batches()
-
-    def narrow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in each(batches):
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1).cast(pa.string()), *batch.columns[2:]], ["conv_id", "formatted", "loss_starts", "loss_ends"])
-
-    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text")
-    rows = rows.repartition(partitions(turns.sparkSession), "conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
-    return rows.select("conv_id", "role", "text").mapInArrow(narrow, "conv_id long, formatted string, loss_starts array<long>, loss_ends array<long>")
+        place = 0
+        for batch in (own for whole in batches for own in _cut(whole)):
+            made = assemble(*[batch.column(c) for c in ("conv_id", "role", "text")])
+            part = pa.array(np.full(made.num_rows, batch.column("part")[0].as_py(), np.int32))
+            places = pa.array(np.arange(place, place + made.num_rows))
+            place += made.num_rows
+            columns = [made.column(0), part, places, made.column(1).cast(pa.string()), made.column(2), made.column(3)]
+            yield from pa.table(columns, [x.split()[0] for x in _PIECES.split(", ")]).combine_chunks().to_batches()
+
+    rows = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "text", F.monotonically_increasing_id().alias("_row"))
+    # ranges end between turns, and between rows that are alike; texts decide by their beginnings where roles are short
+    short = F.when(F.coalesce(F.length("role"), F.lit(0)) < PREFIX, F.substring("text", 1, PREFIX))
+    whole = F.coalesce(F.length("text"), F.lit(0)) <= PREFIX
+    ranged = rows.repartitionByRange(partitions(spark), "conv_id", "turn", F.substring("role", 1, PREFIX), short, F.when(whole & short.isNotNull(), F.col("_row")))
+    ranged = ranged.sortWithinPartitions("conv_id", "turn", "role", "text")
+    pieces = saved(ranged.select("conv_id", F.spark_partition_id().alias("part"), "role", "text").mapInArrow(each, _PIECES), keep=True)
+    order = Window.partitionBy("conv_id").orderBy("part", "place")
+    offsets = pieces.select("conv_id", "part", "place", F.length("formatted").cast("long").alias("n")).select(
+        "part", "place", (F.row_number().over(order) - 1).cast("long").alias("piece"), (F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("at")
+    )
+    moved = lambda c: F.transform(c, lambda x: x + F.col("at")).alias(c)
+    return pieces.join(offsets, ["part", "place"]).select("conv_id", "piece", "at", "formatted", moved("loss_starts"), moved("loss_ends"))
+
+
+def formatted(turns: DataFrame) -> DataFrame:
+    """(conv_id, formatted, loss_starts, loss_ends) of each conversation: its pieces (see formatted_pieces) as one row, so a conversation has to fit into memory, and into 2 GB."""
+    own = F.array_sort(F.collect_list(F.struct("piece", "formatted", "loss_starts", "loss_ends")))
+    rows = formatted_pieces(turns).groupBy("conv_id").agg(own.alias("p"))
+    return rows.select("conv_id", F.array_join("p.formatted", "").alias("formatted"), F.flatten("p.loss_starts").alias("loss_starts"), F.flatten("p.loss_ends").alias("loss_ends"))
 
 
 _TURN = re.compile(r"### ((?:\\.|[^\\:])*): ((?:\\.|[^\\<])*)</turn>\n", re.S)
@@ -143,19 +164,49 @@ def read_back(text: str) -> list[tuple[str, str]]:
 _SCHEMA = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 
 
-def digests(conversations: DataFrame) -> DataFrame:
-    """What can be read back from formatted conversations (the result of formatted()): turns and the text under the loss mask."""
+class _Digest:
+    """What has been read back of a conversation so far."""
+
+    def __init__(self, conv: int | None):
+        self.conv, self.turns, self.learned, self.chars = conv, 0, 0, 0
+        self.said, self.loss = hashlib.sha256(), hashlib.sha256()
+
+    def add(self, text: str, starts: list[int], ends: list[int]) -> None:
+        turns = read_back(text)
+        self.said.update("".join(f"{r}\n{t}\n" for r, t in turns).encode())
+        learned = "".join(unescaped(text[a - self.chars : b - self.chars]) for a, b in zip(starts, ends, strict=True))
+        self.loss.update(learned.encode())
+        self.turns, self.learned, self.chars = self.turns + len(turns), self.learned + len(learned), self.chars + len(text)
+
+    def row(self) -> tuple:
+        return (self.conv, self.turns, self.said.hexdigest(), self.learned, self.loss.hexdigest(), self.chars)
+
+
+def digests(pieces: DataFrame) -> DataFrame:
+    """What can be read back from formatted conversations (the result of formatted_pieces, or of formatted, where a conversation is one piece): turns and the text under the loss mask.
+
+    A digest of a whole conversation is sequential, so its pieces pass through one task, one after another; no more than a batch of them is held.
+    """
+    rows = pieces if "piece" in pieces.columns else pieces.withColumn("piece", F.lit(0))
+    rows = rows.repartition(partitions(pieces.sparkSession), "conv_id").sortWithinPartitions("conv_id", "piece")
+    types = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
+
+    def batch_of(done: list[_Digest]) -> pa.RecordBatch:
+        columns = list(zip(*[d.row() for d in done], strict=True)) or [()] * len(types)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [x.split()[0] for x in _SCHEMA.split(", ")])
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now: _Digest | None = None
         for batch in batches:
-            rows = []
+            done = []
             for conv, text, starts, ends in zip(*[batch.column(c).to_pylist() for c in ("conv_id", "formatted", "loss_starts", "loss_ends")], strict=True):
-                turns = read_back(text)
-                said = "".join(f"{r}\n{t}\n" for r, t in turns)
-                learned = "".join(unescaped(text[a:b]) for a, b in zip(starts, ends, strict=True))
-                rows.append((conv, len(turns), hashlib.sha256(said.encode()).hexdigest(), len(learned), hashlib.sha256(learned.encode()).hexdigest(), len(text)))
-            columns = [list(x) for x in zip(*rows, strict=True)] if rows else [[]] * 6
-            types = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], [x.split()[0] for x in _SCHEMA.split(", ")])
-
-    return conversations.mapInArrow(each, _SCHEMA)
+                if now is None or conv != now.conv:
+                    if now is not None:
+                        done.append(now)
+                    now = _Digest(conv)
+                now.add(text, starts, ends)
+            yield batch_of(done)
+        if now is not None:
+            yield batch_of([now])
+
+    return rows.select("conv_id", "formatted", "loss_starts", "loss_ends").mapInArrow(each, _SCHEMA)

@@ -111,3 +111,29 @@ def test_parsing_is_linear_whatever_is_left_open():
     began = time.time()
     html_extract.parse("<dd><dl>" + "<div>" * 50_000 + "<dd>x</dd>" * 50_000)
     assert time.time() - began < 5
+
+
+def test_a_conversation_of_very_many_turns_comes_in_pieces(spark):
+    """Half of all turns without a conv_id, many of them alike: the pieces are bounded, over several partitions, and read back as the turns in order."""
+    import hashlib
+
+    from schemaloom.llm import chat
+
+    draw = random.Random(7)
+    roles, texts = ["user", "assistant", "system", None], ["Hi.", "same", "<a> \\ # ü𝄞", "", None, "x" * 200]
+    rows = [(None if k % 2 else k % 50, draw.choice([None, 1, 2, k // 100]), draw.choice(roles), draw.choice(texts)) for k in range(12_000)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    pieces = chat.formatted_pieces(turns.repartition(3)).cache()
+    hot = pieces.filter("conv_id is null").orderBy("piece").collect()
+    assert len(hot) > 3 and [p.piece for p in hot] == list(range(len(hot)))
+    assert max(p.formatted.count("</turn>") for p in hot) <= chat.PIECE_TURNS
+    own = sorted(((t is not None, t or 0, (r is not None, r or ""), (x is not None, x or "")) for c, t, r, x in rows if c is None), key=lambda z: (z[0], z[1], z[2][0], z[2][1].encode(), z[3][0], z[3][1].encode()))
+    said = [(r[1], x[1]) for _, _, r, x in own]
+    assert [t for p in hot for t in chat.read_back(p.formatted)] == said
+    whole = "".join(p.formatted for p in hot)
+    learned = [chat.unescaped(whole[a:b]) for p in hot for a, b in zip(p.loss_starts, p.loss_ends)]
+    assert learned == [x for r, x in said if r == "assistant"] and all(p.at == sum(len(q.formatted) for q in hot[:k]) for k, p in enumerate(hot))
+    row = chat.digests(pieces).filter("conv_id is null").first()
+    assert (row.n_turns, row.formatted_chars, row.loss_sha256) == (len(said), len(whole), hashlib.sha256("".join(learned).encode()).hexdigest())
+    assert row.turns_sha256 == hashlib.sha256("".join(f"{r}\n{x}\n" for r, x in said).encode()).hexdigest()
+    assert sorted(map(tuple, chat.digests(chat.formatted(turns)).collect()), key=repr) == sorted(map(tuple, chat.digests(pieces).collect()), key=repr)
