@@ -110,7 +110,7 @@ def model_aggregates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _read_back(catalog: Catalog) -> Catalog:
-    return snapshot.decoded(snapshot.entries(written(snapshot.encoded(catalog))), catalog.spark)
+    return snapshot.from_entries(snapshot.entries(written(snapshot.entry_rows(catalog))), catalog.spark)
 
 
 @query(

@@ -81,7 +81,7 @@ def _column_struct(kind: str = "") -> Column:
     )
 
 
-def encoded(catalog: Catalog) -> DataFrame:
+def entry_rows(catalog: Catalog) -> DataFrame:
     """(section, key, doc): a row for each entry of the document's arrays, doc its JSON object. By section and key they have one order, so equal catalogs give equal documents. What is gathered in a row is one table."""
     columns = catalog.columns
     listed = lambda rows, keys, value, order: rows.groupBy(*keys).agg(F.collect_list(F.struct(order, value.alias("value"))).alias("x")).select(*keys, _sorted(F.col("x")).alias("x"))
@@ -140,7 +140,7 @@ def document(catalog: Catalog, driver: str, description: str = "", generated_at:
     yield shown(head)[:-2] + ',\n  "Catalog": {\n'
     yield "".join(f"    {shown(k)}: {shown(v)},\n" for k, v in (("Name", catalog.name), ("Schema", catalog.schema), ("Description", "")))
     order = F.array_position(F.lit(list(SECTIONS)), F.col("section"))
-    rows = encoded(catalog).orderBy(order, "key").toLocalIterator()
+    rows = entry_rows(catalog).orderBy(order, "key").toLocalIterator()
     following = next(rows, None)
     for section in SECTIONS:
         yield f'    "{section}": ['
@@ -152,6 +152,12 @@ def document(catalog: Catalog, driver: str, description: str = "", generated_at:
     yield "  }\n}\n"
 
 
+def encoded(catalog: Catalog, driver: str, description: str = "", generated_at: str | None = None) -> DataFrame:
+    """The document as one row with the envelope's columns, for catalogs that fit into one; save and entry_rows are for any."""
+    text = "".join(document(catalog, driver, description, generated_at))
+    return catalog.spark.createDataFrame([(text,)], "j string").select(F.from_json("j", SCHEMA).alias("d")).select("d.*")
+
+
 def save(catalog: Catalog, path: str, driver: str, description: str = "", generated_at: str | None = None) -> None:
     """One file, UTF-8, at a path that Spark's readers know too, written piece by piece. A snapshot is a single document, so it is read as one and holds at most 2 GB."""
     pieces = document(catalog, driver, description, generated_at)
@@ -184,8 +190,7 @@ def load(spark: SparkSession, path: str) -> Snapshot:
         raise SnapshotError(f"unknown driver {seen.DriverName}")
     if not seen.has:
         raise SnapshotError("Catalog is missing")
-    parts = {n: doc.select(F.explode(f"d.Catalog.{n}").alias("x")).select("x.*") for n in SECTIONS}
-    catalog = decoded(parts, spark, seen.Name or "", seen.Schema or "")
+    catalog = decoded(doc.select("d.Catalog.*"), spark, seen.Name or "", seen.Schema or "")
     _check_names(catalog)
     return Snapshot(catalog, seen.DriverName, seen.SourceDescription or "", seen.GeneratedAt or "", seen.FormatVersion)
 
@@ -200,11 +205,16 @@ def _check_names(catalog: Catalog) -> None:
 
 
 def entries(rows: DataFrame) -> dict[str, DataFrame]:
-    """The entries of each section, of rows as encoded gives them."""
+    """The entries of each section, of rows as entry_rows gives them."""
     return {n: rows.filter(F.col("section") == n).select(F.from_json("doc", shape).alias("x")).select("x.*") for n, shape in SECTIONS.items()}
 
 
-def decoded(parts: Mapping[str, DataFrame], spark: SparkSession, name: str = "", schema: str = "") -> Catalog:
+def decoded(body: DataFrame, spark: SparkSession, name: str = "", schema: str = "") -> Catalog:
+    """The relations of a row with the fields of Catalog."""
+    return from_entries({n: body.select(F.explode(n).alias("x")).select("x.*") for n in SECTIONS}, spark, name, schema)
+
+
+def from_entries(parts: Mapping[str, DataFrame], spark: SparkSession, name: str = "", schema: str = "") -> Catalog:
     """The relations of the entries of each section."""
     tables = parts["Tables"].withColumn("table_key", ascii_upper(F.col("Name")))
     text = lambda c: F.coalesce(F.col(c), F.lit(""))
