@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import saved, tidy
+from .scratch import discard, saved, tidy
 from .vectors import cells, matrix
 
 PARTS, ENTRIES, ROUNDS = 16, 64, 2
@@ -152,7 +152,8 @@ def compressed(rows: DataFrame) -> DataFrame:
         books, before = [np.ascontiguousarray(start[:, p]) for p in range(PARTS)], None
         state = own
         for _ in range(ROUNDS if first else 0):
-            state = saved(_assigned(state, books, before))
+            old, state = state, saved(_assigned(state, books, before))
+            discard(old)  # bounds are the bulk of a table: one of a round is kept, and the one it is made from while it is
             before, books = books, _moved_books(state, books)
         text = ",".join(str(x) for b in books for e in b for x in e)
         if first:

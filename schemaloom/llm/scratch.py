@@ -50,6 +50,13 @@ def tidy(spark: SparkSession) -> Iterator[None]:
             target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def discard(df: DataFrame) -> None:
+    """Deletes a table that saved() wrote, before its block ends. Nothing may read it any more."""
+    if files := df.inputFiles():
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
