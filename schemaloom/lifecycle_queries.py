@@ -15,6 +15,7 @@ from .extraction_queries import DETAILS
 from .operators import introspect
 from .operators.objects import objects
 from .operators.sequence import PHASES
+from .operators.validators import Rule
 from .plans.execute import execute
 from .plans.options import CONTINUE, STOP
 from .plans.script import dry_run
@@ -77,6 +78,47 @@ def model_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return objects(_models(spark, sf_dir).catalog(spark, D.POSTGRESQL)).selectExpr("kind", "table_key", "object_key", "name", _DETAIL)
 
 
+def _described(spark: SparkSession, sf_dir: str) -> list[m.Model]:
+    """A class for each nation, with what forms and services show of it."""
+    registry = m.Registry()
+    for k, name in sorted((r.k, r.n) for r in _table(spark, sf_dir, "nation").selectExpr("cast(n_nationkey as int) as k", "n_name as n").collect()):
+        body = {
+            "id": m.column("Id", "ftInteger", not_null=True, label="key", restrictions=["NoUpdate"]),
+            "name": m.column("Name", "ftString", 10, default=name if k % 2 else "'x'", message=f"no name of {name}", alignment="center" if k % 3 else "left", restrictions=["Unique"] if k % 4 == 0 else [], rules=(Rule("Name", "not_empty"),)),
+            "born": m.column("Born", "ftDate", display_format="yyyy-MM-dd", edit_mask="0000-00-00", default="CURRENT_DATE"),
+            "note": m.column("Note", "ftMemo", lazy=True, null_if_empty=True, restrictions=["Hidden", "NoInsert"], origin="notes"),
+            "state": m.enumeration("State", "ftString", ["A", "B"], ["open", "done"]),
+            "twice": m.calculated("Twice", "Id * 2", "ftInteger"),
+            "others": m.association("OneToMany", "Id", "other", "Ref", lazy=True),
+        }
+        cls = m.primary_key("ID")(m.table(f"Nation{k}")(type(f"Nation{k}", (), body)))
+        if k % 3 == 0:
+            cls = m.resource(name.lower())(m.sub_resource(f"part{k}")(cls))
+        if k % 4 == 1:
+            cls = m.rest("GET")(cls)
+        registry.register(m.not_served(cls) if k % 5 == 0 else cls)
+    return [registry.model(c) for c in registry.classes()]
+
+
+@query(
+    "model_dictionary",
+    """with k as (select n_nationkey as k, n_name as n, 'Nation' || n_nationkey as owner from nation)
+    select owner, 'Id' as field, 0 as place, 'column' as kind, 'key' as label, '' as message, '' as default_expression, '' as display_format, '' as edit_mask, 'left' as alignment, owner as origin, 'NoUpdate,NotNull,PrimaryKey' as facts from k
+    union all select owner, 'Name', 1, 'column', 'Name', 'no name of ' || n, case when k % 2 = 1 then chr(39) || replace(n, chr(39), chr(39) || chr(39)) || chr(39) else chr(39) || 'x' || chr(39) end, '', '', case when k % 3 > 0 then 'center' else 'left' end, owner, case when k % 4 = 0 then 'Unique,' else '' end || 'Nullable,Validated' from k
+    union all select owner, 'Born', 2, 'column', 'Born', '', 'CURRENT_DATE', 'yyyy-MM-dd', '0000-00-00', 'left', owner, 'Date,Nullable' from k union all select owner, 'Note', 3, 'column', 'Note', '', '', '', '', 'left', 'notes', 'Hidden,NoInsert,Blob,Lazy,Nullable,NullIfEmpty' from k
+    union all select owner, 'State', 4, 'column', 'State', '', '', '', '', 'left', owner, 'Enumeration,Nullable' from k union all select owner, 'Twice', 5, 'calculated', 'Twice', '', '', '', '', 'left', owner, 'CalcField' from k
+    union all select owner, 'Id', 6, 'association', 'Id', '', '', '', '', 'left', owner, 'Association,Lazy' from k""",
+)
+def model_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What forms show of every field of declared models, and what holds of it."""
+    return m.dictionary(spark, _described(spark, sf_dir)).drop("attribute").withColumn("facts", F.array_join("facts", ","))
+
+
+@query("model_services", "select 'Nation' || n_nationkey as owner, case when n_nationkey % 3 = 0 then lower(n_name) else 'Nation' || n_nationkey end as resource, case when n_nationkey % 3 = 0 then 'part' || n_nationkey else '' end as sub_resources, case when n_nationkey % 4 = 1 then 'GET' else 'DELETE,GET,POST,PUT' end as methods, n_nationkey % 5 <> 0 as served from nation")
+def model_services(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return m.services(spark, _described(spark, sf_dir)).withColumns({c: F.array_join(c, ",") for c in ("sub_resources", "methods")})
+
+
 @m.table("customer")
 @m.primary_key("c_custkey")
 @m.order_by("c_custkey desc")

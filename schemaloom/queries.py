@@ -6,7 +6,7 @@ by fixed rules, so that every kind of difference occurs.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import catalog_queries, extraction_queries, lifecycle_queries, table_queries  # noqa: F401  (they add their queries to those below)
@@ -176,6 +176,20 @@ def plan_commands(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.commands.filter("sql <> ''").orderBy(*plan.ORDER).select("phase", "op", "label", "sql")
 
 
+@query(
+    "plan_order",
+    f"""{_DIFFS}, c as (select case op when 'DropColumn' then 'DropColumns' else 'Columns' end as phase, table_name, column_name as name, case op when 'DropColumn' then '' else lpad(pos::varchar, 6, '0') end as item from d where op is not null
+    union all select distinct 'CreateTables', t, t, '' from desired where contains(t, 'g'))
+    select phase, name, table_name, row_number() over (partition by phase order by upper(table_name), item, upper(name))::int as place from c""",
+)
+def plan_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order of commands inside of each phase."""
+    desired = desired_catalog(spark, sf_dir)
+    plan = compare(desired, current_catalog(desired), CompareOptions(D.SPARK))
+    place = F.row_number().over(Window.partitionBy("phase").orderBy("table_rank", "place"))
+    return plan.commands.filter("sql <> ''").select("phase", "name", "table_name", place.alias("place"))
+
+
 @query("phase_plan", f"{_DIFFS} select case op when 'DropColumn' then 'DropColumns' else 'Columns' end as phase, count(*)::bigint as count from d where op is not null group by 1 union all select 'CreateTables', count(distinct t)::bigint from desired where contains(t, 'g') union all values ('Pre', 2), ('Post', 2)")
 def phase_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     desired = desired_catalog(spark, sf_dir)

@@ -34,6 +34,10 @@ JOINS = {"InnerJoin": "inner", "LeftJoin": "left", "RightJoin": "right", "FullJo
 FIELD_EVENTS = ("onChange", "onGetText", "onSetText", "onValidate")
 
 
+FACTS = (*sorted(RESTRICTIONS), "PrimaryKey", "JoinColumn", "CalcField", "AggregateField", "Association", "Enumeration", "Blob", "Date", "Time", "DateTime", "Lazy", "Nullable", "NullIfEmpty", "Validated")
+ALIGNMENTS = ("left", "right", "center")
+
+
 class ModelError(ValueError):
     """A declaration that can't be used."""
 
@@ -57,6 +61,10 @@ class ColumnMapping:
     label: str = ""
     display_format: str = ""
     edit_mask: str = ""
+    message: str = ""
+    alignment: str = "left"
+    origin: str = ""
+    nullable: bool = True
     rules: tuple[Rule, ...] = ()
     lazy: bool = False
     null_if_empty: bool = False
@@ -75,6 +83,23 @@ class ColumnMapping:
     def is_blob(self) -> bool:
         return self.field_type in ("ftBlob", "ftGraphic", "ftOraBlob", "ftOraClob", "ftMemo", "ftWideMemo")
 
+    @property
+    def default_expression(self) -> str:
+        """The default as text of an expression: texts are quoted, unless they are so already or are a known function."""
+        known = self.default.strip().upper() in ("CURRENT_TIMESTAMP", "CURRENT_DATE", "CURRENT_TIME", "NOW()", "NULL")
+        done = len(self.default) >= 2 and self.default[0] == self.default[-1] == "'"
+        return "'" + self.default.replace("'", "''") + "'" if self.default and self.field_type in D.TEXT_TYPES and not (known or done) else self.default
+
+    def facts(self, key: Iterable[str] = ()) -> frozenset[str]:
+        """What holds of the field, by the names in FACTS. key: the columns of the primary key."""
+        found = {r for r in RESTRICTIONS if self.has(r)}
+        found |= {name for name, holds in (
+            ("PrimaryKey", self.kind == "column" and self.name.upper() in {k.upper() for k in key}), ("JoinColumn", self.kind == "join"), ("CalcField", self.kind == "calculated"), ("AggregateField", self.kind == "aggregate"), ("Association", self.kind == "association"),
+            ("Enumeration", "values" in self.extra), ("Blob", self.kind == "column" and self.is_blob), ("Date", self.field_type == "ftDate"), ("Time", self.field_type == "ftTime"), ("DateTime", self.is_time and self.field_type not in ("ftDate", "ftTime")),
+            ("Lazy", self.lazy), ("Nullable", self.kind == "column" and self.nullable and not self.not_null), ("NullIfEmpty", self.null_if_empty), ("Validated", bool(self.rules) and not self.has("NoValidate")),
+        ) if holds}
+        return frozenset(found)
+
     @property
     def is_time(self) -> bool:
         return self.field_type in ("ftDate", "ftTime", "ftDateTime", "ftTimeStamp", "ftTimeStampOffset", "ftOraTimeStamp")
@@ -86,6 +111,8 @@ def column(name: str, field_type: str, size: int = 0, precision: int = 0, scale:
         raise ModelError(f"{name}: unknown restrictions {sorted(unknown)}")
     if field_type not in D.TYPE_TEMPLATES:
         raise ModelError(f"{name}: unknown field type {field_type}")
+    if more.get("alignment", "left") not in ALIGNMENTS:
+        raise ModelError(f"{name}: unknown alignment {more['alignment']}")
     return ColumnMapping(name, field_type, 0 if precision else size, precision, scale, default, found, **more)
 
 
@@ -192,6 +219,26 @@ def resource(name: str, **options: Any) -> Callable[[type], type]:
     return _part("resource", name=name, **options)
 
 
+def sub_resource(name: str) -> Callable[[type], type]:
+    """A part of the resource by a name of its own."""
+    return _part("sub_resource", name=name)
+
+
+METHODS = ("DELETE", "GET", "POST", "PUT")
+
+
+def rest(*methods: str) -> Callable[[type], type]:
+    """The methods that services allow on the model; GET alone makes it read-only."""
+    if not methods or not set(methods) <= set(METHODS):
+        raise ModelError(f"methods: {methods}")
+    return _part("rest", methods=tuple(sorted(set(methods))))
+
+
+def not_served(cls: type) -> type:
+    """The model is no service's."""
+    return _part("not_served")(cls)
+
+
 class Registry:
     """Classes with their models, read once each; safe for many threads."""
 
@@ -267,6 +314,28 @@ def model_catalog(spark: SparkSession, models: list[Model], dialect: str, schema
     return catalog.replaced(columns=resolved_types(catalog.columns, dialect, guid_as_octets)).assert_unique()
 
 
+def dictionary(spark: SparkSession, models: Iterable[Model]) -> DataFrame:
+    """(owner, field, attribute, place, kind, label, message, default_expression, display_format, edit_mask, alignment, origin, facts) of every field of models. A field without a label shows
+    its name, and one without an origin comes from its own table."""
+    rows = []
+    for model in models:
+        owner, key = model.table or model.view, next(iter(model.of("primary_key")), {"columns": []})["columns"]
+        for k, c in enumerate(model.columns):
+            facts = c.facts(key)
+            rows.append((owner, c.name, c.attribute, k, c.kind, c.label or c.name, c.message, c.default_expression, c.display_format, c.edit_mask, c.alignment, c.origin or owner, ",".join(f for f in FACTS if f in facts)))
+    schema = "owner string,field string,attribute string,place int,kind string,label string,message string,default_expression string,display_format string,edit_mask string,alignment string,origin string,facts string"
+    return local_frame(spark, rows, schema).withColumn("facts", F.filter(F.split("facts", ","), lambda x: x != ""))
+
+
+def services(spark: SparkSession, models: Iterable[Model]) -> DataFrame:
+    """(owner, resource, sub_resources, methods, served) of models: how services name them, by default as the table is named, and what they allow, by default all."""
+    rows = []
+    for model in models:
+        own = next(iter(model.of("resource")), {"name": ""})["name"] or model.table or model.view
+        rows.append((model.table or model.view, own, ",".join(x["name"] for x in model.of("sub_resource")), ",".join(next(iter(model.of("rest")), {"methods": METHODS})["methods"]), not model.of("not_served")))
+    return local_frame(spark, rows, "owner string,resource string,sub_resources string,methods string,served boolean").withColumns({c: F.filter(F.split(c, ","), lambda x: x != "") for c in ("sub_resources", "methods")})
+
+
 # what models say about rows
 
 
