@@ -23,7 +23,8 @@ def letter_table() -> np.ndarray:
 
 
 def code_points(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, row after the last, lower-cased code points with a line feed after each text, offsets) of rows of about STEP_CHARS."""
+    """(first row, row after the last, lower-cased code points with a line feed before each text and after the last, offsets) of rows of about STEP_CHARS. The line feed before a text
+    is its own, so that n-grams that begin with the blank before its first word are too."""
     row = 0
     while row < len(texts):
         part, size = [], 0
@@ -32,7 +33,7 @@ def code_points(texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray,
                 break
             part.append((text or "").lower())
             size += len(part[-1]) + 1
-        points = np.frombuffer(("\n".join(part) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
+        points = np.frombuffer(("\n" + "\n".join(part) + "\n").encode("utf-32-le", "surrogatepass"), np.uint32)
         yield row, row + len(part), points, np.concatenate([[0], np.cumsum([len(x) + 1 for x in part])])
         row += len(part)
 

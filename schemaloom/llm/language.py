@@ -181,7 +181,7 @@ def label_texts(model: Model, texts: list[str | None]) -> Iterator[tuple[int, np
         first = np.searchsorted(starts, at)
         found, _ = forward_backward(emissions(model.weights, len(starts), word, bucket), first, model.transitions)
         for r in range(end - row):
-            yield row + r, starts[first[r] : first[r + 1]] - at[r], found[first[r] : first[r + 1]]
+            yield row + r, starts[first[r] : first[r + 1]] - at[r] - 1, found[first[r] : first[r + 1]]
 
 
 def predict(model: Model, texts: list[str | None]) -> tuple[list[str], list[float]]:
