@@ -96,12 +96,19 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, fold: bo
     n = len(data)
     if not n:
         return np.zeros(0, U64)
-    begins = np.zeros(n, np.int64)
+    value, begins = np.arange(n, dtype=U64), np.zeros(n, U64)
     begins[starts] = starts
-    place = np.arange(n) - np.maximum.accumulate(begins)
-    total = np.zeros(n + 1, U64)
-    np.cumsum(mix((_FOLDED if fold else _BYTE)[data] + place.astype(U64) * _PLACE), out=total[1:])
-    return mix(total[ends] - total[starts])
+    np.maximum.accumulate(begins, out=begins)
+    value -= begins  # the place in the word; what lies between words is of no account
+    del begins
+    value *= _PLACE
+    value += (_FOLDED if fold else _BYTE)[data]
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB), (31, 0)):  # as mix, but in place: these are the largest arrays there are
+        value ^= value >> U64(shift)
+        if factor:
+            value *= U64(factor)
+    np.cumsum(value, out=value)
+    return mix(value[ends - 1] - np.where(starts > 0, value[starts - 1], U64(0)))
 
 
 def shingles(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
