@@ -353,7 +353,11 @@ def extract(model: Model, pages: list[str | None]) -> list[str]:
 
 
 def extracted(pages: DataFrame, model: Model | None = None) -> DataFrame:
-    """pages with main_text string and main_chars long, replacing columns of these names. Null and empty html give empty texts."""
+    """pages with main_text string and main_chars long, replacing columns of these names; all other columns stay.
+
+    Null and empty html give empty texts. Pages are read whole, however long, in time that grows with their length (see parse and MOST_DEPTH). Repeated rows give repeated results; an empty
+    table stays empty.
+    """
     shared = pages.sparkSession.sparkContext.broadcast(model or train())
     pages = pages.drop("main_text", "main_chars")
 

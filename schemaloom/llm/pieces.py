@@ -298,7 +298,11 @@ def pieces(model_file: str = MODEL_FILE) -> Pieces:
 
 
 def encoded(docs: DataFrame, model_file: str = MODEL_FILE) -> DataFrame:
-    """(doc_id, piece_ids array<int>) of every row of docs. Null and empty texts have no pieces."""
+    """(doc_id, piece_ids array<int>) of every row of docs (doc_id, text); other columns are ignored.
+
+    Null and empty texts have no pieces. Texts are encoded whole, however long; of equally good segmentations the one with the longest last pieces is taken. Repeated rows and rows without
+    an id have a result each; an empty table gives an empty one.
+    """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = pieces(model_file)
@@ -333,7 +337,8 @@ def segmentations(docs: DataFrame, model_file: str = MODEL_FILE) -> DataFrame:
     and of the text decoded from them, the scores of the BEST best segmentations and a SHA-256 of where the others differ.
 
     Null and empty texts have no pieces, one score of 0, and decode to the empty text. Repeated rows give equal rows. A text
-    with fewer segmentations has fewer scores. An empty table gives an empty result.
+    with fewer segmentations has fewer scores; of equal scores the segmentation with the longest last pieces comes first. Texts are read whole, however long; other
+    columns are ignored. An empty table gives an empty result.
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
