@@ -85,7 +85,8 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         nonlocal filled
         whole, filled = gathered[:filled], 0
         whole.sort()
-        values = np.unique(whole[FREQUENT_FROM - 1 :][whole[FREQUENT_FROM - 1 :] == whole[: max(0, len(whole) - FREQUENT_FROM + 1)]])
+        values = whole[FREQUENT_FROM - 1 :][whole[FREQUENT_FROM - 1 :] == whole[: max(0, len(whole) - FREQUENT_FROM + 1)]]
+        values = values[np.concatenate([[True], values[1:] != values[:-1]])] if len(values) else values  # they are sorted
         return values, np.searchsorted(whole, values, "right") - np.searchsorted(whole, values)
 
     def with_tally(columns: list[pa.Array], found: tuple[np.ndarray, np.ndarray] | None) -> pa.RecordBatch:

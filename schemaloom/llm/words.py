@@ -13,7 +13,10 @@ import pyarrow as pa
 
 U64 = np.uint64
 SHINGLE = 5
-STEP_BYTES = 1 << 20
+#: Texts are gone through in steps of about so many bytes: arrays have eight bytes for each, and there are two or three at a time.
+STEP_BYTES = 1 << 18
+#: Powers up to this one are kept.
+POWERS = (1 << 20) + 65536
 
 _space = np.zeros(256, bool)
 _space[[0x20, *range(0x09, 0x0E)]] = True
@@ -49,10 +52,10 @@ _powers: dict[int, np.ndarray] = {}
 def _power(base: int, n: int) -> np.ndarray:
     have = _powers.get(base)
     if have is None or len(have) < n:
-        full = np.full(max(n, STEP_BYTES + 65536), base, U64)
+        full = np.full(max(n, POWERS), base, U64)
         full[0] = 1
         have = np.cumprod(full, dtype=U64)
-        if n <= STEP_BYTES + 65536:  # what longer texts need is made for them alone
+        if n <= POWERS:  # what longer texts need is made for them alone
             _powers[base] = have
     return have[:n]
 
