@@ -139,3 +139,18 @@ def test_expressions_in_canonical_form(spark):
 def test_pairs_of_catalogs_of_the_queries(spark, sf):
     desired, current = q.schema_catalogs(spark, sf)
     assert desired.assert_unique() is desired and current.assert_unique() is current
+
+
+def test_no_task_holds_a_whole_table(spark):
+    """Whether a table is new, gone or kept, and whether a column of it has moved, is joined to its rows; no window gathers them."""
+    from schemaloom.operators.objects import objects
+
+    desired = catalog(spark, one("A", INT, text("X", 9)), one("B", INT))
+    current = catalog(spark, one("A", text("X", 9), INT), one("C", INT)).replaced()
+    current = current.replaced(columns=current.columns.withColumn("position", F.when(F.col("table_key") == "A", 5 - F.col("position")).otherwise(F.col("position"))))
+    rows = diff.joined(objects(desired), objects(current))
+    found = diff.differences(diff.compared(desired, current), CompareOptions(D.FIREBIRD, compare_positions=True))
+    for frame in (rows, found):
+        assert "Window" not in frame._jdf.queryExecution().optimizedPlan().toString()
+    assert {(r.own, r.table_status) for r in rows.collect()} == {("A", "keep"), ("B", "create"), ("C", "drop")}
+    assert {(r.table_key, r.object_key) for r in found.filter("array_contains(ops, 'AlterColumnPosition')").collect()} == {("A", "ID"), ("A", "X")}
