@@ -380,26 +380,33 @@ def association_violations(models: Iterable[Model], tables: Mapping[str, DataFra
     """(association, key, own_rows, other_rows) of the keys that have more rows on a side than the multiplicity of an association allows, for all associations of the models at once.
 
     tables: rows by table name. Each table is read once, however many associations name it; rows become counts of (association, key) before they are shuffled, so a key that a third of all rows
-    have is one small row of each task. Keys with a null refer to nothing and don't count; key is the JSON text of the key's values, so keys of several columns and any types are told apart.
+    have is one small row of each task. Associations that allow any number on both sides take no part. Keys with a null refer to nothing and don't count; key is the JSON text of the key's values,
+    made of those that are returned alone, so keys of several columns and any types are told apart.
     """
     wanted: dict[str, list[Column]] = {}
-    bounds: list[tuple[str, int, int]] = []
+    bounds: list[tuple[int, str, int, int]] = []
+    free = False
     for model in models:
         for c in model.columns:
             if c.kind != "association":
                 continue
-            name = f"{model.table}.{c.attribute}"
             own, other = _BOUNDS[c.extra["multiplicity"]]
-            bounds.append((name, -1 if own is None else own, -1 if other is None else other))
+            if own is None and other is None:
+                free = True
+                continue
+            number = len(bounds)
+            bounds.append((number, f"{model.table}.{c.attribute}", -1 if own is None else own, -1 if other is None else other))
             for table, columns, side in ((model.table, c.name, (1, 0)), (c.extra["table"], c.extra["reference"], (0, 1))):
                 names = _names(columns)
-                key = F.to_json(F.array(*[F.col(f"`{x}`").cast("string") for x in names]))
+                key = F.array(*[F.col(f"`{x}`").cast("string") for x in names])
                 given = reduce(Column.__and__, [F.col(f"`{x}`").isNotNull() for x in names])
-                wanted.setdefault(table, []).append(F.when(given, F.struct(F.lit(name).alias("association"), key.alias("key"), F.lit(side[0]).alias("own"), F.lit(side[1]).alias("other"))))
+                wanted.setdefault(table, []).append(F.when(given, F.struct(F.lit(number).alias("number"), key.alias("key"), F.lit(side[0]).alias("own"), F.lit(side[1]).alias("other"))))
     if not wanted:
-        raise ModelError("the models have no associations")
+        if not free:
+            raise ModelError("the models have no associations")
+        return next(iter(tables.values())).sparkSession.createDataFrame([], "association string, key string, own_rows long, other_rows long")
     rows = reduce(DataFrame.union, [tables[t].select(F.explode(F.array_compact(F.array(*parts))).alias("x")).select("x.*") for t, parts in wanted.items()])
-    counted = rows.groupBy("association", "key").agg(F.sum("own").alias("own_rows"), F.sum("other").alias("other_rows"))
-    limits = local_frame(rows.sparkSession, bounds, "association string, most_own int, most_other int")
-    kept = counted.join(F.broadcast(limits), "association").filter("(most_own >= 0 and own_rows > most_own and other_rows > 0) or (most_other >= 0 and other_rows > most_other and own_rows > 0)")
-    return kept.select("association", "key", "own_rows", "other_rows")
+    counted = rows.groupBy("number", "key").agg(F.sum("own").alias("own_rows"), F.sum("other").alias("other_rows"))
+    limits = local_frame(rows.sparkSession, bounds, "number int, association string, most_own int, most_other int")
+    kept = counted.join(F.broadcast(limits), "number").filter("(most_own >= 0 and own_rows > most_own and other_rows > 0) or (most_other >= 0 and other_rows > most_other and own_rows > 0)")
+    return kept.select("association", F.to_json("key").alias("key"), "own_rows", "other_rows")

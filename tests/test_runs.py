@@ -8,7 +8,7 @@ import pytest
 from schemaloom import dialects as D
 from schemaloom.operators import sequence
 from schemaloom.plans.compare import compare
-from schemaloom.plans.execute import ConnectionTarget, ExecutionFailed, execute
+from schemaloom.plans.execute import ConnectionTarget, ExecutionFailed, execute, execute_in_task
 from schemaloom.plans.journal import Journal, digest
 from schemaloom.plans.options import CompareOptions
 from schemaloom.plans.script import script
@@ -192,3 +192,11 @@ def test_associations_on_rows(spark):
     found = {tuple(r) for r in m.association_violations([m.read_model(Own)], {"own": own, "other": other}).collect()}
     assert found == {("own.one", '["1"]', 1, 2), ("own.one", '["2"]', 2, 1), ("own.many", '["2"]', 2, 1), ("own.up", '["1","a"]', 1, 2)}
     assert m.association_violations([m.read_model(Own)], {"own": own.limit(0), "other": other}).count() == 0
+
+
+def test_associations_without_bounds_are_not_counted(spark):
+    lines = spark.createDataFrame([(1, 2), (1, 3)], "id int, part int")
+    model = m.read_model(m.table("own")(type("Free", (), {"id": m.column("id", "ftInteger"), "free": m.association("ManyToMany", "id", "other", "ref")})))
+    assert m.association_violations([model], {"own": lines}).count() == 0  # other is not even read
+    found = m.association_violations([m.read_model(Own)], {"own": lines.selectExpr("id", "'a' as kind"), "other": lines.selectExpr("id as ref", "'a' as kind")})
+    assert "to_json" not in found._jdf.queryExecution().optimizedPlan().toString().partition("Aggregate")[2] and found.count() > 0
