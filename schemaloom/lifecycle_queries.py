@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import uuid
-from collections import Counter
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,11 +15,11 @@ from .operators import introspect
 from .operators.objects import objects
 from .operators.sequence import PHASES
 from .operators.validators import Rule
-from .plans.execute import execute
+from .plans.execute import execute_in_task
 from .plans.options import CONTINUE, STOP
 from .plans.script import dry_run
 from .query_base import _table, query
-from .relations import Catalog, local_frame, shared_folder, written
+from .relations import Catalog, shared_folder, written
 from .sources import declared as m
 from .sources import snapshot
 
@@ -272,20 +271,15 @@ def _report_sql(dialect: str, on_error: str) -> str:
 @query("execution_report", " union all ".join(f"select * from ({_report_sql(d, e)})" for d, e in _RUNS))
 def execution_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What becomes of every phase where the target refuses the statements on checks: its phase ends, and the run ends or goes on."""
-    rows = []
-    for dialect, on_error in _RUNS:
-        report = execute(_plan(spark, sf_dir, dialect, on_error=on_error, raise_on_error=False), _Refusing())
-        rows += [(dialect, on_error, *key, n) for key, n in Counter((x.phase, x.status) for x in report.items).items()]
-    return local_frame(spark, rows, "dialect string, on_error string, phase string, status string, n long")
+    runs = [execute_in_task(_plan(spark, sf_dir, d, on_error=e, raise_on_error=False), _Refusing).filter("status is not null").groupBy(F.lit(d).alias("dialect"), F.lit(e).alias("on_error"), "phase", "status") for d, e in _RUNS]
+    return reduce(DataFrame.union, [run.agg(F.count("*").alias("n")) for run in runs])
 
 
 @query("execution_transactions", f"select phase, case when phase in ('DropChecks', 'Checks') then 'rollback' else 'commit' end as ended from (select distinct phase from ({ddl_sql(D.POSTGRESQL)}))")
 def execution_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How the transaction of every phase ends."""
-    target = _Refusing()
-    report = execute(_plan(spark, sf_dir, D.POSTGRESQL, on_error=CONTINUE, raise_on_error=False), target)
-    phases = list(dict.fromkeys(x.phase for x in report.items))
-    return local_frame(spark, list(zip(phases, [x for x in target.log if x != "start"], strict=True)), "phase string, ended string")
+    plan = _plan(spark, sf_dir, D.POSTGRESQL, on_error=CONTINUE, raise_on_error=False)
+    return execute_in_task(plan, _Refusing).filter("ended is not null").select("phase", "ended")
 
 
 @query("unsequenced_plan", f"select 'Unknown' as phase, op, count(*)::bigint as n from ({ddl_sql(D.SPARK)}) group by 2")

@@ -200,3 +200,35 @@ def test_associations_without_bounds_are_not_counted(spark):
     assert m.association_violations([model], {"own": lines}).count() == 0  # other is not even read
     found = m.association_violations([m.read_model(Own)], {"own": lines.selectExpr("id", "'a' as kind"), "other": lines.selectExpr("id as ref", "'a' as kind")})
     assert "to_json" not in found._jdf.queryExecution().optimizedPlan().toString().partition("Aggregate")[2] and found.count() > 0
+
+
+class Refusing:
+    """A target that a task opens: it takes all but one view."""
+
+    connected, in_transaction = True, False
+
+    def start(self):
+        self.in_transaction = True
+
+    def commit(self):
+        self.in_transaction = False
+
+    rollback = commit
+
+    def execute(self, sql):
+        if sql.startswith("CREATE VIEW V2"):
+            raise RuntimeError("refused")
+
+
+def test_a_plan_runs_in_a_task(spark, monkeypatch):
+    """The same happens to every command as on a target of the driver, and no statement comes there."""
+    desired = catalog(spark, one("A", INT), one("B", INT), {"views": [{"name": f"V{k}", "script": f"SELECT {k} AS x"} for k in range(4)]})
+    plan = compare(desired, Catalog(spark), CompareOptions(D.SQLITE, raise_on_error=False))
+    told = execute(plan, Refusing())
+    with monkeypatch.context() as patch:
+        patch.setattr(type(plan.commands), "toLocalIterator", lambda *_, **__: pytest.fail("statements came to the driver"))
+        rows = execute_in_task(plan, Refusing).collect()
+    assert [(r.phase, r.label, r.status, r.error) for r in rows if r.ended is None] == [(x.phase, x.label, x.status, x.error) for x in told.items]
+    assert [(r.phase, r.ended) for r in rows if r.ended] == told.ended and dict(told.ended)["Views"] == "rollback" and dict(told.ended)["CreateTables"] == "commit"
+    with pytest.raises(ExecutionFailed, match="refused"):
+        execute_in_task(compare(desired, Catalog(spark), CompareOptions(D.SQLITE)), Refusing)
