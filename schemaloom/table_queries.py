@@ -87,9 +87,17 @@ def published_whole_or_not(spark: SparkSession, sf_dir: str) -> DataFrame:
 # digests
 
 
+#: About as many lines are dealt to a task, whatever the number of lines.
+PIECE = 1 << 19
+
+
 def order_catalogs(spark: SparkSession, sf_dir: str) -> tuple[Catalog, Catalog]:
-    """A table for each order and a column for each of its lines; on the current side every 97th order has other sizes, every 101st is missing and every 103rd has a line less."""
-    lines = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("k")).agg(F.max("l_quantity").cast("int").alias("q"))
+    """A table for each order and a column for each of its lines; on the current side every 97th order has other sizes, every 101st is missing and every 103rd has a line less.
+
+    Lines are dealt by their order, in pieces, so that the memory of a task does not grow with the table, and the sums of an order are combined where its lines are.
+    """
+    given = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_linenumber").alias("k"), F.col("l_quantity").alias("q"))
+    lines = given.repartition(-(-given.count() // PIECE) or 1, "o").groupBy("o", "k").agg(F.max("q").cast("int").alias("q"))
 
     def side(rows: DataFrame, size: str) -> Catalog:
         tables = rows.select("o").distinct()

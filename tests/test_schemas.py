@@ -141,6 +141,19 @@ def test_pairs_of_catalogs_of_the_queries(spark, sf):
     assert desired.assert_unique() is desired and current.assert_unique() is current
 
 
+def test_lines_of_orders_are_dealt_in_pieces(spark, sf, monkeypatch):
+    """The more lines, the more tasks; all lines of an order are in one of them, and the catalogs are the same."""
+    whole = [sorted(map(tuple, x.columns.collect())) for x in q.order_catalogs(spark, sf)]
+    monkeypatch.setattr(q, "PIECE", 500)
+    pieces = q.order_catalogs(spark, sf)
+    assert [sorted(map(tuple, x.columns.collect())) for x in pieces] == whole
+    n = -(-spark.read.parquet(f"{sf}/lineitem.parquet").count() // 500)
+    for x in pieces:
+        dealt = x.columns.select("table_key", F.spark_partition_id().alias("task"))
+        assert n / 2 < dealt.select("task").distinct().count() <= n
+        assert dealt.distinct().count() == dealt.select("table_key").distinct().count()
+
+
 def test_no_task_holds_a_whole_table(spark):
     """Whether a table is new, gone or kept, and whether a column of it has moved, is joined to its rows; no window gathers them."""
     from schemaloom.operators.objects import objects
