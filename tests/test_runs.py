@@ -72,6 +72,15 @@ class Meddled:
         self.own.close()
 
 
+def test_values_that_a_command_does_not_need_are_not_made(spark):
+    """A position that is no number matters to the command that moves the column alone."""
+    from schemaloom.functions.render import rendered
+
+    rows = spark.createDataFrame([("DropView", "V", {"position": "none"}), ("AlterColumnPosition", "C", {"position": "4"})], "op string, name string, attrs map<string,string>")
+    rows = rows.selectExpr("*", "'' as schema", "'T' as table_name", "map('sql', '', 'new_name', '') as extra").coalesce(1)
+    assert {(r.sql, r.label) for r in rendered(rows, D.FIREBIRD).collect()} == {("DROP VIEW V;", "Drop View: V"), ("ALTER TABLE T ALTER COLUMN C POSITION 5;", "Alter Column Position: C")}
+
+
 def test_a_registered_source_is_read_as_of_one_moment(spark, tmp_path):
     D.register(D.Dialect("Listed", frozenset()))
     system_tables.register_source("Listed", _LISTED, {"int": "ftInteger"})
